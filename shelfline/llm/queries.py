@@ -6,7 +6,12 @@ import importlib
 
 #: Module and function of each query; a query's module may hold its SQL as ORACLE.
 REGISTERED = {
+    "op3_best_fit_packing": "packing",
+    "op5_token_orc": "token_orc",
+    "op6_language_id": "language_id",
+    "op7_benchmark_decontamination": "decontaminate",
     "op8_exact_dedup": "exact_dedup",
+    "op9_ngram_jaccard_join": "jaccard_join",
     "op10_chat_format": "chat_format",
 }
 
