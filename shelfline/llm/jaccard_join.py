@@ -1,12 +1,15 @@
 """Similarity join on word shingles: rare-first prefix filtering, exact, without pairs inside groups.
 
-1. Shingles are counted in COUNTERS hashed counters over all documents; a shingle's place in
-   the one order of all shingles is (its counter, its hash), so rare ones come first.
-2. A document's set, in that order, need only be looked up by its first n - ceil(t n) + 1
-   shingles. Documents with equal sets are one class, shown by its smallest id.
-3. Classes meet on prefix shingles. Length, positional and suffix filters reject most pairs,
+1. Documents with equal sets are one class, shown by its smallest id.
+2. A pigeonhole filter finds the classes that can link at all. Of sets that link, most of the
+   fifth with the smallest hashes is common, so a class of which too few of these occur in any
+   other class's fifth has no partner; ``least_shared`` is what no linking set falls below.
+3. Over the classes left, shingles are counted in COUNTERS hashed counters; a shingle's place in
+   the one order of all shingles is (its counter, its hash), so rare ones come first. A set need
+   only be looked up by its first n - ceil(t n) + 1 shingles in that order.
+4. Classes meet on prefix shingles. Length, positional and suffix filters reject most pairs,
    and each pair left is verified once on the whole sets.
-4. What is wanted is who reaches whom. So each bucket's documents are first compared to its
+5. What is wanted is who reaches whom. So each bucket's documents are first compared to its
    leader, the one whose shared shingle comes earliest, then those still apart to a leader of
    their own; components are joined after each round. Only pairs that share a bucket and are
    in different components then are left, and all of these are verified: no link between
@@ -15,6 +18,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +31,10 @@ from .common import materialise
 from .components import components
 from .exact_dedup import FILTER_BITS, _filter_of, _positions
 
-#: Hashed counters of the shingle order; ranges of the hash whose counts the suffix filter compares.
-COUNTERS, RANGES = 1 << 18, 8
+#: Hashed counters of the shingle order (4 MB); ranges of the hash whose counts the suffix filter compares.
+COUNTERS, RANGES = 1 << 20, 8
+#: The share of a set, by smallest hashes, that the pigeonhole filter looks at.
+LOW = 0.2
 #: Pairs of one leader that are verified by one call.
 BLOCK = 200
 
@@ -80,28 +86,61 @@ def _count(k: int):
     return run
 
 
-SIGNATURE = "doc_id long, n long, key_a long, key_b long, ranges array<int>, prefix array<long>"
+def _low(n):
+    """How many of n shingles the pigeonhole filter looks at."""
+    return np.ceil(LOW * n - 1e-9).astype(np.int64)
 
 
-def _sign(k: int, num: int, den: int, shared):
+@functools.cache
+def least_shared(n: int, num: int, den: int) -> int:
+    """The least number of a set's low shingles that are low in any set it links with, whatever that set's size.
+
+    With x the set whose low shingles end first, all common ones up to there are low in both,
+    and x has at most its size less the overlap that aren't common.
+    """
+    m = np.arange(-(-num * n // den), den * n // num + 1, dtype=np.int64)
+    overlap = -(-num * (n + m) // (num + den))
+    own = int(_low(np.array([n]))[0])
+    return max(1, int(np.minimum(own - n + overlap, _low(m) - m + overlap).min()))
+
+
+SKETCH = "doc_id long, n long, key_a long, key_b long, need long, low array<long>"
+
+
+def _sketch(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = shared.value
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingles(t.as_py(), k)
                 n = len(s)
                 if not n:
-                    out.append((i, 0, None, None, [], []))
+                    out.append((i, 0, None, None, None, None))
                     continue
-                first = n - -(-num * n // den) + 1
-                order = np.argsort(counter[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]
                 a, c, _ = _keys(s)
-                ranges = np.diff(np.searchsorted(s, RANGE_STARTS), append=0)
-                ranges[-1] = n - np.searchsorted(s, RANGE_STARTS[-1])
-                out.append((i, n, a, c, ranges.tolist(), s[order].view(np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc_id", "n", "key_a", "key_b", "ranges", "prefix"])
+                out.append((i, n, a, c, least_shared(n, num, den), s[: int(_low(np.array([n]))[0])].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc_id", "n", "key_a", "key_b", "need", "low"])
+
+    return run
+
+
+SIGNATURE = "cls long, n long, ranges array<int>, prefix array<long>"
+
+
+def _sign(k: int, num: int, den: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = shared.value
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingles(t.as_py(), k)
+                n = len(s)
+                order = np.argsort(counter[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[: n - -(-num * n // den) + 1]
+                cuts = np.append(np.searchsorted(s, RANGE_STARTS), n)
+                out.append((i, n, np.diff(cuts).astype(np.int32), s[order].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["cls", "n", "ranges", "prefix"])
 
     return run
 
@@ -162,22 +201,22 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = plain.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    sketched = materialise(plain.mapInArrow(_sketch(k, num, den), SKETCH), "sketches")
+    classes = sketched.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value("need").alias("need"), F.any_value("low").alias("low"))
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    low = classes.select("cls", "need", F.explode("low").alias("gram"))
+    twice = materialise(low.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"), "shared")
+    able = low.join(twice.hint("merge"), "gram").groupBy("cls", "need").agg(F.count("*").alias("c")).filter("c >= need").select("cls")
+    texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").select("cls", "doc", "key_a", "key_b", "n"), k)
+
+    counted = texts.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     counter = np.zeros(COUNTERS, np.int64)
     counter[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     counter = np.minimum(counter, (1 << 32) - 1).astype(np.uint32)
-    signed = materialise(plain.mapInArrow(_sign(k, num, den, spark.sparkContext.broadcast(counter)), SIGNATURE), "signatures")
-
-    classes = signed.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value(F.struct("ranges", "prefix")).alias("r"))
-    classes = classes.select("key_a", "key_b", "n", "doc", F.col("r.ranges").alias("ranges"), F.col("r.prefix").alias("prefix"), F.monotonically_increasing_id().alias("cls"))
-    classes = materialise(classes, "classes")
-    postings = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
-    buckets = postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram")
-    shared = postings.join(materialise(buckets, "buckets").hint("merge"), "gram")
-    shared = shared.join(classes.select("cls", "doc", "key_a", "key_b", "ranges").hint("merge"), "cls")
-    shared = materialise(shared, "postings")
-    texts = _texts_of(plain, shared.select("cls", "doc", "key_a", "key_b", "n").distinct(), k)
-    shared = shared.select("cls", "n", "pos", "gram", "ranges")
+    signed = materialise(texts.select("cls", "text").mapInArrow(_sign(k, num, den, spark.sparkContext.broadcast(counter)), SIGNATURE), "signatures")
+    postings = signed.select("cls", "n", "ranges", F.posexplode("prefix").alias("pos", "gram"))
+    buckets = materialise(postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"), "buckets")
+    shared = materialise(postings.join(buckets.hint("merge"), "gram").select("cls", "n", "pos", "gram", "ranges"), "postings")
 
     member = F.struct("pos", "cls", "n", "ranges", "component")
     joined = links = tried = None
@@ -215,7 +254,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     least = labels.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = labels.join(least.hint("merge"), "component").select(F.col("key_a").alias("x"), F.col("key_b").alias("y"), F.col("n").alias("z"), "component_id")
     labels = materialise(labels, "labels")
-    out = signed.select("doc_id", "n", "key_a", "key_b").join(labels.hint("merge"), (F.col("key_a") == F.col("x")) & (F.col("key_b") == F.col("y")) & (F.col("n") == F.col("z")), "left")
+    out = sketched.select("doc_id", "n", "key_a", "key_b").join(labels.hint("merge"), (F.col("key_a") == F.col("x")) & (F.col("key_b") == F.col("y")) & (F.col("n") == F.col("z")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
