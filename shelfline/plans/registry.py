@@ -2,10 +2,537 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import extract, lifecycle, quality, reads, reliability
+from ..sources import fixtures
+from ..sources import views as V
+from ..sources.schemas import REQUIRED_FIELDS
+from ..streaming import ingest
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+AS_OF = "2024-01-15 00:00:00"
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query under its function's name, with its SQL over the views named."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = V.sql(sql, *views) if views else sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+_ISO = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+_PRINTS = """tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\\b[^>]*>).*?(</script\\s*>)|(<style\\b[^>]*>).*?(</style\\s*>)', '\\1\\2\\3\\4', 'g'), '<[a-zA-Z][^>]*>')) AS tag FROM pages),
+ sigs AS (SELECT page_id, array_to_string(list_concat([lower(regexp_extract(tag, '^<([a-zA-Z][a-zA-Z0-9:-]*)', 1))], list_sort(list_filter(regexp_split_to_array(regexp_extract(tag, '\\sclass="([^"]*)"', 1), '\\s+'), lambda c: c <> ''))[1:3]), '.') AS sig FROM tags),
+ counted AS (SELECT page_id, sig, count(*) AS n FROM sigs GROUP BY 1, 2),
+ prints AS (SELECT page_id, left(sha256(string_agg(sig || ':' || n, '|' ORDER BY sig)), 16) AS dom_fingerprint FROM counted GROUP BY 1)"""
+_DRIFT = f"""{_PRINTS}, caps AS (SELECT seq, source, coverage, confidence, dom_fingerprint FROM captures_v JOIN prints ON seq = page_id),
+ based AS (SELECT *, row_number() OVER w AS rn, max(coverage) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM caps WINDOW w AS (PARTITION BY source ORDER BY seq)),
+ deg AS (SELECT *, coalesce(coverage < base, false) OR confidence < 0.9 AS bad FROM based),
+ folded AS (SELECT *, last_value(CASE WHEN rn = 1 OR NOT bad THEN dom_fingerprint END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM deg),
+ drifted AS (SELECT *, coalesce(prev <> dom_fingerprint AND bad, false) AS drift FROM folded)"""
+
+
+def _prints(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.fingerprint(V.read(spark, sf, "pages"), "page_id")
+
+
+def _captures(spark: SparkSession, sf: str) -> DataFrame:
+    return V.captures(spark, sf).drop("html").join(_prints(spark, sf), F.col("seq") == F.col("page_id")).drop("page_id")
+
+
+# ------------------------------------------------------------------------------------- reads
+
+
+@query(
+    f"""SELECT t.connector, t.targets, t.succeeded, t.last_seen_at, a.average_latency_ms, d.last_drift_seq FROM (
+      SELECT connector, count(*) AS targets, count(*) FILTER (status = 'succeeded') AS succeeded, {_ISO.format("max(updated_at)")} AS last_seen_at FROM targets_v GROUP BY 1) t
+      LEFT JOIN (SELECT connector, round(avg(latency_ms), 2) AS average_latency_ms FROM attempts_v a JOIN hosts_v h ON a.target_id = h.id GROUP BY 1) a USING (connector)
+      LEFT JOIN (WITH {_DRIFT} SELECT source AS connector, max(seq) AS last_drift_seq FROM drifted WHERE drift GROUP BY 1) d USING (connector)""",
+    "targets", "attempts", "hosts", "captures",
+)
+def source_health(spark: SparkSession, sf: str) -> DataFrame:
+    tried = V.attempts(spark, sf).join(V.hosts(spark, sf).select(F.col("id").alias("h"), "connector"), F.col("target_id") == F.col("h"))
+    drifts = quality.drift(_captures(spark, sf)).filter("drift").select("source", F.col("seq").alias("detected_at"))
+    out = reads.source_health(V.targets(spark, sf), tried, drifts)
+    return out.select("connector", "targets", "succeeded", V.iso("last_seen_at").alias("last_seen_at"), "average_latency_ms", F.col("last_drift_at").alias("last_drift_seq"))
+
+
+@query(
+    f"""SELECT r.id, r.connector, {_ISO.format("r.created_at")} AS created_at, """
+    + ", ".join(f"count(*) FILTER (t.status = '{s}') AS {s}" for s in V.STATUS_OF.values())
+    + " FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY ALL",
+    "runs", "targets",
+)
+def run_summary_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.status_counts(V.runs(spark, sf), V.targets(spark, sf)).withColumn("created_at", V.iso("created_at"))
+
+
+@query(f"SELECT id, connector, {_ISO.format('created_at')} AS created_at FROM runs_v ORDER BY runs_v.created_at DESC, id LIMIT 50", "runs")
+def recent_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.latest(V.runs(spark, sf), "created_at", 50).withColumn("created_at", V.iso("created_at"))
+
+
+@query(
+    """SELECT r.id, CASE WHEN bool_and(t.status = 'succeeded') THEN 'succeeded'
+      WHEN bool_and(t.status IN ('succeeded', 'failed', 'blocked')) THEN CASE WHEN bool_or(t.status = 'failed') THEN 'failed' ELSE 'blocked' END
+      WHEN bool_or(t.status = 'running') THEN 'running' ELSE 'queued' END AS status
+      FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY r.id""",
+    "runs", "targets",
+)
+def run_status_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.run_status(V.runs(spark, sf), V.targets(spark, sf))
+
+
+_METRICS = """SELECT 'targets{status="' || status || '"}' AS key, count(*) AS value FROM targets_v GROUP BY status UNION ALL SELECT 'products', count(*) FROM products_v
+  UNION ALL SELECT 'fetch_attempts', count(*) FROM attempts_v UNION ALL SELECT 'review_items', count(*) FROM reviews_v WHERE status = 'pending'"""
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.metrics(V.targets(spark, sf), products=V.products(spark, sf), fetch_attempts=V.attempts(spark, sf), review_items=V.reviews(spark, sf).filter("status = 'pending'"))
+
+
+@query(_METRICS, "targets", "products", "attempts", "reviews")
+def status_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf)
+
+
+@query(f"SELECT '# TYPE ingest_targets gauge' || chr(10) || string_agg('ingest_' || key || ' ' || value, chr(10) ORDER BY key) || chr(10) AS text FROM ({_METRICS})", "targets", "products", "attempts", "reviews")
+def metrics_text(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.metrics_text(_metrics(spark, sf))
+
+
+@query("SELECT id, title, source, confidence, captured FROM products_v WHERE confidence >= 0.9 AND source = 'Brand#12' ORDER BY captured DESC, id LIMIT 100", "products")
+def product_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.list_products(V.products(spark, sf), 0.9, "Brand#12", 100).select("id", "title", "source", "confidence", "captured")
+
+
+@query("SELECT id, title, source, confidence, captured FROM products_v WHERE confidence >= 0.8 ORDER BY captured DESC, id LIMIT 500", "products")
+def product_listing_all_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.list_products(V.products(spark, sf), 0.8, "", 500).select("id", "title", "source", "confidence", "captured")
+
+
+@query("SELECT * FROM products_v WHERE id = 42", "products")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return V.products(spark, sf).filter(F.col("id") == 42)
+
+
+@query(f"SELECT a.id, target_id, {_ISO.format('a.created_at')} AS created_at, url FROM attempts_v a JOIN hosts_v h ON target_id = h.id WHERE target_id = 7 ORDER BY a.created_at, a.id LIMIT 1000", "attempts", "hosts")
+def attempt_listing(spark: SparkSession, sf: str) -> DataFrame:
+    tried = lifecycle.number_attempts(V.attempts(spark, sf), "target_id", ["created_at", "id"])
+    return reads.list_attempts(tried, V.hosts(spark, sf), target_id=7).select("id", "target_id", V.iso("created_at").alias("created_at"), "url")
+
+
+@query("SELECT r.id, r.product_id, r.status, r.reason, r.created, title, canonical_url, confidence FROM reviews_v r JOIN products_v p ON r.product_id = p.id WHERE r.status = 'pending' ORDER BY r.created DESC, r.id LIMIT 100", "reviews", "products")
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.review_queue(V.reviews(spark, sf), V.products(spark, sf))
+
+
+@query(f"SELECT id, target_id, {_ISO.format('created_at')} AS created_at FROM attempts_v WHERE event_type <> 'purchase' AND created_at + to_seconds(k * 60) <= TIMESTAMP '{AS_OF}' ORDER BY attempts_v.created_at, id LIMIT 100", "attempts")
+def due_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    a = V.attempts(spark, sf)
+    box = a.withColumn("published_at", F.when(F.col("event_type") == "purchase", F.col("created_at"))).withColumn("available_at", F.timestamp_micros(F.unix_micros("created_at") + F.col("k") * 60_000_000))
+    return reads.due_outbox(box, F.lit(AS_OF).cast("timestamp")).select("id", "target_id", V.iso("created_at").alias("created_at"))
+
+
+@query("SELECT target_id, list(status_code ORDER BY created_at, id) AS request_statuses, list(id ORDER BY created_at, id) AS attempt_ids FROM attempts_v GROUP BY 1", "attempts")
+def attempt_history_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.attempt_arrays(V.attempts(spark, sf))
+
+
+@query(
+    """SELECT target_id, count(*) AS n, round(median(latency_ms), 3) AS p50_ms, round(max(latency_ms) FILTER (r = greatest(floor(c * 0.95), 1)), 3) AS p95_ms
+      FROM (SELECT target_id, latency_ms, row_number() OVER (PARTITION BY target_id ORDER BY latency_ms) AS r, count(*) OVER (PARTITION BY target_id) AS c FROM attempts_v) GROUP BY 1""",
+    "attempts",
+)
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.latency_percentiles(V.attempts(spark, sf), "target_id")
+
+
+@query(
+    """SELECT p.id, 3 / 4.0::DOUBLE AS required_field_coverage, coalesce(n, 0) AS fetch_attempts, r.id IS NOT NULL AS review_required, r.id AS review_id, r.reason AS review_reason, r.status AS review_status
+      FROM products_v p LEFT JOIN (SELECT target_id, count(*) AS n FROM attempts_v GROUP BY 1) a ON a.target_id = p.id LEFT JOIN reviews_v r ON r.product_id = p.id""",
+    "products", "attempts", "reviews",
+)
+def product_output(spark: SparkSession, sf: str) -> DataFrame:
+    p = V.products(spark, sf).withColumns({"target_id": F.col("id"), "price_amount": F.col("price").cast("string"), "currency": F.lit("USD"), "availability": F.lit("")})
+    out = reads.product_output(p, V.attempts(spark, sf), V.reviews(spark, sf))
+    return out.select("id", "required_field_coverage", "fetch_attempts", "review_required", "review_id", "review_reason", "review_status")
+
+
+@query("SELECT count_if(confidence >= 0.9) AS confident, count_if(r.id IS NOT NULL) AS to_review, count(*) AS shown FROM products_v p LEFT JOIN reviews_v r ON r.product_id = p.id", "products", "reviews")
+def catalog_counters(spark: SparkSession, sf: str) -> DataFrame:
+    p, r = V.products(spark, sf), V.reviews(spark, sf).select("product_id")
+    return p.join(r, p["id"] == r["product_id"], "left").agg(F.count_if(F.col("confidence") >= 0.9).alias("confident"), F.count("product_id").alias("to_review"), F.count("*").alias("shown"))
+
+
+@query(
+    """SELECT connector, count(*) AS runs, sum(CASE WHEN n IS NULL THEN 0 ELSE n END)::BIGINT AS targets, sum(coalesce(ok, 0))::BIGINT AS succeeded, round(sum(coalesce(ok, 0)) / greatest(sum(coalesce(n, 0)), 1)::DOUBLE, 4) AS success_rate
+      FROM runs_v r LEFT JOIN (SELECT run_id, count(*) AS n, count_if(status = 'succeeded') AS ok FROM targets_v GROUP BY 1) t ON t.run_id = r.id GROUP BY 1""",
+    "runs", "targets",
+)
+def cross_run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    per = reads.status_counts(V.runs(spark, sf), V.targets(spark, sf))
+    n = sum((F.col(s) for s in V.STATUS_OF.values()), F.lit(0))
+    out = per.groupBy("connector").agg(F.count("*").alias("runs"), F.sum(n).alias("targets"), F.sum("succeeded").alias("succeeded"))
+    return out.withColumn("success_rate", F.round(F.col("succeeded") / F.greatest("targets", F.lit(1)), 4))
+
+
+# ------------------------------------------------------------------------------------ scalars
+
+
+@query("SELECT page_id, url, rtrim(url, '/') AS normalized_url, count(*) OVER (PARTITION BY rtrim(url, '/')) > 1 AS duplicate FROM pages")
+def url_normalize_dupes(spark: SparkSession, sf: str) -> DataFrame:
+    p = V.read(spark, sf, "pages").select("page_id", "url", S.normalise_url(F.col("url")).alias("normalized_url"))
+    twice = lifecycle.duplicate_urls(p.withColumn("run_id", F.lit(1))).select("normalized_url", F.lit(True).alias("d"))
+    return p.join(twice, "normalized_url", "left").select("page_id", "url", "normalized_url", F.coalesce("d", F.lit(False)).alias("duplicate"))
+
+
+_PRICE_IN = "CASE p_partkey % 6 WHEN 0 THEN '£' || p_retailprice WHEN 1 THEN 'from $ ' || p_size || ',' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.50 each' WHEN 2 THEN p_retailprice || ' €' WHEN 3 THEN 'sold out' WHEN 4 THEN '€' || chr(160) || p_size ELSE 'No 5 at ₩' || p_size END"
+
+
+@query(
+    f"""SELECT p_partkey, nullif(replace(regexp_extract(s, '([$£€₩])?\\s*(\\d[\\d,]*(?:\\.\\d{{1,2}})?)', 2), ',', ''), '') AS amount,
+      CASE regexp_extract(s, '([$£€₩])?\\s*(\\d[\\d,]*(?:\\.\\d{{1,2}})?)', 1) WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' WHEN '€' THEN 'EUR' WHEN '₩' THEN 'KRW' END AS currency
+      FROM (SELECT p_partkey, replace({_PRICE_IN}, chr(160), ' ') AS s FROM part)"""
+)
+def price_parse(spark: SparkSession, sf: str) -> DataFrame:
+    part, k = V.read(spark, sf, "part"), F.col("p_partkey") % 6
+    price, size = F.col("p_retailprice").cast("string"), F.col("p_size").cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("£"), price)).when(k == 1, F.concat(F.lit("from $ "), size, F.lit(","), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(".50 each")))
+        .when(k == 2, F.concat(price, F.lit(" €"))).when(k == 3, "sold out").when(k == 4, F.concat(F.lit("€ "), size)).otherwise(F.concat(F.lit("No 5 at ₩"), size))
+    )
+    return part.select("p_partkey", S.price_amount(text).alias("amount"), S.price_currency(text, F.lit(None).cast("string")).alias("currency"))
+
+
+@query("SELECT p_partkey, trim(list_last(string_split(s, '/'))) AS availability FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'https://schema.org/' || p_type WHEN 1 THEN ' ' || p_type || ' ' ELSE 'a/b/ ' || p_brand END AS s FROM part)")
+def availability_norm(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    s = F.when(k == 0, F.concat(F.lit("https://schema.org/"), "p_type")).when(k == 1, F.concat(F.lit(" "), "p_type", F.lit(" "))).otherwise(F.concat(F.lit("a/b/ "), "p_brand"))
+    return V.read(spark, sf, "part").select("p_partkey", S.availability(s).alias("availability"))
+
+
+_URLS = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'http://10.0.0.' || page_id % 250 || '/x' WHEN 2 THEN 'file:///etc/passwd' WHEN 3 THEN 'http://127.0.0.1/admin' ELSE 'http://93.184.216.' || page_id % 250 || '/' END"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN s LIKE 'file:%' THEN 'invalid_url' WHEN page_id % 2 = 1 AND NOT regexp_matches(s, '^https?://(10|127|93)\\.') THEN 'host_not_allowed'
+      WHEN s LIKE 'http://10.%' OR s LIKE 'http://127.%' THEN CASE WHEN page_id % 2 = 1 THEN 'host_not_allowed' ELSE 'private_address' END
+      WHEN page_id % 2 = 1 THEN 'host_not_allowed' END AS error FROM (SELECT page_id, {_URLS} AS s FROM pages)"""
+)
+def url_policy(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    n = (F.col("page_id") % 250).cast("string")
+    s = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("http://10.0.0."), n, F.lit("/x"))).when(k == 2, "file:///etc/passwd").when(k == 3, "http://127.0.0.1/admin").otherwise(F.concat(F.lit("http://93.184.216."), n, F.lit("/")))
+    closed, open_ = S.url_policy(s, ["shop.example"]), S.url_policy(s, [])
+    return V.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, closed).otherwise(open_).alias("error"))
+
+
+@query(
+    """SELECT id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN status_code = 429 OR status_code >= 400 THEN 'http_' || status_code WHEN k * 100000 > 5000000 THEN 'response_too_large' ELSE 'ok' END AS outcome,
+      status_code = 429 OR status_code >= 500 AS transient FROM attempts_v""",
+    "attempts",
+)
+def http_classify(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("status_code")
+    return V.attempts(spark, sf).select("id", S.http_class(c, F.col("k") * 100000).alias("outcome"), S.http_transient(c).alias("transient"))
+
+
+@query(
+    f"""SELECT id, CASE k % 5 WHEN 0 THEN k / 2.0::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN greatest(epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(id)) / 1e6 - epoch_us(TIMESTAMP '{AS_OF}') / 1e6, 0.0) END AS seconds FROM attempts_v""",
+    "attempts",
+)
+def retry_after_parse(spark: SparkSession, sf: str) -> DataFrame:
+    k, stamp = F.col("k") % 5, F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 60_000_000)
+    header = F.when(k == 0, (F.col("k") / 2).cast("string")).when(k == 1, F.concat(F.lit("-"), F.col("k").cast("string"))).when(k == 2, F.date_format(stamp, "E, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 3, "not-a-date")
+    return V.attempts(spark, sf).select("id", S.retry_after(header, F.lit(AS_OF).cast("timestamp")).alias("seconds"))
+
+
+@query("SELECT id, CASE WHEN k % 3 = 0 THEN least(k / 2.0::DOUBLE, 30.0) ELSE least(0.25 * pow(2.0, k % 12), 30.0) END AS delay FROM attempts_v", "attempts")
+def backoff_delay(spark: SparkSession, sf: str) -> DataFrame:
+    after = F.when(F.col("k") % 3 == 0, F.col("k") / 2.0)
+    return V.attempts(spark, sf).select("id", S.backoff(F.col("k") % 12 + 1, after, jitter=0.0).alias("delay"))
+
+
+@query("SELECT id, len(list_filter(string_split(' A.example, ,b.Example,' || target_id || '.c ', ','), lambda x: trim(x) <> '')) AS n, array_to_string(list_transform(list_filter(string_split(' A.example, ,b.Example,' || target_id || '.c ', ','), lambda x: trim(x) <> ''), lambda x: lower(trim(x))), ';') AS hosts FROM attempts_v", "attempts")
+def host_lists(spark: SparkSession, sf: str) -> DataFrame:
+    h = S.split_hosts(F.concat(F.lit(" A.example, ,b.Example,"), F.col("target_id").cast("string"), F.lit(".c ")))
+    return V.attempts(spark, sf).select("id", F.size(h).cast("long").alias("n"), F.array_join(h, ";").alias("hosts"))
+
+
+# ---------------------------------------------------------------------------------- lifecycle
+
+
+@query("SELECT id, target_id, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v", "attempts")
+def attempt_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.number_attempts(V.attempts(spark, sf), "target_id", ["created_at", "id"]).select("id", "target_id", F.col("attempt").cast("long").alias("attempt"))
+
+
+@query("SELECT run_id, attempt, part_id, supplier_id, status FROM targets_v QUALIFY row_number() OVER (PARTITION BY run_id, attempt ORDER BY updated_at, part_id, supplier_id, status, price, quantity) = 1", "targets")
+def attempt_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lifecycle.first_write(V.targets(spark, sf), ["run_id", "attempt"], ["updated_at", "part_id", "supplier_id", "status", "price", "quantity"])
+    return rows.select("run_id", "attempt", "part_id", "supplier_id", "status")
+
+
+@query(
+    """SELECT run_id, attempt, first_value(id) OVER w AS id, part_id, price FROM targets_v WINDOW w AS (PARTITION BY run_id, attempt ORDER BY updated_at, part_id, supplier_id, status, price, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+      QUALIFY row_number() OVER (PARTITION BY run_id, attempt ORDER BY updated_at DESC, part_id DESC, supplier_id DESC, status DESC, price DESC, quantity DESC) = 1""",
+    "targets",
+)
+def product_upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lifecycle.upsert(V.targets(spark, sf), ["run_id", "attempt"], ["updated_at", "part_id", "supplier_id", "status", "price", "quantity"], ["id"])
+    return rows.select("run_id", "attempt", "id", "part_id", "price")
+
+
+_STATE = "CASE WHEN status_code < 400 THEN 'succeeded' WHEN (status_code = 429 OR status_code >= 500) AND attempt < 4 THEN 'retrying' WHEN NOT (status_code = 429 OR status_code >= 500) THEN 'blocked' ELSE 'failed' END"
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    a = lifecycle.number_attempts(V.attempts(spark, sf), "target_id", ["created_at", "id"])
+    c = F.col("status_code")
+    return a.withColumn("state", lifecycle.outcome(S.http_transient(c), c < 400, F.col("attempt"), F.lit(4)))
+
+
+@query(
+    f"""SELECT target_id, coalesce(min(attempt) FILTER (state IN ('succeeded', 'blocked')), max(attempt)) AS attempts,
+      coalesce(arg_min(state, attempt) FILTER (state IN ('succeeded', 'blocked')), arg_max(state, attempt)) AS status
+      FROM (SELECT *, {_STATE} AS state FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v)) GROUP BY 1""",
+    "attempts",
+)
+def target_transition(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.target_states(_states(spark, sf)).select("target_id", F.col("attempts").cast("long").alias("attempts"), "status")
+
+
+@query(f"SELECT id, attempt, {_STATE} AS state FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v)", "attempts")
+def attempt_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _states(spark, sf).select("id", F.col("attempt").cast("long").alias("attempt"), "state")
+
+
+@query(
+    "SELECT id, round(3.0 * (r - 1) + max(x) OVER (PARTITION BY target_id ORDER BY created_at, id), 3) AS starts_at FROM (SELECT *, epoch_us(created_at) / 1e6 - 1704067200 - 3.0 * (r - 1) AS x FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS r FROM attempts_v))",
+    "attempts",
+)
+def host_pacing(spark: SparkSession, sf: str) -> DataFrame:
+    a = V.attempts(spark, sf).withColumn("at", F.unix_micros("created_at") / 1e6 - 1704067200)
+    return lifecycle.pace(a, "target_id", "at", ["created_at", "id"], 3.0).select("id", F.round("starts_at", 3).alias("starts_at"))
+
+
+@query(
+    """SELECT c_custkey AS run_id, rtrim(u, '/') AS normalized_url, i AS position FROM (SELECT c_custkey, unnest(range(1, 4)) AS i, 'https://shop.example/' || c_custkey || '/' || i || CASE WHEN c_custkey % 7 = 0 AND i = 3 THEN '' ELSE '/' END AS u FROM customer)
+      WHERE i <= 1 + c_custkey % 3""",
+)
+def create_run(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.read(spark, sf, "customer")
+    url = lambda i: F.concat(F.lit("https://shop.example/"), F.col("c_custkey").cast("string"), F.lit(f"/{i}"), F.when((F.col("c_custkey") % 7 == 0) & F.lit(i == 3), "").otherwise("/"))
+    req = c.select(F.col("c_custkey").alias("id"), F.lit("generic").alias("connector"), F.lit("http").alias("render_mode"), F.array(url(1), url(2), url(3)).alias("start_urls"), (F.lit(1) + F.col("c_custkey") % 3).cast("int").alias("max_pages"), F.lit(4).alias("max_attempts"))
+    targets, _, _ = lifecycle.create_run(req, F.lit(AS_OF).cast("timestamp"))
+    return targets.select("run_id", "normalized_url", F.substring_index("normalized_url", "/", -1).cast("long").alias("position"))
+
+
+@query("SELECT c_custkey AS run_id FROM customer WHERE c_custkey % 2 = 1")
+def rejected_runs(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.read(spark, sf, "customer")
+    base = F.concat(F.lit("https://shop.example/"), F.col("c_custkey").cast("string"))
+    req = c.select(F.col("c_custkey").alias("id"), F.lit("generic").alias("connector"), F.lit("http").alias("render_mode"), F.array(base, F.concat(base, F.when(F.col("c_custkey") % 2 == 1, "//").otherwise("/b"))).alias("start_urls"), F.lit(5).alias("max_pages"), F.lit(4).alias("max_attempts"))
+    return lifecycle.create_run(req, F.lit(AS_OF).cast("timestamp"))[2]
+
+
+@query("SELECT id, product_id, CASE WHEN status = 'pending' AND id % 2 = 0 THEN CASE WHEN id % 4 = 0 THEN 'accept' ELSE 'reject' END ELSE status END AS status FROM reviews_v", "reviews")
+def resolve_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.reviews(spark, sf)
+    actions = r.filter(F.col("id") % 2 == 0).select("id", F.when(F.col("id") % 4 == 0, "accept").otherwise("reject").alias("action"), F.lit("seen").alias("note"))
+    return lifecycle.resolve_reviews(r, actions, F.lit(AS_OF).cast("timestamp")).select("id", "product_id", "status")
+
+
+@query(f"SELECT id FROM attempts_v WHERE event_type <> 'view' AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at) >= 30000000", "attempts")
+def stale_messages(spark: SparkSession, sf: str) -> DataFrame:
+    m = V.attempts(spark, sf).withColumn("acknowledged_at", F.when(F.col("event_type") == "view", F.col("created_at"))).withColumn("delivered_at", F.col("created_at"))
+    return lifecycle.stale(m, F.lit(AS_OF).cast("timestamp")).select("id")
+
+
+@query("SELECT a.id, a.target_id FROM attempts_v a WHERE EXISTS (SELECT 1 FROM reviews_v r WHERE r.id = a.target_id AND r.status <> 'accept')", "attempts", "reviews")
+def startable_messages(spark: SparkSession, sf: str) -> DataFrame:
+    t = V.reviews(spark, sf).select("id", F.when(F.col("status") == "accept", "succeeded").otherwise("failed").alias("status"))
+    return lifecycle.startable(V.attempts(spark, sf), t).select("id", "target_id")
+
+
+@query("SELECT run_id, attempt, count(*) AS n FROM targets_v WHERE (run_id, attempt) NOT IN (SELECT (o_orderkey, 1) FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2", "targets")
+def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    there = V.read(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"), F.lit(1).alias("attempt"))
+    fresh = lifecycle.insert_absent(there, V.targets(spark, sf), ["run_id", "attempt"])
+    return fresh.groupBy("run_id", "attempt").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------------------------ quality
+
+
+@query(f"WITH {_PRINTS} SELECT * FROM prints")
+def dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return _prints(spark, sf)
+
+
+@query(f", {_DRIFT} SELECT seq, source, prev AS previous_fingerprint, dom_fingerprint AS new_fingerprint, coverage, confidence FROM drifted WHERE drift".removeprefix(", "), "captures")
+def drift_events(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.drift(_captures(spark, sf)).filter("drift").select("seq", "source", "previous_fingerprint", F.col("dom_fingerprint").alias("new_fingerprint"), "coverage", "confidence")
+
+
+@query(f"{_DRIFT} SELECT source, arg_max(dom_fingerprint, seq) FILTER (rn = 1 OR NOT bad) AS dom_fingerprint, max(coverage) AS baseline_coverage, count(*) AS observed_count FROM drifted GROUP BY 1", "captures")
+def source_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.source_profiles(_captures(spark, sf))
+
+
+@query(f"{_DRIFT} SELECT seq, CASE WHEN drift THEN 'schema_drift' WHEN confidence < 0.9 THEN 'low_confidence' WHEN coverage < 1 THEN 'incomplete_required_fields' END AS reason FROM drifted", "captures")
+def review_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.drift(_captures(spark, sf)).select("seq", quality.review_reason(F.col("drift"), F.col("confidence"), F.col("coverage")).alias("reason"))
+
+
+@query("SELECT seq, CASE WHEN seq % 3 = 0 THEN coverage < 0.5 ELSE seq % 3 = 1 END AS render FROM captures_v", "captures")
+def browser_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    mode = F.when(F.col("seq") % 3 == 0, "auto").when(F.col("seq") % 3 == 1, "browser").otherwise("http")
+    return V.captures(spark, sf).select("seq", quality.needs_browser(mode, F.col("coverage")).alias("render"))
+
+
+# --------------------------------------------------------------------------------- extraction
+
+
+def _pages_of_parts(spark: SparkSession, sf: str, variant: str, source: str = "generic") -> DataFrame:
+    return fixtures.product_pages(V.read(spark, sf, "part"), variant, "p_partkey", "p_name", None, source)
+
+
+_SHOWN = ["id", "external_id", "title", "price_amount", "currency", "availability", "brand", "category", "canonical_url", "image_url", "confidence", "required_field_coverage"]
+_PART = "SELECT p_partkey AS id, {external} AS external_id, p_name AS title, (10 + p_partkey % 80) || '.90' AS price_amount, '{currency}' AS currency, '{stock}' AS availability, {brand} AS brand, {category} AS category, {canonical} AS canonical_url, {image} AS image_url, {confidence}::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, '{fp}' AS dom_fingerprint FROM part"
+_URL = "'https://shop.example/products/' || p_partkey"
+_IMAGE = "'https://shop.example/images/' || p_partkey || '.jpg'"
+
+
+@query(_PART.format(external="'SKU-' || p_partkey", currency="USD", stock="InStock", brand="'Forge Labs'", category="'Fixture'", canonical=_URL, image=_IMAGE, confidence="0.985", fp="3fa5dc9e52eb63dd"))
+def parse_product_jsonld(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.parse_products(_pages_of_parts(spark, sf, "jsonld")).select(*_SHOWN, "dom_fingerprint")
+
+
+@query(_PART.format(external="'UPC-' || p_partkey", currency="GBP", stock="In stock (7 available)", brand="NULL", category="'Fixture'", canonical=_URL, image=_IMAGE, confidence="0.97", fp="84428721703b8bb3"))
+def parse_product_selector(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.parse_products(_pages_of_parts(spark, sf, "selector", "books_to_scrape")).select(*_SHOWN, "dom_fingerprint")
+
+
+@query(_PART.format(external=_URL, currency="USD", stock="InStock", brand="NULL", category="NULL", canonical=_URL, image=_URL, confidence="0.832", fp="18fdf70e66a429aa"))
+def parse_product_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.parse_products(_pages_of_parts(spark, sf, "drift")).select(*_SHOWN, "dom_fingerprint")
+
+
+@query("SELECT p_partkey AS id, p_name AS title, 0.83::DOUBLE AS confidence, 0.25::DOUBLE AS required_field_coverage, 'missing_price_amount,missing_currency,missing_availability' AS warnings, '7685a8cbbe2ce919' AS dom_fingerprint FROM part")
+def parse_product_missing(spark: SparkSession, sf: str) -> DataFrame:
+    p = extract.parse_products(_pages_of_parts(spark, sf, "missing"))
+    return p.select("id", "title", "confidence", "required_field_coverage", F.array_join("warnings", ",").alias("warnings"), "dom_fingerprint")
+
+
+@query("SELECT p_partkey AS id, p_name AS title, 0.832::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, '35e6b857401524ec' AS dom_fingerprint FROM part")
+def parse_product_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.parse_products(_pages_of_parts(spark, sf, "malformed")).select("id", "title", "confidence", "required_field_coverage", "dom_fingerprint")
+
+
+@query(
+    """SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS position, unnest(['title', 'price_amount', 'currency', 'availability']) AS field, unnest([p_name, (10 + p_partkey % 80) || '.90', 'USD', 'InStock']) AS value,
+      unnest(['semantic_fallback', 'semantic_fallback', 'semantic_fallback', 'semantic_fallback']) AS method, unnest(['og:title|h1', 'itemprop=price', 'itemprop=priceCurrency', 'itemprop=availability']) AS selector, unnest([0.86::DOUBLE, 0.84, 0.84, 0.82]) AS confidence FROM part"""
+)
+def evidence_explode(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.explode_evidence(extract.parse_products(_pages_of_parts(spark, sf, "drift")), "id")
+
+
+@query("SELECT 4 * count(*) AS expected, 4 * count(*) AS present FROM part")
+def required_field_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    p = extract.parse_products(_pages_of_parts(spark, sf, "jsonld"))
+    right = (F.col("title") == F.col("title_in")).cast("long") + (F.col("price_amount") == F.col("price_in")).cast("long") + (F.col("currency") == "USD").cast("long") + (F.col("availability") == "InStock").cast("long")
+    return p.agg((F.count("*") * len(REQUIRED_FIELDS)).alias("expected"), F.sum(right).alias("present"))
+
+
+@query("SELECT p_partkey AS id, unnest([1, 2])::BIGINT AS position, 'https://shop.example/products/' || unnest([p_partkey, p_partkey + 1]) AS link FROM part")
+def link_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    found = extract.discover_links(_pages_of_parts(spark, sf, "listing", "books_to_scrape"), "id")
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN 'json_ld' ELSE 'semantic_fallback' END AS path, CASE p_partkey % 2 WHEN 0 THEN 'eligible' ELSE 'review' END AS decision FROM part")
+def preview_decision(spark: SparkSession, sf: str) -> DataFrame:
+    both = None
+    for r, variant in enumerate(("jsonld", "drift")):
+        p = _pages_of_parts(spark, sf, variant).filter(F.col("id") % 2 == r)
+        both = p if both is None else both.unionByName(p)
+    e = extract.parse_products(both)
+    reason = quality.review_reason(F.lit(False), F.col("confidence"), F.col("required_field_coverage"))
+    return e.select("id", F.array_join(extract.extraction_path(F.col("field_evidence"), list(REQUIRED_FIELDS)), ",").alias("path"), extract.decision(F.col("title"), reason).alias("decision"))
+
+
+@query("SELECT page_id, url, NOT regexp_matches(url, '^https?://[^/]+/blocked') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://shop.example/blocked/' || page_id ELSE 'https://shop.example/p/' || page_id END AS url FROM pages)")
+def robots_policy(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.page_facts import robots_allowed
+
+    n = F.col("page_id").cast("string")
+    u = V.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://shop.example/blocked/"), n)).otherwise(F.concat(F.lit("https://shop.example/p/"), n)).alias("url"))
+    rules = spark.createDataFrame([("shop.example", "User-agent: *\nDisallow: /blocked\nAllow: /\n")], "host string, body string")
+    u = u.join(F.broadcast(rules), F.parse_url("url", F.lit("HOST")) == F.col("host"), "left")
+    return u.select("page_id", "url", robots_allowed(F.col("body"), F.lit("catalog-bot"), F.col("url")).alias("allowed"))
+
+
+# ------------------------------------------------------------------------ reliability, streams
+
+
+@query(
+    """SELECT i AS id, CASE WHEN i % 12 = 0 THEN 2 ELSE 1 END AS attempts, 'succeeded' AS status FROM range(1, 1001) t(i)""",
+)
+def rehearsal(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 12th target fails once with a transient error and is tried again."""
+    t = spark.range(1, 1001)
+    tries = t.select(F.col("id").alias("target_id"), F.explode(F.when(F.col("id") % 12 == 0, F.array(F.lit(429), F.lit(200))).otherwise(F.array(F.lit(200)))).alias("code"))
+    tries = lifecycle.number_attempts(tries.withColumn("seq", F.when(F.col("code") == 429, 0).otherwise(1)), "target_id", ["seq"])
+    tries = tries.withColumn("state", lifecycle.outcome(S.http_transient(F.col("code")), F.col("code") < 400, F.col("attempt"), F.lit(4)))
+    return lifecycle.target_states(tries).select(F.col("target_id").alias("id"), "attempts", "status")
+
+
+@query("SELECT 1000 AS targets, 1083 AS attempts, 83 AS transient_recovered, 1000 AS succeeded, 0 AS lost, 0 AS duplicated, 1.0::DOUBLE AS success_rate")
+def rehearsal_report(spark: SparkSession, sf: str) -> DataFrame:
+    r = rehearsal(spark, sf)
+    ok = F.count_if(F.col("status") == "succeeded")
+    return r.agg(
+        F.count("*").alias("targets"), F.sum("attempts").alias("attempts"), F.count_if((F.col("attempts") > 1) & (F.col("status") == "succeeded")).alias("transient_recovered"), ok.alias("succeeded"),
+        F.greatest(F.count("*") - ok, F.lit(0)).alias("lost"), F.greatest(ok - F.count("*"), F.lit(0)).alias("duplicated"), F.round(ok / F.count("*"), 4).alias("success_rate"),
+    )
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    a = V.attempts(spark, sf)
+    return a.select(F.col("target_id").cast("string").alias("host"), "id", (F.unix_micros("created_at") / 1e6).alias("at"), reliability.effect(F.col("status_code"), F.lit(None).cast("string")).alias("effect"))
+
+
+@query()
+def circuit_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return reliability.replay(_requests(spark, sf), threshold=2, timeout=7200.0)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT id, target_id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN status_code >= 400 THEN 'http_' || status_code ELSE 'ok' END AS outcome FROM attempts_v", "attempts")
+def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of message files, one in ten delivered twice; each has one effect."""
+    at = ingest.run_folder(spark, "messages")
+    a = V.attempts(spark, sf).select("id", "target_id", "status_code")
+    ingest.deliver(a.unionByName(a.filter(F.col("id") % 10 == 0)), f"{at}/in", 8)
+    messages = ingest.message_stream(spark, f"{at}/in", "id long, target_id long, status_code int")
+    ingest.process(messages, f"{at}/out", f"{at}/checkpoint", lambda b: b.select("id", "target_id", S.http_class(F.col("status_code")).alias("outcome")))
+    return ingest.results(spark, f"{at}/out")
