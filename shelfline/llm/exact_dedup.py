@@ -125,9 +125,9 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine[at].view(np.int64))], names=["word", "bits"])
 
-    words = hashes.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = hashes.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 

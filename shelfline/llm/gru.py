@@ -15,7 +15,9 @@ import heapq
 import numpy as np
 
 CLASS = 64
-HIDDEN, STEPS, LANES = 24, 32, 512
+HIDDEN, STEPS, LANES = 16, 32, 512
+#: Logits are held below this, so that no exponential overflows.
+TOP = np.float32(80)
 
 
 def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +46,12 @@ def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function, in place."""
+    np.negative(x, out=x)
+    np.minimum(x, TOP, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Gru:
@@ -87,34 +94,42 @@ class Gru:
         """States after each step of a window, from the inputs' rows and the state before."""
         u, n = self.p["u"], HIDDEN
         out = np.empty((len(x), x.shape[1], n), np.float32)
-        h = h0
+        rows, h = self.p["e"][x], h0
         for t in range(len(x)):
-            h = h * keep[t][:, None]
-            a, b = self.p["e"][x[t]], h @ u
+            if not keep[t].all():
+                h = h * keep[t][:, None]
+            a, b = rows[t], h @ u
             zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
+            new = r * b[:, 2 * n :]
+            new += a[:, 2 * n :]
+            np.tanh(new, out=new)
             if cache is not None:
                 cache.append((h, z, r, new, b[:, 2 * n :]))
-            h = new + z * (h - new)
+            h = h - new
+            h *= z
+            h += new
             out[t] = h
         return out, h
 
     def _output(self, h, y, grads):
         """log-probabilities of the symbols y after states h; with grads, their sum's descent is added there and that of h returned."""
         cls = self._classes(y)
-        logits = h @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        e = h @ self.p["c"]
+        e += self.p["cb"]
+        np.minimum(e, TOP, out=e)
         rows = np.arange(len(y))
-        logp = logits[rows, cls] - np.log(total)
+        logp = e[rows, cls]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], np.float32)
+        logp -= np.log(total)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
+            d = e
+            d /= total[:, None]
             d[rows, cls] -= 1
             grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
+            grads["cb"] += np.ones(len(d), np.float32) @ d
             dh = d @ self.p["c"].T
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.n_head_classes + 1))
@@ -123,17 +138,19 @@ class Gru:
             if not len(at):
                 continue
             hk, yk = h[at], y[at] - k * CLASS
-            lk = hk @ self.p["w"][k] + self.p["wb"][k]
-            lk -= lk.max(1, keepdims=True)
-            ek = np.exp(lk)
-            tk = ek.sum(1)
+            dk = hk @ self.p["w"][k]
+            dk += self.p["wb"][k]
+            np.minimum(dk, TOP, out=dk)
             own = np.arange(len(at))
-            logp[at] += lk[own, yk] - np.log(tk)
+            right = dk[own, yk]
+            np.exp(dk, out=dk)
+            tk = dk @ np.ones(CLASS, np.float32)
+            logp[at] += right - np.log(tk)
             if grads is not None:
-                dk = ek / tk[:, None]
+                dk /= tk[:, None]
                 dk[own, yk] -= 1
                 grads["w"][k] += hk.T @ dk
-                grads["wb"][k] += dk.sum(0)
+                grads["wb"][k] += np.ones(len(dk), np.float32) @ dk
                 dh[at] += dk @ self.p["w"][k].T
         return logp, dh
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .dom_blocks import Block, blocks_of
 
 #: Labelled pages made for training, their seed, gradient steps, rate and weight decay.
-PAGES, SEED, STEPS, RATE, DECAY = 600, 11, 150, 0.3, 1e-3
+PAGES, SEED, STEPS, RATE, DECAY = 300, 11, 120, 0.3, 1e-3
 
 #: Tags and attribute words that tell something about a block below them.
 TAGS = (

@@ -31,8 +31,8 @@ from .common import materialise
 from .components import components
 from .exact_dedup import FILTER_BITS, _filter_of, _positions
 
-#: Hashed counters of the shingle order (4 MB); ranges of the hash whose counts the suffix filter compares.
-COUNTERS, RANGES = 1 << 20, 8
+#: Hashed counters of the shingle order (1 MB); ranges of the hash whose counts the suffix filter compares.
+COUNTERS, RANGES = 1 << 18, 8
 #: The share of a set, by smallest hashes, that the pigeonhole filter looks at.
 LOW = 0.2
 #: Pairs of one leader that are verified by one call.
@@ -209,9 +209,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     able = low.join(twice.hint("merge"), "gram").groupBy("cls", "need").agg(F.count("*").alias("c")).filter("c >= need").select("cls")
     texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").select("cls", "doc", "key_a", "key_b", "n"), k)
 
-    counted = texts.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counter = np.zeros(COUNTERS, np.int64)
-    counter[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    counter[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
     counter = np.minimum(counter, (1 << 32) - 1).astype(np.uint32)
     signed = materialise(texts.select("cls", "text").mapInArrow(_sign(k, num, den, spark.sparkContext.broadcast(counter)), SIGNATURE), "signatures")
     postings = signed.select("cls", "n", "ranges", F.posexplode("prefix").alias("pos", "gram"))

@@ -27,11 +27,11 @@ from .common import bucket, materialise
 from .gru import Gru
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, TAILS = 4096, 64
+HEAD, TAILS = 2048, 32
 #: Shares of the training texts, in sixteenths, that the rounds go over, and their rates.
 ROUNDS = ((0, 1, 0.02), (1, 4, 0.01), (4, 8, 0.005), (8, 16, 0.003))
 #: Tokens that a task gathers for one pass over lanes; distinct words that it counts before it hands them on.
-GATHER, COUNTED = 1_000_000, 300_000
+GATHER, COUNTED = 4_000_000, 300_000
 #: Weights in a row when they are averaged.
 BLOCK = 8192
 END = ""
@@ -173,27 +173,32 @@ def _score(shared):
         log_head = np.log10(np.append(m.counts + 1, np.ones(TAILS)))
         n_head = len(m.counts)
 
-        def rows(held: list) -> pa.RecordBatch:
-            net = m.net.score([s for _, s, _ in held])
+        def rows(held: list, net: np.ndarray) -> pa.RecordBatch:
+            tails = [Counter(c.decode("utf-8", "surrogatepass").split(" ")) if c else {} for _, _, c in held]
             base = [float(log_head[s].sum()) for _, s, _ in held]
             return pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(s) for _, s, _ in held], pa.int64()), pa.array(base), pa.array(net / math.log(10)),
-                 pa.array([[w.decode("utf-8", "surrogatepass") for w in c] for _, _, c in held], pa.list_(pa.string())), pa.array([list(c.values()) for _, _, c in held], pa.list_(pa.int32()))],
+                 pa.array([list(c) for c in tails], pa.list_(pa.string())), pa.array([list(c.values()) for c in tails], pa.list_(pa.int32()))],
                 names=["doc_id", "n_tokens", "head_base", "network", "tail_words", "tail_counts"],
             )
 
+        def batches_of(held: list) -> Iterator[pa.RecordBatch]:
+            net = m.net.score([s for _, s, _ in held])
+            for k in range(0, len(held), 500):
+                yield rows(held[k : k + 500], net[k : k + 500])
+
         held, size = [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 words = words_of(t.as_py())
                 s = m.symbols.of(words)
-                held.append((i, s, Counter(words[k] for k in np.flatnonzero(s[:-1] >= n_head).tolist())))
+                held.append((i, s, b" ".join([words[k] for k in np.flatnonzero(s[:-1] >= n_head).tolist()])))
                 size += len(s)
                 if size >= GATHER:
-                    yield rows(held)
+                    yield from batches_of(held)
                     held, size = [], 0
         if held:
-            yield rows(held)
+            yield from batches_of(held)
 
     return run
 

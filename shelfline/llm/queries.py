@@ -6,7 +6,10 @@ import importlib
 
 #: Module and function of each query; a query's module may hold its SQL as ORACLE.
 REGISTERED = {
+    "op1_html_extract": "html_extract",
+    "op2_gru_lm_score": "lm_score",
     "op3_best_fit_packing": "packing",
+    "op4_license_scan": "license_scan",
     "op5_token_orc": "token_orc",
     "op6_language_id": "language_id",
     "op7_benchmark_decontamination": "decontaminate",
