@@ -13,14 +13,16 @@ import re
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps (about 200 bytes each).
-CACHE_CHUNKS = 500_000
+#: Chunks whose ids a worker keeps (about 200 bytes each), and newer ones that it keeps besides until there are so many.
+CACHE_CHUNKS, CACHE_NEWER = 800_000, 200_000
 #: Characters of texts handled at once.
 SLICE = 1 << 20
 
 #: Unicode white space, which Python's own classes extend by four control characters.
 WHITE = "\t-\r \x85\xa0  -     　"
 _BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Marks after a word that are chunks of their own to both vocabularies.
+_MARKS = {*".,;:!?", *(c.encode() for c in ".,;:!?")}
 _CUT = re.compile(f"[^{WHITE}] [^{WHITE}]")
 
 
@@ -33,42 +35,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.byte_level, self.known = byte_level, {}
+        self.byte_level, self.known, self.newer = byte_level, {}, []
         self.chunks = _BYTE_CHUNKS.findall if byte_level else _word_chunks
-
-    def _learn(self, keys: list) -> None:
-        """Ids of new chunks; those of plain letters go to the library joined, told apart by offsets."""
-        lead = " " if self.byte_level else ""
-        key_of = dict(zip(keys if self.byte_level else (k.decode() for k in keys), keys))
-        new = list(key_of)
-        joined = [c for c in new if c.startswith(lead) and c.isprintable() and max(c) < "ɐ" and c != " "]
-        rest = list(set(new).difference(joined))
-        if joined:
-            text = "".join(joined) if self.byte_level else " ".join(joined)
-            sizes = np.fromiter(map(len, joined), np.int64, len(joined)) + (not self.byte_level)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            got = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(first, starts, "left").tolist() + [len(ids)]
-            raw = ids.tobytes()
-            for i, c in enumerate(joined):
-                self.known[key_of[c]] = raw[4 * cuts[i] : 4 * cuts[i + 1]]
-        for c, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.known[key_of[c]] = np.array(got.ids, "<u4").tobytes()
+        #: By id: does the token begin a chunk (byte level), or end one (word level)?
+        size = self.tokenizer.get_vocab_size()
+        edge = (lambda t: t.startswith("Ġ")) if byte_level else (lambda t: t.endswith("</w>"))
+        self.edges = np.array([edge(self.tokenizer.id_to_token(i) or "") for i in range(size)])
+
+    def _encode_plain(self, chunks: list) -> list[bytes]:
+        """Ids of chunks of ASCII letters (with one space in front at byte level): one call for all, told apart by edge tokens."""
+        text = "".join(chunks) if self.byte_level else b" ".join(chunks).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edges[ids])
+        cuts = [*at.tolist(), len(ids)] if self.byte_level else [0, *(at + 1).tolist()]
+        assert len(cuts) == len(chunks) + 1
+        raw = ids.tobytes()
+        return [raw[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: set) -> None:
+        """Ids of new chunks. Letters followed by one mark are the ids of the letters, then those of the mark."""
+        plain, marked, rest = [], [], []
+        if self.byte_level:
+            is_plain = lambda c: c[0] == " " and c.isascii() and c[1:].isalpha()
+        else:
+            is_plain = lambda c: c.isalpha()  # noqa: E731  (bytes: ASCII letters only)
+        for c in sorted(new):
+            if is_plain(c):
+                plain.append(c)
+            elif c[-1:] in _MARKS and len(c) > 2 and is_plain(c[:-1]):
+                marked.append(c)
+            else:
+                rest.append(c)
+        known = self.known
+        stems = {c[:-1] for c in marked}.difference(known, plain)
+        tails = {c[-1:] for c in marked}.difference(known, rest)
+        rest += sorted(tails)
+        plain += sorted(stems)
+        if plain:
+            known.update(zip(plain, self._encode_plain(plain)))
+        texts = rest if self.byte_level else [c.decode() for c in rest]
+        for c, got in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            known[c] = np.array(got.ids, "<u4").tobytes()
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+        if len(known) > CACHE_CHUNKS:
+            self.newer += [*plain, *rest, *marked]
+
+    def _forget(self) -> None:
+        """Past CACHE_CHUNKS the first chunks met, which the frequent ones are among, stay, and newer ones go in turns."""
+        if len(self.newer) > CACHE_NEWER:
+            for c in self.newer:
+                self.known.pop(c, None)
+            self.newer = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts, handled together: for a megabyte or so, cut longer texts first."""
+        self._forget()
         parts = [self.chunks(t) for t in texts]
         new: set = set()
         for p in parts:
             new.update(p)
         new.difference_update(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE_CHUNKS:
-                new = {c for p in parts for c in p}
-                self.known.clear()
-            self._learn(sorted(new))
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -103,7 +132,8 @@ class Encoder:
 
 def _word_chunks(text: str) -> list[bytes]:
     # The white space of bytes.split() is a part of what the vocabulary drops; other white space stays in its chunk.
-    return text.encode().split()
+    # The vocabulary is lower-case, so A-Z are lowered here already, and a chunk has one spelling.
+    return text.encode().lower().split()
 
 
 @functools.cache

@@ -239,7 +239,7 @@ def test_components(spark):
 
 # ----------------------------------------------------------------------------- tokens, packing
 
-ODD = ["Hello  world\n\nfoo", "", None, " ", "\n \n a", "don't stop's 12345 x1y", "tab\tsep   nbsp em \x1c fs", "İstanbul ǅ ﬁ é é", "日本語 テスト 😀👍🏽", "<|endoftext|> x <|startoftext|>", "a" * 3000, "  lead", "trail  ", "we've I'll 's", "́a b", "x" + " y" * 40000]
+ODD = ["Hello  world\n\nfoo", "", None, " ", "\n \n a", "don't stop's 12345 x1y", "tab\tsep   nbsp em \x1c fs", "İstanbul ǅ ﬁ é é", "日本語 テスト 😀👍🏽", "<|endoftext|> x <|startoftext|>", "a" * 3000, "  lead", "trail  ", "we've I'll 's", "word, Word. (word) word! word!! .. . a. I, ßa, éa.", "́a b", "x" + " y" * 40000]
 
 
 @pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -252,6 +252,7 @@ def test_cached_ids_equal_the_librarys(name, byte_level, monkeypatch):
     t.encode_special_tokens = True
     for cache in (500_000, 10):
         monkeypatch.setattr(tokens, "CACHE_CHUNKS", cache)
+        monkeypatch.setattr(tokens, "CACHE_NEWER", cache)
         e = tokens.Encoder(public_tokenizers.path(name), byte_level)
         texts = ODD + [prose(3000), "The " + prose(50).upper()] + ODD
         for text, raw in zip(texts, e.documents(texts), strict=True):
