@@ -54,7 +54,7 @@ class Evidence:
 
 
 def _linked_rules() -> list[Evidence]:
-    p = lambda f: F.col(f"facts.linked.{f}")
+    p = lambda f: F.col("_linked")[f]
     rows = [
         ("title", p("name"), 0.99, "$.name"), ("brand", p("brand"), 0.98, "$.brand"), ("category", p("category"), 0.98, "$.category"), ("image_url", p("image"), 0.98, "$.image"),
         ("external_id", p("sku"), 0.99, "$.sku"), ("availability", availability(p("availability")), 0.98, "$.offers.availability"),
@@ -63,62 +63,89 @@ def _linked_rules() -> list[Evidence]:
     return [Evidence(f, v, "json_ld", c, s) for f, v, c, s in rows]
 
 
-#: Site rules by source. A source without an entry has none; an entry is a function of the nodes.
-def _books(nodes: Column) -> list[Evidence]:
-    table = F.filter(nodes, lambda n: n["path"].rlike(_under("table.table-striped", "tr", "t[hd]")))
+def _with(found: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns added or replaced behind a one-row generator, which the optimizer doesn't fold into later steps."""
+    return found.select(*(c for c in found.columns if c not in columns), F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
+# Each step below names its intermediate values as columns, so later steps refer to them instead of
+# repeating their expressions: plans stay small, and nothing is computed twice.
+
+
+def _books_columns(found: DataFrame) -> DataFrame:
+    """Table cells by heading, and the site's elements."""
+    nodes = F.col("_nodes")
+    is_books = F.col("_source") == "books_to_scrape"
+    found = _with(found, {"_cells": F.when(is_books, F.filter(nodes, lambda n: n["tag"].isin("th", "td") & n["path"].rlike(_under("table.table-striped", "tr", "t[hd]"))))})
+    heads = F.filter("_cells", lambda n: n["tag"] == "th")
+    found = _with(found, {"_heads": heads, "_data": F.filter("_cells", lambda n: n["tag"] == "td")})
 
     def cell(name: str) -> Column:
         # The last row of that heading counts, as in a dictionary.
-        head = F.try_element_at(F.filter(table, lambda n: (n["tag"] == "th") & (n["text"] == name)), F.lit(-1))
-        return _pick(table, lambda n: (n["tag"] == "td") & (n["row"] == head["row"]))["text"]
+        row = F.try_element_at(F.filter("_heads", lambda n: n["text"] == name), F.lit(-1))["row"]
+        return _pick(F.col("_data"), lambda n: n["row"] == row)["text"]
+
+    of = lambda *steps: F.when(is_books, _pick(nodes, lambda n: n["path"].rlike(_under(*steps))))
+    found = _with(found, {
+        "_upc": cell("UPC"), "_kind": cell("Product Type"), "_in_stock": cell("Availability"), "_taxed": cell("Price (incl. tax)"), "_main": of(".product_main", "h1")["text"],
+        "_stock_line": of(".availability")["text"], "_price_line": of(".price_color")["text"], "_shown": _attr(of(".item.active", "img"), "src"),
+    })
+    return _with(found, {"_site_price": F.coalesce(_full(F.col("_taxed")), F.col("_price_line")), "_site_stock": F.coalesce(_full(F.col("_in_stock")), F.col("_stock_line"))})
 
-    of_class = lambda c: _pick(nodes, lambda n: n["path"].rlike(_under(f".{c}")))["text"]
-    price = F.coalesce(_full(cell("Price (incl. tax)")), of_class("price_color"))
+
+def _books_rules() -> list[Evidence]:
+    c, price = F.col, F.col("_site_price")
     rows = [
-        ("title", _pick(nodes, lambda n: n["path"].rlike(_under(".product_main", "h1")))["text"], 0.97, ".product_main h1"),
-        ("external_id", cell("UPC"), 0.99, "table:UPC"), ("category", cell("Product Type"), 0.96, "table:Product Type"),
-        ("availability", F.coalesce(_full(cell("Availability")), of_class("availability")), 0.96, "table:Availability"),
-        ("price_amount", price_amount(price), 0.98, "table:Price (incl. tax)"), ("currency", price_currency(price, F.lit(None).cast("string")), 0.98, "table:Price (incl. tax)"),
-        ("image_url", _attr(_pick(nodes, lambda n: n["path"].rlike(_under(".item.active", "img"))), "src"), 0.95, ".item.active img"),
+        ("title", c("_main"), 0.97, ".product_main h1"), ("external_id", c("_upc"), 0.99, "table:UPC"), ("category", c("_kind"), 0.96, "table:Product Type"),
+        ("availability", c("_site_stock"), 0.96, "table:Availability"), ("price_amount", price_amount(price), 0.98, "table:Price (incl. tax)"),
+        ("currency", price_currency(price, F.lit(None).cast("string")), 0.98, "table:Price (incl. tax)"), ("image_url", c("_shown"), 0.95, ".item.active img"),
     ]
-    return [Evidence(f, v, "source_selector", c, s) for f, v, c, s in rows]
+    return [Evidence(f, v, "source_selector", k, s) for f, v, k, s in rows]
 
 
-SITES = {"books_to_scrape": _books}
+#: Site rules by source: what adds their columns, and the rules over these. A source without an entry has none.
+SITES = {"books_to_scrape": (_books_columns, _books_rules)}
 
 
-def _semantic_rules(nodes: Column, have: Column, url: Column) -> list[Evidence]:
+def _semantic_columns(found: DataFrame) -> DataFrame:
+    nodes = F.col("_nodes")
+    meta = lambda p: _pick(nodes, lambda n: (n["tag"] == "meta") & _has(n, "property", p))
+    found = _with(found, {
+        "_og": meta("og:title"), "_h1": _pick(nodes, lambda n: n["tag"] == "h1")["text"], "_og_image": _attr(meta("og:image"), "content"),
+        "_price": _pick(nodes, lambda n: _has(n, "itemprop", "price") | ((n["tag"] == "meta") & _has(n, "property", "product:price:amount")) | _has(n, "data-price")),
+        "_money": _attr(_pick(nodes, lambda n: _has(n, "itemprop", "priceCurrency") | ((n["tag"] == "meta") & _has(n, "property", "product:price:currency"))), "content"),
+        "_stock": _pick(nodes, lambda n: _has(n, "itemprop", "availability") | _has(n, "data-availability")),
+        "_canonical": _attr(_pick(nodes, lambda n: (n["tag"] == "link") & _has(n, "rel", "canonical")), "href"),
+    })
+    first = lambda node, *names: F.coalesce(*(_full(_attr(node, n)) for n in names), node["text"])
+    return _with(found, {
+        "_amount": first(F.col("_price"), "content", "data-price"), "_state": first(F.col("_stock"), "content", "href", "data-availability"),
+        "_title": F.when(F.col("_og").isNotNull(), _attr(F.col("_og"), "content")).otherwise(F.col("_h1")),
+    })
+
+
+def _semantic_rules(have: Column) -> list[Evidence]:
     """Fallbacks for fields still absent; the currency is looked for only if the price is absent."""
     absent = lambda f, v: F.when(~F.map_contains_key(have, F.lit(f)), v)
-    meta = lambda p: _pick(nodes, lambda n: (n["tag"] == "meta") & _has(n, "property", p))
-    og = meta("og:title")
-    title = F.when(og.isNotNull(), _attr(og, "content")).otherwise(_pick(nodes, lambda n: n["tag"] == "h1")["text"])
-    price = _pick(nodes, lambda n: _has(n, "itemprop", "price") | ((n["tag"] == "meta") & _has(n, "property", "product:price:amount")) | _has(n, "data-price"))
-    amount = F.coalesce(_full(_attr(price, "content")), _full(_attr(price, "data-price")), price["text"])
-    money = _attr(_pick(nodes, lambda n: _has(n, "itemprop", "priceCurrency") | ((n["tag"] == "meta") & _has(n, "property", "product:price:currency"))), "content")
-    stock = _pick(nodes, lambda n: _has(n, "itemprop", "availability") | _has(n, "data-availability"))
-    state = F.coalesce(_full(_attr(stock, "content")), _full(_attr(stock, "href")), _full(_attr(stock, "data-availability")), stock["text"])
+    c = F.col
     rows = [
-        ("title", absent("title", title), 0.86, "og:title|h1"), ("image_url", absent("image_url", _attr(meta("og:image"), "content")), 0.85, "og:image"),
-        ("price_amount", absent("price_amount", price_amount(amount)), 0.84, "itemprop=price"), ("currency", absent("price_amount", price_currency(amount, money)), 0.84, "itemprop=priceCurrency"),
-        ("availability", absent("availability", availability(state)), 0.82, "itemprop=availability"),
+        ("title", absent("title", c("_title")), 0.86, "og:title|h1"), ("image_url", absent("image_url", c("_og_image")), 0.85, "og:image"),
+        ("price_amount", absent("price_amount", price_amount(c("_amount"))), 0.84, "itemprop=price"), ("currency", absent("price_amount", price_currency(c("_amount"), c("_money"))), 0.84, "itemprop=priceCurrency"),
+        ("availability", absent("availability", availability(c("_state"))), 0.82, "itemprop=availability"),
     ]
-    out = [Evidence(f, v, "semantic_fallback", c, s) for f, v, c, s in rows]
-    return [*out, Evidence("external_id", absent("external_id", url), "derived", 0.8, "canonical_url")]
+    out = [Evidence(f, v, "semantic_fallback", k, s) for f, v, k, s in rows]
+    return [*out, Evidence("external_id", absent("external_id", c("_url")), "derived", 0.8, "canonical_url")]
 
 
-def _as_map(rules: list[Evidence], when: Column | None = None) -> Column:
-    """A map of the fields whose value is there; null and empty values leave what was there before."""
+def _lay(found: DataFrame, rules: list[Evidence], when: Column | None = None) -> DataFrame:
+    """Evidence of some rules laid over ``_e``: null and empty values leave what was there, others replace it."""
     entries = [F.struct(F.lit(r.field).alias("key"), F.struct(r.value.alias("value"), F.lit(r.method).alias("source"), F.lit(r.confidence).alias("confidence"), F.lit(r.selector).alias("selector")).alias("value")) for r in rules]
-    full = F.filter(F.array(*entries), lambda e: F.coalesce(e["value"]["value"] != "", F.lit(False)))
-    out = F.map_from_entries(full).cast(EVIDENCE)
     none = F.expr(f"CAST(map() AS {EVIDENCE})")
-    return F.coalesce(out if when is None else F.when(when, out), none)
-
-
-def _laid_over(below: Column, above: Column) -> Column:
-    """Two maps of evidence; where both have a field, the one above counts, whatever the session's map settings."""
-    return F.map_concat(F.map_filter(below, lambda k, v: ~F.map_contains_key(above, k)), above)
+    found = _with(found, {"_new": F.array(*entries) if when is None else F.when(when, F.array(*entries))})
+    full = F.filter("_new", lambda e: F.coalesce(e["value"]["value"] != "", F.lit(False)))
+    found = _with(found, {"_new": F.coalesce(F.map_from_entries(full).cast(EVIDENCE), none)})
+    # The one above counts whatever the session's map settings.
+    return _with(found, {"_e": F.map_concat(F.map_filter("_e", lambda k, v: ~F.map_contains_key(F.col("_new"), k)), "_new")})
 
 
 def parse_products(pages: DataFrame, url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
@@ -126,24 +153,26 @@ def parse_products(pages: DataFrame, url: str = "url", html: str = "html", sourc
 
     A page without a title is no product: its product columns are null and its one warning says so.
     """
-    found = pages.withColumn("facts", page_facts(F.col(html)))
-    nodes = F.coalesce(F.col("facts.nodes"), F.array())
-    found = found.withColumn("_e", _as_map(_linked_rules(), F.col("facts.linked").isNotNull()))
-    for name, rules in SITES.items():
-        found = found.withColumn("_e", _laid_over(F.col("_e"), _as_map(rules(nodes), F.col(source) == name)))
-    found = found.withColumn("field_evidence", _laid_over(F.col("_e"), _as_map(_semantic_rules(nodes, F.col("_e"), F.col(url)))))
+    found = pages.withColumns({"_facts": page_facts(F.col(html)), "_url": F.col(url), "_source": F.col(source)})
+    found = _with(found, {"_nodes": F.coalesce(F.col("_facts.nodes"), F.array()), "_linked": F.col("_facts.linked"), "_print": F.col("_facts.fingerprint"), "_e": F.expr(f"CAST(map() AS {EVIDENCE})")})
+    found = _lay(found, _linked_rules(), F.col("_linked").isNotNull())
+    for name, (columns, rules) in SITES.items():
+        found = _lay(columns(found), rules(), F.col("_source") == name)
+    found = _semantic_columns(found)
+    found = _lay(found, _semantic_rules(F.col("_e"))).withColumn("field_evidence", F.col("_e"))
     e = F.col("field_evidence")
-    canonical = _full(_attr(_pick(nodes, lambda n: (n["tag"] == "link") & _has(n, "rel", "canonical")), "href"))
-    found = found.withColumns({"_canonical": canonical, "dom_fingerprint": F.col("facts.fingerprint"), "required_field_coverage": coverage(e), "warnings": warnings(e)})
     value = lambda f: F.try_element_at(e, F.lit(f))["value"]
     titled = F.map_contains_key(e, F.lit("title"))
-    return found.withColumns({
+    found = _with(found, {"_base": F.col("_url"), "_ref": _full(F.col("_canonical")), "_image": F.coalesce(value("image_url"), F.lit(""))})
+    out = found.withColumns({
+        "dom_fingerprint": F.col("_print"), "required_field_coverage": coverage(e), "warnings": warnings(e),
         **{f: F.when(titled, value(f)) for f in ("title", "external_id", "price_amount", "currency", "availability", "brand", "category")},
-        "canonical_url": F.when(titled, F.coalesce(url_join(F.col(url), F.col("_canonical")), F.col(url))),
+        "canonical_url": F.when(titled, F.coalesce(url_join(F.col("_base"), F.col("_ref")), F.col("_base"))),
         # A missing image gives the page's own URL.
-        "image_url": F.when(titled, url_join(F.col(url), F.coalesce(value("image_url"), F.lit("")))),
+        "image_url": F.when(titled, url_join(F.col("_base"), F.col("_image"))),
         "confidence": F.when(titled, confidence(e)),
-    }).drop("facts", "_e", "_canonical")
+    })
+    return out.select(*dict.fromkeys([*pages.columns, *(c for c in out.columns if not c.startswith("_"))]))
 
 
 def discover_links(pages: DataFrame, key: str, url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
