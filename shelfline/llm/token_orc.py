@@ -87,7 +87,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         base.append((part, before))
         before += sums[part]
     bases = spark.createDataFrame(base, "part int, before long")
-    return rows.join(bases, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    # One row for each file is small enough to broadcast, so ids aren't shuffled for the sum.
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:

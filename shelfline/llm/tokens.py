@@ -20,6 +20,8 @@ SLICE = 1 << 20
 
 #: Unicode white space, which Python's own classes extend by four control characters.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: White space beyond single spaces, single line feeds and pairs of these, which is left to the expression below.
+_UNEVEN = re.compile(f"[{WHITE.replace(' ', '').replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]|  | \n|\n |\n\n\n|^\\s|\\s\\Z")
 _BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks after a word that are chunks of their own to both vocabularies.
 _MARKS = {*".,;:!?", *(c.encode() for c in ".,;:!?")}
@@ -36,15 +38,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level, self.known, self.newer = byte_level, {}, []
-        self.chunks = _BYTE_CHUNKS.findall if byte_level else _word_chunks
+        self.chunks = _byte_chunks if byte_level else _word_chunks
         #: By id: does the token begin a chunk (byte level), or end one (word level)?
         size = self.tokenizer.get_vocab_size()
-        edge = (lambda t: t.startswith("Ġ")) if byte_level else (lambda t: t.endswith("</w>"))
+        edge = (lambda t: t.startswith("Ġ") or t == "Ċ") if byte_level else (lambda t: t.endswith("</w>"))
         self.edges = np.array([edge(self.tokenizer.id_to_token(i) or "") for i in range(size)])
 
     def _encode_plain(self, chunks: list) -> list[bytes]:
-        """Ids of chunks of ASCII letters (with one space in front at byte level): one call for all, told apart by edge tokens."""
-        text = "".join(chunks) if self.byte_level else b" ".join(chunks).decode()
+        """Ids of chunks of ASCII letters (each after a space or line feed at byte level): one call for all, told apart by edge tokens."""
+        text = "".join(map(self._text, chunks)) if self.byte_level else b" ".join(chunks).decode()
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.edges[ids])
         cuts = [*at.tolist(), len(ids)] if self.byte_level else [0, *(at + 1).tolist()]
@@ -52,35 +54,36 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]
 
+    def _text(self, key) -> str:
+        if not self.byte_level:
+            return key.decode()
+        return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
     def _learn(self, new: set) -> None:
         """Ids of new chunks. Letters followed by one mark are the ids of the letters, then those of the mark."""
         plain, marked, rest = [], [], []
-        if self.byte_level:
-            is_plain = lambda c: c[0] == " " and c.isascii() and c[1:].isalpha()
-        else:
-            is_plain = lambda c: c.isalpha()  # noqa: E731  (bytes: ASCII letters only)
         for c in sorted(new):
-            if is_plain(c):
+            if _letters(c):
                 plain.append(c)
-            elif c[-1:] in _MARKS and len(c) > 2 and is_plain(c[:-1]):
+            elif c[-1:] in _MARKS and _letters(c[:-1]):
                 marked.append(c)
             else:
                 rest.append(c)
         known = self.known
-        stems = {c[:-1] for c in marked}.difference(known, plain)
-        tails = {c[-1:] for c in marked}.difference(known, rest)
-        rest += sorted(tails)
-        plain += sorted(stems)
+        plain += sorted({c[:-1] for c in marked}.difference(known, plain))
         if plain:
             known.update(zip(plain, self._encode_plain(plain)))
-        texts = rest if self.byte_level else [c.decode() for c in rest]
-        for c, got in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for c, got in zip(rest, self.tokenizer.encode_batch_fast([self._text(c) for c in rest], add_special_tokens=False)):
             known[c] = np.array(got.ids, "<u4").tobytes()
         for c in marked:
-            known[c] = known[c[:-1]] + known[c[-1:]]
+            known[c] = known[c[:-1]] + self._mark(c[-1:])
         if len(known) > CACHE_CHUNKS:
             self.newer += [*plain, *rest, *marked]
 
+    @functools.cache
+    def _mark(self, mark) -> bytes:
+        return np.array(self.tokenizer.encode(mark if self.byte_level else mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def _forget(self) -> None:
         """Past CACHE_CHUNKS the first chunks met, which the frequent ones are among, stay, and newer ones go in turns."""
         if len(self.newer) > CACHE_NEWER:
@@ -92,14 +95,15 @@ class Encoder:
         """Ids of some texts, handled together: for a megabyte or so, cut longer texts first."""
         self._forget()
         parts = [self.chunks(t) for t in texts]
-        new: set = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self.known)
+        found = [list(map(self.known.get, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {p[i] for p, gap in zip(parts, gaps) for i in gap}
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for p, ids, gap in zip(parts, found, gaps):
+            for i in gap:
+                ids[i] = self.known[p[i]]
+        return [b"".join(ids) for ids in found]
 
     def _slices(self, text: str):
         at = 0
@@ -130,6 +134,20 @@ class Encoder:
         yield from self.encode(held)
 
 
+def _letters(key) -> bool:
+    """ASCII letters alone, a line feed in front aside."""
+    return key.isascii() and (key.isalpha() or (key[:1] == "\n" and key[1:].isalpha()))
+
+
+def _byte_chunks(text: str) -> list[str]:
+    """Chunks as keys: a word stands for itself after a space, one after a line feed or NUL for itself without one."""
+    if not _UNEVEN.search(text) and "\0" not in text:
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out
+    return ["\0" + c if c[0] != " " or len(c) == 1 or "\0" in c else c[1:] for c in _BYTE_CHUNKS.findall(text)]
+
+
 def _word_chunks(text: str) -> list[bytes]:
     # The white space of bytes.split() is a part of what the vocabulary drops; other white space stays in its chunk.
     # The vocabulary is lower-case, so A-Z are lowered here already, and a chunk has one spelling.
