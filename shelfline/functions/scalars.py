@@ -51,7 +51,8 @@ def retry_after(value: Column, as_of: Column) -> Column:
     seconds = value.try_cast("double")
     stamp = F.try_to_timestamp(F.substr(value, F.lit(6)), F.lit("dd MMM yyyy HH:mm:ss z"))
     late = (F.unix_micros(stamp) - F.unix_micros(as_of)) / 1e6
-    return F.when(value.isNull() | (value == ""), None).otherwise(F.coalesce(F.greatest(seconds, F.lit(0.0)), F.greatest(late, F.lit(0.0))))
+    wait = F.coalesce(seconds, late)
+    return F.when(value.isNull() | (value == ""), None).otherwise(F.greatest(wait, F.when(wait.isNotNull(), 0.0)))
 
 
 def backoff(attempt: Column, after: Column, base: float = 0.25, cap: float = 30.0, jitter: float = 0.2, seed: int | None = None) -> Column:

@@ -148,7 +148,7 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT id, target_id, {_ISO.format('created_at')} AS created_at FROM attempts_v WHERE event_type <> 'purchase' AND created_at + to_seconds(k * 60) <= TIMESTAMP '{AS_OF}' ORDER BY attempts_v.created_at, id LIMIT 100", "attempts")
 def due_outbox(spark: SparkSession, sf: str) -> DataFrame:
     a = V.attempts(spark, sf)
-    box = a.withColumn("published_at", F.when(F.col("event_type") == "purchase", F.col("created_at"))).withColumn("available_at", F.timestamp_micros(F.unix_micros("created_at") + F.col("k") * 60_000_000))
+    box = a.withColumn("published_at", F.when(F.col("event_type") == "purchase", F.col("created_at"))).withColumn("available_at", F.timestamp_micros(F.unix_micros("created_at") + F.col("k").cast("long") * 60_000_000))
     return reads.due_outbox(box, F.lit(AS_OF).cast("timestamp")).select("id", "target_id", V.iso("created_at").alias("created_at"))
 
 
@@ -389,17 +389,17 @@ def dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return _prints(spark, sf)
 
 
-@query(f", {_DRIFT} SELECT seq, source, prev AS previous_fingerprint, dom_fingerprint AS new_fingerprint, coverage, confidence FROM drifted WHERE drift".removeprefix(", "), "captures")
+@query(f"WITH {_DRIFT} SELECT seq, source, prev AS previous_fingerprint, dom_fingerprint AS new_fingerprint, coverage, confidence FROM drifted WHERE drift", "captures")
 def drift_events(spark: SparkSession, sf: str) -> DataFrame:
     return quality.drift(_captures(spark, sf)).filter("drift").select("seq", "source", "previous_fingerprint", F.col("dom_fingerprint").alias("new_fingerprint"), "coverage", "confidence")
 
 
-@query(f"{_DRIFT} SELECT source, arg_max(dom_fingerprint, seq) FILTER (rn = 1 OR NOT bad) AS dom_fingerprint, max(coverage) AS baseline_coverage, count(*) AS observed_count FROM drifted GROUP BY 1", "captures")
+@query(f"WITH {_DRIFT} SELECT source, arg_max(dom_fingerprint, seq) FILTER (rn = 1 OR NOT bad) AS dom_fingerprint, max(coverage) AS baseline_coverage, count(*) AS observed_count FROM drifted GROUP BY 1", "captures")
 def source_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return quality.source_profiles(_captures(spark, sf))
 
 
-@query(f"{_DRIFT} SELECT seq, CASE WHEN drift THEN 'schema_drift' WHEN confidence < 0.9 THEN 'low_confidence' WHEN coverage < 1 THEN 'incomplete_required_fields' END AS reason FROM drifted", "captures")
+@query(f"WITH {_DRIFT} SELECT seq, CASE WHEN drift THEN 'schema_drift' WHEN confidence < 0.9 THEN 'low_confidence' WHEN coverage < 1 THEN 'incomplete_required_fields' END AS reason FROM drifted", "captures")
 def review_gate(spark: SparkSession, sf: str) -> DataFrame:
     return quality.drift(_captures(spark, sf)).select("seq", quality.review_reason(F.col("drift"), F.col("confidence"), F.col("coverage")).alias("reason"))
 

@@ -105,4 +105,5 @@ SQL = {
 
 def sql(query: str, *names: str) -> str:
     """A query with the views that it names in front."""
-    return "WITH " + ", ".join(f"{n}_v AS ({SQL[n]})" for n in names) + " " + query
+    own = query.removeprefix("WITH ")
+    return "WITH " + ", ".join(f"{n}_v AS ({SQL[n]})" for n in names) + (", " if own != query else " ") + own

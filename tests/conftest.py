@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from shelfline.session import local_session
 
-    session = local_session(4, "4g")
+    session = local_session(2, "3g")
     yield session
     session.stop()
