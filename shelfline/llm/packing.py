@@ -3,9 +3,9 @@
 Documents become token sequences, cut into pieces of CAPACITY only where longer. Pieces are
 dealt at random to partitions, each packed by best-fit decreasing. Dual feasible functions
 give a lower bound on each partition's bins; where the bins equal it, the partition is
-optimal and done. Partitions with a gap close their bins that are all but full and give the
-other documents to a common pool, which is dealt anew to fewer partitions and packed again,
-until nothing has a gap or ROUNDS are over.
+optimal and its bins are closed, but for the emptiest. Partitions with a gap close their bins
+that are all but full. The other documents make a common pool, which is dealt anew to fewer
+partitions and packed again, until nothing is left over or ROUNDS are over.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .tokens import encoder
 CAPACITY, END_ID = 4096, 1
 #: Pieces dealt to a partition, and rounds of exchange.
 PIECES_EACH, ROUNDS = 4000, 4
-#: Free tokens up to which a bin of a partition with a gap is closed.
-SLACK = 8
+#: Free tokens up to which a bin of a partition with a gap is closed, and the share (one in ROOM) up to which one of an
+#: optimal partition is: what its emptiest bins hold may still fit beside documents of other partitions.
+SLACK, ROOM = 8, 8
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,7 +104,7 @@ def _pack(last: bool, capacity: int):
         lengths = table.column("length").to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths.tolist(), capacity)
         bound = lower_bound(lengths, capacity)
-        closed = np.array(left) <= (capacity if last or len(left) == bound else SLACK)
+        closed = np.array(left) <= (capacity if last else capacity // ROOM if len(left) == bound else SLACK)
         n = len(lengths)
         for name, x in (("bin", bins), ("offset", offsets), ("done", closed[np.array(bins, np.int64)]), ("bins", [len(left)] * n), ("bound", [bound] * n)):
             table = table.append_column(name, pa.array(x))
