@@ -15,7 +15,9 @@ import heapq
 import numpy as np
 
 CLASS = 64
-HIDDEN, STEPS, LANES = 16, 32, 512
+HIDDEN, STEPS, LANES = 16, 32, 256
+#: Symbols over which training carries the state; a longer text goes on from a fresh one. Scoring carries it over whole texts.
+SEGMENT = 1024
 #: Logits are held below this, so that no exponential overflows.
 TOP = np.float32(80)
 
@@ -182,7 +184,8 @@ class Gru:
         """One pass over texts by Adam; ``state`` keeps its moments between calls."""
         if not texts:
             return
-        y, of, start = lanes_of(texts)
+        # Lanes are as long as the longest piece, so that few long texts don't leave them all but empty.
+        y, of, start = lanes_of([t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)])
         h, n3 = np.zeros((y.shape[1], HIDDEN), np.float32), HIDDEN
         for at, n, x in self._windows(y, of, start):
             cache: list = []
