@@ -28,6 +28,8 @@ from .gru import Gru
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, TAILS = 2048, 32
+#: Further words, by frequency, whose counts tasks hold, so that only rarer ones meet their counts in a join.
+HELD = 60_000
 #: Shares of the training texts, in sixteenths, that the rounds go over, and their rates.
 ROUNDS = ((0, 2, 0.02), (2, 7, 0.012), (7, 16, 0.006))
 #: Tokens that a task gathers for one pass over lanes; distinct words that it counts before it hands them on.
@@ -91,13 +93,19 @@ class Symbols(dict):
 class Model:
     """The head words with their counts, what tail classes weigh, totals, and the network's weights."""
 
-    def __init__(self, head: list[tuple[str, int]], tails: dict[int, tuple[int, int]], tokens: int, distinct: int):
+    def __init__(self, head: list[tuple[str, int]], tails: dict[int, tuple[int, int]], tokens: int, distinct: int, held: list[tuple[str, int]] = ()):
         self.symbols = Symbols([w.encode("utf-8", "surrogatepass") for w, _ in head])
         self.counts = np.array([n for _, n in head], np.float64)
         self.mass = np.array([tails.get(k, (0, 0))[0] for k in range(TAILS)], np.float64)
         self.once = np.array([tails.get(k, (0, 0))[1] for k in range(TAILS)], np.float64)
         self.tokens, self.distinct = tokens, distinct
         self.net = Gru(self.counts, self.mass + self.once)
+        #: Of further frequent words, the logarithms for base_score and within their tail class.
+        weighs = self.mass + self.once + 1
+        self.held = {}
+        for w, n in held:
+            b = w.encode("utf-8", "surrogatepass")
+            self.held[b] = (math.log10(n + 1), math.log10(n / weighs[tail_of(b)]))
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -108,12 +116,13 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def start_model(counts: DataFrame) -> Model:
     totals = counts.agg(F.sum("n"), F.count("*")).first()
-    head = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD - 1).select("word", "n").collect()
+    often = [tuple(r) for r in counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD - 1 + HELD).select("word", "n").collect()]
+    head, held = often[: HEAD - 1], often[HEAD - 1 :]
     end = counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-    head = [(END, end), *((r["word"], r["n"]) for r in head)]
+    head = [(END, end), *head]
     names = counts.sparkSession.createDataFrame([(w,) for w, _ in head], "word string")
     rest = counts.join(F.broadcast(names), "word", "left_anti").groupBy("tail").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"))
-    return Model(head, {r["tail"]: (r["n"], r["once"]) for r in rest.collect()}, totals[0] or 0, totals[1])
+    return Model(head, {r["tail"]: (r["n"], r["once"]) for r in rest.collect()}, totals[0] or 0, totals[1], held)
 
 
 def train(model: Model, texts: DataFrame) -> Model:
@@ -164,7 +173,7 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"task": table.column("task").slice(0, 1), "block": table.column("block").slice(0, 1), "weight": pa.array([w.sum()]), "values": pa.array([mean], pa.list_(pa.float32()))})
 
 
-SCORED = "doc_id long, n_tokens long, head_base double, network double, tail_words array<string>, tail_counts array<int>"
+SCORED = "doc_id long, n_tokens long, head_base double, network double, held_within double, tail_words array<string>, tail_counts array<int>"
 
 
 def _score(shared):
@@ -174,12 +183,22 @@ def _score(shared):
         n_head = len(m.counts)
 
         def rows(held: list, net: np.ndarray) -> pa.RecordBatch:
-            tails = [Counter(c.decode("utf-8", "surrogatepass").split(" ")) if c else {} for _, _, c in held]
-            base = [float(log_head[s].sum()) for _, s, _ in held]
+            tails, base, within = [], [], []
+            for _, s, joined in held:
+                a, b, rest = float(log_head[s].sum()), 0.0, []
+                for w in joined.split(b" ") if joined else ():
+                    known = m.held.get(w)
+                    if known is None:
+                        rest.append(w)
+                    else:
+                        a, b = a + known[0], b + known[1]
+                tails.append(Counter(b" ".join(rest).decode("utf-8", "surrogatepass").split(" ")) if rest else {})
+                base.append(a)
+                within.append(b)
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(s) for _, s, _ in held], pa.int64()), pa.array(base), pa.array(net / math.log(10)),
+                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(s) for _, s, _ in held], pa.int64()), pa.array(base), pa.array(net / math.log(10)), pa.array(within),
                  pa.array([list(c) for c in tails], pa.list_(pa.string())), pa.array([list(c.values()) for c in tails], pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "head_base", "network", "tail_words", "tail_counts"],
+                names=["doc_id", "n_tokens", "head_base", "network", "held_within", "tail_words", "tail_counts"],
             )
 
         def batches_of(held: list) -> Iterator[pa.RecordBatch]:
@@ -231,7 +250,7 @@ def lm_score(docs: DataFrame, train_rows: DataFrame) -> DataFrame:
         "doc_id", "n_tokens", (F.col("n_tokens") - end_known - F.coalesce("unknown", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.tokens + model.distinct + 1)).alias("base_score"),
-        (F.col("network") + F.coalesce("within", F.lit(0.0))).alias("score"),
+        (F.col("network") + F.col("held_within") + F.coalesce("within", F.lit(0.0))).alias("score"),
     )
 
 
