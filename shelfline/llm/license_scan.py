@@ -73,11 +73,19 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 _MULTIPLY = np.random.default_rng(7).integers(1, 1 << 62, BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_BAND = (np.arange(BANDS, dtype=np.uint32) << np.uint32(16))[:, None]
+
+
 def minhash_values(shingles: np.ndarray) -> np.ndarray:
     """[band, shingle]: values whose least one over a window is its MinHash."""
     return ((shingles[None, :] * _MULTIPLY[:, None]) >> np.uint64(32)).astype(np.uint32)
 
 
+def _steps(c: int) -> tuple[int, int]:
+    """How far apart windows of a class start, and how many such steps one spans."""
+    return max(1, c // 2), 1 if c == 1 else 3
+
+
 class Templates:
     """Templates by class: their shingles, and in each band the MinHash that retrieves them."""
 
@@ -92,6 +100,11 @@ class Templates:
                     self.classes.setdefault(c, []).append(len(self.sets))
                     self.sets.append((name, s))
         self.bands = {c: [self._band(b, members) for b in range(BANDS)] for c, members in self.classes.items()}
+        #: By class: may a value (by its low 16 bits) be one that retrieves, in each band? Spares most look-ups.
+        self.may = {c: np.zeros((BANDS, 1 << 16), bool) for c in self.classes}
+        for c, bands in self.bands.items():
+            for b, (keys, _) in enumerate(bands):
+                self.may[c][b, keys & np.uint32(0xFFFF)] = True
 
     def _band(self, b: int, members: list[int]) -> tuple[np.ndarray, list[list[int]]]:
         found: dict[int, list[int]] = {}
@@ -103,28 +116,34 @@ class Templates:
     def scan(self, shingles: np.ndarray, verify_all: bool = False) -> list[tuple[int, int, int]]:
         """(template, start, end) of windows of shingles that contain a template; with verify_all without retrieval, for tests."""
         out: list[tuple[int, int, int]] = []
-        n = len(shingles)
-        for c, members in self.classes.items():
-            step, span = max(1, c // 2), 3 if c > 1 else 1  # a window is so many steps
-            if c == 2:
-                span = 3
-            if verify_all:
-                out += [x for w in range(-(-n // step)) for x in self._verify(shingles, w * step, min(n, (w + span) * step), members)]
-                continue
-            size = max(step, CHUNK // step * step)
-            for lo in range(0, n, size):
-                part = shingles[lo : lo + size + (span - 1) * step]
-                v = minhash_values(part)
-                least = np.minimum.reduceat(v, np.arange(0, len(part), step), axis=1) if step > 1 else v
-                wide = least.copy()
+        n, order = len(shingles), sorted(self.classes)
+        if verify_all:
+            for c in order:
+                step, span = _steps(c)
+                out += [x for w in range(-(-n // step)) for x in self._verify(shingles, w * step, min(n, (w + span) * step), self.classes[c])]
+            return out
+        longest = max(1, order[-1] // 2) if order else 1
+        size = -(-CHUNK // longest) * longest
+        for lo in range(0, n, size):
+            # Values once for all classes; minima over a class's steps come from those of the class below.
+            least, at_step = minhash_values(shingles[lo : lo + size + 2 * longest]), 1
+            for c in order:
+                step, span = _steps(c)
+                while at_step < step:
+                    if least.shape[1] % 2:
+                        least = np.concatenate([least, np.full((BANDS, 1), 0xFFFFFFFF, np.uint32)], axis=1)
+                    least, at_step = np.minimum(least[:, ::2], least[:, 1::2]), at_step * 2
+                wide = least.copy() if span > 1 else least
                 for k in range(1, span):
                     wide[:, :-k] = np.minimum(wide[:, :-k], least[:, k:])
                 wide = wide[:, : -(-min(size, n - lo) // step)]
                 hits: set[tuple[int, int]] = set()
-                for b, (keys, of) in enumerate(self.bands[c]):
-                    at = np.minimum(np.searchsorted(keys, wide[b]), len(keys) - 1)
-                    for w in np.flatnonzero(keys[at] == wide[b]).tolist():
-                        hits.update((w, t) for t in of[at[w]])
+                maybe = np.flatnonzero(self.may[c].ravel()[(wide & np.uint32(0xFFFF)) | _BAND])
+                for b, w in zip(*(x.tolist() for x in np.divmod(maybe, wide.shape[1]))):
+                    keys, of = self.bands[c][b]
+                    k = int(np.searchsorted(keys, wide[b, w]))
+                    if k < len(keys) and keys[k] == wide[b, w]:
+                        hits.update((w, t) for t in of[k])
                 for w, t in sorted(hits):
                     start = lo + w * step
                     out += self._verify(shingles, start, min(n, start + span * step), [t])
