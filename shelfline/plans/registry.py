@@ -152,9 +152,10 @@ def due_outbox(spark: SparkSession, sf: str) -> DataFrame:
     return reads.due_outbox(box, F.lit(AS_OF).cast("timestamp")).select("id", "target_id", V.iso("created_at").alias("created_at"))
 
 
-@query("SELECT target_id, list(status_code ORDER BY created_at, id) AS request_statuses, list(id ORDER BY created_at, id) AS attempt_ids FROM attempts_v GROUP BY 1", "attempts")
+@query("SELECT target_id, string_agg(status_code::VARCHAR, ',' ORDER BY created_at, id) AS request_statuses, string_agg(id::VARCHAR, ',' ORDER BY created_at, id) AS attempt_ids FROM attempts_v GROUP BY 1", "attempts")
 def attempt_history_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.attempt_arrays(V.attempts(spark, sf))
+    out = reads.attempt_arrays(V.attempts(spark, sf))
+    return out.select("target_id", F.array_join(F.col("request_statuses").cast("array<string>"), ",").alias("request_statuses"), F.array_join(F.col("attempt_ids").cast("array<string>"), ",").alias("attempt_ids"))
 
 
 @query(
