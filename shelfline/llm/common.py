@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
+from pyspark import TaskContext
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -17,11 +27,13 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of its own is made
-    and remembered for the session.
+    Only where a session on one machine names none (tests) a folder of its own is made and
+    remembered for the session; on a cluster the setting is required.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shelfline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -39,6 +51,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hand_back() -> None:
+    """At the end of a task that held much: workers are reused, so what it freed goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which keeps its own counsel
+
+
+_KEPT: dict = {}
+
+
+def begin_task() -> None:
+    """Called first by every task: what a worker keeps for the tasks of one stage goes when a task of another comes."""
+    here = TaskContext.get()
+    if _KEPT and here is not None and _KEPT["stage"] != here.stageId():
+        _KEPT.clear()
+        hand_back()
+
+
+def kept_for_stage(make: Callable[[], T]) -> T:
+    """An object that the tasks of a stage share in a worker, one after another."""
+    begin_task()
+    if not _KEPT:
+        _KEPT.update(stage=TaskContext.get().stageId(), held=make())
+    return _KEPT["held"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

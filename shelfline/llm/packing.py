@@ -120,12 +120,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length are ordered by doc_id, piece and start; rows repeated in full are packed as rows of
     their own. An empty table gives none.
     """
-    spark, todo, done = parts.sparkSession, parts, None
+    todo, done = parts, None
     for r in range(ROUNDS):
         n = todo.count()
         last = r == ROUNDS - 1 or n <= PIECES_EACH
         shards = max(1, -(-n // (PIECES_EACH * (1 << r))))
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(r)), F.lit(shards)).cast("long"))
+        dealt = todo.withColumn("shard", F.floor(F.rand(r) * shards).cast("long"))
         packed = materialise(dealt.groupBy("shard").applyInArrow(_pack(last, capacity), PACKED_SCHEMA), f"packed-{r}")
         # Rounds, shards and bins have ranges of their own in an id.
         numbered = packed.withColumn("sequence_id", F.lit(r << 58) + F.col("shard") * (1 << 20) + F.col("bin"))
@@ -140,6 +140,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """Pack whole documents: one row per piece, ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    A null or empty text is one piece of the end id alone. Rows that repeat an id, or repeat in
+    full, are documents of their own with pieces of their own; null ids stay. An empty table
+    gives none. Columns besides doc_id and text are ignored.
+    """
     return pack(materialise(pieces(docs), "pieces"))
 
 

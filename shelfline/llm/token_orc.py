@@ -43,7 +43,8 @@ def vocabulary_path(name: str) -> str:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode every whole text, null as empty, add the end id, and write ORC files in ascending doc_id order.
 
-    Null ids come first; rows of one id follow each other in the order of their texts.
+    Null ids come first; rows of one id follow each other in the order of their texts' hashes,
+    so that the rows of one id can lie in several files. Repeated rows stay.
     Columns besides doc_id and text are ignored. An empty table writes an empty table.
     """
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
@@ -73,14 +74,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                 yield flush(b.num_rows)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The order goes on past the id, so that very many rows of one id are split as well.
+    dealt = plain.withColumn("_h", F.xxhash64("text")).withColumn("_salt", F.rand(7))
+    dealt = dealt.repartitionByRange("doc_id", "_h", "_salt").sortWithinPartitions("doc_id", "_h", "_salt").select("doc_id", "text")
     dealt.mapInArrow(run, STORED).write.options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of what was written; a filter on doc_id skips stripes by their indexes."""
     rows = spark.read.schema(STORED).orc(path)
-    # One row for each written file: few, and no ids are read for it.
+    # Two numbers for each written file (a million files are some 100 MB on the driver), and no ids are read for it.
     sums = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     base, before = [], 0
     for part in sorted(sums):

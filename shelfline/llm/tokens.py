@@ -1,31 +1,37 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct chunk encoded once a worker.
+"""Token ids of whole texts by the ``tokenizers`` library, each distinct chunk encoded once a worker and stage.
 
 Both public vocabularies split texts at white space before anything else, so a text's ids
-are the ids of its chunks in a row. A worker keeps the ids of chunks that it has met (at
-most CACHE_CHUNKS, then it starts anew) and gives the library only new ones, many at once.
+are the ids of its chunks in a row. A worker keeps the ids of chunks that it has met (at most
+CACHE_CHUNKS and CACHE_NEWER, about 200 bytes each) and gives the library only new ones, all
+in one call. Strings of special tokens in a text are what the library makes of them: slices
+that hold one go to it as they are.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps (about 200 bytes each), and newer ones that it keeps besides until there are so many.
-CACHE_CHUNKS, CACHE_NEWER = 800_000, 200_000
+from .common import kept_for_stage
+
+#: Chunks whose ids a worker keeps, and newer ones that it keeps besides until there are so many.
+CACHE_CHUNKS, CACHE_NEWER = 250_000, 50_000
 #: Characters of texts handled at once.
 SLICE = 1 << 20
 
 #: Unicode white space, which Python's own classes extend by four control characters.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: White space beyond single spaces, single line feeds and pairs of these, which is left to the expression below.
-_UNEVEN = re.compile(f"[{WHITE.replace(' ', '').replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]|  | \n|\n |\n\n\n|^\\s|\\s\\Z")
+_RARE_ASCII = [c for c in WHITE if c.isascii() and c not in " \n"]
+_RARE = [c for c in WHITE if c not in " \n"]
+_UNEVEN = ("  ", " \n", "\n ", "\n\n\n")
 _BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Marks after a word that are chunks of their own to both vocabularies.
-_MARKS = {*".,;:!?", *(c.encode() for c in ".,;:!?")}
 _CUT = re.compile(f"[^{WHITE}] [^{WHITE}]")
+#: Stands between chunks that the word vocabulary encodes in one call; it has a token of its own.
+_BAR = b"\x01"
 
 
 class Encoder:
@@ -36,53 +42,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.byte_level, self.known, self.newer = byte_level, {}, []
         self.chunks = _byte_chunks if byte_level else _word_chunks
-        #: By id: does the token begin a chunk (byte level), or end one (word level)?
-        size = self.tokenizer.get_vocab_size()
-        edge = (lambda t: t.startswith("Ġ") or t == "Ċ") if byte_level else (lambda t: t.endswith("</w>"))
-        self.edges = np.array([edge(self.tokenizer.id_to_token(i) or "") for i in range(size)])
-
-    def _encode_plain(self, chunks: list) -> list[bytes]:
-        """Ids of chunks of ASCII letters (each after a space or line feed at byte level): one call for all, told apart by edge tokens."""
-        text = "".join(map(self._text, chunks)) if self.byte_level else b" ".join(chunks).decode()
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.edges[ids])
-        cuts = [*at.tolist(), len(ids)] if self.byte_level else [0, *(at + 1).tolist()]
-        assert len(cuts) == len(chunks) + 1
-        raw = ids.tobytes()
-        return [raw[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]
-
-    def _text(self, key) -> str:
-        if not self.byte_level:
-            return key.decode()
-        return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)))
+        self.marks = {s[:2] for s in specials}
+        if byte_level:
+            #: By id: does the token begin a chunk?
+            self.edges = np.array([(self.tokenizer.id_to_token(i) or "").startswith(("Ġ", "Ċ")) for i in range(self.tokenizer.get_vocab_size())])
+        else:
+            (self.bar,) = self._ids(_BAR.decode())
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, new: set) -> None:
-        """Ids of new chunks. Letters followed by one mark are the ids of the letters, then those of the mark."""
-        plain, marked, rest = [], [], []
-        for c in sorted(new):
-            if _letters(c):
-                plain.append(c)
-            elif c[-1:] in _MARKS and _letters(c[:-1]):
-                marked.append(c)
-            else:
-                rest.append(c)
+        """Ids of new chunks, in one call for all but odd ones, whose ids could not be told from their neighbours'."""
         known = self.known
-        plain += sorted({c[:-1] for c in marked}.difference(known, plain))
-        if plain:
-            known.update(zip(plain, self._encode_plain(plain)))
-        for c, got in zip(rest, self.tokenizer.encode_batch_fast([self._text(c) for c in rest], add_special_tokens=False)):
-            known[c] = np.array(got.ids, "<u4").tobytes()
-        for c in marked:
-            known[c] = known[c[:-1]] + self._mark(c[-1:])
+        if self.byte_level:
+            odd = [c for c in new if c[:1] == "\0" or c == "\n" or c == ""]
+            plain = list(new.difference(odd)) if odd else list(new)
+            ids = self._ids("".join([c if c[0] == "\n" else " " + c for c in plain]))
+            cuts = [*np.flatnonzero(self.edges[ids]).tolist(), len(ids)]
+            ends = cuts[1:]
+        else:
+            odd = [c for c in new if _BAR in c]
+            plain = list(new.difference(odd)) if odd else list(new)
+            ids = self._ids((b" " + _BAR + b" ").join([*plain, b""]).decode())
+            ends = np.flatnonzero(ids == self.bar).tolist()
+            cuts = [0, *(e + 1 for e in ends)]
+        if len(cuts) != len(plain) + 1:
+            raise AssertionError("chunks encoded together came apart otherwise")
+        raw = ids.tobytes()
+        known.update((c, raw[4 * x : 4 * y]) for c, x, y in zip(plain, cuts, ends))
+        for c in odd:
+            known[c] = self._ids(c[1:] if c[:1] == "\0" else c if self.byte_level else c.decode()).tobytes()
         if len(known) > CACHE_CHUNKS:
-            self.newer += [*plain, *rest, *marked]
-
-    @functools.cache
-    def _mark(self, mark) -> bytes:
-        return np.array(self.tokenizer.encode(mark if self.byte_level else mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.newer += [*plain, *odd]
 
     def _forget(self) -> None:
         """Past CACHE_CHUNKS the first chunks met, which the frequent ones are among, stay, and newer ones go in turns."""
@@ -105,7 +101,7 @@ class Encoder:
                 ids[i] = self.known[p[i]]
         return [b"".join(ids) for ids in found]
 
-    def _slices(self, text: str):
+    def _slices(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > SLICE:
             cut = next(_CUT.finditer(text, at + SLICE), None)
@@ -115,15 +111,18 @@ class Encoder:
             at = cut.start() + 1
         yield text[at:]
 
-    def documents(self, texts: list[str | None]):
+    def _plain(self, text: str) -> bool:
+        return not any(m in text for m in self.marks) or not self.special.search(text)
+
+    def documents(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each whole text, null as the empty text."""
         held: list[str] = []
         size = 0
         for t in texts:
             t = t or ""
-            if len(t) > SLICE:
+            if len(t) > SLICE or not self._plain(t):
                 yield from self.encode(held)
-                yield b"".join(self.encode([s])[0] for s in self._slices(t))
+                yield b"".join(self.encode([s])[0] if self._plain(s) else self._ids(s).tobytes() for s in self._slices(t))
                 held, size = [], 0
                 continue
             held.append(t)
@@ -134,18 +133,15 @@ class Encoder:
         yield from self.encode(held)
 
 
-def _letters(key) -> bool:
-    """ASCII letters alone, a line feed in front aside."""
-    return key.isascii() and (key.isalpha() or (key[:1] == "\n" and key[1:].isalpha()))
-
-
 def _byte_chunks(text: str) -> list[str]:
     """Chunks as keys: a word stands for itself after a space, one after a line feed or NUL for itself without one."""
-    if not _UNEVEN.search(text) and "\0" not in text:
+    even = "\0" not in text and text[:1] not in ("", " ", "\n") and text[-1] not in " \n"
+    if even and not any(c in text for c in _UNEVEN) and not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)):
         out = text.replace("\n", " \n").split(" ")
         out[0] = "\0" + out[0]
         return out
-    return ["\0" + c if c[0] != " " or len(c) == 1 or "\0" in c else c[1:] for c in _BYTE_CHUNKS.findall(text)]
+    # White space chunks keep their leading space: only a word's is left out of its key.
+    return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in WHITE and "\0" not in c else "\0" + c for c in _BYTE_CHUNKS.findall(text)]
 
 
 def _word_chunks(text: str) -> list[bytes]:
@@ -154,6 +150,6 @@ def _word_chunks(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-@functools.cache
 def encoder(path: str, byte_level: bool) -> Encoder:
-    return Encoder(path, byte_level)
+    """The encoder of a stage's tasks: later tasks of the stage in the same worker find the chunks of earlier ones."""
+    return kept_for_stage(lambda: Encoder(path, byte_level))
