@@ -1,19 +1,18 @@
 """Benchmark decontamination by an FM-index over each shard of training text.
 
 Benchmark items give the windows to look for: each 13 consecutive words of an item, or the
-whole item if it has fewer. A task turns documents into word numbers; words that no item
-has are breaks, so only runs of item words that are as long as the shortest window can
-hold one, and these are all that a shard's index has to cover. Over a shard's distinct
-runs a suffix array gives the Burrows-Wheeler transform, kept in a wavelet matrix. All
-windows are searched backward at once, occurrences are located by walking to sampled
-suffix positions, and the spans they cover are merged.
-
-Benchmarks are held in blocks of at most BLOCK_CHARS, so what is broadcast is bounded.
+whole item if it has fewer. A task gathers whole documents into shards of word numbers, one
+number for each distinct word of the shard. A suffix array over all of a shard's words gives
+the Burrows-Wheeler transform, kept in a wavelet matrix. All windows are searched backward
+at once, occurrences are located by walking to sampled suffix positions, and the spans they
+cover are merged. A document longer than a shard goes on in the next one, which starts with
+the last words of the one before, so no window is cut.
+
+Benchmarks are held in blocks of about BLOCK_CHARS, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import begin_task, hand_back, materialise
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Characters of benchmark text looked for at once.
-BLOCK_CHARS = 16_000_000
-#: Word numbers, and documents, that a shard gathers before its index is built.
-SHARD_SYMBOLS, SHARD_DOCS = 1 << 19, 20_000
+#: Characters of benchmark text looked for at once: windows of a block take some 15 MB, 100 MB at most.
+BLOCK_CHARS = 1_000_000
+#: Words that a shard gathers before its index is built.
+SHARD_WORDS = 1 << 19
+#: Documents, of few words each, whose results are held at most.
+SHARD_DOCS = 40_000
 #: Every so many text positions a suffix keeps its position.
 SAMPLE = 8
 #: Bytes of a text that are split into words at once.
@@ -86,37 +87,46 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; the last symbol must be smaller than all others."""
+    """Starts of all suffixes in their order, by prefix doubling over those whose order is still open.
+
+    A suffix that is the beginning of another comes before it.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    k = 1
+    wide = int(text.max(initial=0)) + 2
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(2, np.int64)])
+    key = (padded[:n] * wide + padded[1 : n + 1]) * wide + padded[2:] if wide < 1 << 21 else padded[:n]
+    k = 3 if wide < 1 << 21 else 1
+    order = np.argsort(key)
+    key = key[order]
+    at = np.arange(n)
+    #: By suffix: where in the order those begin that agree with it in the first k symbols; 0 stands for the end of the text.
+    rank = np.zeros(n + 1, np.int64)
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+        first = np.ones(len(at), bool)
+        first[1:] = key[1:] != key[:-1]
+        rank[order[at]] = np.maximum.accumulate(np.where(first, at, 0)) + 1
+        last = np.append(first[1:], True)
+        at = at[~(first & last)]
+        if not len(at):
             return order
+        some = order[at]
+        key = rank[some] * (n + 2) + rank[np.minimum(some + k, n)]
+        into = np.argsort(key)
+        order[at], key = some[into], key[into]
         k *= 2
 
 
 class FMIndex:
-    """Counts and locates sequences of symbols (2 and above) in a text of runs that end in 1."""
-
-    def __init__(self, runs: list[np.ndarray]):
-        one, zero = np.ones(1, np.int64), np.zeros(1, np.int64)
-        self.text = np.concatenate([*(x for r in runs for x in (r.astype(np.int64), one)), zero])
-        sa = suffix_array(self.text)
-        bwt = self.text[sa - 1]
-        self.n = len(self.text)
-        self.matrix = WaveletMatrix(bwt, int(self.text.max()))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text))])
+    """Counts and locates sequences of symbols (1 and above) in a text, whose end is marked by 0."""
+
+    def __init__(self, text: np.ndarray):
+        text = np.append(text, 0)
+        sa = suffix_array(text)
+        self.n = len(text)
+        self.matrix = WaveletMatrix(text[sa - 1], int(text.max()))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
         #: Of rows whose suffix starts at a multiple of SAMPLE, the start; of the others -1.
-        self.sampled = np.where(sa % SAMPLE == 0, sa, -1)
+        self.sampled = np.where(sa % SAMPLE == 0, sa, -1).astype(np.int32)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that start with each pattern (all of one length), as ranges."""
@@ -124,7 +134,7 @@ class FMIndex:
         alive = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 1, -1, -1):
             c = patterns[alive, k]
-            known = c < len(self.first) - 1
+            known = (c > 0) & (c < len(self.first) - 1)
             c = np.where(known, c, 0)
             a = self.first[c] + self.matrix.rank(c, lo[alive])
             b = self.first[c] + self.matrix.rank(c, hi[alive])
@@ -148,104 +158,138 @@ class FMIndex:
 
 
 class Windows:
-    """What is looked for: word numbers, windows by length, and the items of each window."""
+    """What is looked for: words, windows of word numbers by length, and the items of each window, all in flat arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
+        numbers: dict[bytes, int] = {}
+        self.items = sorted({i for i, _ in items})
+        place = {i: k for k, i in enumerate(self.items)}
+        found: dict[int, list] = {}
         for item, text in items:
-            ws = [self.vocab.setdefault(w, len(self.vocab) + 2) for part in words_of(text) for w in part]
-            if ws:
-                for i in range(max(1, len(ws) - WINDOW + 1)):
-                    found.setdefault(tuple(ws[i : i + WINDOW]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list]] = {}
-        for n in sorted({len(w) for w in found}):
-            these = sorted(w for w in found if len(w) == n)
-            self.by_length[n] = (np.array(these, np.int64), [found[w] for w in these])
-        self.shortest = min(self.by_length, default=0)
-
-
-class Shard:
-    """Documents gathered in a task, their distinct runs of item words, and the search over them."""
+            ws = np.array([numbers.setdefault(w, len(numbers)) for part in words_of(text) for w in part], np.int32)
+            if len(ws):
+                n = min(WINDOW, len(ws))
+                rows = np.lib.stride_tricks.sliding_window_view(ws, n)
+                found.setdefault(n, []).append((rows, np.full(len(rows), place[item], np.int32)))
+        self.words = list(numbers)
+        #: By length: distinct windows, and in order of the window the items that have it, from ``cut[w]`` to ``cut[w + 1]``.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in sorted(found.items()):
+            rows, of = np.concatenate([r for r, _ in parts]), np.concatenate([o for _, o in parts])
+            whole = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * n))).ravel()
+            _, at, window = np.unique(whole, return_index=True, return_inverse=True)
+            pairs = np.unique(window.astype(np.int64) * len(self.items) + of)
+            cut = np.searchsorted(pairs // len(self.items), np.arange(len(at) + 1))
+            self.by_length[n] = (rows[at], cut, (pairs % len(self.items)).astype(np.int32))
+        self.longest = max(self.by_length, default=1)
+
+
+class _Numbers(dict):
+    """Numbers of a shard's words, from 2 on; 1 stands between documents."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 2
+        return n
+
+
+class Scan:
+    """Goes over a task's documents shard by shard; ``add`` and ``end`` give the results of those whose last shard was searched."""
 
     def __init__(self, windows: Windows):
-        self.windows, self.docs, self.runs, self.places, self.size = windows, [], {}, [], 0
-
-    def add(self, doc_id, text: str | None) -> None:
-        get, n = self.windows.vocab.get, 0
-        parts = []
-        for ws in words_of(text):
-            parts.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
-            n += len(ws)
-        row = len(self.docs)
-        self.docs.append((doc_id, n))
-        if not self.windows.shortest or n < self.windows.shortest:
+        self.windows, self.docs, self.hits = windows, [], []
+        self._start_shard()
+
+    def _start_shard(self) -> None:
+        self.numbers, self.parts, self.size = _Numbers(), [], 0
+        #: Of each document part in the shard: its document, where it starts, and the word of the document that it starts with.
+        self.places: list[tuple[int, int, int]] = []
+
+    def _append(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.size += len(words)
+
+    def add(self, doc_id, text: str | None) -> Iterator[pa.RecordBatch]:
+        row, n = len(self.docs), 0
+        self.docs.append([doc_id, 0])
+        self.places.append((row, self.size, 0))
+        for words in words_of(text):
+            while words:
+                room = max(1, SHARD_WORDS - self.size)
+                now, words = words[:room], words[room:]
+                self._append(now)
+                n += len(now)
+                if self.size >= SHARD_WORDS:
+                    # The next shard starts with what a window over the cut would need.
+                    kept = (now if len(now) >= self.windows.longest else self._last(now))[1 - self.windows.longest :] if self.windows.longest > 1 else []
+                    self._search()
+                    self._start_shard()
+                    self.places.append((row, 0, n - len(kept)))
+                    self._append(kept)
+        self.docs[row][1] = n
+        self.parts.append(np.ones(1, np.int32))
+        self.size += 1
+        if self.size >= SHARD_WORDS - SHARD_WORDS // 16 or len(self.docs) >= SHARD_DOCS:
+            yield self.end()
+
+    def _last(self, now: list[bytes]) -> list[bytes]:
+        """The last words of the part that a shard ends with, spelled again from their numbers."""
+        mine = np.concatenate(self.parts)[self.places[-1][1] :][-self.windows.longest :]
+        spelled = list(self.numbers)
+        return [spelled[k - 2] for k in mine.tolist()]
+
+    def _search(self) -> None:
+        """Find all windows in the shard and note (document, first word, end, length, window)."""
+        longest = self.windows.by_length
+        if not longest or not self.numbers:
             return
-        known = np.concatenate([[0], *parts, [0]])
-        edge = np.flatnonzero(np.diff(known > 0))
-        starts, ends = edge[::2], edge[1::2]
-        long = ends - starts >= self.windows.shortest
-        for s, e in zip(starts[long].tolist(), ends[long].tolist()):
-            run = known[s + 1 : e + 1].astype(np.int32)
-            key = run.tobytes()
-            at = self.runs.get(key)
-            if at is None:
-                at = self.runs[key] = len(self.runs)
-                self.size += len(run) + 1
-            self.places.append((at, row, s))
-
-    def full(self) -> bool:
-        return self.size >= SHARD_SYMBOLS or len(self.docs) >= SHARD_DOCS
-
-    def results(self) -> pa.RecordBatch:
-        spans, items = [[] for _ in self.docs], [set() for _ in self.docs]
-        for at, (found, of_items) in self._search().items():
-            for row, start in self._places().get(at, ()):
-                spans[row] += [(start + a, start + b) for a, b in found]
-                items[row] |= of_items
-        hit, merged = [], []
-        for mine in spans:
-            mine.sort()
-            out: list = []
-            for a, b in mine:
-                if out and a <= out[-1][1]:
-                    out[-1] = (out[-1][0], max(b, out[-1][1]))
-                else:
-                    out.append((a, b))
-            merged.append([{"start": a, "end": b} for a, b in out])
-            hit.append(sum(b - a for a, b in out))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in self.docs], pa.int64()), pa.array([n for _, n in self.docs], pa.int64()), pa.array(hit, pa.int64()), pa.array(merged, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "spans", "items"],
-        )
-
-    def _places(self) -> dict:
-        if not hasattr(self, "_by_run"):
-            self._by_run: dict[int, list] = {}
-            for at, row, s in self.places:
-                self._by_run.setdefault(at, []).append((row, s))
-        return self._by_run
-
-    def _search(self) -> dict[int, tuple[list, set]]:
-        """By run: merged spans in it, and the items that occur."""
-        if not self.runs:
-            return {}
-        runs = [np.frombuffer(k, np.int32) for k in self.runs]
-        index = FMIndex(runs)
-        starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in runs])])
-        out: dict[int, tuple[list, set]] = {}
-        for n, (patterns, of) in self.windows.by_length.items():
-            lo, hi = index.search(patterns)
+        number = np.array([self.numbers.get(w, 0) for w in self.windows.words], np.int32)
+        index = None
+        starts, rows, bases = (np.array(x, np.int64) for x in zip(*((s, r, b) for r, s, b in self.places)))
+        for n, (patterns, _, _) in longest.items():
+            able = np.flatnonzero((number[patterns] > 0).all(axis=1))
+            if not len(able):
+                continue
+            if index is None:
+                index = FMIndex(np.concatenate(self.parts))
+            lo, hi = index.search(number[patterns[able]])
             some = np.flatnonzero(hi > lo)
             times = (hi - lo)[some]
-            rows = np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            at = index.locate(rows)
-            run = np.searchsorted(starts, at, "right") - 1
-            for r, a, w in zip(run.tolist(), (at - starts[run]).tolist(), np.repeat(some, times).tolist()):
-                spans, items = out.setdefault(r, ([], set()))
-                spans.append((a, a + n))
-                items |= of[w]
+            found = index.locate(np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            part = np.searchsorted(starts, found, "right") - 1
+            first = found - starts[part] + bases[part]
+            self.hits.append(np.stack([rows[part], first, first + n, np.full(len(first), n), np.repeat(able[some], times)]))
+
+    def end(self) -> pa.RecordBatch:
+        """Results of all documents added since the last time."""
+        self._search()
+        n_docs = len(self.docs)
+        hits = np.concatenate(self.hits, axis=1) if self.hits else np.zeros((5, 0), np.int64)
+        row, a, b = hits[:3]
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], b[order]
+        # Spans of one document that meet are one; with documents laid far apart a running maximum of ends tells where one begins.
+        far = int(b.max(initial=0)) + 2
+        reach = np.maximum.accumulate(b + row * far)
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (a + row * far)[1:] > reach[:-1]
+        at = np.flatnonzero(fresh)
+        stop = (reach - row * far)[np.append(at[1:], len(row)) - 1] if len(at) else b[:0]
+        cuts = np.searchsorted(row[at], np.arange(n_docs + 1)).astype(np.int32)
+        kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(a[at]), pa.array(stop)], fields=list(kind)))
+        n_hit = np.bincount(row[at], weights=stop - a[at], minlength=n_docs).astype(np.int64)
+        found: list[set] = [set() for _ in range(n_docs)]
+        known = np.unique(hits[[0, 3, 4]], axis=1)
+        for r, n, w in known.T.tolist():
+            _, cut, of = self.windows.by_length[n]
+            found[r].update(of[cut[w] : cut[w + 1]].tolist())
+        names = self.windows.items
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([d for d, _ in self.docs], pa.int64()), pa.array([n for _, n in self.docs], pa.int64()), pa.array(n_hit), spans, pa.array([[names[k] for k in sorted(x)] for x in found], pa.list_(pa.string()))],
+            names=["doc_id", "n_words", "n_hit", "spans", "items"],
+        )
+        self.docs, self.hits = [], []
+        self._start_shard()
         return out
 
 
@@ -256,15 +300,15 @@ def _scan(docs: DataFrame, items: list) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Windows(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(shared.value)
+        begin_task()
+        scan = Scan(shared.value)
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                shard.add(i, text.as_py())
-                if shard.full():
-                    yield shard.results()
-                    shard = Shard(shared.value)
-        if shard.docs:
-            yield shard.results()
+                yield from scan.add(i, text.as_py())
+        if scan.docs:
+            yield scan.end()
+        del scan
+        hand_back()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -281,11 +325,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    if blocks == 1:
+    if chars <= BLOCK_CHARS:
         return _scan(plain, [tuple(r) for r in wanted.collect()])
     # A benchmark too large for one broadcast: each block against all rows, then spans merged by row.
     rows = materialise(plain.withColumn("row", F.monotonically_increasing_id()), "documents")
+    blocks = -(-2 * chars // BLOCK_CHARS)  # about half full each, as hashing deals items unevenly
     wanted = materialise(wanted.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
     found = None
     for k in range(blocks):
