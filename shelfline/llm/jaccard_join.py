@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .blooms import bloom_of
+from .common import begin_task, hand_back, materialise
 from .components import components
-from .exact_dedup import FILTER_BITS, _filter_of, _positions
 
 #: Hashed counters of the shingle order (1 MB); ranges of the hash whose counts the suffix filter compares.
 COUNTERS, RANGES = 1 << 18, 8
@@ -70,6 +70,7 @@ def _keys(s: np.ndarray) -> tuple[int, int, int]:
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         total, held, size = np.zeros(COUNTERS, np.int64), [], 0
         for b in batches:
             for t in b.column(0):
@@ -109,6 +110,7 @@ SKETCH = "doc_id long, n long, key_a long, key_b long, need long, low array<long
 
 def _sketch(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -121,6 +123,7 @@ def _sketch(k: int, num: int, den: int):
                 out.append((i, n, a, c, least_shared(n, num, den), s[: int(_low(np.array([n]))[0])].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc_id", "n", "key_a", "key_b", "need", "low"])
+        hand_back()
 
     return run
 
@@ -130,6 +133,7 @@ SIGNATURE = "cls long, n long, ranges array<int>, prefix array<long>"
 
 def _sign(k: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         counter = shared.value
         for b in batches:
             out = []
@@ -230,6 +234,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         y = labelled.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("ranges").alias("rb"), F.col("component").alias("cb"))
         if turn == 1:  # a leader of those that the first leader's component hasn't taken in
             apart = labelled.join(mixed.select("g", F.col("l.component").alias("c")).hint("merge"), (F.col("gram") == F.col("g")) & (F.col("component") != F.col("c")))
+            # Written first: the join alone is split where a bucket is large, and the minimum is then taken in two steps.
+            apart = materialise(apart.select("gram", "pos", "cls", "n", "ranges", "component"), "apart")
             mixed = materialise(apart.groupBy("gram").agg(F.min(member).alias("l")).withColumnRenamed("gram", "g"), "second")
         if turn < 2:
             x = mixed.select("g", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"), F.col("l.ranges").alias("ra"), F.col("l.component").alias("ca"))
@@ -259,16 +265,17 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
 
 
 def _texts_of(plain: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``cls, text`` for the classes wanted. A filter of fixed size passes few other rows on to the exact join."""
+    """``cls, text`` for the classes wanted. A filter sized by their number keeps most other texts from the exact join."""
     wanted = materialise(wanted, "wanted")
-    shared = plain.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("doc").alias("h"))))
+    bloom = bloom_of(wanted.select(F.xxhash64("doc").alias("h")))
+    shared = plain.sparkSession.sparkContext.broadcast(bloom) if bloom else None
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        begin_task()
         for b in batches:
-            pos = _positions(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 1)
-            may = np.all((bits[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1, axis=0)
-            texts = b.column(1).filter(pa.array(may))
+            texts = b.column(1)
+            if shared is not None:
+                texts = texts.filter(pa.array(shared.value.may_hold(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
             keys = [_keys(shingles(t.as_py(), k)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([x[2] for x in keys], pa.int64()), texts], names=["x", "y", "z", "text"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, materialise
+from .common import begin_task, bucket, materialise
 
 #: Folds of crc32(doc_id as text); the held-out one is never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -91,6 +91,7 @@ def _trigrams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts by language of a task's texts, summed in the task when many have gathered."""
+    begin_task()
     sums: dict[str, list] = {}
 
     def packed(parts: list) -> list:
@@ -203,6 +204,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for b in batches:
             langs, scores, cover = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cover, pa.float64())], names=["doc_id", "lang_pred", "score", "coverage"])
@@ -219,12 +221,18 @@ LEAST_COVERAGE = 0.25
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows whose text is in a language learned; those without a letter or in no such language go."""
+    """The rows whose text is in a language learned, with all their columns; those without a letter or in no such language go.
+
+    Null and empty texts go. Languages are learned from rows with neither text nor lang null
+    outside the held-out fold; if there are none, no language is known and every row goes.
+    Rows repeat as they come, null ids stay, an empty table gives none.
+    """
     filters = learn(docs.filter(~held_out()).select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
+        begin_task()
         langs, _, cover = shared.value.predict(texts.tolist())
         return pd.Series([lang != UND and c >= LEAST_COVERAGE for lang, c in zip(langs, cover)])
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.llm import chat_format, decontaminate, exact_dedup, gru, html_extract, jaccard_join, language_id, license_scan, lm_score, packing, token_orc, tokens
+from shelfline.llm import blooms, chat_format, decontaminate, exact_dedup, gru, html_extract, jaccard_join, language_id, license_scan, lm_score, packing, token_orc, tokens
 from shelfline.llm.common import shared_dir
 from shelfline.llm.components import components
 from shelfline.llm.dom_blocks import blocks_of
@@ -63,14 +63,43 @@ def test_drop_copies_keeps_columns(spark, docs_of):
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted([3, 1, 7, 10, 11, 12, None], key=repr)
 
 
-def test_digest_index_levels(spark):
-    index = exact_dedup.DigestIndex(spark)
-    index.insert(spark.createDataFrame([(4, "x"), (2, "y")], "id long, digest string"))
-    index.insert(spark.createDataFrame([(3, "x"), (9, "z"), (None, "z")], "id long, digest string"))
-    assert tuple(index.lookup(["x"]).collect()[0]) == ("x", 3, 2)
+def test_digest_index_levels(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN_OUT", 3)
+    index, want = exact_dedup.DigestIndex(spark), {}
+    for r in range(7):
+        rows = [(rng.choice([None, *range(90)]), f"d{rng.randint(0, 30)}") for _ in range(40)] + [(500 + r, f"only-{r}")]
+        for i, d in rows:
+            ids, n = want.get(d, ([], 0))
+            want[d] = (ids + [i] * (i is not None), n + 1)
+        index.insert(spark.createDataFrame(rows, "id long, digest string").repartition(3))
+    # Seven inserts: two merges of three runs of level 0, and one run over.
+    assert [len(x) for x in index.levels] == [1, 2]
+    flat = {d: (min(ids, default=None), n) for d, (ids, n) in want.items()}
+    some = ["d3", "d7", "only-6", "none"]
+    assert {r["digest"]: (r["keep_id"], r["n"]) for r in index.lookup(some).collect()} == {d: flat[d] for d in some if d in flat}
+    index.lookup(["only-6"])
+    assert len(index.asked) < len(index.runs)
     index.compact()
-    assert index.level == 1 and len(index.runs) == 1
-    assert sorted(map(tuple, index.entries().collect())) == [("x", 3, 2), ("y", 2, 1), ("z", 9, 2)]
+    assert [len(x) for x in index.levels] == [0, 1]
+    rows = index.entries().collect()
+    assert sorted((r["n"], r["keep_id"] is None, r["keep_id"] or 0) for r in rows) == sorted((n, i is None, i or 0) for i, n in flat.values())
+    for part in index.entries().rdd.glom().collect():
+        assert [(r["a"], r["b"]) for r in part] == sorted({(r["a"], r["b"]) for r in part})
+
+
+def test_filters_are_sized_by_keys(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    bloom = blooms.bloom_of(keys)
+    there, other = (np.array([r[0] for r in spark.range(*x).select(F.xxhash64("id")).collect()], np.int64).view(np.uint64) for x in ((0, 20_000), (50_000, 70_000)))
+    assert bloom.may_hold(there).all() and bloom.may_hold(other).mean() < 0.05
+    assert bloom.bits > blooms.bloom_of(keys.limit(10)).bits
+    assert blooms.bloom_of(keys, most_bits=1 << 16) is None
+
+
+def test_exact_dedup_without_a_filter(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "bloom_of", lambda hashes: None)
+    got = exact_dedup.exact_dedup(docs_of(TEXTS)).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == brute_dedup(list(enumerate(TEXTS)))
 
 
 # -------------------------------------------------------------------------------- chat format
@@ -152,10 +181,24 @@ def test_decontaminate(spark, monkeypatch, block):
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_scan_in_small_shards(monkeypatch):
+    docs, items = cases()
+    for words, many in ((50, 40_000), (13, 7), (1 << 19, 3)):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        monkeypatch.setattr(decontaminate, "SHARD_DOCS", many)
+        scan = decontaminate.Scan(decontaminate.Windows([(str(i), t) for i, t in items]))
+        out = [b for i, t in docs for b in scan.add(i, t)] + ([scan.end()] if scan.docs else [])
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for b in out for r in b.to_pylist()]
+        assert sorted(got, key=repr) == brute_contamination(docs, items)
+
+
 def test_fm_index_counts_and_locates():
-    runs = [np.array([rng.randint(2, 4) for _ in range(rng.randint(3, 60))]) for _ in range(30)]
-    index = decontaminate.FMIndex(runs)
-    text = index.text.tolist()
+    copied = [rng.randint(2, 4) for _ in range(200)]
+    text = [x for _ in range(30) for x in [rng.randint(2, 4) for _ in range(rng.randint(3, 60))] + [1]] + copied + [1] + copied
+    index = decontaminate.FMIndex(np.array(text, np.int32))
+    ends = text + [0]
+    assert decontaminate.suffix_array(np.array(ends, np.int32)).tolist() == sorted(range(len(ends)), key=lambda k: ends[k:])
+    assert decontaminate.suffix_array(np.array([5, 1 << 22, 5, 0])).tolist() == [3, 2, 0, 1] and decontaminate.suffix_array(np.zeros(1, np.int32)).tolist() == [0]
     for n in (1, 2, 5):
         pats = np.array(list(itertools.product([2, 3, 4, 9], repeat=n))[:200])
         lo, hi = index.search(pats)
@@ -249,7 +292,6 @@ def test_cached_ids_equal_the_librarys(name, byte_level, monkeypatch):
 
     monkeypatch.setattr(tokens, "SLICE", 5000)
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     for cache in (500_000, 10):
         monkeypatch.setattr(tokens, "CACHE_CHUNKS", cache)
         monkeypatch.setattr(tokens, "CACHE_NEWER", cache)
@@ -259,6 +301,21 @@ def test_cached_ids_equal_the_librarys(name, byte_level, monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+PARTS = [" ", "  ", "\n", " \n", "\n\n", "\r\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "a", "B", "word", "don't", "'s", "'ll", "x1", "٣٥", ".", "!!", "é", "e\u0301", "\u0301", "ß", "İ", "ǅ", "ﬁ", "日本", "👍🏽", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\0", "\x01", "a\u0327\u0301", "\u200b", "\ufeff", "_", "the", "###"]
+
+
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_fuzzed_ids_equal_the_librarys(name, byte_level, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "SLICE", 40)
+    t, e = Tokenizer.from_file(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name), byte_level)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(20_000)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in e.documents(texts)] == want
+
+
 def test_token_orc(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -268,13 +325,16 @@ def test_token_orc(spark, tmp_path):
     token_orc.write_tokens(df, str(tmp_path / "t"))
     got = [tuple(r) for r in token_orc.with_crc32(token_orc.read_tokens(spark, str(tmp_path / "t"))).collect()]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     at, want = 0, []
-    for i, text in sorted(zip(ids, ODD), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    for i, text in zip(ids, ODD):
         x = t.encode(text or "", add_special_tokens=False).ids + [2]
-        want.append((i, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
-        at += len(x)
-    assert sorted(got, key=lambda r: r[1]) == want
+        want.append((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+    assert sorted(((i, n, crc) for i, _, n, crc in got), key=repr) == sorted(want, key=repr)
+    by_start = sorted(got, key=lambda r: r[1])
+    assert [i for i, *_ in by_start] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    for _, start, n, _ in by_start:
+        assert start == at
+        at += n
     plan = token_orc.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 4")
     assert plan.count() == 1
     token_orc.write_tokens(df.limit(0), str(tmp_path / "none"))
@@ -315,6 +375,13 @@ def test_pieces(spark, docs_of):
     got = packing.pieces(docs_of(ODD)).collect()
     assert {r["doc_id"] for r in got} == set(range(len(ODD)))
     assert [(r["start"], r["length"]) for r in got if r["doc_id"] == 1] == [(0, 1)]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in got:
+        ids = (t.encode(ODD[r["doc_id"]] or "", add_special_tokens=False).ids + [1])[r["start"] : r["start"] + 4096]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     long = sorted((r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] == len(ODD) - 1)
     assert [x[1] for x in long] == [4096 * k for k in range(len(long))] and all(x[2] == 4096 for x in long[:-1])
 
