@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -44,10 +45,43 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shelfline/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The folders that steps were written to inside a ``with`` block of :func:`scratch`, in order."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_SCRATCHES: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Notes the folders that :func:`materialise` makes, so that whoever knows when they are no longer read can drop them."""
+    mine = Scratch()
+    _SCRATCHES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCRATCHES.remove(mine)
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete written steps that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for f in folders:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()  # shuffle files go with the plans that own them, once the driver's collector has found these
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts the lineage in a way that survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    for s in _SCRATCHES:
+        s.folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

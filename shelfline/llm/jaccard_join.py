@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blooms import bloom_of
-from .common import begin_task, hand_back, materialise
+from .common import begin_task, drop_folders, hand_back, materialise, scratch
 from .components import components
 
-#: Hashed counters of the shingle order (1 MB); ranges of the hash whose counts the suffix filter compares.
-COUNTERS, RANGES = 1 << 18, 8
+#: Hashed counters of the shingle order (1 MB); ranges of the hash whose counts the suffix filter compares, 16 bits each in one long.
+COUNTERS, RANGES = 1 << 18, 4
 #: The share of a set, by smallest hashes, that the pigeonhole filter looks at.
 LOW = 0.2
 #: Pairs of one leader that are verified by one call.
@@ -128,7 +128,7 @@ def _sketch(k: int, num: int, den: int):
     return run
 
 
-SIGNATURE = "cls long, n long, ranges array<int>, prefix array<long>"
+SIGNATURE = "cls long, n int, ranges long, prefix array<long>"
 
 
 def _sign(k: int, num: int, den: int, shared):
@@ -142,14 +142,16 @@ def _sign(k: int, num: int, den: int, shared):
                 n = len(s)
                 order = np.argsort(counter[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[: n - -(-num * n // den) + 1]
                 cuts = np.append(np.searchsorted(s, RANGE_STARTS), n)
-                out.append((i, n, np.diff(cuts).astype(np.int32), s[order].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                # Counts stop at what 16 bits hold, which only makes two sets look more alike to the filter.
+                packed = np.minimum(np.diff(cuts), 0xFFFF).astype("<u2").view("<i8")[0]
+                out.append((i, n, int(packed), s[order].view(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["cls", "n", "ranges", "prefix"])
 
     return run
 
 
-RANGE_STARTS = (np.arange(RANGES, dtype=np.uint64) << np.uint64(61)).astype(np.uint64)
+RANGE_STARTS = (np.arange(RANGES, dtype=np.uint64) << np.uint64(62)).astype(np.uint64)
 
 
 def _needed(num: int, den: int) -> Column:
@@ -161,7 +163,8 @@ def _possible(num: int, den: int) -> Column:
     """Length, positional and suffix filters for a pair with columns na, nb, pa, pb (place of the shared shingle), ra, rb."""
     length = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     positional = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _needed(num, den)
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    count = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF))
+    apart = sum((F.abs(count("ra", k) - count("rb", k)) for k in range(1, RANGES)), F.abs(count("ra", 0) - count("rb", 0)))
     return length & positional & (apart <= F.col("na") + F.col("nb") - 2 * _needed(num, den))
 
 
@@ -192,6 +195,35 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     return members.unionByName(leaders).groupBy("a", "block").applyInArrow(check, "a long, b long")
 
 
+def _meet(shared: DataFrame, joined: DataFrame | None, tried: DataFrame | None, turn: int, num: int, den: int) -> DataFrame | None:
+    """The pairs (lo, hi) that a turn verifies, with the leader ``a`` of each; None if no bucket has two components left."""
+    member = F.struct("pos", "cls", "n", "ranges", "component")
+    labelled = shared.withColumn("component", F.col("cls")) if joined is None else shared.join(joined.hint("merge"), "cls")
+    mixed = labelled.groupBy("gram").agg(F.min(member).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    mixed = materialise(mixed.select(F.col("gram").alias("g"), "l"), "mixed")
+    if mixed.isEmpty():
+        return None
+    labelled = materialise(labelled.join(mixed.select(F.col("g").alias("gram")).hint("merge"), "gram"), "labelled")
+    y = labelled.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("ranges").alias("rb"), F.col("component").alias("cb"))
+    if turn == 1:  # a leader of those that the first leader's component hasn't taken in
+        apart = labelled.join(mixed.select("g", F.col("l.component").alias("c")).hint("merge"), (F.col("gram") == F.col("g")) & (F.col("component") != F.col("c")))
+        # Written first: the join alone is split where a bucket is large, and the minimum is then taken in two steps.
+        apart = materialise(apart.select("gram", "pos", "cls", "n", "ranges", "component"), "apart")
+        mixed = materialise(apart.groupBy("gram").agg(F.min(member).alias("l")).withColumnRenamed("gram", "g"), "second")
+    if turn < 2:
+        x = mixed.select("g", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"), F.col("l.ranges").alias("ra"), F.col("l.component").alias("ca"))
+        met = y.join(x.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("ca") != F.col("cb")) & _possible(num, den))
+    else:  # all that still share a bucket from different components, met by bands of lengths: those that link are in one band or in neighbours
+        band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+        x = labelled.select(F.col("gram").alias("g"), F.explode(F.array(*(band(F.col("n")) + d for d in (-1, 0, 1)))).alias("w"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("ranges").alias("ra"), F.col("component").alias("ca"))
+        y = y.withColumn("band", band(F.col("nb")))
+        met = y.join(x.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("band") == F.col("w")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(num, den))
+    pairs = met.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    if tried is not None:
+        pairs = pairs.join(tried.hint("merge"), ["lo", "hi"], "left_anti")
+    return materialise(pairs, "pairs")
+
+
 def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -205,13 +237,23 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch() as made:
+        labels, sketched = _labels(plain, k, num, den)
+    drop_folders(spark, [f for f in made.folders if "/sketches-" not in f and "/labels-" not in f])
+    out = sketched.select("doc_id", "n", "key_a", "key_b").join(labels.hint("merge"), (F.col("key_a") == F.col("x")) & (F.col("key_b") == F.col("y")) & (F.col("n") == F.col("z")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _labels(plain: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Components of the classes of equal sets as ``x, y, z, component_id``, and every document's sketch."""
+    spark = plain.sparkSession
     sketched = materialise(plain.mapInArrow(_sketch(k, num, den), SKETCH), "sketches")
     classes = sketched.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value("need").alias("need"), F.any_value("low").alias("low"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    low = classes.select("cls", "need", F.explode("low").alias("gram"))
+    low = classes.select("cls", F.explode("low").alias("gram"))
     twice = materialise(low.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"), "shared")
-    able = low.join(twice.hint("merge"), "gram").groupBy("cls", "need").agg(F.count("*").alias("c")).filter("c >= need").select("cls")
-    texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").select("cls", "doc", "key_a", "key_b", "n"), k)
+    able = low.join(twice.hint("merge"), "gram").groupBy("cls").agg(F.count("*").alias("c"))
+    texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").filter("c >= need").select("cls", "doc", "key_a", "key_b", "n"), k)
 
     counted = texts.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counter = np.zeros(COUNTERS, np.int64)
@@ -222,46 +264,29 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     buckets = materialise(postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"), "buckets")
     shared = materialise(postings.join(buckets.hint("merge"), "gram").select("cls", "n", "pos", "gram", "ranges"), "postings")
 
-    member = F.struct("pos", "cls", "n", "ranges", "component")
     joined = links = tried = None
+    old: list[str] = []
     for turn in range(3):
-        labelled = shared.withColumn("component", F.col("cls")) if joined is None else shared.join(joined.hint("merge"), "cls")
-        mixed = labelled.groupBy("gram").agg(F.min(member).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        mixed = materialise(mixed.select(F.col("gram").alias("g"), "l"), "mixed")
-        if mixed.isEmpty():
-            break
-        labelled = materialise(labelled.join(mixed.select(F.col("g").alias("gram")).hint("merge"), "gram"), "labelled")
-        y = labelled.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("ranges").alias("rb"), F.col("component").alias("cb"))
-        if turn == 1:  # a leader of those that the first leader's component hasn't taken in
-            apart = labelled.join(mixed.select("g", F.col("l.component").alias("c")).hint("merge"), (F.col("gram") == F.col("g")) & (F.col("component") != F.col("c")))
-            # Written first: the join alone is split where a bucket is large, and the minimum is then taken in two steps.
-            apart = materialise(apart.select("gram", "pos", "cls", "n", "ranges", "component"), "apart")
-            mixed = materialise(apart.groupBy("gram").agg(F.min(member).alias("l")).withColumnRenamed("gram", "g"), "second")
-        if turn < 2:
-            x = mixed.select("g", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"), F.col("l.ranges").alias("ra"), F.col("l.component").alias("ca"))
-            met = y.join(x.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("ca") != F.col("cb")) & _possible(num, den))
-        else:  # all that still share a bucket from different components
-            x = labelled.select(F.col("gram").alias("g"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("ranges").alias("ra"), F.col("component").alias("ca"))
-            met = y.join(x.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(num, den))
-        pairs = met.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["lo", "hi"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
-        found = _verify(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), texts, k, num, den)
-        found = materialise(found, "verified")
-        links = found if links is None else links.unionByName(found)
-        reached = components(links)
-        joined = classes.select("cls").join(reached.hint("merge"), F.col("cls") == F.col("vertex"), "left")
-        joined = materialise(joined.select("cls", F.coalesce("component", "cls").alias("component")), "components")
+        with scratch() as now:
+            pairs = _meet(shared, joined, tried, turn, num, den)
+            if pairs is None:
+                break
+            tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
+            found = _verify(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), texts, k, num, den)
+            found = materialise(found, "verified")
+            links = found if links is None else links.unionByName(found)
+            reached = components(links)
+            joined = classes.select("cls").join(reached.hint("merge"), F.col("cls") == F.col("vertex"), "left")
+            joined = materialise(joined.select("cls", F.coalesce("component", "cls").alias("component")), "components")
+        read = lambda f: any(f"/{name}-" in f for name in ("pairs", "verified"))
+        drop_folders(spark, old + [f for f in now.folders[:-1] if not read(f)])
+        old = now.folders[-1:]
 
     joined = classes.select("cls", F.col("cls").alias("component")) if joined is None else joined
     labels = classes.select("key_a", "key_b", "n", "doc", "cls").join(joined.hint("merge"), "cls")
     least = labels.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = labels.join(least.hint("merge"), "component").select(F.col("key_a").alias("x"), F.col("key_b").alias("y"), F.col("n").alias("z"), "component_id")
-    labels = materialise(labels, "labels")
-    out = sketched.select("doc_id", "n", "key_a", "key_b").join(labels.hint("merge"), (F.col("key_a") == F.col("x")) & (F.col("key_b") == F.col("y")) & (F.col("n") == F.col("z")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return materialise(labels, "labels"), sketched
 
 
 def _texts_of(plain: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
