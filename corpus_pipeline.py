@@ -1,33 +1,63 @@
-"""The corpus pipeline: stages that each take the documents that the one before kept."""
+"""The corpus pipeline: stages that each take the documents that the one before kept.
+
+Texts are never changed, and columns besides doc_id, text and lang pass through whatever
+their names. Null, empty and letterless texts go in the first stage; rows that repeat a text
+go in the second, whatever their ids; null ids stay and are documents of their own. An empty
+table gives an empty result of the same columns. A benchmark without words drops nothing.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from shelfline.llm.common import materialise
+from shelfline.llm.common import drop_folders, materialise, scratch
+
+#: Folders that the last stage's steps were written to. Its result is written before the next stage starts, which drops them.
+_LEFT: list[str] = []
+
+
+def _stage(work):
+    """A stage whose steps' folders the next stage drops."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_folders(spark, _LEFT)
+        with scratch() as made:
+            out = work(spark, docs, sf_dir)
+        _LEFT[:] = made.folders
+        return out
+
+    return run_stage
 
 
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification, learned from the labelled documents; those in no language learned go."""
     return language_id.keep_identified(docs)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact deduplication; of equal texts the smallest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join; one document of each group that links tie together stays."""
     return jaccard_join.one_of_each(docs)
 
 
+@_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination; contaminated documents go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of tokens."""
     return packing.pack_documents(docs)
@@ -44,9 +74,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each one's rows written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_folders(spark, before)  # what the stage read is no longer needed once its own rows are written
+        before = made.folders[-1:]
     return docs
 
 
