@@ -16,8 +16,10 @@ import numpy as np
 
 CLASS = 64
 HIDDEN, STEPS, LANES = 16, 32, 256
-#: Symbols over which training carries the state; a longer text goes on from a fresh one. Scoring carries it over whole texts.
-SEGMENT = 1024
+#: Cells of the table of lanes; a text so long that LANES lanes of its length were more gets fewer beside it.
+CELLS = 6_000_000
+#: Symbols whose gradients are summed at least before the weights move: narrow windows, where few long texts go on, are taken together.
+STEP_SYMBOLS = 1024
 #: Logits are held below this, so that no exponential overflows.
 TOP = np.float32(80)
 
@@ -27,8 +29,7 @@ def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     Lanes are in descending order of length; what is past a lane's end has text -1.
     """
-    longest, total = max(map(len, texts)), sum(map(len, texts))
-    n = max(1, min(LANES, total // longest))
+    n = max(1, min(LANES, len(texts), CELLS // max(map(len, texts))))
     heap, mine = [(0, k) for k in range(n)], [[] for _ in range(n)]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
         size, k = heapq.heappop(heap)
@@ -181,38 +182,62 @@ class Gru:
         return out
 
     def train(self, texts: list[np.ndarray], state: dict, rate: float) -> None:
-        """One pass over texts by Adam; ``state`` keeps its moments between calls."""
+        """One pass over whole texts by Adam; ``state`` keeps its moments between calls. The state is carried from window to window to the end of a text."""
         if not texts:
             return
-        # Lanes are as long as the longest piece, so that few long texts don't leave them all but empty.
-        y, of, start = lanes_of([t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)])
-        h, n3 = np.zeros((y.shape[1], HIDDEN), np.float32), HIDDEN
+        y, of, start = lanes_of(texts)
+        h, seen, grads = np.zeros((y.shape[1], HIDDEN), np.float32), 0, None
         for at, n, x in self._windows(y, of, start):
-            cache: list = []
-            states, h = self._states(x[at, :n], ~start[at, :n], h[:n], cache)
+            if grads is None:
+                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
             real = of[at, :n] >= 0
-            grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-            _, d = self._output(states[real], y[at, :n][real], grads)
-            dout = np.zeros_like(states)
-            dout[real] = d
-            dx = np.empty((*real.shape, 3 * n3), np.float32)
-            back = np.zeros_like(h)
-            for t in range(len(states) - 1, -1, -1):
-                before, z, r, new, hn = cache[t]
-                dh = dout[t] + back
-                dn = dh * (1 - z) * (1 - new * new)
-                dx[t, :, :n3] = dh * (before - new) * z * (1 - z)
-                dx[t, :, n3 : 2 * n3] = dn * hn * r * (1 - r)
-                dx[t, :, 2 * n3 :] = dn
-                db = dx[t].copy()
-                db[:, 2 * n3 :] *= r
-                grads["u"] += before.T @ db
-                back = (dh * z + db @ self.p["u"].T) * (~start[at, :n][t])[:, None]
-            ids, rows = x[at, :n].ravel(), dx.reshape(-1, 3 * n3)
-            order = np.argsort(ids, kind="stable")
-            cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            grads["e"][ids[order[cuts]]] = np.add.reduceat(rows[order], cuts, axis=0)
-            self._adam(grads, state, rate, 1.0 / max(1, int(real.sum())))
+            h = self._add_gradients(x[at, :n], y[at, :n], real, start[at, :n], h[:n], grads)
+            seen += int(real.sum())
+            if seen >= STEP_SYMBOLS:
+                self._adam(grads, state, rate, 1.0 / seen)
+                seen, grads = 0, None
+        if seen:
+            self._adam(grads, state, rate, 1.0 / seen)
+
+    def _add_gradients(self, x, y, real, start, h, grads) -> np.ndarray:
+        """Adds a window's gradients of the negative log-probability; the state after it is returned."""
+        cache: list = []
+        states, after = self._states(x, ~start, h, cache)
+        _, d = self._output(states[real], y[real], grads)
+        dout = np.zeros_like(states)
+        dout[real] = d
+        n = HIDDEN
+        dx, db = np.empty((*real.shape, 3 * n), np.float32), np.empty((*real.shape, 3 * n), np.float32)
+        back, u_t = np.zeros_like(h), np.ascontiguousarray(self.p["u"].T)
+        for t in range(len(states) - 1, -1, -1):
+            before, z, r, new, hn = cache[t]
+            dh = dout[t]
+            dh += back
+            keep = 1 - z
+            dn = dh * keep
+            dn *= 1 - new * new
+            a = dx[t]
+            np.multiply(dh, before - new, out=a[:, :n])
+            a[:, :n] *= z
+            a[:, :n] *= keep
+            np.multiply(dn, hn, out=a[:, n : 2 * n])
+            a[:, n : 2 * n] *= r
+            a[:, n : 2 * n] *= 1 - r
+            a[:, 2 * n :] = dn
+            b = db[t]
+            b[:, : 2 * n] = a[:, : 2 * n]
+            np.multiply(dn, r, out=b[:, 2 * n :])
+            dh *= z
+            dh += b @ u_t
+            if start[t].any():
+                dh *= ~start[t][:, None]
+            back = dh
+        grads["u"] += np.concatenate([c[0] for c in cache]).T @ db.reshape(-1, 3 * n)
+        ids, rows = x.ravel(), dx.reshape(-1, 3 * n)
+        order = np.argsort(ids, kind="stable")
+        cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        grads["e"][ids[order[cuts]]] += np.add.reduceat(rows[order], cuts, axis=0)
+        return after
 
     def _adam(self, grads: dict, state: dict, rate: float, scale: float) -> None:
         k = state["n"] = state.get("n", 0) + 1

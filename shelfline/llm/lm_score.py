@@ -6,8 +6,10 @@ probability is its share of the class's counts, and all words never seen share o
 that weighs as much as the class's words seen once. So every word has a probability and
 those of all words and one unseen word for each tail class sum to one.
 
-The network is trained on every training text, in ROUNDS over disjoint parts of them: each
-task goes over its own texts from the common weights, and the weights are averaged.
+Texts are split twice: to count words, and to write each text's symbols once. The network is
+trained on the symbols of every training text, in ROUNDS over disjoint parts of them: each
+task goes over its own texts from the common weights, and the weights are averaged. Scoring
+reads the symbols again.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, materialise
+from .common import begin_task, bucket, drop_folders, hand_back, materialise, scratch
 from .gru import Gru
 
 FOLDS, HELD_OUT = 7, 2
@@ -33,7 +37,7 @@ HELD = 60_000
 #: Shares of the training texts, in sixteenths, that the rounds go over, and their rates.
 ROUNDS = ((0, 2, 0.02), (2, 7, 0.012), (7, 16, 0.006))
 #: Tokens that a task gathers for one pass over lanes; distinct words that it counts before it hands them on.
-GATHER, COUNTED = 2_500_000, 300_000
+GATHER, COUNTED = 4_000_000, 300_000
 #: Weights in a row when they are averaged.
 BLOCK = 8192
 END = ""
@@ -48,6 +52,7 @@ def tail_of(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task()
     found: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
@@ -65,47 +70,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-class Symbols(dict):
-    """Words to the network's symbols, remembered for as many words as MOST."""
+@cache
+def _tails() -> np.ndarray:
+    """Tail classes by a word's last two bytes; a byte alone is at 65536 on."""
+    two = [zlib.crc32(bytes((a, b))) % TAILS for a in range(256) for b in range(256)]
+    return np.array(two + [zlib.crc32(bytes((b,))) % TAILS for b in range(256)], np.int32)
 
-    MOST = 400_000
 
-    def __init__(self, head: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(head)})
-        self.head = head
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.MOST:
-            self.clear()
-            self.update({w: i for i, w in enumerate(self.head)})
-        s = self[word] = len(self.head) + tail_of(word)
-        return s
-
-    def __reduce__(self):
-        return Symbols, (self.head,)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words) + 1, np.int32)  # the end is 0
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out
+def tails_of(words: list[bytes]) -> np.ndarray:
+    """The tail classes of many words at once."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size)
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    last = data[ends - 1]
+    return _tails()[np.where(size > 1, (data[np.maximum(ends - 2, 0)] << 8) + last, 65536 + last)]
 
 
 class Model:
     """The head words with their counts, what tail classes weigh, totals, and the network's weights."""
 
     def __init__(self, head: list[tuple[str, int]], tails: dict[int, tuple[int, int]], tokens: int, distinct: int, held: list[tuple[str, int]] = ()):
-        self.symbols = Symbols([w.encode("utf-8", "surrogatepass") for w, _ in head])
+        self.head = {w.encode("utf-8", "surrogatepass"): k for k, (w, _) in enumerate(head)}
         self.counts = np.array([n for _, n in head], np.float64)
         self.mass = np.array([tails.get(k, (0, 0))[0] for k in range(TAILS)], np.float64)
         self.once = np.array([tails.get(k, (0, 0))[1] for k in range(TAILS)], np.float64)
         self.tokens, self.distinct = tokens, distinct
         self.net = Gru(self.counts, self.mass + self.once)
         #: Of further frequent words, the logarithms for base_score and within their tail class.
-        weighs = self.mass + self.once + 1
-        self.held = {}
-        for w, n in held:
-            b = w.encode("utf-8", "surrogatepass")
-            self.held[b] = (math.log10(n + 1), math.log10(n / weighs[tail_of(b)]))
+        words = [w.encode("utf-8", "surrogatepass") for w, _ in held]
+        n = np.array([n for _, n in held], np.float64)
+        self.held = {w: k for k, w in enumerate(words)}
+        self.held_base = np.log10(n + 1)
+        self.held_within = np.log10(n / (self.mass + self.once + 1)[tails_of(words)]) if words else n
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -125,32 +121,36 @@ def start_model(counts: DataFrame) -> Model:
     return Model(head, {r["tail"]: (r["n"], r["once"]) for r in rest.collect()}, totals[0] or 0, totals[1], held)
 
 
-def train(model: Model, texts: DataFrame) -> Model:
-    """Train on all rows of (doc_id, text): each task from the common weights, which are then averaged by tokens."""
-    spark = texts.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(16))
+def train(model: Model, symbols: DataFrame) -> Model:
+    """Train on all rows of (part, symbols): each task from the common weights, which are then averaged by tokens."""
+    spark, part = symbols.sparkSession, F.col("part")
+    tasks_read = symbols.rdd.getNumPartitions()
     for lo, hi, rate in ROUNDS:
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin_task()
             m, state, held, size, seen = shared.value, {}, [], 0, 0
             net = Gru(m.counts, m.mass + m.once).load(m.net.flat())
             for b in batches:
                 for t in b.column(0):
-                    held.append(m.symbols.of(words_of(t.as_py())))
+                    held.append(np.frombuffer(t.as_buffer(), "<u2").astype(np.int32))
                     size += len(held[-1])
                     if size >= GATHER:
                         net.train(held, state, rate)
                         held, size, seen = [], 0, seen + size
             net.train(held, state, rate)
             seen += size
+            del held
             if seen:
                 flat = net.flat()
                 blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
                 task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], names=["task", "block", "weight", "values"])
 
-        trained = texts.filter((part >= lo) & (part < hi)).select("text").mapInArrow(run, "task int, block int, weight double, values array<float>")
+        # As many tasks as the round's share of the texts, so that each has enough of them to fill its lanes beside the longest.
+        mine = symbols.filter((part >= lo) & (part < hi)).select("symbols").coalesce(max(1, round(tasks_read * (hi - lo) / 16)))
+        trained = mine.mapInArrow(run, "task int, block int, weight double, values array<float>")
         trained = materialise(trained, "weights")
         tasks = trained.select("task").distinct().count()
         if not tasks:
@@ -173,79 +173,109 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"task": table.column("task").slice(0, 1), "block": table.column("block").slice(0, 1), "weight": pa.array([w.sum()]), "values": pa.array([mean], pa.list_(pa.float32()))})
 
 
-SCORED = "doc_id long, n_tokens long, head_base double, network double, held_within double, tail_words array<string>, tail_counts array<int>"
+SYMBOLS = "doc_id long, part int, symbols binary, head_base double, held_within double, tail_words array<string>, tail_counts array<int>"
 
 
-def _score(shared):
+def _spell(shared):
+    """Texts to symbols, and what counts say of them: logarithms of frequent words, and each text's rarer words with their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         m = shared.value
-        log_head = np.log10(np.append(m.counts + 1, np.ones(TAILS)))
-        n_head = len(m.counts)
-
-        def rows(held: list, net: np.ndarray) -> pa.RecordBatch:
-            tails, base, within = [], [], []
-            for _, s, joined in held:
-                a, b, rest = float(log_head[s].sum()), 0.0, []
-                for w in joined.split(b" ") if joined else ():
-                    known = m.held.get(w)
-                    if known is None:
-                        rest.append(w)
-                    else:
-                        a, b = a + known[0], b + known[1]
-                tails.append(Counter(b" ".join(rest).decode("utf-8", "surrogatepass").split(" ")) if rest else {})
-                base.append(a)
-                within.append(b)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(s) for _, s, _ in held], pa.int64()), pa.array(base), pa.array(net / math.log(10)), pa.array(within),
-                 pa.array([list(c) for c in tails], pa.list_(pa.string())), pa.array([list(c.values()) for c in tails], pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "head_base", "network", "held_within", "tail_words", "tail_counts"],
-            )
-
-        def batches_of(held: list) -> Iterator[pa.RecordBatch]:
-            net = m.net.score([s for _, s, _ in held])
-            for k in range(0, len(held), 500):
-                yield rows(held[k : k + 500], net[k : k + 500])
-
-        held, size = [], 0
+        n_head, log_head = len(m.counts), np.log10(np.append(m.counts + 1, np.ones(TAILS)))
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            out: list[tuple] = []
+            for t in b.column(2):
                 words = words_of(t.as_py())
-                s = m.symbols.of(words)
-                held.append((i, s, b" ".join([words[k] for k in np.flatnonzero(s[:-1] >= n_head).tolist()])))
-                size += len(s)
+                s = np.zeros(len(words) + 1, np.int32)  # the end is 0
+                s[:-1] = np.fromiter(map(m.head.get, words, repeat(-1)), np.int32, len(words))
+                other = np.flatnonzero(s < 0)
+                base = within = 0.0
+                rare: Counter = Counter()
+                if len(other):
+                    mine = [words[k] for k in other.tolist()]
+                    s[other] = n_head + tails_of(mine)
+                    at = np.fromiter(map(m.held.get, mine, repeat(-1)), np.int64, len(mine))
+                    known = at[at >= 0]
+                    base, within = float(m.held_base[known].sum()), float(m.held_within[known].sum())
+                    rest = [mine[k] for k in np.flatnonzero(at < 0).tolist()]
+                    if rest:
+                        rare.update(b" ".join(rest).decode("utf-8", "surrogatepass").split(" "))
+                out.append((s.astype("<u2").tobytes(), float(log_head[s].sum()) + base, within, list(rare), list(rare.values())))
+            kinds = (pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "part", "symbols", "head_base", "held_within", "tail_words", "tail_counts"])
+
+    return run
+
+
+SCORED = "row long, n_tokens long, network double"
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
+        net = shared.value.net
+
+        def scored(rows: list, texts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(net.score(texts) / math.log(10))], names=["row", "n_tokens", "network"])
+
+        rows, texts, size = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                rows.append(i)
+                texts.append(np.frombuffer(t.as_buffer(), "<u2").astype(np.int32))
+                size += len(texts[-1])
                 if size >= GATHER:
-                    yield from batches_of(held)
-                    held, size = [], 0
-        if held:
-            yield from batches_of(held)
+                    yield scored(rows, texts)
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield scored(rows, texts)
+        del rows, texts
+        hand_back()
 
     return run
 
 
-def lm_score(docs: DataFrame, train_rows: DataFrame) -> DataFrame:
+def lm_score(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Null texts are empty and score their end alone. Without training rows every token is unseen;
-    base_score is then 0. A word of any length is one token. Rows repeat as they come, with null
-    ids too; an empty table gives none. Columns besides doc_id and text are ignored.
+    The model learns from the rows where ``learn`` holds, from all without it. Null texts are
+    empty and score their end alone. Without such rows every token is unseen; base_score is
+    then 0. A word of any length is one token. Rows repeat as they come, with null ids too; an
+    empty table gives none. Columns besides doc_id, text and those of ``learn`` are ignored.
     """
-    texts = train_rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = count_words(texts)
-    model = train(start_model(counts), texts)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = materialise(plain.mapInArrow(_score(shared), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    spark = docs.sparkSession
+    with scratch() as made:
+        out = _scores(docs, F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
+    drop_folders(spark, [f for f in made.folders if not any(f"/{name}-" in f for name in ("symbols", "network", "sums"))])
+    return out
+
+
+def _scores(docs: DataFrame, learn: Column) -> DataFrame:
+    spark = docs.sparkSession
+    # Sixteen parts of the training texts; -1 for texts that are not learned from.
+    part = F.when(learn, F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(16))).otherwise(-1).cast("int")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), F.col("text").cast("string").alias("text"))
+    counts = count_words(plain.filter("part >= 0").select("text"))
+    model = start_model(counts)
+    symbols = plain.mapInArrow(_spell(spark.sparkContext.broadcast(model)), SYMBOLS).withColumn("row", F.monotonically_increasing_id())
+    symbols = materialise(symbols, "symbols")
+    model.head, model.held, model.held_base, model.held_within = {}, {}, None, None  # tasks from here on need the network alone
+    model = train(model, symbols)
+    network = materialise(symbols.select("row", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(model)), SCORED), "network")
 
     # What the network leaves to counts: each document's distinct tail words against the count of each.
-    tail = scored.select("row", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("t")).select("row", F.col("t.tail_words").alias("word"), F.col("t.tail_counts").alias("m"))
+    tail = symbols.select("row", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("t")).select("row", F.col("t.tail_words").alias("word"), F.col("t.tail_counts").alias("m"))
     tail = tail.join(counts.select("word", F.col("n").alias("c"), "tail").hint("merge"), "word", "left")
     weighs = [float(x) for x in (model.mass + model.once + 1)]
     slots = [float(x) for x in (model.once + 1)]
     at = F.coalesce("tail", F.crc32(F.substring(F.encode("word", "utf-8"), -2, 2)) % TAILS).cast("int") + 1
     within = F.log10(F.coalesce(F.col("c").cast("double"), F.element_at(F.lit(slots), at)) / F.element_at(F.lit(weighs), at))
     sums = tail.groupBy("row").agg(F.sum(F.col("m") * within).alias("within"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("tail_base"), F.sum(F.when(F.col("c").isNull(), F.col("m")).otherwise(0)).alias("unknown"))
+    sums = materialise(sums, "sums")
     end_known = 0 if model.counts[0] else 1
-    out = scored.drop("tail_words", "tail_counts").join(sums.hint("merge"), "row", "left")
+    out = symbols.select("row", "doc_id", "head_base", "held_within").join(network.hint("merge"), "row").join(sums.hint("merge"), "row", "left")
     return out.select(
         "doc_id", "n_tokens", (F.col("n_tokens") - end_known - F.coalesce("unknown", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
@@ -260,5 +290,5 @@ def held_out():
 
 def op2_gru_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = lm_score(docs, docs.filter(~held_out()))
+    found = lm_score(docs, ~held_out())
     return found.withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

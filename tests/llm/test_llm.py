@@ -426,8 +426,9 @@ def test_filters_return_all_languages():
 def test_lm_score_base_and_counts(spark):
     docs = [(k, prose(rng.randint(0, 60))) for k in range(40)] + [(50, None), (51, ""), (52, "newword another THE")]
     train = docs[:30]
+    learn = F.col("doc_id") < 30
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("word", F.lit("clash"))
-    got = {r["doc_id"]: r for r in lm_score.lm_score(df, spark.createDataFrame(train, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in lm_score.lm_score(df, learn).collect()}
     c = Counter(w for _, t in train for w in [*(t or "").lower().split(), ""])
     n, v = sum(c.values()), len(c)
     for i, t in docs:
@@ -436,8 +437,11 @@ def test_lm_score_base_and_counts(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in c for w in ws), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert -1000 < r["score"] < 0
-    empty = lm_score.lm_score(df.limit(2), df.limit(0)).collect()
+    empty = lm_score.lm_score(df.limit(2), F.lit(False)).collect()
     assert len(empty) == 2 and empty[0]["base_score"] == 0 and empty[0]["n_known"] == 0
+    assert lm_score.lm_score(df.limit(0)).count() == 0
+    words = [w.encode() for w in ("a", "é", "the", "日本", "x1")]
+    assert lm_score.tails_of(words).tolist() == [lm_score.tail_of(w) for w in words]
 
 
 def test_gru_probabilities_sum_to_one_and_state_is_carried():
@@ -452,6 +456,56 @@ def test_gru_probabilities_sum_to_one_and_state_is_carried():
     assert cut[1] < cut[0]
 
 
+def some_net(seed=1):
+    net = gru.Gru(np.array([5.0, 9, 3, 2, 1, *range(80)]), np.array([4.0, 2.0]))
+    r = np.random.default_rng(seed)
+    net.p = {k: (v if k == "wb" else v + 0.3 * r.normal(size=v.shape)).astype(np.float32) for k, v in net.p.items()}
+    return net
+
+
+def literal_score(net, text):
+    """The sum of log-probabilities, symbol by symbol in 64 bits."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, x, n, total = np.zeros(gru.HIDDEN), net.head + net.n_tails, gru.HIDDEN, 0.0
+    for y in text:
+        a, b = p["e"][x], h @ p["u"]
+        z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :])
+        cls = y // gru.CLASS if y < net.head else y - net.head + net.n_head_classes
+        e = h @ p["c"] + p["cb"]
+        total += e[cls] - np.log(np.exp(e).sum())
+        if y < net.head:
+            w = h @ p["w"][cls] + p["wb"][cls]
+            total += w[y % gru.CLASS] - np.log(np.exp(w).sum())
+        x = y
+    return total
+
+
+def test_gru_forward_equals_literal():
+    net = some_net()
+    texts = [np.array([rng.randint(0, 86) for _ in range(n)]) for n in (1, 2, 31, 32, 33, 150, 700)]
+    for got, text in zip(net.score(texts), texts):
+        assert math.isclose(got, literal_score(net, text), rel_tol=1e-4)
+
+
+def test_gru_gradient_equals_differences(monkeypatch):
+    net, taken = some_net(2), {}
+    monkeypatch.setattr(gru.Gru, "_adam", lambda self, grads, state, rate, scale: taken.update(grads))
+    texts = [np.array([rng.randint(0, 86) for _ in range(n)]) for n in (30, 12, 7)]  # within one window, so nothing is truncated
+    net.train(texts, {}, 0.1)
+    for name, g in taken.items():
+        flat = np.argsort(-np.abs(g).ravel())[: 40 : 5]
+        for k in flat.tolist():
+            at, step, both = np.unravel_index(k, g.shape), 1e-2, []
+            for sign in (1, -1):
+                was = net.p[name][at].copy()
+                net.p[name][at] += sign * step
+                both.append(sum(literal_score(net, t) for t in texts))
+                net.p[name][at] = was
+            assert math.isclose(-(both[0] - both[1]) / (2 * step), g[at], rel_tol=0.02, abs_tol=2e-3), (name, at)
+
+
 def test_gru_gradient_and_training():
     net = gru.Gru(np.ones(5), np.ones(2))
     text = np.array([0, 1, 2, 3, 4, 5, 6] * 12)
