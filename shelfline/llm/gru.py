@@ -93,26 +93,27 @@ class Gru:
     def _classes(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.head, y // CLASS, y - self.head + self.n_head_classes)
 
-    def _states(self, x, keep, h0, cache):
-        """States after each step of a window, from the inputs' rows and the state before."""
-        u, n = self.p["u"], HIDDEN
-        out = np.empty((len(x), x.shape[1], n), np.float32)
-        rows, h = self.p["e"][x], h0
+    def _states(self, x, keep, h, cache):
+        """States after each step of a window, as [unit, step, lane], and the last; units come first, so that each gate is one block of memory."""
+        n = HIDDEN
+        rows = np.take(np.ascontiguousarray(self.p["e"].T), x.ravel(), axis=1).reshape(3 * n, *x.shape)
+        u_t = np.ascontiguousarray(self.p["u"].T)
+        out = np.empty((n, *x.shape), np.float32)
         for t in range(len(x)):
             if not keep[t].all():
-                h = h * keep[t][:, None]
-            a, b = rows[t], h @ u
-            zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = r * b[:, 2 * n :]
-            new += a[:, 2 * n :]
+                h = h * keep[t]
+            a, b = rows[:, t], u_t @ h
+            zr = _sigmoid(a[: 2 * n] + b[: 2 * n])
+            z, r = zr[:n], zr[n:]
+            new = r * b[2 * n :]
+            new += a[2 * n :]
             np.tanh(new, out=new)
             if cache is not None:
-                cache.append((h, z, r, new, b[:, 2 * n :]))
+                cache.append((h, z, r, new, b[2 * n :]))
             h = h - new
             h *= z
             h += new
-            out[t] = h
+            out[:, t] = h
         return out, h
 
     def _output(self, h, y, grads):
@@ -120,7 +121,10 @@ class Gru:
         cls = self._classes(y)
         e = h @ self.p["c"]
         e += self.p["cb"]
-        np.minimum(e, TOP, out=e)
+        # Units are within 1, so logits are within the sums of weights; only where these are large must they be held.
+        if np.abs(self.p["c"]).sum(0).max() + np.abs(self.p["cb"]).max() > TOP:
+            np.minimum(e, TOP, out=e)
+        held = np.abs(self.p["w"]).sum(1).max() + self.p["wb"].max() > TOP
         rows = np.arange(len(y))
         logp = e[rows, cls]
         np.exp(e, out=e)
@@ -143,7 +147,8 @@ class Gru:
             hk, yk = h[at], y[at] - k * CLASS
             dk = hk @ self.p["w"][k]
             dk += self.p["wb"][k]
-            np.minimum(dk, TOP, out=dk)
+            if held:
+                np.minimum(dk, TOP, out=dk)
             own = np.arange(len(at))
             right = dk[own, yk]
             np.exp(dk, out=dk)
@@ -173,11 +178,11 @@ class Gru:
         if not texts:
             return out
         y, of, start = lanes_of(texts)
-        h = np.zeros((y.shape[1], HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, y.shape[1]), np.float32)
         for at, n, x in self._windows(y, of, start):
-            states, h = self._states(x[at, :n], ~start[at, :n], h[:n], None)
+            states, h = self._states(x[at, :n], ~start[at, :n], h[:, :n], None)
             real = of[at, :n] >= 0
-            logp, _ = self._output(states[real], y[at, :n][real], None)
+            logp, _ = self._output(np.ascontiguousarray(states[:, real].T), y[at, :n][real], None)
             out += np.bincount(of[at, :n][real], weights=logp, minlength=len(texts))
         return out
 
@@ -186,12 +191,12 @@ class Gru:
         if not texts:
             return
         y, of, start = lanes_of(texts)
-        h, seen, grads = np.zeros((y.shape[1], HIDDEN), np.float32), 0, None
+        h, seen, grads = np.zeros((HIDDEN, y.shape[1]), np.float32), 0, None
         for at, n, x in self._windows(y, of, start):
             if grads is None:
                 grads = {k: np.zeros_like(v) for k, v in self.p.items()}
             real = of[at, :n] >= 0
-            h = self._add_gradients(x[at, :n], y[at, :n], real, start[at, :n], h[:n], grads)
+            h = self._add_gradients(x[at, :n], y[at, :n], real, start[at, :n], h[:, :n], grads)
             seen += int(real.sum())
             if seen >= STEP_SYMBOLS:
                 self._adam(grads, state, rate, 1.0 / seen)
@@ -203,40 +208,42 @@ class Gru:
         """Adds a window's gradients of the negative log-probability; the state after it is returned."""
         cache: list = []
         states, after = self._states(x, ~start, h, cache)
-        _, d = self._output(states[real], y[real], grads)
-        dout = np.zeros_like(states)
-        dout[real] = d
+        _, d = self._output(np.ascontiguousarray(states[:, real].T), y[real], grads)
         n = HIDDEN
-        dx, db = np.empty((*real.shape, 3 * n), np.float32), np.empty((*real.shape, 3 * n), np.float32)
-        back, u_t = np.zeros_like(h), np.ascontiguousarray(self.p["u"].T)
-        for t in range(len(states) - 1, -1, -1):
+        dout = np.zeros_like(states)
+        dout[:, real] = d.T
+        dx, db = np.empty((3 * n, *x.shape), np.float32), np.empty((3 * n, *x.shape), np.float32)
+        back = np.zeros_like(after)
+        for t in range(len(x) - 1, -1, -1):
             before, z, r, new, hn = cache[t]
-            dh = dout[t]
-            dh += back
+            dh = dout[:, t] + back
             keep = 1 - z
-            dn = dh * keep
-            dn *= 1 - new * new
-            a = dx[t]
-            np.multiply(dh, before - new, out=a[:, :n])
-            a[:, :n] *= z
-            a[:, :n] *= keep
-            np.multiply(dn, hn, out=a[:, n : 2 * n])
-            a[:, n : 2 * n] *= r
-            a[:, n : 2 * n] *= 1 - r
-            a[:, 2 * n :] = dn
-            b = db[t]
-            b[:, : 2 * n] = a[:, : 2 * n]
-            np.multiply(dn, r, out=b[:, 2 * n :])
+            dn = new * new
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            dn *= keep
+            mine = np.empty((3 * n, x.shape[1]), np.float32)
+            dz, dr, dm = mine[:n], mine[n : 2 * n], mine[2 * n :]
+            np.subtract(before, new, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= keep
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= hn
+            dr *= dn
+            np.multiply(dn, r, out=dm)
+            dx[: 2 * n, t], dx[2 * n :, t], db[:, t] = mine[: 2 * n], dn, mine
+            back = self.p["u"] @ mine
             dh *= z
-            dh += b @ u_t
+            back += dh
             if start[t].any():
-                dh *= ~start[t][:, None]
-            back = dh
-        grads["u"] += np.concatenate([c[0] for c in cache]).T @ db.reshape(-1, 3 * n)
-        ids, rows = x.ravel(), dx.reshape(-1, 3 * n)
-        order = np.argsort(ids, kind="stable")
-        cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grads["e"][ids[order[cuts]]] += np.add.reduceat(rows[order], cuts, axis=0)
+                back *= ~start[t]
+        grads["u"] += np.concatenate([c[0] for c in cache], axis=1) @ db.reshape(3 * n, -1).T
+        order = np.argsort(x.ravel(), kind="stable")
+        ids = x.ravel()[order]
+        cuts = np.flatnonzero(np.diff(ids, prepend=-1))
+        grads["e"][ids[cuts]] += np.add.reduceat(np.take(dx.reshape(3 * n, -1), order, axis=1), cuts, axis=1).T
         return after
 
     def _adam(self, grads: dict, state: dict, rate: float, scale: float) -> None:
