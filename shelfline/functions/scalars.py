@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Symbols that tell a currency when they stand before the amount.
+from .page_facts import all_global, ip_is_global
+
+#: Symbols that tell a currency when they stand before the amount, and the pattern of an amount.
 CURRENCIES = {"$": "USD", "£": "GBP", "€": "EUR", "₩": "KRW"}
 _AMOUNT = "(?U)([$£€₩])?\\s*(\\d[\\d,]*(?:\\.\\d{1,2})?)"
 
@@ -36,10 +38,12 @@ def normalise_url(url: Column) -> Column:
 
 
 def http_class(status: Column, size: Column | None = None, limit: int = 5_000_000) -> Column:
-    """What a response comes to: ``redirect``, ``ok``, or an error code; too large a body comes first among 2xx."""
+    """What a response comes to: ``redirect``; ``response_too_large`` whatever its status; an error code; or ``ok``."""
     code = F.concat(F.lit("http_"), status.cast("string"))
-    base = F.when(status.between(300, 399), "redirect").when((status == 429) | (status >= 400), code)
-    return (base.when(size > limit, "response_too_large") if size is not None else base).otherwise("ok")
+    out = F.when(status.between(300, 399), "redirect")
+    if size is not None:
+        out = out.when(size > limit, "response_too_large")
+    return out.when((status == 429) | (status >= 400), code).otherwise("ok")
 
 
 def http_transient(status: Column) -> Column:
@@ -67,41 +71,34 @@ def split_hosts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
-def url_policy(url: Column, allowed: list[str], private_ok: list[str] = (), allow_private: bool = False) -> Column:
-    """Why a URL may not be fetched, or null: scheme and host, allowlist, then literal private addresses.
+def url_policy(url: Column, allowed: list[str], private_ok: list[str] = (), allow_private: bool = False, addresses: Column | None = None) -> Column:
+    """Why a URL may not be fetched, or null: scheme and host, allowlist, name resolution, then addresses that are not public.
 
-    Literal addresses are judged by their private, loopback, link-local and reserved ranges; names are
-    resolved elsewhere (a table of addresses can be judged by :func:`private_address`).
+    ``addresses`` are those of the URL's host, from a table; a name without any is a
+    ``dns_error``. Without them only hosts that are addresses themselves are judged.
     """
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    # The authority's host, as Spark's own HOST is null for forms that resolvers accept, such as hexadecimal addresses.
+    host = F.lower(F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     out = F.when(url.isNull() | scheme.isNull() | ~scheme.isin("http", "https") | host.isNull() | (host == ""), "invalid_url")
     if allowed:
         out = out.when(~host.isin([h.lower() for h in allowed]), "host_not_allowed")
     if not allow_private:
-        out = out.when(private_address(host) & ~host.isin(list(private_ok) or [""]), "private_address")
+        held = host.isin(list(private_ok) or [""])
+        literal = ip_is_global(host)
+        out = out.when(~literal & ~held, "private_address")
+        if addresses is not None:
+            out = out.when(literal.isNull() & (F.coalesce(F.size(addresses), F.lit(0)) < 1), "dns_error")
+            out = out.when(literal.isNull() & addresses_private(addresses) & ~held, "private_address")
     return out
 
 
-def private_address(host: Column) -> Column:
-    """True for literal addresses that are not public: IPv4 by octets, IPv6 by prefix."""
-    octets = F.split(host, "\\.")
-    v4 = host.rlike("^\\d{1,3}(\\.\\d{1,3}){3}$")
-    a, b, c = (F.try_element_at(octets, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    v4_private = a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    v4_private = v4_private | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | (a >= 240)
-    v6 = F.regexp_replace(host, "^\\[|\\]$", "")
-    v6_private = v6.rlike("^(::1|::|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*|::ffff:.*|2001:db8:.*)$")
-    return F.coalesce((v4 & v4_private) | (F.contains(host, F.lit(":")) & v6_private), F.lit(False))
+def addresses_private(addresses: Column) -> Column:
+    """True if any of an array of addresses is not public; what isn't an address counts as not public."""
+    return ~F.coalesce(all_global(addresses), F.lit(False))
 
 
 def redirect_outcome(hops: Column, limit: int = 5) -> Column:
     """The first error along an array of hops (error, location), ``too_many_redirects`` past the limit, or null."""
     first = F.try_element_at(F.filter(hops, lambda h: h["error"].isNotNull() | F.coalesce(h["location"] == "", F.lit(True))), F.lit(1))
     return F.when(first.isNotNull(), F.coalesce(first["error"], F.lit("invalid_redirect"))).when(F.size(hops) > limit, "too_many_redirects")
-
-
-def rank_percentile(sorted_values: Column, share: float) -> Column:
-    """The value of rank floor(share * n), at least 1, of a sorted array."""
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.element_at(sorted_values, F.greatest(F.floor(n * F.lit(share)).cast("int"), F.lit(1))))

@@ -4,42 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.page_facts import page_facts, url_join
 from ..functions.scalars import availability, price_amount, price_currency
 from ..sources.schemas import EVIDENCE
-from .quality import confidence, coverage, warnings
-
-
-def _pick(nodes: Column, rule) -> Column:
-    """The first node that a rule takes, in document order."""
-    return F.try_element_at(F.filter(nodes, rule), F.lit(1))
-
-
-def _attr(node: Column, name: str) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(name))
+from .quality import confidence, coverage, needs_browser, warnings
 
 
 def _full(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _has(node: Column, name: str, value: str | None = None) -> Column:
-    a = _attr(node, name)
-    return F.coalesce(a.isNotNull() if value is None else a == value, F.lit(False))
-
-
-def _step(name: str) -> str:
-    """A pattern for one step of a path: a tag, or classes that it has."""
-    tag, *classes = name.split(".")
-    return "(?=[^|]*)" + (tag or "[^|.]+") + "".join(f"(?=[^|]*\\.{c}(\\.|\\||$))" for c in classes) + "[^|]*"
-
-
-def _under(*steps: str) -> str:
-    """A pattern for a path that goes through the steps in order and ends in the last."""
-    return "(^|.*\\|)" + "\\|(.*\\|)?".join(_step(s) if "." in s else f"{s}(\\.[^|]*)?" for s in steps) + "$"
+def _found(name: str) -> Column:
+    """What the page walk found under a name, null if nothing."""
+    return F.try_element_at(F.col("_found"), F.lit(name))
 
 
 @dataclass(frozen=True)
@@ -73,32 +53,20 @@ def _with(found: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def _books_columns(found: DataFrame) -> DataFrame:
-    """Table cells by heading, and the site's elements."""
-    nodes = F.col("_nodes")
-    is_books = F.col("_source") == "books_to_scrape"
-    found = _with(found, {"_cells": F.when(is_books, F.filter(nodes, lambda n: n["tag"].isin("th", "td") & n["path"].rlike(_under("table.table-striped", "tr", "t[hd]"))))})
-    heads = F.filter("_cells", lambda n: n["tag"] == "th")
-    found = _with(found, {"_heads": heads, "_data": F.filter("_cells", lambda n: n["tag"] == "td")})
-
-    def cell(name: str) -> Column:
-        # The last row of that heading counts, as in a dictionary.
-        row = F.try_element_at(F.filter("_heads", lambda n: n["text"] == name), F.lit(-1))["row"]
-        return _pick(F.col("_data"), lambda n: n["row"] == row)["text"]
-
-    of = lambda *steps: F.when(is_books, _pick(nodes, lambda n: n["path"].rlike(_under(*steps))))
-    found = _with(found, {
-        "_upc": cell("UPC"), "_kind": cell("Product Type"), "_in_stock": cell("Availability"), "_taxed": cell("Price (incl. tax)"), "_main": of(".product_main", "h1")["text"],
-        "_stock_line": of(".availability")["text"], "_price_line": of(".price_color")["text"], "_shown": _attr(of(".item.active", "img"), "src"),
+    """The site's price and stock: the table's cell, or else the line beside the title."""
+    return _with(found, {
+        "_site_price": F.coalesce(_full(_found("cell:Price (incl. tax)")), _found("site:price")),
+        "_site_stock": F.coalesce(_full(_found("cell:Availability")), _found("site:stock")),
     })
-    return _with(found, {"_site_price": F.coalesce(_full(F.col("_taxed")), F.col("_price_line")), "_site_stock": F.coalesce(_full(F.col("_in_stock")), F.col("_stock_line"))})
 
 
 def _books_rules() -> list[Evidence]:
-    c, price = F.col, F.col("_site_price")
+    #: Confidences and selectors of the site's rules.
+    price = F.col("_site_price")
     rows = [
-        ("title", c("_main"), 0.97, ".product_main h1"), ("external_id", c("_upc"), 0.99, "table:UPC"), ("category", c("_kind"), 0.96, "table:Product Type"),
-        ("availability", c("_site_stock"), 0.96, "table:Availability"), ("price_amount", price_amount(price), 0.98, "table:Price (incl. tax)"),
-        ("currency", price_currency(price, F.lit(None).cast("string")), 0.98, "table:Price (incl. tax)"), ("image_url", c("_shown"), 0.95, ".item.active img"),
+        ("title", _found("site:main"), 0.97, ".product_main h1"), ("external_id", _found("cell:UPC"), 0.99, "table:UPC"), ("category", _found("cell:Product Type"), 0.96, "table:Product Type"),
+        ("availability", F.col("_site_stock"), 0.96, "table:Availability"), ("price_amount", price_amount(price), 0.98, "table:Price (incl. tax)"),
+        ("currency", price_currency(price, F.lit(None).cast("string")), 0.98, "table:Price (incl. tax)"), ("image_url", _found("site:shown@src"), 0.95, ".item.active img"),
     ]
     return [Evidence(f, v, "source_selector", k, s) for f, v, k, s in rows]
 
@@ -108,19 +76,11 @@ SITES = {"books_to_scrape": (_books_columns, _books_rules)}
 
 
 def _semantic_columns(found: DataFrame) -> DataFrame:
-    nodes = F.col("_nodes")
-    meta = lambda p: _pick(nodes, lambda n: (n["tag"] == "meta") & _has(n, "property", p))
-    found = _with(found, {
-        "_og": meta("og:title"), "_h1": _pick(nodes, lambda n: n["tag"] == "h1")["text"], "_og_image": _attr(meta("og:image"), "content"),
-        "_price": _pick(nodes, lambda n: _has(n, "itemprop", "price") | ((n["tag"] == "meta") & _has(n, "property", "product:price:amount")) | _has(n, "data-price")),
-        "_money": _attr(_pick(nodes, lambda n: _has(n, "itemprop", "priceCurrency") | ((n["tag"] == "meta") & _has(n, "property", "product:price:currency"))), "content"),
-        "_stock": _pick(nodes, lambda n: _has(n, "itemprop", "availability") | _has(n, "data-availability")),
-        "_canonical": _attr(_pick(nodes, lambda n: (n["tag"] == "link") & _has(n, "rel", "canonical")), "href"),
-    })
-    first = lambda node, *names: F.coalesce(*(_full(_attr(node, n)) for n in names), node["text"])
+    first = lambda name, *attrs: F.coalesce(*(_full(_found(f"{name}@{a}")) for a in attrs), _found(name))
     return _with(found, {
-        "_amount": first(F.col("_price"), "content", "data-price"), "_state": first(F.col("_stock"), "content", "href", "data-availability"),
-        "_title": F.when(F.col("_og").isNotNull(), _attr(F.col("_og"), "content")).otherwise(F.col("_h1")),
+        "_amount": first("amount", "content", "data-price"), "_money": _found("money@content"), "_state": first("state", "content", "href", "data-availability"),
+        "_title": F.when(_found("og:title").isNotNull(), _found("og:title@content")).otherwise(_found("h1")),
+        "_og_image": _found("og:image@content"), "_canonical": _found("canonical@href"),
     })
 
 
@@ -154,7 +114,7 @@ def parse_products(pages: DataFrame, url: str = "url", html: str = "html", sourc
     A page without a title is no product: its product columns are null and its one warning says so.
     """
     found = pages.withColumns({"_facts": page_facts(F.col(html)), "_url": F.col(url), "_source": F.col(source)})
-    found = _with(found, {"_nodes": F.coalesce(F.col("_facts.nodes"), F.array()), "_linked": F.col("_facts.linked"), "_print": F.col("_facts.fingerprint"), "_e": F.expr(f"CAST(map() AS {EVIDENCE})")})
+    found = _with(found, {"_found": F.col("_facts.found"), "_linked": F.col("_facts.linked"), "_print": F.col("_facts.fingerprint"), "_e": F.expr(f"CAST(map() AS {EVIDENCE})")})
     found = _lay(found, _linked_rules(), F.col("_linked").isNotNull())
     for name, (columns, rules) in SITES.items():
         found = _lay(columns(found), rules(), F.col("_source") == name)
@@ -175,17 +135,27 @@ def parse_products(pages: DataFrame, url: str = "url", html: str = "html", sourc
     return out.select(*dict.fromkeys([*pages.columns, *(c for c in out.columns if not c.startswith("_"))]))
 
 
+def parse_rendered(pages: DataFrame, mode: str = "mode", rendered: str = "rendered", url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
+    """Products of pages as fetched; where the mode or a poor coverage asks for rendering, those of the rendered page, if there is one.
+
+    ``was_rendered`` says which. Only pages that need it are parsed twice, in one pass over the rows.
+    """
+    once = parse_products(pages, url, html, source)
+    names = [c for c in once.columns if c not in pages.columns]
+    held = once.select(*pages.columns, F.struct(*names).alias("_first"))
+    held = held.withColumn("_again", F.coalesce(needs_browser(F.col(mode), F.col("_first.required_field_coverage")), F.lit(False)))
+    held = held.withColumn("_page", F.when(F.col("_again"), F.coalesce(rendered, html)))  # null, and so parsed at no cost, where once was enough
+    twice = parse_products(held, url, "_page", source)
+    chosen = [F.when(F.col("_again"), F.col(c)).otherwise(F.col("_first")[c]).alias(c) for c in names]
+    return twice.select(*pages.columns, *chosen, (F.col("_again") & F.col(rendered).isNotNull()).alias("was_rendered"))
+
+
 def discover_links(pages: DataFrame, key: str, url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
     """``key, position, link``: absolute product links, each once, in document order."""
-    nodes = page_facts(F.col(html))["nodes"]
-    listing = pages.select(key, F.col(url).alias("_base"), (F.col(source) == "books_to_scrape").alias("_books"), nodes.alias("_n"))
-    books = F.filter("_n", lambda n: n["path"].rlike(_under("article.product_pod", "h3", "a")))
-    plain = F.filter("_n", lambda n: (n["tag"] == "a") & (_has(n, "data-product-url") | _has(n, "rel", "product")))
-    refs = F.transform(F.when(F.col("_books"), books).otherwise(plain), lambda n: F.coalesce(_full(_attr(n, "href")), _full(_attr(n, "data-product-url"))))
+    listing = pages.select(key, F.col(url).alias("_base"), (F.col(source) == "books_to_scrape").alias("_books"), page_facts(F.col(html)).alias("_f"))
+    refs = F.when(F.col("_books"), F.col("_f.site_links")).otherwise(F.col("_f.links"))
     each = listing.select(key, "_base", F.posexplode(refs).alias("_at", "_ref")).filter(F.col("_ref").isNotNull())
-    each = each.withColumn("link", url_join(F.col("_base"), F.col("_ref"))).groupBy(key, "link").agg(F.min("_at").alias("_at"))
-    from pyspark.sql import Window
-
+    each = each.withColumn("link", url_join(F.col("_base"), F.col("_ref"))).filter(F.col("link").isNotNull()).groupBy(key, "link").agg(F.min("_at").alias("_at"))
     return each.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("position"), "link")
 
 

@@ -81,10 +81,30 @@ def target_states(attempts: DataFrame) -> DataFrame:
     return ended.select("target_id", F.coalesce("e", F.col("l.attempt")).alias("attempts"), F.coalesce(F.col("f.state"), F.col("l.state")).alias("status"))
 
 
+def first_reviews(existing: DataFrame, candidates: DataFrame, order: list) -> DataFrame:
+    """Of review candidates for products that have no review yet, the first of each; a review is never replaced."""
+    return first_write(insert_absent(existing, candidates, ["product_id"]), ["product_id"], order)
+
+
 def retries(targets: DataFrame, as_of: Column, delay: Column) -> DataFrame:
-    """Outbox rows for targets in state retrying, visible when their delay is over."""
+    """Outbox rows for targets in state retrying, each with its next attempt, visible when the delay is over."""
     due = F.timestamp_micros(F.unix_micros(as_of) + (delay * 1_000_000).cast("long"))
-    return targets.filter("status = 'retrying'").select(F.sha2(F.concat_ws("|", "target_id", "attempts"), 256).alias("id"), "target_id", due.alias("available_at"), F.lit(None).cast("timestamp").alias("published_at"), as_of.alias("created_at"))
+    payload = F.struct("target_id", (F.col("attempts") + 1).alias("attempt"))
+    return targets.filter("status = 'retrying'").select(
+        F.sha2(F.concat_ws("|", "target_id", "attempts"), 256).alias("id"), "target_id", payload.alias("payload"), due.alias("available_at"),
+        F.lit(None).cast("timestamp").alias("published_at"), as_of.alias("created_at"),
+    )
+
+
+def publish(outbox: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Messages for all due rows, and the outbox with these marked.
+
+    Messages are delivered before the mark is stored, so a crash between the two delivers them
+    again: at least once, with the same ids, which a sink that drops repeats makes once.
+    """
+    due = F.col("published_at").isNull() & (F.col("available_at") <= as_of)
+    marked = outbox.withColumn("published_at", F.when(due, as_of).otherwise(F.col("published_at")))
+    return outbox.filter(due), marked
 
 
 def resolve_reviews(reviews: DataFrame, actions: DataFrame, as_of: Column) -> DataFrame:

@@ -115,3 +115,19 @@ def product_output(products: DataFrame, attempts: DataFrame, reviews: DataFrame)
     r = reviews.select(F.col("product_id").alias("r_product"), F.col("id").alias("review_id"), F.col("reason").alias("review_reason"), F.col("status").alias("review_status"))
     out = products.join(n, "target_id", "left").join(r, F.col("id") == F.col("r_product"), "left").drop("r_product")
     return out.withColumns({"required_field_coverage": present / float(len(fields)), "fetch_attempts": F.coalesce("fetch_attempts", F.lit(0)), "review_required": F.col("review_id").isNotNull()})
+
+
+def run_durations(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each run's number of targets, and seconds from its creation to its last target's update, not below 0; null without targets."""
+    ends = targets.groupBy("run_id").agg(F.count("*").alias("targets"), F.max(F.unix_micros("updated_at")).alias("_end"))
+    out = runs.join(ends, runs["id"] == ends["run_id"], "left")
+    seconds = F.round((F.col("_end") - F.unix_micros("created_at")) / 1e6, 3)
+    return out.select("id", F.coalesce("targets", F.lit(0)).alias("targets"), F.greatest(seconds, F.lit(0.0)).alias("duration_seconds"))
+
+
+def throughput(attempts: DataFrame, by: str, target: str, latency_ms: str, floor: float = 0.001) -> DataFrame:
+    """Fetches a second by ``by``: one after another, and with all targets at once; times count as ``floor`` seconds at least."""
+    each = attempts.groupBy(by, target).agg(F.count("*").alias("_n"), F.sum(latency_ms).alias("_ms"))
+    out = each.groupBy(by).agg(F.sum("_n").alias("n"), (F.sum("_ms") / 1000).alias("_total"), (F.max("_ms") / 1000).alias("_longest"))
+    total, longest = F.greatest("_total", F.lit(floor)), F.greatest("_longest", F.lit(floor))
+    return out.select(by, "n", F.round(F.col("n") / total, 3).alias("sequential_per_second"), F.round(F.col("n") / longest, 3).alias("concurrent_per_second"), F.round(total / longest, 3).alias("speedup"))

@@ -231,24 +231,48 @@ def availability_norm(spark: SparkSession, sf: str) -> DataFrame:
     return V.read(spark, sf, "part").select("p_partkey", S.availability(s).alias("availability"))
 
 
-_URLS = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'http://10.0.0.' || page_id % 250 || '/x' WHEN 2 THEN 'file:///etc/passwd' WHEN 3 THEN 'http://127.0.0.1/admin' ELSE 'http://93.184.216.' || page_id % 250 || '/' END"
+#: Hosts and what the policy says of them without an allowlist: names and public addresses may be fetched.
+_HOSTS = {
+    "shop.example": None, "93.184.216.7": None, "[2606:2800:220::1]": None, "10.0.0.8": "private_address", "127.0.0.1": "private_address", "[0:0:0:0:0:0:0:1]": "private_address",
+    "[64:ff9b::7f00:1]": "private_address", "[fec0::1]": "private_address", "[100::1]": "private_address", "2130706433": "private_address", "0x7f.1": "private_address",
+    "[::ffff:10.0.0.1]": "private_address", "[2002:7f00:1::]": "private_address", "169.254.1.1": "private_address", "100.64.0.1": "private_address",
+}
+_HOST_LIST = list(_HOSTS)
+
+
+def _url_of(k, hosts: list[str]):
+    host = F.element_at(F.array(*map(F.lit, hosts)), (F.pmod(k, F.lit(len(hosts))) + 1).cast("int"))
+    return F.when(k % 17 == 0, "file:///etc/passwd").otherwise(F.concat(F.lit("http://"), host, F.lit("/p/"), k.cast("string")))
+
+
+_HOST_ROWS = ", ".join(f"({k}, '{h}', " + (f"'{e}'" if e else "NULL") + ")" for k, (h, e) in enumerate(_HOSTS.items()))
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN s LIKE 'file:%' THEN 'invalid_url' WHEN page_id % 2 = 1 AND NOT regexp_matches(s, '^https?://(10|127|93)\\.') THEN 'host_not_allowed'
-      WHEN s LIKE 'http://10.%' OR s LIKE 'http://127.%' THEN CASE WHEN page_id % 2 = 1 THEN 'host_not_allowed' ELSE 'private_address' END
-      WHEN page_id % 2 = 1 THEN 'host_not_allowed' END AS error FROM (SELECT page_id, {_URLS} AS s FROM pages)"""
+    f"""SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'invalid_url' WHEN page_id % 2 = 1 AND host <> 'shop.example' THEN 'host_not_allowed' ELSE error END AS error
+      FROM pages JOIN (VALUES {_HOST_ROWS}) h(k, host, error) ON page_id % {len(_HOSTS)} = k"""
 )
 def url_policy(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("page_id") % 5
-    n = (F.col("page_id") % 250).cast("string")
-    s = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("http://10.0.0."), n, F.lit("/x"))).when(k == 2, "file:///etc/passwd").when(k == 3, "http://127.0.0.1/admin").otherwise(F.concat(F.lit("http://93.184.216."), n, F.lit("/")))
-    closed, open_ = S.url_policy(s, ["shop.example"]), S.url_policy(s, [])
-    return V.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, closed).otherwise(open_).alias("error"))
+    u = V.read(spark, sf, "pages").select("page_id", _url_of(F.col("page_id"), _HOST_LIST).alias("u"))
+    closed, open_ = S.url_policy(F.col("u"), ["shop.example"]), S.url_policy(F.col("u"), [])
+    return u.select("page_id", F.when(F.col("page_id") % 2 == 1, closed).otherwise(open_).alias("error"))
 
 
 @query(
-    """SELECT id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN status_code = 429 OR status_code >= 400 THEN 'http_' || status_code WHEN k * 100000 > 5000000 THEN 'response_too_large' ELSE 'ok' END AS outcome,
+    """SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'dns_error' WHEN 2 THEN 'private_address' END AS error FROM pages"""
+)
+def url_policy_dns(spark: SparkSession, sf: str) -> DataFrame:
+    """Names judged by a table of their addresses: public ones, none, a private one among public ones, IPv6."""
+    rows = [("a.example", ["93.184.216.7", "2606:2800:220::1"]), ("b.example", []), ("c.example", ["93.184.216.7", "10.1.1.1"]), ("d.example", ["2606:2800:220::9"])]
+    known = spark.createDataFrame(rows, "host string, addresses array<string>")
+    host = F.element_at(F.array(*(F.lit(h) for h, _ in rows)), (F.col("page_id") % 4 + 1).cast("int"))
+    u = V.read(spark, sf, "pages").select("page_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/x")).alias("u"))
+    u = u.join(F.broadcast(known), "host", "left")
+    return u.select("page_id", S.url_policy(F.col("u"), [], addresses=F.col("addresses")).alias("error"))
+
+
+@query(
+    """SELECT id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN k * 100000 > 5000000 THEN 'response_too_large' WHEN status_code = 429 OR status_code >= 400 THEN 'http_' || status_code ELSE 'ok' END AS outcome,
       status_code = 429 OR status_code >= 500 AS transient FROM attempts_v""",
     "attempts",
 )
@@ -382,6 +406,62 @@ def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.groupBy("run_id", "attempt").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT target_id AS product_id, arg_min(id, (created_at, id)) AS id FROM attempts_v a WHERE status_code >= 400 AND NOT EXISTS (SELECT 1 FROM reviews_v r WHERE r.product_id = a.target_id AND r.reason = 'low_confidence') GROUP BY 1""",
+    "attempts", "reviews",
+)
+def review_insert_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """A product's first review stays for good: candidates for products without one, the earliest of each."""
+    there = V.reviews(spark, sf).filter("reason = 'low_confidence'").select("product_id")
+    candidates = V.attempts(spark, sf).filter("status_code >= 400").select(F.col("target_id").alias("product_id"), "id", "created_at")
+    return lifecycle.first_reviews(there, candidates, ["created_at", "id"]).select("product_id", "id")
+
+
+@query(
+    f"""SELECT target_id, attempts, epoch_us(TIMESTAMP '{AS_OF}') + (least(0.25 * pow(2.0, attempts - 1), 30.0) * 1000000)::BIGINT AS due_us FROM (
+      SELECT target_id, coalesce(min(attempt) FILTER (state IN ('succeeded', 'blocked')), max(attempt)) AS attempts,
+        coalesce(arg_min(state, attempt) FILTER (state IN ('succeeded', 'blocked')), arg_max(state, attempt)) AS status
+      FROM (SELECT *, {_STATE} AS state FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v)) GROUP BY 1) WHERE status = 'retrying'""",
+    "attempts",
+)
+def retry_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets that failed for now are put into the outbox again, due after their backoff."""
+    t = lifecycle.target_states(_states(spark, sf))
+    delay = S.backoff(F.col("attempts"), F.lit(None).cast("double"), jitter=0.0)
+    box = lifecycle.retries(t, F.lit(AS_OF).cast("timestamp"), delay)
+    return box.select("target_id", F.col("payload.attempt").cast("long").alias("next"), F.unix_micros("available_at").alias("due_us")).select("target_id", (F.col("next") - 1).alias("attempts"), "due_us")
+
+
+_DUE = f"event_type <> 'purchase' AND created_at + to_seconds(k * 60) <= TIMESTAMP '{AS_OF}'"
+
+
+@query(f"SELECT id, event_type = 'purchase' OR ({_DUE}) AS published, coalesce({_DUE}, false) AS sent FROM attempts_v", "attempts")
+def publish_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """All due rows are sent, then marked; a crash between the two sends them again, and the sink drops the repeat."""
+    a = V.attempts(spark, sf)
+    box = a.withColumn("published_at", F.when(F.col("event_type") == "purchase", F.col("created_at"))).withColumn("available_at", F.timestamp_micros(F.unix_micros("created_at") + F.col("k").cast("long") * 60_000_000))
+    messages, marked = lifecycle.publish(box, F.lit(AS_OF).cast("timestamp"))
+    sent = messages.select(F.col("id").alias("m_id"), F.lit(True).alias("sent"))
+    out = marked.join(sent, F.col("id") == F.col("m_id"), "left")
+    return out.select("id", F.col("published_at").isNotNull().alias("published"), F.coalesce("sent", F.lit(False)).alias("sent"))
+
+
+@query("SELECT r.id, count(t.id) AS targets, greatest(round((max(epoch_us(t.updated_at)) - min(epoch_us(r.created_at))) / 1e6, 3), 0.0) AS duration_seconds FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY 1", "runs", "targets")
+def run_durations(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.run_durations(V.runs(spark, sf), V.targets(spark, sf))
+
+
+@query(
+    """SELECT connector, n, round(n / greatest(total, 0.001), 3) AS sequential_per_second, round(n / greatest(longest, 0.001), 3) AS concurrent_per_second, round(greatest(total, 0.001) / greatest(longest, 0.001), 3) AS speedup
+      FROM (SELECT connector, count(*) AS n, sum(latency_ms) / 1000 AS total, max(s) / 1000 AS longest FROM (SELECT connector, latency_ms, sum(latency_ms) OVER (PARTITION BY target_id) AS s FROM attempts_v JOIN hosts_v h ON target_id = h.id) GROUP BY 1)""",
+    "attempts", "hosts",
+)
+def fetch_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Fetches a second one after another, and with all targets at once: as fast as the slowest target."""
+    tried = V.attempts(spark, sf).join(V.hosts(spark, sf).select(F.col("id").alias("h"), "connector"), F.col("target_id") == F.col("h"))
+    return reads.throughput(tried, "connector", "target_id", "latency_ms")
+
+
 # ------------------------------------------------------------------------------------ quality
 
 
@@ -418,54 +498,68 @@ def _pages_of_parts(spark: SparkSession, sf: str, variant: str, source: str = "g
     return fixtures.product_pages(V.read(spark, sf, "part"), variant, "p_partkey", "p_name", None, source)
 
 
+#: The start tags of each fixture page, counted by hand: what its fingerprint is made of.
+_TAGS = {
+    "jsonld": "a:1 body.shop:1 h1:1 head:1 html:1 link:1 meta:1 nav.top:1 p:1 script:1 section.detail.wide:1 title:1",
+    "selector": "body.shop:1 div.active.item.slide:1 div.carousel:1 div.item.slide:1 div.product_main.two-columns:1 h1:1 head:1 html:1 img:2 link:1 meta:1 p.availability.instock:1 p.big.price_color:1 table.facts.table-striped:1 tbody:1 td:5 th:5 title:1 tr:5",
+    "semantic": "body:1 head:1 html:1 link:2 main.card.new:1 meta:3 p:1 span.money:1 title:1",
+    "missing": "body:1 h1.name:1 head:1 html:1 link:1 main.card:1 meta:1 p:1 title:1",
+    "malformed": "b:1 body:1 h1:1 head:1 html:1 i:2 link:1 main:1 meta:1 script:1 title:1",
+}
+
+
+def _print_of(variant: str) -> str:
+    return f"left(sha256('{_TAGS[variant].replace(' ', '|')}'), 16)"
+
+
 _SHOWN = ["id", "external_id", "title", "price_amount", "currency", "availability", "brand", "category", "canonical_url", "image_url", "confidence", "required_field_coverage"]
-_PART = "SELECT p_partkey AS id, {external} AS external_id, p_name AS title, (10 + p_partkey % 80) || '.90' AS price_amount, '{currency}' AS currency, '{stock}' AS availability, {brand} AS brand, {category} AS category, {canonical} AS canonical_url, {image} AS image_url, {confidence}::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, '{fp}' AS dom_fingerprint FROM part"
-_URL = "'https://shop.example/products/' || p_partkey"
-_IMAGE = "'https://shop.example/images/' || p_partkey || '.jpg'"
+_PART = "SELECT p_partkey AS id, {external} AS external_id, p_name AS title, (5 + p_partkey % 190) || '.49' AS price_amount, '{currency}' AS currency, '{stock}' AS availability, {brand} AS brand, {category} AS category, {canonical} AS canonical_url, {image} AS image_url, {confidence}::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, {fp} AS dom_fingerprint FROM part"
+_URL = "'https://shop.example/items/' || p_partkey"
+_IMAGE = "'https://shop.example/media/' || p_partkey || '.webp'"
 
 
-@query(_PART.format(external="'SKU-' || p_partkey", currency="USD", stock="InStock", brand="'Forge Labs'", category="'Fixture'", canonical=_URL, image=_IMAGE, confidence="0.985", fp="3fa5dc9e52eb63dd"))
+@query(_PART.format(external="'QF-' || p_partkey", currency="EUR", stock="LimitedAvailability", brand="'Quill & Fern'", category="'Homeware'", canonical=_URL, image=_IMAGE, confidence="0.985", fp=_print_of("jsonld")))
 def parse_product_jsonld(spark: SparkSession, sf: str) -> DataFrame:
     return extract.parse_products(_pages_of_parts(spark, sf, "jsonld")).select(*_SHOWN, "dom_fingerprint")
 
 
-@query(_PART.format(external="'UPC-' || p_partkey", currency="GBP", stock="In stock (7 available)", brand="NULL", category="'Fixture'", canonical=_URL, image=_IMAGE, confidence="0.97", fp="84428721703b8bb3"))
+@query(_PART.format(external="'U' || p_partkey", currency="GBP", stock="Low stock (3 left)", brand="NULL", category="'Homeware'", canonical=_URL, image=_IMAGE, confidence="0.97", fp=_print_of("selector")))
 def parse_product_selector(spark: SparkSession, sf: str) -> DataFrame:
     return extract.parse_products(_pages_of_parts(spark, sf, "selector", "books_to_scrape")).select(*_SHOWN, "dom_fingerprint")
 
 
-@query(_PART.format(external=_URL, currency="USD", stock="InStock", brand="NULL", category="NULL", canonical=_URL, image=_URL, confidence="0.832", fp="18fdf70e66a429aa"))
+@query(_PART.format(external=_URL, currency="EUR", stock="PreOrder", brand="NULL", category="NULL", canonical=_URL, image=_URL, confidence="0.832", fp=_print_of("semantic")))
 def parse_product_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.parse_products(_pages_of_parts(spark, sf, "drift")).select(*_SHOWN, "dom_fingerprint")
+    return extract.parse_products(_pages_of_parts(spark, sf, "semantic")).select(*_SHOWN, "dom_fingerprint")
 
 
-@query("SELECT p_partkey AS id, p_name AS title, 0.83::DOUBLE AS confidence, 0.25::DOUBLE AS required_field_coverage, 'missing_price_amount,missing_currency,missing_availability' AS warnings, '7685a8cbbe2ce919' AS dom_fingerprint FROM part")
+@query(f"SELECT p_partkey AS id, p_name AS title, 0.83::DOUBLE AS confidence, 0.25::DOUBLE AS required_field_coverage, 'missing_price_amount,missing_currency,missing_availability' AS warnings, {_print_of('missing')} AS dom_fingerprint FROM part")
 def parse_product_missing(spark: SparkSession, sf: str) -> DataFrame:
     p = extract.parse_products(_pages_of_parts(spark, sf, "missing"))
     return p.select("id", "title", "confidence", "required_field_coverage", F.array_join("warnings", ",").alias("warnings"), "dom_fingerprint")
 
 
-@query("SELECT p_partkey AS id, p_name AS title, 0.832::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, '35e6b857401524ec' AS dom_fingerprint FROM part")
+@query(f"SELECT p_partkey AS id, p_name AS title, 0.832::DOUBLE AS confidence, 1.0::DOUBLE AS required_field_coverage, {_print_of('malformed')} AS dom_fingerprint FROM part")
 def parse_product_malformed(spark: SparkSession, sf: str) -> DataFrame:
     return extract.parse_products(_pages_of_parts(spark, sf, "malformed")).select("id", "title", "confidence", "required_field_coverage", "dom_fingerprint")
 
 
 @query(
-    """SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS position, unnest(['title', 'price_amount', 'currency', 'availability']) AS field, unnest([p_name, (10 + p_partkey % 80) || '.90', 'USD', 'InStock']) AS value,
+    """SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS position, unnest(['title', 'price_amount', 'currency', 'availability']) AS field, unnest([p_name, (5 + p_partkey % 190) || '.49', 'EUR', 'PreOrder']) AS value,
       unnest(['semantic_fallback', 'semantic_fallback', 'semantic_fallback', 'semantic_fallback']) AS method, unnest(['og:title|h1', 'itemprop=price', 'itemprop=priceCurrency', 'itemprop=availability']) AS selector, unnest([0.86::DOUBLE, 0.84, 0.84, 0.82]) AS confidence FROM part"""
 )
 def evidence_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.explode_evidence(extract.parse_products(_pages_of_parts(spark, sf, "drift")), "id")
+    return quality.explode_evidence(extract.parse_products(_pages_of_parts(spark, sf, "semantic")), "id")
 
 
 @query("SELECT 4 * count(*) AS expected, 4 * count(*) AS present FROM part")
 def required_field_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     p = extract.parse_products(_pages_of_parts(spark, sf, "jsonld"))
-    right = (F.col("title") == F.col("title_in")).cast("long") + (F.col("price_amount") == F.col("price_in")).cast("long") + (F.col("currency") == "USD").cast("long") + (F.col("availability") == "InStock").cast("long")
+    right = (F.col("title") == F.col("title_in")).cast("long") + (F.col("price_amount") == F.col("price_in")).cast("long") + (F.col("currency") == "EUR").cast("long") + (F.col("availability") == "LimitedAvailability").cast("long")
     return p.agg((F.count("*") * len(REQUIRED_FIELDS)).alias("expected"), F.sum(right).alias("present"))
 
 
-@query("SELECT p_partkey AS id, unnest([1, 2])::BIGINT AS position, 'https://shop.example/products/' || unnest([p_partkey, p_partkey + 1]) AS link FROM part")
+@query("SELECT p_partkey AS id, unnest([1, 2])::BIGINT AS position, 'https://shop.example/items/' || unnest([p_partkey, p_partkey + 1]) || '/' AS link FROM part")
 def link_discovery(spark: SparkSession, sf: str) -> DataFrame:
     found = extract.discover_links(_pages_of_parts(spark, sf, "listing", "books_to_scrape"), "id")
     return found.withColumn("position", F.col("position").cast("long"))
@@ -474,7 +568,7 @@ def link_discovery(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN 'json_ld' ELSE 'semantic_fallback' END AS path, CASE p_partkey % 2 WHEN 0 THEN 'eligible' ELSE 'review' END AS decision FROM part")
 def preview_decision(spark: SparkSession, sf: str) -> DataFrame:
     both = None
-    for r, variant in enumerate(("jsonld", "drift")):
+    for r, variant in enumerate(("jsonld", "semantic")):
         p = _pages_of_parts(spark, sf, variant).filter(F.col("id") % 2 == r)
         both = p if both is None else both.unionByName(p)
     e = extract.parse_products(both)
@@ -482,6 +576,16 @@ def preview_decision(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("id", F.array_join(extract.extraction_path(F.col("field_evidence"), list(REQUIRED_FIELDS)), ",").alias("path"), extract.decision(F.col("title"), reason).alias("decision"))
 
 
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS title, p_partkey % 3 < 2 AS was_rendered, CASE WHEN p_partkey % 3 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS required_field_coverage FROM part"""
+)
+def rendered_reparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Script-built pages: rendered where the mode is automatic or a browser, parsed as fetched where it is plain HTTP."""
+    pages = fixtures.rendered_pages(V.read(spark, sf, "part"), "p_partkey", "p_name")
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("browser"), F.lit("http")), (F.col("id") % 3 + 1).cast("int"))
+    return extract.parse_rendered(pages.withColumn("mode", mode)).select("id", "title", "was_rendered", "required_field_coverage")
+
+
 @query("SELECT page_id, url, NOT regexp_matches(url, '^https?://[^/]+/blocked') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://shop.example/blocked/' || page_id ELSE 'https://shop.example/p/' || page_id END AS url FROM pages)")
 def robots_policy(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.page_facts import robots_allowed
@@ -523,7 +627,22 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.col("target_id").cast("string").alias("host"), "id", (F.unix_micros("created_at") / 1e6).alias("at"), reliability.effect(F.col("status_code"), F.lit(None).cast("string")).alias("effect"))
 
 
-@query()
+_DENIED = "(w.state = 'open' AND r.at - w.opened < 7200)"
+_TRIPS = "(r.effect = 'failure' AND (w.state <> 'closed' OR w.failures + 1 >= 2))"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT target_id::VARCHAR AS host, id, epoch_us(created_at) / 1e6 AS at, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS rn,
+        CASE WHEN status_code = 429 OR status_code >= 500 THEN 'failure' WHEN status_code BETWEEN 200 AND 399 THEN 'success' ELSE 'neutral' END AS effect FROM attempts_v),
+      w AS (SELECT DISTINCT host, 0::BIGINT AS rn, 0::BIGINT AS id, true AS allowed, 'closed' AS state, 0 AS failures, 0.0::DOUBLE AS opened FROM r
+        UNION ALL SELECT r.host, r.rn, r.id, NOT {_DENIED},
+          CASE WHEN {_DENIED} OR {_TRIPS} THEN 'open' WHEN r.effect = 'success' THEN 'closed' WHEN w.state = 'open' THEN 'half_open' ELSE w.state END,
+          CASE WHEN {_DENIED} THEN w.failures WHEN r.effect = 'success' THEN 0 WHEN r.effect = 'failure' THEN w.failures + 1 ELSE w.failures END,
+          CASE WHEN {_TRIPS} AND NOT {_DENIED} THEN r.at ELSE w.opened END
+        FROM w JOIN r ON r.host = w.host AND r.rn = w.rn + 1)
+      SELECT host, id, allowed, state, failures FROM w WHERE rn > 0""",
+    "attempts",
+)
 def circuit_replay(spark: SparkSession, sf: str) -> DataFrame:
     return reliability.replay(_requests(spark, sf), threshold=2, timeout=7200.0)
 

@@ -106,4 +106,7 @@ SQL = {
 def sql(query: str, *names: str) -> str:
     """A query with the views that it names in front."""
     own = query.removeprefix("WITH ")
-    return "WITH " + ", ".join(f"{n}_v AS ({SQL[n]})" for n in names) + (", " if own != query else " ") + own
+    first = "WITH RECURSIVE " if own.startswith("RECURSIVE ") else "WITH "
+    if own.startswith("RECURSIVE "):
+        return first + ", ".join(f"{n}_v AS ({SQL[n]})" for n in names) + ", " + own.removeprefix("RECURSIVE ")
+    return first + ", ".join(f"{n}_v AS ({SQL[n]})" for n in names) + (", " if own != query else " ") + own

@@ -19,21 +19,18 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_each: int
 
 
 def process(messages: DataFrame, out: str, checkpoint: str, apply, key: str = "id") -> None:
-    """Run ``apply`` on each micro-batch until the input is used up and append each key's first result to ``out``.
+    """Run ``apply`` on the stream until the input is used up and append each key's first result to ``out``.
 
-    A batch goes to a folder of its own number that a repeated batch overwrites, and rows whose key
-    an earlier batch has written are left out, so redelivered messages change nothing.
+    Keys seen are the stream's state, so a batch costs what it holds, whatever came before; a batch
+    goes to a folder of its own number that a repeated batch overwrites. Redelivered messages,
+    in one batch or in several, change nothing.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = apply(batch).dropDuplicates([key])
-        if number:
-            done = spark.read.parquet(*(f"{out}/batch={n}" for n in range(number))).select(key)
-            fresh = fresh.join(done, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    once = apply(messages).dropDuplicates([key])
+    query = once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -63,8 +60,12 @@ def deliver(rows: DataFrame, path: str, parts: int) -> None:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place of the session (its checkpoint dir), or in the warehouse."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    """A fresh folder in the shared place of the session (its checkpoint dir), or on one machine in the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
     return f"{shared.rstrip('/')}/ingest/{name}-{uuid.uuid4().hex}"
 
 

@@ -164,10 +164,43 @@ def test_validation(spark):
     assert [r[0] for r in notes.select(schemas.valid_resolution(F.col("a"), F.col("n"))).collect()] == [True, False, False, False]
 
 
-def test_golden_fingerprints(spark):
-    want = {"jsonld": "3fa5dc9e52eb63dd", "drift": "18fdf70e66a429aa", "selector": "84428721703b8bb3", "missing": "7685a8cbbe2ce919", "malformed": "35e6b857401524ec"}
+def test_fixture_variants(spark):
     one = spark.range(41, 42)
-    for variant, fp in want.items():
+    for variant in fixtures.VARIANTS:
         page = fixtures.product_pages(one, variant, "id")
-        assert quality.fingerprint(page, "id").collect()[0]["dom_fingerprint"] == fp
-        assert extract.parse_products(page).collect()[0]["dom_fingerprint"] == fp
+        parsed = extract.parse_products(page).collect()[0]
+        assert parsed["dom_fingerprint"] == quality.fingerprint(page, "id").collect()[0]["dom_fingerprint"]
+        assert (parsed["title"] is None) == (variant in ("dynamic", "listing", "selector") and variant != "selector")
+    tries = fixtures.unstable_responses(one, "id", 2).orderBy("attempt").collect()
+    assert [r["status_code"] for r in tries] == [429, 429, 200] and [r["html"] is None for r in tries] == [True, True, False]
+
+
+def test_odd_pages_give_nulls_and_no_failure(spark):
+    deep = '<script type="application/ld+json">' + "[" * 100_000 + "]" * 100_000 + "</script><h1>Deep</h1>"
+    pages = [
+        ("https://x.example/a", deep), ("https://x.example/b", '<link rel="canonical" href="http://[x/"><h1>Bad</h1>'), (None, "<h1>No URL</h1>"),
+        ("https://x.example/c", '<div class="a|b product_main"><h1>Bars</h1></div><p class="x|y price_color">£5.00</p>'), ("https://x.example/d", "<div>" * 30_000 + "<h1>Low</h1>"),
+    ]
+    df = spark.createDataFrame([(u, "books_to_scrape", h) for u, h in pages], "url string, source string, html string")
+    got = extract.parse_products(df).select("title", "canonical_url", "price_amount").collect()
+    assert [tuple(r) for r in got] == [("Deep", "https://x.example/a", None), ("Bad", "https://x.example/b", None), ("No URL", None, None), ("Bars", "https://x.example/c", "5.00"), ("Low", "https://x.example/d", None)]
+    rules = spark.createDataFrame([("User-agent: *\nDisallow: /x", None), ("User-agent: *\nDisallow: /x", "https://a/x"), (None, "https://a/x")], "r string, u string")
+    from shelfline.functions.page_facts import robots_allowed
+
+    assert [r[0] for r in rules.select(robots_allowed(F.col("r"), F.lit("bot"), F.col("u"))).collect()] == [None, False, True]
+
+
+def test_size_comes_before_status(spark):
+    df = spark.createDataFrame([(500, 128), (404, 128), (200, 128), (302, 128), (500, 64), (200, 64)], "s int, n int")
+    assert [r[0] for r in df.select(S.http_class(F.col("s"), F.col("n"), 64)).collect()] == ["response_too_large"] * 3 + ["redirect", "http_500", "ok"]
+
+
+def test_stream_drops_repeats_across_batches(spark, tmp_path):
+    from shelfline.streaming import ingest
+
+    rows = spark.createDataFrame([(k % 40, k) for k in range(100)], "id long, v long")
+    ingest.deliver(rows, str(tmp_path / "in"), 6)
+    messages = ingest.message_stream(spark, str(tmp_path / "in"), "id long, v long", 1)
+    for _ in range(2):  # a second start finds nothing new
+        ingest.process(messages, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("id"))
+    assert sorted(r["id"] for r in ingest.results(spark, str(tmp_path / "out")).collect()) == list(range(40))
