@@ -247,13 +247,21 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
 def _labels(plain: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Components of the classes of equal sets as ``x, y, z, component_id``, and every document's sketch."""
     spark = plain.sparkSession
-    sketched = materialise(plain.mapInArrow(_sketch(k, num, den), SKETCH), "sketches")
-    classes = sketched.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value("need").alias("need"), F.any_value("low").alias("low"))
-    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    with scratch() as wide:
+        sketched = materialise(plain.mapInArrow(_sketch(k, num, den), SKETCH), "wide")
+        classes = sketched.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value("need").alias("need"), F.any_value("low").alias("low"))
+        classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # Low shingles are a fifth of all: each table that holds them is dropped once it has been used, and so are shuffles of them.
+    sketched = materialise(sketched.select("doc_id", "n", "key_a", "key_b"), "sketches")
+    drop_folders(spark, wide.folders[:1])
     low = classes.select("cls", F.explode("low").alias("gram"))
     twice = materialise(low.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"), "shared")
+    drop_folders(spark, [])
     able = low.join(twice.hint("merge"), "gram").groupBy("cls").agg(F.count("*").alias("c"))
-    texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").filter("c >= need").select("cls", "doc", "key_a", "key_b", "n"), k)
+    able = materialise(classes.select("cls", "need").join(able.hint("merge"), "cls").filter("c >= need").select("cls"), "able")
+    classes = materialise(classes.drop("need", "low"), "named")
+    drop_folders(spark, wide.folders[1:])
+    texts = _texts_of(plain, classes.join(able.hint("merge"), "cls").select("cls", "doc", "key_a", "key_b", "n"), k)
 
     counted = texts.select("text").mapInArrow(_count(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counter = np.zeros(COUNTERS, np.int64)

@@ -111,7 +111,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def start_model(counts: DataFrame) -> Model:
-    totals = counts.agg(F.sum("n"), F.count("*")).first()
+    totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     words, want = counts.filter(F.col("word") != END), HEAD - 1 + HELD
     # A bound that only a few more words than wanted reach, from a small histogram, so that partitions send the driver these alone.
     step = F.floor(F.log2("n") * 16)
@@ -123,8 +123,7 @@ def start_model(counts: DataFrame) -> Model:
     often = words if bound is None else words.filter(step >= bound)
     often = [tuple(r) for r in often.orderBy(F.desc("n"), "word").limit(want).select("word", "n").collect()]
     head, held = often[: HEAD - 1], often[HEAD - 1 :]
-    end = counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-    head = [(END, end), *head]
+    head = [(END, totals[2] or 0), *head]
     names = counts.sparkSession.createDataFrame([(w,) for w, _ in head], "word string")
     rest = counts.join(F.broadcast(names), "word", "left_anti").groupBy("tail").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"))
     return Model(head, {r["tail"]: (r["n"], r["once"]) for r in rest.collect()}, totals[0] or 0, totals[1], held)
