@@ -23,6 +23,8 @@ from .common import new_folder
 from .tokens import encoder
 
 END_ID = 2
+#: Chunks whose ids a worker keeps while files are written (about 200 bytes each).
+KEPT_CHUNKS = 800_000
 STORED = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("part", T.IntegerType()),
@@ -51,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = encoder(vocabulary, True), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(vocabulary, True, KEPT_CHUNKS), TaskContext.get().partitionId(), 0
         for b in batches:
             ids, counts, held, size = b.column(0), [], [], 0
             rows, first = [], 0

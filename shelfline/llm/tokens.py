@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import kept_for_stage
 
-#: Chunks whose ids a worker keeps, and newer ones that it keeps besides until there are so many.
+#: Chunks whose ids a worker keeps unless told otherwise, and newer ones that it keeps besides until there are so many.
 CACHE_CHUNKS, CACHE_NEWER = 250_000, 50_000
 #: Characters of texts handled at once.
 SLICE = 1 << 20
@@ -37,12 +37,13 @@ _BAR = b"\x01"
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, chunks: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level, self.known, self.newer = byte_level, {}, []
+        self.most, self.most_newer = chunks or CACHE_CHUNKS, chunks // 4 if chunks else CACHE_NEWER
         self.chunks = _byte_chunks if byte_level else _word_chunks
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)))
@@ -77,12 +78,12 @@ class Encoder:
         known.update((c, raw[4 * x : 4 * y]) for c, x, y in zip(plain, cuts, ends))
         for c in odd:
             known[c] = self._ids(c[1:] if c[:1] == "\0" else c if self.byte_level else c.decode()).tobytes()
-        if len(known) > CACHE_CHUNKS:
+        if len(known) > self.most:
             self.newer += [*plain, *odd]
 
     def _forget(self) -> None:
-        """Past CACHE_CHUNKS the first chunks met, which the frequent ones are among, stay, and newer ones go in turns."""
-        if len(self.newer) > CACHE_NEWER:
+        """Past the most that are kept the first chunks met, which the frequent ones are among, stay, and newer ones go in turns."""
+        if len(self.newer) > self.most_newer:
             for c in self.newer:
                 self.known.pop(c, None)
             self.newer = []
@@ -150,6 +151,6 @@ def _word_chunks(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def encoder(path: str, byte_level: bool) -> Encoder:
+def encoder(path: str, byte_level: bool, chunks: int | None = None) -> Encoder:
     """The encoder of a stage's tasks: later tasks of the stage in the same worker find the chunks of earlier ones."""
-    return kept_for_stage(lambda: Encoder(path, byte_level))
+    return kept_for_stage(lambda: Encoder(path, byte_level, chunks))
