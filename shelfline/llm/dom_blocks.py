@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements by how HTML treats them.
 RAW = {"script", "style", "template", "noscript", "svg", "iframe", "textarea", "title", "select", "object", "math", "canvas", "video", "audio"}
@@ -35,7 +36,13 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     pieces: list[str] = []
-    linked = links = 0
+    #: How many elements of each name are open, so that the stack is only searched for what is in it.
+    names_open: Counter = Counter()
+    linked = 0
+
+    def close_from(k: int) -> None:
+        names_open.subtract(t for t, _ in stack[k:])
+        del stack[k:]
 
     def end_block() -> None:
         nonlocal linked
@@ -54,7 +61,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if piece and not in_head:
             piece = html.unescape(piece) if "&" in piece else piece
             pieces.append(piece)
-            if links:
+            if names_open["a"] > 0:
                 linked += len(piece.strip())
         if not m:
             break
@@ -68,14 +75,14 @@ def blocks_of(page: str | None) -> list[Block]:
                 in_head = False
             if name not in INLINE:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if names_open[name] > 0 else ():
                 if stack[k][0] == name:
                     if name in INLINE and any(t not in INLINE for t, _ in stack[k + 1 :]):
                         del stack[k]  # a block inside an inline element outlives it
+                        names_open[name] -= 1
                     else:
-                        del stack[k:]
+                        close_from(k)
                     break
-            links = sum(t == "a" for t, _ in stack)
             continue
         if name in RAW:
             stop = _RAW_END[name].search(page, at)
@@ -90,10 +97,10 @@ def blocks_of(page: str | None) -> list[Block]:
             end_block()
             if name != "br" and name != "hr":
                 ends = CLOSES.get(name, set()) | {"p"}
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if any(names_open[t] > 0 for t in ends) else ():
                     t = stack[k][0]
                     if t in ends:
-                        del stack[k:]
+                        close_from(k)
                         break
                     if t in CONTAINERS:
                         break
@@ -101,6 +108,6 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         names = frozenset(p for v in _NAMES.findall(attrs) for p in _PARTS.findall((v[0] or v[1] or v[2]).lower())) if "=" in attrs else frozenset()
         stack.append((name, names))
-        links += name == "a"
+        names_open[name] += 1
     end_block()
     return out

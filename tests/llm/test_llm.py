@@ -559,6 +559,15 @@ def test_viterbi_equals_brute_force(crf):
     assert crf.decode(rows) == list(best)
 
 
+def test_deep_nesting_is_linear():
+    import time
+
+    for page in ("<div>" * 60_000 + "deep" + "</div>" * 60_000, "<b>" * 60_000 + "deep" + "<p>x" * 20, "<a href=x>" * 30_000 + "y" + "</a>" * 30_000):
+        began = time.process_time()
+        assert blocks_of(page)[0].text in ("deep", "y")
+        assert time.process_time() - began < 5
+
+
 def test_blocks_edges(spark, crf):
     assert blocks_of(None) == blocks_of("") == blocks_of("<p> </p><script>x<p>y") == []
     b = blocks_of('<div>a&amp;b<b>c</b>\n d<br>e<p>f<p>g</div>tail<a href="x>y">z</a> &eacute;&#8364;&nbsp;q<!-- no --><style>n{}</style>')
