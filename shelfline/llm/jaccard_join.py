@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .blooms import bloom_of
 from .common import begin_task, drop_folders, hand_back, materialise, scratch
 from .components import components
+from .exact_dedup import may_hold
 
 #: Hashed counters of the shingle order (1 MB); ranges of the hash whose counts the suffix filter compares, 16 bits each in one long.
 COUNTERS, RANGES = 1 << 18, 4
@@ -322,13 +323,19 @@ def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> D
     """The rows of ``docs`` that show their components: those with the component's smallest id, with all their columns.
 
     Of rows that repeat that id, one stays. Documents without words are components of their own and stay.
+    Only rows whose id may be one that goes or repeats are shuffled with their columns: a filter sized by
+    the number of these ids tells, and an exact join follows it.
     """
-    found = jaccard_join(docs, k, num, den)
-    stays = materialise(found.filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("stay_id")), "representatives")
-    out = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
-    if stays.filter("stay_id IS NOT NULL").groupBy("stay_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id IS NULL").unionByName(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    found = jaccard_join(docs, k, num, den).filter("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
+    odd = materialise(ids.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("odd_id"), "stays"), "odd")
+    key = docs["doc_id"].cast("long")
+    hit = key.isNotNull() & may_hold(bloom_of(odd.select(F.xxhash64("odd_id").alias("h"))), docs.sparkSession)(F.xxhash64(key))
+    gone = odd.filter("NOT stays")
+    left = docs.filter(hit).join(gone.hint("merge"), key == gone["odd_id"], "left_anti")
+    if not odd.filter("stays").isEmpty():
+        left = left.dropDuplicates(["doc_id"])
+    return docs.filter(~hit).unionByName(left)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

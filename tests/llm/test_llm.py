@@ -261,6 +261,21 @@ def test_jaccard_join(spark):
     assert sorted(r["doc_id"] for r in stays.collect()) == sorted({c for _, _, c in brute_join(plain)})
 
 
+@pytest.mark.parametrize("filtered", [True, False])
+def test_one_of_each_keeps_rows_whole(spark, monkeypatch, filtered):
+    if not filtered:
+        monkeypatch.setattr(jaccard_join, "bloom_of", lambda hashes: None)
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base + " end"
+    rows = [(1, base), (2, near), (3, "alone one"), (4, None), (4, None), (None, near), (5, "alone two"), (5, "alone two"), (6, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("odd_id", "stays", "rows", "h", "component_id")}).repartition(3)
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    want = [(1, base), (3, "alone one"), (4, None), (5, "alone two"), (None, near)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard_join.one_of_each(df.limit(0)).collect() == []
+
+
 def test_least_shared_never_refuses_a_link():
     for _ in range(300):
         n = rng.randint(1, 120)
