@@ -24,10 +24,10 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked", "place")
+    __slots__ = ("text", "tags", "names", "nearest", "linked", "place")
 
-    def __init__(self, text: str, tags: tuple, names: frozenset, linked: int, place: int):
-        self.text, self.tags, self.names, self.linked, self.place = text, tags, names, linked, place
+    def __init__(self, text: str, tags: tuple, names: frozenset, nearest: frozenset, linked: int, place: int):
+        self.text, self.tags, self.names, self.nearest, self.linked, self.place = text, tags, names, nearest, linked, place
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -50,7 +50,8 @@ def blocks_of(page: str | None) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), names, linked, len(out)))
+                nearest = next((n for _, n in reversed(stack) if n), frozenset()) if names else names
+                out.append(Block(text, tuple(t for t, _ in stack), names, nearest, linked, len(out)))
             pieces.clear()
         linked = 0
 

@@ -1,6 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A block's features are its ancestors' tags, words of their class, id and role attributes, and
+A block's features are its ancestors' tags, words of their class, id and role attributes
+(of all, and of the nearest ancestor that has any), and
 features of its text: length, link share, closing punctuation, capitals, digits, signs of a
 notice. Two labels, main and other, with transitions between neighbours. The field is
 trained by gradient ascent of the conditional likelihood (forward-backward) on labelled
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .dom_blocks import Block, blocks_of
 
 #: Labelled pages made for training, their seed, gradient steps, rate and weight decay.
-PAGES, SEED, STEPS, RATE, DECAY = 300, 11, 120, 0.3, 1e-3
+PAGES, SEED, STEPS, RATE, DECAY = 600, 11, 160, 0.3, 3e-4
 
 #: Tags and attribute words that tell something about a block below them.
 TAGS = (
@@ -53,12 +54,13 @@ PHRASES = {
 def _features(b: Block, n: int) -> set[str]:
     f = {f"in:{t}" for t in b.tags if t in TAGS}
     f |= {f"has:{GROUP_OF[w]}" for w in b.names if w in GROUP_OF}
+    f |= {f"near:{GROUP_OF[w]}" for w in b.nearest if w in GROUP_OF}
     f.add(f"leaf:{next((t for t in reversed(b.tags) if t in TAGS), 'none')}")
     size = len(b.text)
     f.add(f"size:{min(size.bit_length(), 11)}")
     share = b.linked / size
     f.add("links:all" if share > 0.8 else "links:some" if share > 0.2 else "links:none")
-    if b.text[-1] in ".!?…\"”»":
+    if b.text[-1] in ".!?…\"”»。！？؟۔।":
         f.add("stop")
     if size > 3 and b.text.isupper():
         f.add("capitals")
@@ -67,17 +69,15 @@ def _features(b: Block, n: int) -> set[str]:
     if size < 300:
         low = b.text.lower()
         f |= {f"says:{g}" for p, g in PHRASES.items() if p in low}
-    if b.place == 0:
-        f.add("first")
-    if b.place == n - 1:
-        f.add("last")
+    if n == 1:
+        f.add("only")
     return f
 
 
 @functools.cache
 def _names() -> dict[str, int]:
-    found = ["bias", "stop", "capitals", "digits", "first", "last", "links:all", "links:some", "links:none", "leaf:none"]
-    found += [f"{k}:{t}" for k in ("in", "leaf") for t in TAGS] + [f"has:{g}" for g in GROUPS] + [f"size:{k}" for k in range(12)] + [f"says:{g}" for g in sorted(set(PHRASES.values()))]
+    found = ["bias", "stop", "capitals", "digits", "only", "links:all", "links:some", "links:none", "leaf:none"]
+    found += [f"{k}:{t}" for k in ("in", "leaf") for t in TAGS] + [f"{k}:{g}" for k in ("has", "near") for g in GROUPS] + [f"size:{k}" for k in range(12)] + [f"says:{g}" for g in sorted(set(PHRASES.values()))]
     return {f: i for i, f in enumerate(found)}
 
 
@@ -156,16 +156,24 @@ class Crf:
 
 # ------------------------------------------------------------------------------ labelled pages
 
-_SYLLABLES = "an be co da en fi go ha in ka le mo no or pa re si ta un vi wo ya ze".split()
+#: By script: syllables, what joins words, what ends sentences. A page is in one script, half of them in the first.
+_SCRIPTS = [
+    ("an be co da en fi go ha in ka le mo no or pa re si ta un vi wo ya ze".split(), " ", ".!?"),
+    ("на по ра со ми ве до ка ли то не сту".split(), " ", ".!?"),
+    ("ال من كت با مر سا لا نو في دي".split(), " ", ".!؟"),
+    ("山 水 人 大 中 日 月 木 火 土 天 心".split(), "", "。！？"),
+]
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """Pages made from rules, each with its blocks' texts and labels (1 main) in page order."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    said = lambda a, b: words(a, b).capitalize() + rng.choice(["."] * 6 + ["!", "?", ""])
+    script = _SCRIPTS[0]
+    word = lambda: "".join(rng.choices(script[0], k=rng.randint(1, 4)))
+    words = lambda a, b: script[1].join(word() for _ in range(rng.randint(a, b)))
+    said = lambda a, b: words(a, b).capitalize() + rng.choice([script[2][0]] * 6 + [*script[2][1:], ""])
     for _ in range(n):
+        script = rng.choice([_SCRIPTS[0]] * 3 + _SCRIPTS[1:])
         labels: list[tuple[str, int]] = []
 
         def block(tag: str, text: str, label: int, attrs: str = "", link: bool = False) -> str:
@@ -205,27 +213,39 @@ def _page(rng, labels, block, some, menu, said, words) -> str:
     form = lambda: f"<form{some('share')}><label>{block('span', words(1, 3), 0)}</label>{block('button', words(1, 2), 0)}</form>"
     comments = lambda: other("comment", ["section", "div", "ol", "div"], ["", "", "Reply: "], 6)
 
-    parts = ["<body>"]
-    if rng.random() < 0.6:
-        parts.append(f"<header{some('head') if rng.random() < 0.4 else ''}>{block('div', words(1, 5), 0)}</header>")
-    if rng.random() < 0.85:
+    #: Where the article is: in an element that tells so, in a plain one, in none, or in a cell of a table that lays out the page.
+    layout = rng.choice(["named"] * 7 + ["plain", "bare", "table"])
+    wrapped, alone = rng.random() < 0.25, rng.random() < 0.12
+    paragraph = rng.choice([["p"] * 8 + ["div"]] * 6 + [["div"]])
+    parts = ["<body>", f"<div{some('content')}>" if wrapped else ""]
+    if layout == "table":
+        cells = [block("td", words(1, 3), 0, link=rng.random() < 0.7) for _ in range(rng.randint(1, 4))]
+        parts.append(f"<table><tr>{''.join(cells)}</tr><tr><td>")
+    elif not alone and rng.random() < 0.6:
+        top = rng.choice(["header", "header", "div"])
+        name = block(rng.choice(["div", "span"]), words(1, 5), 0)
+        parts.append(f"<{top}{some('head') if top == 'div' or rng.random() < 0.4 else ''}>{name}</{top}>")
+    if not alone and rng.random() < (0.85 if layout != "table" else 0.4):
         parts.append(menu())
     for what, share in ((advert, 0.5), (notice, 0.3), (side, 0.25), (form, 0.15)):
-        if rng.random() < share:
+        if not alone and rng.random() < share:
             parts.append(what())
-    tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
-    attrs = some("content") if tag in ("div", "section") or rng.random() < 0.3 else ""
-    parts.append(f"<{tag}{attrs}>")
-    inside = rng.choice(["", "", "", "<div>", '<div class="content">'])
+    tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"]) if layout == "named" else "div"
+    attrs = (some("content") if tag in ("div", "section") or rng.random() < 0.3 else "") if layout == "named" else ""
+    opened, closed = {"table": ("</td><td>", "</td></tr><tr><td>"), "bare": ("", "")}.get(layout, (f"<{tag}{attrs}>", f"</{tag}>"))
+    parts.append(opened)
+    inside = rng.choice(["", "", "", "<div>", '<div class="content">']) if layout == "named" else ""
     parts.append(inside)
-    if rng.random() < 0.85:
-        parts.append(block("h1", words(2, 12).capitalize(), 1))
+    if rng.random() < (0.5 if alone else 0.85):
+        title = block("h1", words(2, 12).capitalize(), 1)
+        parts.append(f"<header>{title}</header>" if layout == "named" and rng.random() < 0.1 else title)
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 20])):
         kind = rng.random()
         if kind < 0.08:
             parts.append(block(rng.choice(["h2", "h3"]), words(1, 7).capitalize(), 1))
         elif kind < 0.14:
-            parts.append("<ul>" + "".join(block("li", said(2, 20), 1, link=rng.random() < 0.1) for _ in range(rng.randint(2, 5))) + "</ul>")
+            linked = rng.choice([0, 0.1, 1])
+            parts.append("<ul>" + "".join(block("li", said(2, 20), 1, link=rng.random() < linked) for _ in range(rng.randint(2, 5))) + "</ul>")
         elif kind < 0.18:
             parts.append(block("blockquote", said(5, 40), 1))
         elif kind < 0.21:
@@ -233,21 +253,23 @@ def _page(rng, labels, block, some, menu, said, words) -> str:
         elif kind < 0.27:
             parts.append(rng.choice([advert, notice, side])())
         elif kind < 0.35:
-            parts.append(block("p", said(1, 3), 1))
+            parts.append(block(rng.choice(paragraph), (rng.choice(["", "", "", "Copyright. All rights reserved. ", "Read more: ", "Subscribe. "]) + said(1, 3)).strip(), 1))
         elif kind < 0.40:
             text = said(3, 60)
             labels.append((text, 1))
             parts.append(f"<p><b>{text}<br>")
         else:
-            parts.append(block(rng.choice(["p"] * 8 + ["div"]), said(4, 120), 1))
+            parts.append(block(rng.choice(paragraph), said(4, 120), 1))
     within = comments() if rng.random() < 0.15 else ""
-    parts += [within, "</div>" if inside else "", f"</{tag}>"]
+    parts += [within, "</div>" if inside else "", closed]
     for what, share in ((comments, 0.35), (side, 0.3), (advert, 0.2), (form, 0.15), (notice, 0.15)):
-        if rng.random() < share:
+        if not alone and rng.random() < share:
             parts.append(what())
-    if rng.random() < 0.85:
+    if layout == "table" and rng.random() < 0.6:
+        parts.append(block(rng.choice(["td", "div", "p"]), rng.choice(["© ", "Copyright "]) + said(2, 10), 0))
+    elif not alone and rng.random() < 0.85:
         parts.append(other("foot", ["footer", "footer", "footer", "div"], ["© ", "Copyright ", ""], 3))
-    return "".join(parts) + "</body>"
+    return "".join(parts) + ("</td></tr></table>" if layout == "table" else "") + ("</div>" if wrapped else "") + "</body>"
 
 
 def train(pages: list[tuple[str, list[tuple[str, int]]]] | None = None) -> Crf:

@@ -566,6 +566,28 @@ def test_extraction_held_out_accuracy(crf):
     assert right > 0.98 * total
 
 
+#: Pages written by hand in layouts of their own, with the text that a reader would take from each.
+WRITTEN = [
+    ('<div id="top"><a href="/">Главная</a></div><div class="post"><h2>Старый мост</h2><p>Мост стоит над рекой уже двести лет и до сих пор открыт для пешеходов.</p><p>Весной его починят.</p></div><div id="bottom">Copyright 2021</div>', 'Старый мост Мост стоит над рекой уже двести лет и до сих пор открыт для пешеходов. Весной его починят.'),
+    ('<div class="sidebar"><h3>Archive</h3><ul><li><a href=/1>May</a></li><li><a href=/2>June</a></li></ul></div><div class="entry-body"><h1>Keeping bees</h1><p>Bees need water, flowers and quiet, and a keeper who looks in on them each week.</p><blockquote>No bees, no honey.</blockquote></div><ol class="commentlist"><li>I kept bees once, and it was lovely.</li></ol>', 'Keeping bees Bees need water, flowers and quiet, and a keeper who looks in on them each week. No bees, no honey.'),
+    ('<main><p>The first half of the story is told before the notice in the middle.</p><div class="ad-slot">Buy shoes now!</div><p>The second half of it comes after that, and then it ends.</p><form><label>Mail</label><button>Subscribe</button></form></main>', 'The first half of the story is told before the notice in the middle. The second half of it comes after that, and then it ends.'),
+    ('<body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><h1>On rivers</h1><p>The river rises in the hills and falls to the sea after a long way.</p><p>Boats go up it in spring, when the water is high enough for them.</p><footer>© 2020 A. Writer</footer></body>', 'On rivers The river rises in the hills and falls to the sea after a long way. Boats go up it in spring, when the water is high enough for them.'),
+    ('<article><p>هذا نص عن الأنهار والجبال التي تمر بها القوافل في الشتاء؟</p></article>', 'هذا نص عن الأنهار والجبال التي تمر بها القوافل في الشتاء؟'),
+    ('<div class=menu><a href=/>Start</a></div><div id=content><h1>Books to read</h1><p>These are the ones that we liked best this year.</p><ul><li><a href=/1>A long walk in winter</a></li><li><a href=/2>The salt road</a></li></ul></div><div id=footer>All rights reserved.</div>', 'Books to read These are the ones that we liked best this year. A long walk in winter The salt road'),
+    ('<table><tr><td><a href=/>Home</a></td><td><a href=/x>News</a></td></tr><tr><td colspan=2><p>Our town has built a new bridge over the canal this year.</p><p>It took eight months and cost less than had been planned.</p></td></tr><tr><td>Copyright 2019 Town Paper. All rights reserved.</td></tr></table>', 'Our town has built a new bridge over the canal this year. It took eight months and cost less than had been planned.'),
+    ('<div class="header">新闻网</div><main><h1>大桥通车</h1><p>今年春天，城里的新大桥终于通车了，人们走上街头庆祝。</p><p>工程用了八个月。</p></main><div class="footer">版权所有</div>', '大桥通车 今年春天，城里的新大桥终于通车了，人们走上街头庆祝。 工程用了八个月。'),
+    ('<main><section><header><h2>Baking bread</h2></header><p>Flour, water, salt and time are all that it takes to bake a loaf.</p></section></main><aside><h3>Related</h3><ul><li><a href=/c>Cakes</a></li></ul></aside><section id="comments"><p>Great post, thanks!</p></section>', 'Baking bread Flour, water, salt and time are all that it takes to bake a loaf.'),
+    ('<div><div><h1>Night trains</h1><div>They leave at ten and arrive at dawn, which suits most of those who take them.</div><div>Few seats are left by then.</div></div></div><div class="cookie-banner">We use cookies. <button>OK</button></div>', 'Night trains They leave at ten and arrive at dawn, which suits most of those who take them. Few seats are left by then.'),
+    ('<article><p>Yes.</p></article>', 'Yes.'),
+    ('<p>Only one paragraph is on this page, and it is the text.</p>', 'Only one paragraph is on this page, and it is the text.'),
+]
+
+
+def test_extraction_of_written_pages(crf):
+    wrong = [(page, got) for page, want in WRITTEN if (got := html_extract.main_text(page, crf)) != want]
+    assert wrong == []
+
+
 def test_viterbi_equals_brute_force(crf):
     page = next(html_extract.labelled_pages(1, 5))[0]
     rows = html_extract.rows_of(blocks_of(page))[:9]
