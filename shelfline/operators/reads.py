@@ -122,7 +122,7 @@ def run_durations(runs: DataFrame, targets: DataFrame) -> DataFrame:
     ends = targets.groupBy("run_id").agg(F.count("*").alias("targets"), F.max(F.unix_micros("updated_at")).alias("_end"))
     out = runs.join(ends, runs["id"] == ends["run_id"], "left")
     seconds = F.round((F.col("_end") - F.unix_micros("created_at")) / 1e6, 3)
-    return out.select("id", F.coalesce("targets", F.lit(0)).alias("targets"), F.greatest(seconds, F.lit(0.0)).alias("duration_seconds"))
+    return out.select("id", F.coalesce("targets", F.lit(0)).alias("targets"), F.when(seconds < 0, 0.0).otherwise(seconds).alias("duration_seconds"))
 
 
 def throughput(attempts: DataFrame, by: str, target: str, latency_ms: str, floor: float = 0.001) -> DataFrame:

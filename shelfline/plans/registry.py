@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import extract, lifecycle, quality, reads, reliability
+from ..operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from ..sources import fixtures
+from ..sources import reports as report_files
 from ..sources import views as V
 from ..sources.schemas import REQUIRED_FIELDS
 from ..streaming import ingest
@@ -446,7 +447,7 @@ def publish_outbox(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.col("published_at").isNotNull().alias("published"), F.coalesce("sent", F.lit(False)).alias("sent"))
 
 
-@query("SELECT r.id, count(t.id) AS targets, greatest(round((max(epoch_us(t.updated_at)) - min(epoch_us(r.created_at))) / 1e6, 3), 0.0) AS duration_seconds FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY 1", "runs", "targets")
+@query("SELECT r.id, count(t.id) AS targets, CASE WHEN count(t.id) > 0 THEN greatest(round((max(epoch_us(t.updated_at)) - min(epoch_us(r.created_at))) / 1e6, 3), 0.0) END AS duration_seconds FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY 1", "runs", "targets")
 def run_durations(spark: SparkSession, sf: str) -> DataFrame:
     return reads.run_durations(V.runs(spark, sf), V.targets(spark, sf))
 
@@ -597,6 +598,83 @@ def robots_policy(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("page_id", "url", robots_allowed(F.col("body"), F.lit("catalog-bot"), F.col("url")).alias("allowed"))
 
 
+@query(
+    """SELECT page_id, CASE WHEN k NOT IN (0, 1) THEN 'robots_unavailable' END AS robots_error, CASE WHEN k = 0 THEN page_id % 3 <> 0 WHEN k = 1 THEN true END AS allowed FROM (SELECT page_id, page_id % 5 AS k FROM pages)"""
+)
+def robots_by_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """Origins whose document is there, missing, broken, not to be had; and one host under a scheme that was never asked."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    origin = F.when(k == 4, "http://shop0.example").otherwise(F.concat(F.lit("https://shop"), k.cast("string"), F.lit(".example")))
+    u = V.read(spark, sf, "pages").select("page_id", F.concat(origin, F.when(F.col("page_id") % 3 == 0, "/blocked/").otherwise("/p/"), n).alias("url"))
+    rules = "User-agent: *\nDisallow: /blocked\n"
+    robots = spark.createDataFrame([("https://shop0.example", 200, rules), ("https://shop1.example", 404, rules), ("https://shop2.example", 503, rules), ("https://shop3.example", None, None)], "origin string, status int, body string")
+    return crawl.robots_decisions(u, robots, "catalog-bot").select("page_id", "robots_error", "allowed")
+
+
+@query(
+    """WITH l AS (SELECT p_partkey // 60 AS source, p_partkey % 60 + 1 AS page, p_partkey AS k, p_partkey % 97 = 96 AS blank FROM part),
+      e AS (SELECT source, coalesce(min(page) FILTER (blank), 51) AS stop FROM l GROUP BY 1),
+      f AS (SELECT l.source, item, min(page) AS page FROM (SELECT source, page, unnest([k, k + 1]) AS item FROM l WHERE page <= 50) l JOIN e ON e.source = l.source AND l.page < e.stop GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page, item) AS position FROM f)
+      SELECT source, position, 'https://shop.example/items/' || item || '/' AS link, page FROM r WHERE position <= 30"""
+)
+def listing_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixty listing pages a source, some empty: the first thirty products."""
+    p = _pages_of_parts(spark, sf, "listing", "books_to_scrape")
+    shop, page = F.floor(F.col("id") / 60).cast("long"), F.col("id") % 60 + 1
+    p = p.select("url", "source", shop.alias("shop"), page.alias("page"), F.when(F.col("id") % 97 != 96, F.col("html")).alias("html"))
+    return crawl.products_of_listings(p, 30, group="shop").withColumnRenamed("shop", "source")
+
+
+@query("SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 2 THEN ' caf' || chr(65533) ELSE ' café' END AS text FROM part")
+def body_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies in UTF-8 without a charset, in Latin 1, in Latin 1 said to be UTF-8, and in UTF-8 under a charset that nobody knows."""
+    text, k = F.concat("p_name", F.lit(" café")), F.col("p_partkey") % 4
+    body = F.when(k.isin(1, 2), F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    charset = F.when(k == 1, "latin-1").when(k == 2, "utf-8").when(k == 3, "x-unknown")
+    return V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), crawl.decode_body(body, charset).alias("text"))
+
+
+# ------------------------------------------------------------------------------------ reports
+
+
+_STATES = ", ".join(f"'{s}': count(*) FILTER (t.status = '{s}')" for s in V.STATUS_OF.values())
+
+
+_DATASET = f"""SELECT 'metrics' AS section, 'targets' AS id, to_json({{'targets': count(*), 'succeeded': count(*) FILTER (status = 'succeeded'), 'success_rate': round(count(*) FILTER (status = 'succeeded') / count(*), 4)}})::VARCHAR AS body FROM targets_v
+  UNION ALL SELECT 'metrics', 'attempts', to_json({{'fetch_attempts': count(*)}})::VARCHAR FROM attempts_v
+  UNION ALL SELECT 'metrics', 'products', to_json({{'required_fields_present': count(title) + count(price) + count(nullif(category, '')), 'required_fields_expected': 4 * count(*)}})::VARCHAR FROM products_v
+  UNION ALL SELECT 'metrics', 'reviews', to_json({{'reviews_pending': count(*) FILTER (status = 'pending')}})::VARCHAR FROM reviews_v
+  UNION ALL SELECT 'sources', connector, to_json({{'targets': count(*), {_STATES}}})::VARCHAR FROM targets_v t GROUP BY connector
+  UNION ALL SELECT 'runs', r.id::VARCHAR, to_json({{{_STATES}}})::VARCHAR FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY r.id"""
+
+
+@query(_DATASET, "targets", "attempts", "products", "reviews", "runs")
+def dataset_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over all runs, written as JSON and read back. Parts have no currency; their price and type stand for amount and availability."""
+    p = V.products(spark, sf).select("title", F.col("price").alias("price_amount"), F.lit(None).cast("string").alias("currency"), F.col("category").alias("availability"))
+    at = ingest.run_folder(spark, "report")
+    report_files.write_report(reports.dataset(V.targets(spark, sf), V.attempts(spark, sf), p, V.reviews(spark, sf), V.runs(spark, sf)), at)
+    return report_files.read_report(spark, at, "section string, id string, body string")
+
+
+@query(
+    """SELECT r.id, strftime(any_value(r.created_at) + INTERVAL 9 HOUR, '%Y. %-m. %-d. %H:%M:%S') AS created, count(t.id) AS targets,
+      CASE WHEN count(t.id) = 0 THEN NULL WHEN max(t.updated_at) <= any_value(r.created_at) THEN '<0.1초' ELSE printf('%.1f분', (epoch_us(max(t.updated_at)) - epoch_us(any_value(r.created_at))) / 6e7) END AS duration
+      FROM runs_v r LEFT JOIN targets_v t ON t.run_id = r.id GROUP BY r.id""",
+    "runs", "targets",
+)
+def run_display(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.runs(spark, sf)
+    shown = reads.run_durations(r, V.targets(spark, sf)).join(r.select(F.col("id").alias("r_id"), "created_at"), F.col("id") == F.col("r_id"))
+    return shown.select("id", reports.korean_time(F.col("created_at")).alias("created"), "targets", reports.duration_text(F.col("duration_seconds")).alias("duration"))
+
+
+@query(f"SELECT id, {V._case(reports.STATUS_LABELS, 'status')} AS status FROM targets_v", "targets")
+def status_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return V.targets(spark, sf).select("id", reports.label(F.col("status"), reports.STATUS_LABELS).alias("status"))
+
+
 # ------------------------------------------------------------------------ reliability, streams
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import compare
 from shelfline.functions import scalars as S
-from shelfline.operators import extract, lifecycle, quality, reads, reliability
+from shelfline.operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from shelfline.plans import registry
 from shelfline.sources import fixtures, schemas
+from shelfline.sources import reports as report_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -204,3 +205,44 @@ def test_stream_drops_repeats_across_batches(spark, tmp_path):
     for _ in range(2):  # a second start finds nothing new
         ingest.process(messages, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("id"))
     assert sorted(r["id"] for r in ingest.results(spark, str(tmp_path / "out")).collect()) == list(range(40))
+
+
+def test_robots_of_origins(spark):
+    rules = spark.createDataFrame([("https://a.example:8443", 200, "User-agent: *\nDisallow: /x"), ("https://b.example", 500, ""), ("https://c.example", 302, "User-agent: *\nDisallow: /")], "origin string, status int, body string")
+    urls = ["https://a.example:8443/x/1", "HTTPS://a.example:8443/y", "https://a.example/x", "https://b.example/", "https://c.example/x", None, "nonsense"]
+    got = crawl.robots_decisions(spark.createDataFrame([(u,) for u in urls], "url string"), rules, "bot").collect()
+    lost = ("robots_unavailable", None)
+    assert {r["url"]: (r["robots_error"], r["allowed"]) for r in got} == dict(zip(urls, [(None, False), (None, True), lost, lost, (None, True), lost, lost]))
+
+
+def test_listings_end_at_the_first_gap(spark):
+    page = lambda *items: "".join(f'<article class="product_pod"><h3><a href="{i}/">x</a></h3></article>' for i in items)
+    rows = [("a", 1, page(1, 2)), ("a", 2, page(2, 3)), ("a", 3, ""), ("a", 4, page(9)), ("b", 1, page(5)), ("b", 3, page(6)), ("c", 2, page(7)), ("d", 1, None), (None, 1, page(8))]
+    df = spark.createDataFrame([(s, n, "https://s.example/list", h, "books_to_scrape") for s, n, h in rows], "shop string, page int, url string, html string, source string")
+    got = [(r["shop"], r["position"], r["link"].removeprefix("https://s.example/"), r["page"]) for r in crawl.products_of_listings(df, 10, group="shop").collect()]
+    assert [g for g in sorted(got, key=str) if g[0]] == [("a", 1, "1/", 1), ("a", 2, "2/", 1), ("a", 3, "3/", 2), ("b", 1, "5/", 1)]
+    assert crawl.products_of_listings(df.limit(0), 10, group="shop").count() == 0
+    assert crawl.products_of_listings(df, 2, group="shop").filter("shop = 'a'").count() == 2
+
+
+def test_bodies_as_text(spark):
+    rows = [("é".encode(), None), ("é".encode("latin-1"), "ISO-8859-1"), (b"a\xff", "utf-8"), ("가".encode("euc-kr"), "EUC-KR"), (b"abc", "base64"), (b"x", ""), (b"x", "no\x00name"), (None, "utf-8"), (b"", None)]
+    df = spark.createDataFrame(rows, "b binary, c string")
+    assert [r[0] for r in df.select(crawl.decode_body("b", "c")).collect()] == ["é", "é", "a\ufffd", "가", "abc", "x", "x", None, ""]
+
+
+def test_how_values_are_shown(spark):
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.05, 0.1, 59.94, 60.0, 90.0, None)], "s double")
+    assert [r[0] for r in df.select(reports.duration_text(F.col("s"))).collect()] == ["<0.1초", "<0.1초", "0.1초", "59.9초", "1.0분", "1.5분", None]
+    at = spark.createDataFrame([("2026-07-09 18:05:06",), (None,)], "t string").select(reports.korean_time(F.col("t").cast("timestamp")))
+    assert [r[0] for r in at.collect()] == ["2026. 7. 10. 03:05:06", None]
+    v = spark.createDataFrame([("fixture_drift",), ("other",), (None,)], "c string").select(reports.label(F.col("c"), reports.CONNECTOR_LABELS))
+    assert [r[0] for r in v.collect()] == ["구조 변경 테스트", "other", None]
+
+
+def test_reports_as_json(spark, tmp_path):
+    rows = [("a", None, 'q"\n'), ("b", "1", "é")]
+    report_files.write_report(spark.createDataFrame(rows, "section string, id string, body string"), str(tmp_path / "r"))
+    assert sorted(map(tuple, report_files.read_report(spark, str(tmp_path / "r"), "section string, id string, body string").collect())) == rows
+    (tmp_path / "whole.json").write_text('{\n "section": "a",\n "id": "1"\n}')
+    assert [tuple(r) for r in report_files.read_report(spark, str(tmp_path / "whole.json"), "section string, id string, body string", whole=True).collect()] == [("a", "1", None)]
