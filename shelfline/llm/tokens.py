@@ -30,6 +30,9 @@ _RARE = [c for c in WHITE if c not in " \n"]
 _UNEVEN = ("  ", " \n", "\n ", "\n\n\n")
 _BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _CUT = re.compile(f"[^{WHITE}] [^{WHITE}]")
+#: Chunks of lower-case letters that neither composition nor lower-casing changes, and punctuation without apostrophes after them:
+#: the word vocabulary's own pattern splits these between letters and punctuation, and nowhere else.
+_LETTERS = re.compile("([a-zß-öø-ÿа-џ一-龥]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Stands between chunks that the word vocabulary encodes in one call; it has a token of its own.
 _BAR = b"\x01"
 
@@ -39,7 +42,7 @@ class Encoder:
 
     def __init__(self, path: str, byte_level: bool, chunks: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level, self.known, self.newer = byte_level, {}, []
@@ -53,9 +56,34 @@ class Encoder:
             self.edges = np.array([(self.tokenizer.id_to_token(i) or "").startswith(("Ġ", "Ċ")) for i in range(self.tokenizer.get_vocab_size())])
         else:
             (self.bar,) = self._ids(_BAR.decode())
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            #: The same merges without the patterns, for words that are split already; and by id: does the token end a word?
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.edges = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+
+    def _ids(self, text: str, by=None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_words(self, new: set) -> list[bytes]:
+        """Ids of new chunks that are letters with punctuation after them, in one call; the others are handed back."""
+        plain, others, words, per = [], [], [], []
+        for c, m in zip(new, map(_LETTERS.fullmatch, b" ".join(new).decode().split(" "))):
+            if m is None:
+                others.append(c)
+                continue
+            word, mark = m.groups()
+            plain.append(c)
+            words.append(f"{word} {mark}" if mark else word)
+            per.append(2 if mark else 1)
+        ids = self._ids(" ".join(words), self.words)
+        at = np.append(0, np.flatnonzero(self.edges[ids]) + 1)
+        if len(at) != sum(per) + 1:
+            raise AssertionError("chunks encoded together came apart otherwise")
+        at, raw = at[np.append(0, np.cumsum(per, dtype=np.int64))].tolist(), ids.tobytes()
+        self.known.update((c, raw[4 * x : 4 * y]) for c, x, y in zip(plain, at, at[1:]))
+        if len(self.known) > self.most:
+            self.newer += plain
+        return others
 
     def _learn(self, new: set) -> None:
         """Ids of new chunks, in one call for all but odd ones, whose ids could not be told from their neighbours'."""
@@ -67,8 +95,9 @@ class Encoder:
             cuts = [*np.flatnonzero(self.edges[ids]).tolist(), len(ids)]
             ends = cuts[1:]
         else:
-            odd = [c for c in new if _BAR in c]
-            plain = list(new.difference(odd)) if odd else list(new)
+            left = self._learn_words(new)
+            odd = [c for c in left if _BAR in c]
+            plain = [c for c in left if _BAR not in c] if odd else left
             ids = self._ids((b" " + _BAR + b" ").join([*plain, b""]).decode())
             ends = np.flatnonzero(ids == self.bar).tolist()
             cuts = [0, *(e + 1 for e in ends)]

@@ -663,3 +663,20 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in got.collect()} == want
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language_id" and shared_dir(spark)
+
+
+def test_plain_words_are_encoded_as_the_library_does():
+    """Every character that the plain pattern takes, inside a word and alone, with and without punctuation after it."""
+    from tokenizers import Tokenizer
+
+    from shelfline.llm.token_orc import vocabulary_path
+    from shelfline.llm.tokens import _LETTERS, Encoder
+
+    path = vocabulary_path("word_bpe_49k.json")
+    mine, plain = Encoder(path, False), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x250, 0x10000) if not 0xD800 <= c < 0xE000 and _LETTERS.fullmatch(chr(c))] + [chr(c) for c in range(0x250) if _LETTERS.fullmatch(chr(c))]
+    marks = [chr(c) for c in range(0x21, 0x7F) if _LETTERS.fullmatch("a" + chr(c)) and not chr(c).isalpha()]
+    assert len(letters) > 20000 and "'" not in marks and len(marks) == 31
+    texts = [" ".join(f"a{c}b {c} {c}{marks[i % 31]} {c}b{marks[i % 29]}{marks[i % 23]}" for i, c in enumerate(letters[at : at + 200])) for at in range(0, len(letters), 200)]
+    for text, got in zip(texts, mine.documents(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
