@@ -29,16 +29,19 @@ PIECES_EACH, ROUNDS = 4000, 4
 #: optimal partition is: what its emptiest bins hold may still fit beside documents of other partitions.
 SLACK, ROOM = 8, 8
 
+#: Chunks whose ids a worker keeps where packing is all that a job does (about 200 bytes each); results don't depend on it.
+KEPT_CHUNKS = 600_000
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, chunks: int | None = None) -> DataFrame:
     """The pieces of every document's ids; null is the empty text, whose ids are the end id alone."""
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, False)
+        encode = encoder(vocabulary, False, chunks)
         for b in batches:
             out = []
             for i, raw in zip(b.column(0).to_pylist(), encode.documents(b.column(1).to_pylist())):
@@ -139,15 +142,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return done
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     """Pack whole documents: one row per piece, ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null or empty text is one piece of the end id alone. Rows that repeat an id, or repeat in
     full, are documents of their own with pieces of their own; null ids stay. An empty table
     gives none. Columns besides doc_id and text are ignored.
     """
-    return pack(materialise(pieces(docs), "pieces"))
+    return pack(materialise(pieces(docs, chunks=chunks), "pieces"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), KEPT_CHUNKS)
