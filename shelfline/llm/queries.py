@@ -16,6 +16,8 @@ REGISTERED = {
     "op8_exact_dedup": "exact_dedup",
     "op9_ngram_jaccard_join": "jaccard_join",
     "op10_chat_format": "chat_format",
+    "op11_phrase_mining": "phrases",
+    "op13_spelling_variants": "variants",
 }
 
 
