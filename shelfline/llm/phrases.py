@@ -35,9 +35,11 @@ from .common import ascii_lower, begin_task, hand_back, materialise, table, text
 ENDS, GAPS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
 LONGEST = 4
 #: Words of one window that a task counts at a time, and what duckdb may hold of a bucket before it spills.
-WINDOW, HELD = 1 << 20, "300MB"
+WINDOW, HELD = 1 << 20, "200MB"
 
-PARTS = "bucket int, lang string, phrases long, packed binary"
+PARTS = "bucket int, lang string, phrases long, size long, packed binary"
+#: Parts are phrases of the same words over and over; they are shuffled compressed.
+CODEC, LEVEL = "zstd", 3
 COUNTS = "lang string, phrase string, words int, n long"
 
 
@@ -151,22 +153,24 @@ def _take_apart(buckets: int):
             for part in _counted(w, lo, min(lo + WINDOW, len(w.start)), buckets, names):
                 some.append(part)
                 size += len(part[3])
-                if size > 16 << 20:
+                if size > 8 << 20:
                     yield packed_batch(some)
                     some, size = [], 0
             yield packed_batch(some)
 
     def packed_batch(rows) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary())
-        rows = list(rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["bucket", "lang", "phrases", "packed"])
+        codec = pa.Codec(CODEC, LEVEL)
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        rows = [(bucket, lang, m, len(packed), codec.compress(packed, asbytes=True)) for bucket, lang, m, packed in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["bucket", "lang", "phrases", "size", "packed"])
 
     return run
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for lang, m, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-        buf = packed.as_buffer()
+    codec = pa.Codec(CODEC)
+    for lang, m, size, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+        buf = codec.decompress(packed.as_buffer(), size)
         offsets = np.zeros(m + 1, np.int32)
         np.cumsum(np.frombuffer(buf, "<i4", m), out=offsets[1:])
         phrase = pa.StringArray.from_buffers(m, pa.py_buffer(offsets), buf.slice(12 * m))
