@@ -17,6 +17,7 @@ REGISTERED = {
     "op9_ngram_jaccard_join": "jaccard_join",
     "op10_chat_format": "chat_format",
     "op11_phrase_mining": "phrases",
+    "op12_lsh_forest": "lsh_forest",
     "op13_spelling_variants": "variants",
 }
 
