@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.llm import blooms, chat_format, decontaminate, exact_dedup, gru, html_extract, jaccard_join, language_id, license_scan, lm_score, packing, token_orc, tokens
+from shelfline.llm import blooms, chat_format, decontaminate, exact_dedup, gru, html_extract, jaccard_join, language_id, license_scan, lm_score, lsh_forest, packing, phrases, token_orc, tokens, variants
 from shelfline.llm.common import shared_dir
 from shelfline.llm.components import components
 from shelfline.llm.dom_blocks import blocks_of
@@ -680,3 +680,180 @@ def test_plain_words_are_encoded_as_the_library_does():
     texts = [" ".join(f"a{c}b {c} {c}{marks[i % 31]} {c}b{marks[i % 29]}{marks[i % 23]}" for i, c in enumerate(letters[at : at + 200])) for at in range(0, len(letters), 200)]
     for text, got in zip(texts, mine.documents(texts)):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+# ------------------------------------------------------------------- phrases, LSH forest, spelling variants
+
+
+def brute_phrases(rows, least, top):
+    """Phrases by plain dictionaries of word tuples."""
+    counts, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            total[lang] += len(w)
+            for n in range(1, 5):
+                for i in range(len(w) - n + 1):
+                    counts[lang][tuple(w[i : i + n])] += 1
+    out = []
+    for lang, f in counts.items():
+        found, kept = {p: a for p, a in f.items() if len(p) > 1 and a >= least}, []
+        for p, a in found.items():
+            inside = (b for q, b in found.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)))
+            if any(100 * b >= 80 * a for b in inside):
+                continue
+            score, _, l, r = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(kept)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window", [7, 1 << 20])
+def test_phrases(spark, window, monkeypatch):
+    draw = random.Random(5)
+    words = ["a", "b", "c", "Über", "d e", "𝒳", "f"]
+    rows = [("".join(draw.choice(words) + draw.choice([" ", " ", "  ", "\t", ". ", ",", "\n", "\x0b"]) for _ in range(draw.randrange(60))), draw.choice(["en", "de", None, "und"])) for _ in range(120)]
+    rows += [(None, "en"), ("", "en"), (" \t.", "fr"), ("one two three " * 40, "en"), ("A b c. " * 50, "en"), ("x y " * 3000, "long")]
+    monkeypatch.setattr(phrases, "WINDOW", window)
+    df = spark.createDataFrame([(t, g, 1, "p", 2) for t, g in rows], "text string, lang string, n long, piece string, words int")
+    for least, top in ((5, 2000), (2, 7)):
+        got = sorted(map(tuple, phrases.mine(df, least, top, buckets=3).collect()))
+        assert got == brute_phrases(rows, least, top)
+    assert phrases.mine(df.limit(0)).count() == 0
+    assert phrases.mine(df.filter("text = ''")).count() == 0
+
+
+def test_phrases_leave_nothing_behind(spark, docs_of, tmp_path):
+    assert phrases.spill_folder() != phrases.spill_folder()
+    parts = list(phrases._take_apart(2)(iter([])))
+    assert parts == []
+
+
+def brute_variants(rows, every, least):
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[a-zÀ-ÿ]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= least}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    around = {w: [v for v in n if near(w, v)] for w in n}
+    form = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in around.items() if vs}
+    form = {w: v for w, v in form.items() if n[v] >= 2 * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return sorted((w, form.get(w), root(w), n[w], len(around[w]), n[form[w]] if w in form else None) for w in n)
+
+
+def test_variants(spark):
+    draw = random.Random(8)
+    stems = ["hello", "hallo", "hellos", "helloss", "straße", "strasse", "Éclair", "éclair", "abcde", "abcdef", "abcdefg", "aaaaaa", "aaaaa", "naïve×x"]
+
+    def misspelt(w):
+        i = draw.randrange(len(w))
+        return draw.choice([w, w, w, w[:i] + w[i + 1 :], w[:i] + draw.choice("abß") + w[i:], w[:i] + draw.choice("xyé") + w[i + 1 :]])
+
+    rows = [(k, " ".join(misspelt(draw.choices(stems, range(1, len(stems) + 1))[0]) for _ in range(draw.randrange(40)))) for k in range(150)]
+    rows += [(None, "hello hello Hello hellö"), (3, None), (4, ""), (5, "1 2 3 漢字漢字漢字"), (6, "abcde" * 2000), (7, "HELLO hello_hello"), (7, "HELLO hello_hello"), (8, "word " * 5000), (9, "planetss " * 3 + "planets " * 8 + "planet " * 20)]
+    df = spark.createDataFrame([(i, t, "w", 1, "f") for i, t in rows], "doc_id long, text string, word string, n long, form string")
+    for every in (97, 3):
+        got = sorted(map(tuple, variants.variants(df, every=every).select("word", "form", "root", "n", "n_near", "form_n").collect()))
+        assert got == brute_variants(rows, every, 3)
+        assert any(a[1] and a[2] != a[1] for a in got), "no chain of forms in the fixture"
+    assert variants.variants(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        variants.variants(df, ratio=1)
+
+
+def test_lsh_forest(spark, docs_of, monkeypatch):
+    draw = random.Random(11)
+    texts = [None, "", " \t", "one", "ONE", "one two", "a b c", "a  b\tc"]
+    for size in (40, 400):
+        for _ in range(6):
+            base = [draw.choice("the of and stone river walks slowly under bright moon tree".split()) + str(draw.randrange(90)) for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.01, 0.03, 0.05, 0.06, 0.2):
+                texts.append(" ".join(w if draw.random() > share else "x" + str(draw.randrange(9)) for w in base))
+    texts += [texts[10]] * 3
+    ids = list(range(100, 100 + len(texts)))
+    ids[20], ids[21] = None, ids[22]
+    df = docs_of(texts, ids)
+
+    def expected():
+        sets = [set() if not (w := [x for x in re.split("[ \t-\r]+", (t or "").lower()) if x]) else {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for t in texts]
+        root = list(range(len(texts)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+        least = defaultdict(list)
+        for i in range(len(texts)):
+            least[find(i)].append(ids[i])
+        comp = [min((x for x in least[find(i)] if x is not None), default=None) if sets[i] else ids[i] for i in range(len(texts))]
+        return sorted(((ids[i], len(sets[i]), comp[i], ids[i] == comp[i]) for i in range(len(texts))), key=repr)
+
+    want = expected()
+    assert len({r[2] for r in want}) > 20
+    assert sorted(map(tuple, lsh_forest.near_duplicates(df).collect()), key=repr) == want
+    assert lsh_forest.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_lsh_forest_regions_deepen(spark):
+    """Dense places go deeper, classes in them get more orders, and no pair across components is lost at the last depth."""
+    rows = [(t, 7, (3 << 48) + (c // 4), c, 10) for t in range(2) for c in range(40)] + [(0, 9, 5, c, 10) for c in (0, 50)]
+    crowd = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long")
+    alone = lsh_forest._no_components(spark)
+    old, lsh_forest.REGION = lsh_forest.REGION, 2
+    try:
+        pairs, deep = lsh_forest._regions(crowd, alone, 85, 100)
+        got = {tuple(r) for r in pairs.distinct().collect()}
+        inner = {(a, b) for a, b in itertools.combinations(range(40), 2) if a // 4 == b // 4}
+        assert got == inner | {(0, 50)}
+        assert {r["depth"] for r in deep.collect()} == {lsh_forest.DEPTH}
+        short = lsh_forest._short(deep, None, 85, 100)
+        t = 0.85
+        missed = (1 - t**lsh_forest.DEPTH) ** 2 * (1 - t**lsh_forest.LEAST_DEPTH) ** (lsh_forest.TREES - 2)
+        assert (missed > lsh_forest.MISSED) == bool(short.count())
+        # Those of one component are no candidates, and a region of one component is no region.
+        whole = spark.createDataFrame([(c, 0) for c in range(40)], "vertex long, component long")
+        pairs, deep = lsh_forest._regions(crowd, whole, 85, 100)
+        assert {tuple(r) for r in pairs.collect()} == {(0, 50)} and deep is None
+    finally:
+        lsh_forest.REGION = old
+
+
+def test_lsh_forest_further_orders(spark, docs_of, monkeypatch):
+    """With every class short of orders, further forests are made and the result stays."""
+    texts = ["a b c d e f g h i j k l m n o p " * 2 + str(i // 2) for i in range(12)]
+    want = sorted(map(tuple, lsh_forest.near_duplicates(docs_of(texts)).collect()))
+    monkeypatch.setattr(lsh_forest, "REGION", 0)
+    monkeypatch.setattr(lsh_forest, "MISSED", 1e-5)
+    assert sorted(map(tuple, lsh_forest.near_duplicates(docs_of(texts)).collect())) == want
+
+
+def test_lsh_forest_order_and_seams(spark):
+    """Ranges cut anywhere have the same neighbours as the whole order."""
+    draw = random.Random(2)
+    rows = [(t, draw.randrange(4), draw.randrange(3), c, 5) for t in range(2) for c in range(60)]
+    forest = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long")
+    got = {(r["prev"], r["cls"], r["tree"]) for r in lsh_forest._neighbours(forest).filter("prev IS NOT NULL").collect()}
+    order = sorted((t, a, b, c) for t, a, b, c, _ in rows)
+    assert got == {(x[3], y[3], y[0]) for x, y in zip(order, order[1:]) if x[:2] == y[:2]}
+    sign = lsh_forest._sign(np.arange(50, dtype=np.uint64) * np.uint64(977), lsh_forest._multipliers(0))
+    assert len(sign) == 2 * lsh_forest.TREES and (sign == lsh_forest._sign(np.arange(50, dtype=np.uint64)[::-1] * np.uint64(977), lsh_forest._multipliers(0))).all()
