@@ -17,7 +17,7 @@ escaped string holds no control string and no part of one, so it always comes ba
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
@@ -66,20 +66,16 @@ def parse(formatted: Column) -> Column:
     return F.transform(parse_raw(formatted), lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
 
 
-def loss_spans(formatted: Column) -> Column:
-    """Where the learned texts stand in the output, as an array of (start from 0, length) in code points."""
+def loss_spans(formatted: DataFrame) -> DataFrame:
+    """``conv_id, start, length`` of each learned text in the output, in code points, start from 0.
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.lit(len(TURN) + len(SAYS)) + F.char_length(t["role"])
-        span = F.array(F.struct(start.alias("start"), F.char_length(t["text"]).alias("length")))
-        return F.struct(
-            (start + F.char_length(t["text"]) + F.lit(len(OVER))).alias("at"),
-            F.when(unescape(t["role"]) == LEARNED_ROLE, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    # Walking along with one growing array is quadratic in learned turns only where copying spans is dearer than the text.
-    none = F.expr("CAST(array() AS array<struct<start:int,length:int>>)")
-    return F.aggregate(parse_raw(formatted), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    A text begins where all before it ends: a running sum over a conversation's turns.
+    """
+    turns = formatted.select("conv_id", F.posexplode(parse_raw(F.col("formatted"))).alias("pos", "turn"))
+    turns = turns.select("conv_id", "pos", F.col("turn.role").alias("role"), F.char_length("turn.role").alias("r"), F.char_length("turn.text").cast("long").alias("length"))
+    ends = F.sum(F.col("r") + F.col("length") + len(TURN) + len(SAYS) + len(OVER)).over(Window.partitionBy("conv_id").orderBy("pos"))
+    turns = turns.withColumn("start", ends - len(OVER) - F.col("length"))
+    return turns.filter(unescape(F.col("role")) == LEARNED_ROLE).select("conv_id", "start", "length")
 
 
 def _conversations(turns: DataFrame, body: Column) -> DataFrame:
@@ -89,7 +85,7 @@ def _conversations(turns: DataFrame, body: Column) -> DataFrame:
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
-    """Format every conversation: ``conv_id, formatted, spans, n_turns``.
+    """Format every conversation: ``conv_id, formatted``.
 
     Rows are ordered by turn (null first), then role, then text. A null text or role counts as
     empty; a row repeated in full is a turn of its own. Rows with a null conv_id are one
@@ -116,16 +112,18 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted text says of each conversation; nothing is taken from the source."""
-    turns = parse(F.col("formatted"))
-    spoken = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(loss_spans(F.col("formatted")), lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"]))), "")
-    return formatted.select(
+    # The text is split once; what the mask learns from are the parts of learned turns, in order.
+    read = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
+    read = read.select("conv_id", "formatted_chars", F.size("turns").cast("long").alias("n_turns"), spoken.alias("spoken"), learned.alias("learned"))
+    return read.select(
         "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "n_turns",
+        F.sha2(F.col("spoken").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )
 
 

@@ -7,11 +7,15 @@ import re
 from collections import Counter
 
 #: Elements by how HTML treats them.
-RAW = {"script", "style", "template", "noscript", "svg", "iframe", "textarea", "title", "select", "object", "math", "canvas", "video", "audio"}
+RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title"}
+#: Elements whose insides are no text of the page, if they have an end tag; markup inside them is markup.
+DROPPED = {"svg", "select", "object", "canvas", "video", "audio"}
+#: What may stand in a head; anything else begins the body.
+IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template", "basefont", "bgsound", "html", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd",
-    "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msub", "msup", "mtext", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 #: What a start tag of these ends, if it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -20,7 +24,7 @@ CONTAINERS = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "a
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW | DROPPED}
 
 
 class Block:
@@ -39,6 +43,8 @@ def blocks_of(page: str | None) -> list[Block]:
     #: How many elements of each name are open, so that the stack is only searched for what is in it.
     names_open: Counter = Counter()
     linked = 0
+    #: Names of dropped elements without a further end tag, looked for once.
+    never_ended: set[str] = set()
 
     def close_from(k: int) -> None:
         names_open.subtract(t for t, _ in stack[k:])
@@ -59,6 +65,8 @@ def blocks_of(page: str | None) -> list[Block]:
     while True:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
+        if in_head and piece and not piece.isspace():
+            in_head = False
         if piece and not in_head:
             piece = html.unescape(piece) if "&" in piece else piece
             pieces.append(piece)
@@ -85,15 +93,22 @@ def blocks_of(page: str | None) -> list[Block]:
                         close_from(k)
                     break
             continue
+        if in_head and name not in IN_HEAD:
+            in_head = False
         if name in RAW:
             stop = _RAW_END[name].search(page, at)
             at = stop.end() if stop else len(page)
             continue
+        if name in DROPPED:
+            if not attrs.endswith("/") and name not in never_ended:
+                stop = _RAW_END[name].search(page, at)
+                at = stop.end() if stop else at
+                if not stop:
+                    never_ended.add(name)
+            continue
         if name == "head":
             in_head = True
             continue
-        if name == "body":
-            in_head = False
         if name not in INLINE:
             end_block()
             if name != "br" and name != "hr":

@@ -36,9 +36,9 @@ TAGS = (
 GROUPS = {
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner adsense adbox dfp",
     "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs toolbar topbar tabs pagination pager skip",
-    "side": "sidebar side aside widget widgets related recommended recommendations trending popular rail more",
+    "side": "sidebar side aside complementary widget widgets related recommended recommendations trending popular rail more",
     "head": "header masthead top logo brand branding",
-    "foot": "footer foot copyright legal bottom colophon",
+    "foot": "footer foot contentinfo copyright legal bottom colophon",
     "comment": "comment comments reply replies disqus discussion respond commentlist reviews feedback",
     "notice": "cookie cookies consent notice notices gdpr alert popup modal overlay subscribe newsletter signup paywall disclaimer",
     "share": "share sharing social follow tags meta byline author login search form",

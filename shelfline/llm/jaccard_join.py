@@ -22,6 +22,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,17 +237,22 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     smallest id, so a component of null ids alone has a null component_id. An empty table
     gives none. Columns besides doc_id and text are ignored.
     """
-    spark = docs.sparkSession
+    out = _rows(docs, k, num, den)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``doc_id, n, key_a, key_b, component, component_id`` of every row; ``component`` numbers components, whose smallest ids may repeat."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch() as made:
         labels, sketched = _labels(plain, k, num, den)
-    drop_folders(spark, [f for f in made.folders if "/sketches-" not in f and "/labels-" not in f])
+    drop_folders(docs.sparkSession, [f for f in made.folders if "/sketches-" not in f and "/labels-" not in f])
     out = sketched.select("doc_id", "n", "key_a", "key_b").join(labels.hint("merge"), (F.col("key_a") == F.col("x")) & (F.col("key_b") == F.col("y")) & (F.col("n") == F.col("z")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.drop("x", "y", "z")
 
 
 def _labels(plain: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Components of the classes of equal sets as ``x, y, z, component_id``, and every document's sketch."""
+    """Components of the classes of equal sets as ``x, y, z, component, component_id``, and every document's sketch."""
     spark = plain.sparkSession
     with scratch() as wide:
         sketched = materialise(plain.mapInArrow(_sketch(k, num, den), SKETCH), "wide")
@@ -294,7 +300,7 @@ def _labels(plain: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     joined = classes.select("cls", F.col("cls").alias("component")) if joined is None else joined
     labels = classes.select("key_a", "key_b", "n", "doc", "cls").join(joined.hint("merge"), "cls")
     least = labels.groupBy("component").agg(F.min("doc").alias("component_id"))
-    labels = labels.join(least.hint("merge"), "component").select(F.col("key_a").alias("x"), F.col("key_b").alias("y"), F.col("n").alias("z"), "component_id")
+    labels = labels.join(least.hint("merge"), "component").select(F.col("key_a").alias("x"), F.col("key_b").alias("y"), F.col("n").alias("z"), "component", "component_id")
     return materialise(labels, "labels"), sketched
 
 
@@ -319,23 +325,47 @@ def _texts_of(plain: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialise(found.select("cls", "text"), "texts")
 
 
+SET_KEY = ("n", "key_a", "key_b")
+
+
+def _set_keys(k: int):
+    """The keys of a text's shingle set, as of a sketch."""
+
+    @F.pandas_udf("n long, key_a long, key_b long")
+    def keys(texts: pd.Series) -> pd.DataFrame:
+        rows = [(n, a, b) if n else (0, 0, 0) for a, b, n in (_keys(shingles(t, k)) for t in texts)]
+        return pd.DataFrame(rows, columns=list(SET_KEY))
+
+    return keys
+
+
 def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that show their components: those with the component's smallest id, with all their columns.
+    """One row of each component of ``docs``, with all its columns: the row with the smallest (id, set).
 
-    Of rows that repeat that id, one stays. Documents without words are components of their own and stay.
-    Only rows whose id may be one that goes or repeats are shuffled with their columns: a filter sized by
-    the number of these ids tells, and an exact join follows it.
+    Rows are judged by id and shingle set, so rows with one id and different texts are documents of
+    their own. Of rows with one id and equal sets the one with the smallest text stays. Rows
+    with a null id, and of each id one row without words, are components of their own and stay. Only rows whose id may
+    be one that goes or repeats are shuffled with their columns: a filter sized by the number of these
+    ids tells, and an exact join on id and set follows it.
     """
-    found = jaccard_join(docs, k, num, den).filter("doc_id IS NOT NULL")
-    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
-    odd = materialise(ids.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("odd_id"), "stays"), "odd")
-    key = docs["doc_id"].cast("long")
-    hit = key.isNotNull() & may_hold(bloom_of(odd.select(F.xxhash64("odd_id").alias("h"))), docs.sparkSession)(F.xxhash64(key))
-    gone = odd.filter("NOT stays")
-    left = docs.filter(hit).join(gone.hint("merge"), key == gone["odd_id"], "left_anti")
-    if not odd.filter("stays").isEmpty():
-        left = left.dropDuplicates(["doc_id"])
-    return docs.filter(~hit).unionByName(left)
+    key = ("doc_id", *SET_KEY)
+    found = _rows(docs, k, num, den).filter("doc_id IS NOT NULL").withColumns({c: F.coalesce(c, F.lit(0)) for c in SET_KEY})
+    sets = found.groupBy("component", *key).agg(F.count("*").alias("rows"))
+    sets = materialise(sets, "sets")
+    first = materialise(sets.filter("n > 0").groupBy(F.col("component").alias("c")).agg(F.min(F.struct(*key)).alias("first")), "first")
+    judged = sets.join(first.hint("merge"), F.col("component") == F.col("c"), "left").withColumn("stays", (F.col("n") == 0) | (F.struct(*key) == F.col("first")))
+    odd = judged.filter("NOT stays OR rows > 1").select(*(F.col(c).alias(f"odd_{c}") for c in key), "stays")
+    odd = materialise(odd, "odd")
+    own = docs["doc_id"].cast("long")
+    hit = own.isNotNull() & may_hold(bloom_of(odd.select(F.xxhash64("odd_doc_id").alias("h"))), docs.sparkSession)(F.xxhash64(own))
+    # Clashing names can't reach these: the row travels as a struct.
+    suspects = docs.filter(hit).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("said"))
+    suspects = suspects.withColumn("set", _set_keys(k)("said"))
+    same = (F.col("id") == F.col("odd_doc_id")) & (F.col("set.n") == F.col("odd_n")) & (F.col("set.key_a") == F.col("odd_key_a")) & (F.col("set.key_b") == F.col("odd_key_b"))
+    judged = materialise(suspects.join(odd.hint("merge"), same, "left").select("row", "id", "said", "set", "stays"), "judged")
+    alone = judged.filter("stays IS NULL").select("row.*")
+    repeated = judged.filter("stays").groupBy("id", "set").agg(F.min_by("row", F.struct("said", F.col("row.text").isNull())).alias("row")).select("row.*")
+    return docs.filter(~hit).unionByName(alone).unionByName(repeated)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline.llm import blooms, chat_format, decontaminate, exact_dedup, gru, html_extract, jaccard_join, language_id, license_scan, lm_score, lsh_forest, packing, phrases, token_orc, tokens, variants
-from shelfline.llm.common import shared_dir
+from shelfline.llm.common import materialise, shared_dir
 from shelfline.llm.components import components
 from shelfline.llm.dom_blocks import blocks_of
 
@@ -122,6 +122,11 @@ def test_chat_format_round_trip(spark):
         assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    made = materialise(chat_format.chat_format(df), "made")
+    texts, heard = {r["conv_id"]: r["formatted"] for r in made.collect()}, defaultdict(str)
+    for r in chat_format.loss_spans(made).orderBy("conv_id", "start").collect():
+        heard[r["conv_id"]] += texts[r["conv_id"]][r["start"] : r["start"] + r["length"]].replace("~1", "<").replace("~0", "~")
+    assert {c: hashlib.sha256(heard[c].encode()).hexdigest() for c in convs} == {c: r["loss_sha256"] for c, r in got.items()}
     plain = chat_format.chat_format(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")).collect()[0]["formatted"]
     assert plain == "<|turn|>user<|says|>hi<|over|>"
     assert chat_format.chat_format(df.limit(0)).count() == 0
@@ -276,6 +281,18 @@ def test_one_of_each_keeps_rows_whole(spark, monkeypatch, filtered):
     assert jaccard_join.one_of_each(df.limit(0)).collect() == []
 
 
+def test_one_of_each_judges_rows_not_ids(spark, docs_of):
+    """Rows with one id and different texts are documents of their own; of rows with one id and equal sets one stays."""
+    a, b = prose(80), prose(80, ["lamp", "door", "hill", "sand", "wolf", "rain"])
+    near = a + " x"
+    rows = [(1, a), (1, b), (2, "c d e f"), (3, near), (1, a.upper()), (1, a + "  "), (None, a), (None, a), (4, None), (4, ""), (4, " "), (5, b), (6, near), (6, b + " y")]
+    df = docs_of([t for _, t in rows], [i for i, _ in rows])
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect())
+    assert got == Counter([(1, a.upper()), (1, b), (2, "c d e f"), (None, a), (None, a), (4, "")])
+    again = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df.repartition(7)).collect())
+    assert again == got
+
+
 def test_least_shared_never_refuses_a_link():
     for _ in range(300):
         n = rng.randint(1, 120)
@@ -607,6 +624,12 @@ def test_deep_nesting_is_linear():
 
 def test_blocks_edges(spark, crf):
     assert blocks_of(None) == blocks_of("") == blocks_of("<p> </p><script>x<p>y") == []
+    said = lambda page: [b.text for b in blocks_of(page)]
+    assert said('<p>a</p><svg class="icon"/><p>b</p>') == ["a", "b"] == said("<p>a<p>b<svg><text>c</text></svg>")
+    assert said("<p>a<select><p>b") == ["a", "b"] and said("<canvas>" * 3000 + "x") == ["x"]
+    assert said("<html><head><title>t</title><meta x><p>a<p>b") == ["a", "b"] == said("<head><link>a<p>b")
+    assert said("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert said("<head><title>a<b>c</title><style>p{}</style></head>d") == ["d"] and said("<noscript>a</noscript>b<template><p>c</template>") == ["b"]
     b = blocks_of('<div>a&amp;b<b>c</b>\n d<br>e<p>f<p>g</div>tail<a href="x>y">z</a> &eacute;&#8364;&nbsp;q<!-- no --><style>n{}</style>')
     assert [x.text for x in b] == ["a&bc d", "e", "f", "g", "tailz é€ q"]
     odd = spark.createDataFrame([(1, None, None), (None, "u", "<p>"), (2, "u", "<article><p>" + "word " * 200000 + ".</p></article>")], "page_id long, url string, html string")
