@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import json
+import re
 import socket
+import unicodedata
 from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -161,8 +163,12 @@ class _Walker(HTMLParser):
         return out
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _str(x) -> str | None:
-    return None if x is None else str(x)
+    """A value as text; halves of surrogate pairs, which JSON may hold and no column can, become U+FFFD."""
+    return None if x is None else _LONE.sub("\ufffd", str(x))
 
 
 def linked_product(scripts: list[str]) -> dict | None:
@@ -201,8 +207,11 @@ def _linked_fields(item: dict) -> dict:
 
 def facts_of(html: str | None) -> tuple:
     w = _Walker()
-    w.feed(html or "")
-    w.close()
+    for read in (lambda: w.feed(html or ""), w.close):
+        try:
+            read()
+        except AssertionError:  # declarations that the parser knows no rule for; what was walked stays
+            pass
     item = linked_product(w.scripts)
     payload = "|".join(f"{k}:{w.signatures[k]}" for k in sorted(w.signatures))
     return hashlib.sha256(payload.encode("utf-8", "surrogatepass")).hexdigest()[:16], _linked_fields(item) if item else None, w.found(), w.site_links, w.links
@@ -228,6 +237,8 @@ def url_join(base: pd.Series, url: pd.Series) -> pd.Series:
 
 def _is_public(address: str) -> bool | None:
     """Whether an address is public, those inside IPv6 forms of an IPv4 address included; null for names."""
+    # Resolvers fold digits and dots of other scripts to ASCII and take a trailing dot for the root.
+    address = unicodedata.normalize("NFKC", address).replace("\u3002", ".").removesuffix(".")
     try:
         ip = ipaddress.ip_address(address.strip("[]").partition("%")[0])
     except ValueError:

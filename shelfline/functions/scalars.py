@@ -71,21 +71,25 @@ def split_hosts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
+def host(url: Column) -> Column:
+    """The host of a URL's authority, lower-cased. Spark's own HOST is null for forms that resolvers accept, such as hexadecimal addresses."""
+    return F.lower(F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
+
+
 def url_policy(url: Column, allowed: list[str], private_ok: list[str] = (), allow_private: bool = False, addresses: Column | None = None) -> Column:
     """Why a URL may not be fetched, or null: scheme and host, allowlist, name resolution, then addresses that are not public.
 
     ``addresses`` are those of the URL's host, from a table; a name without any is a
     ``dns_error``. Without them only hosts that are addresses themselves are judged.
     """
-    # The authority's host, as Spark's own HOST is null for forms that resolvers accept, such as hexadecimal addresses.
-    host = F.lower(F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
+    name = host(url)
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    out = F.when(url.isNull() | scheme.isNull() | ~scheme.isin("http", "https") | host.isNull() | (host == ""), "invalid_url")
+    out = F.when(url.isNull() | scheme.isNull() | ~scheme.isin("http", "https") | name.isNull() | (name == ""), "invalid_url")
     if allowed:
-        out = out.when(~host.isin([h.lower() for h in allowed]), "host_not_allowed")
+        out = out.when(~name.isin([h.lower() for h in allowed]), "host_not_allowed")
     if not allow_private:
-        held = host.isin(list(private_ok) or [""])
-        literal = ip_is_global(host)
+        held = name.isin(list(private_ok) or [""])
+        literal = ip_is_global(name)
         out = out.when(~literal & ~held, "private_address")
         if addresses is not None:
             out = out.when(literal.isNull() & (F.coalesce(F.size(addresses), F.lit(0)) < 1), "dns_error")
@@ -100,5 +104,5 @@ def addresses_private(addresses: Column) -> Column:
 
 def redirect_outcome(hops: Column, limit: int = 5) -> Column:
     """The first error along an array of hops (error, location), ``too_many_redirects`` past the limit, or null."""
-    first = F.try_element_at(F.filter(hops, lambda h: h["error"].isNotNull() | F.coalesce(h["location"] == "", F.lit(True))), F.lit(1))
+    first = F.try_element_at(F.filter(F.slice(hops, 1, limit + 1), lambda h: h["error"].isNotNull() | F.coalesce(h["location"] == "", F.lit(True))), F.lit(1))
     return F.when(first.isNotNull(), F.coalesce(first["error"], F.lit("invalid_redirect"))).when(F.size(hops) > limit, "too_many_redirects")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.schemas import REQUIRED_FIELDS
 
 LOW_CONFIDENCE = 0.9
@@ -66,16 +67,41 @@ def drift(captures: DataFrame, by: str = "source", order: list[str] = ("seq",),
 
     A capture is degraded if it covers less than the best before it or its confidence is low.
     A degraded one leaves the profile's fingerprint as it is and any other sets it, so the
-    profile before a row is the last fingerprint not degraded: two windows over one sort, no
-    state. A row drifts if it is degraded and its fingerprint isn't the profile's.
+    profile before a row is the last fingerprint not degraded. A row drifts if it is degraded
+    and its fingerprint isn't the profile's.
+
+    Both parts of a profile are prefix scans, taken in two levels so that a source of any size is
+    many tasks: rows are dealt by ranges of (source, order); each source's part of a range is a
+    chunk. Chunks first hand on their best coverage, then, once that says which rows are
+    degraded, their last fingerprint that isn't. The dealt rows are written, since ranges
+    drawn twice need not be the same.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    base = F.max("coverage").over(past)
-    out = captures.withColumn("baseline_coverage", base).withColumn("_first", F.row_number().over(w) == 1)
-    out = out.withColumn("_bad", F.coalesce(F.col("coverage") < F.col("baseline_coverage"), F.lit(False)) | (F.col("confidence") < threshold))
-    out = out.withColumn("previous_fingerprint", F.last(F.when(F.col("_first") | ~F.col("_bad"), F.col("dom_fingerprint")), ignorenulls=True).over(past))
-    return out.withColumn("drift", F.coalesce((F.col("previous_fingerprint") != F.col("dom_fingerprint")) & F.col("_bad"), F.lit(False))).drop("_first", "_bad")
+    dealt = captures.repartitionByRange(by, *order).withColumn("_chunk", F.spark_partition_id())
+    dealt = written(dealt, "captures")
+    key = [by, "_chunk"]
+    in_chunk = Window.partitionBy(*key).orderBy(*order)
+    past = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    chunks_before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    best = dealt.groupBy(*key).agg(F.max("coverage").alias("_best"))
+    best = best.select(*key, F.max("_best").over(chunks_before).alias("_best"), (F.row_number().over(Window.partitionBy(by).orderBy("_chunk")) == 1).alias("_opens"))
+    out = _carried(dealt, best, key).withColumn("baseline_coverage", F.greatest("_best", F.max("coverage").over(past)))
+    out = out.withColumn("_first", F.col("_opens") & (F.row_number().over(in_chunk) == 1))
+    out = out.withColumn("_bad", F.coalesce(F.col("coverage") < F.col("baseline_coverage"), F.lit(False)) | F.coalesce(F.col("confidence") < threshold, F.lit(False)))
+    out = out.withColumn("_sets", F.when(F.col("_first") | ~F.col("_bad"), F.col("dom_fingerprint")))
+
+    last = out.groupBy(*key).agg(F.max_by("_sets", F.when(F.col("_sets").isNotNull(), F.struct(*order))).alias("_last"))
+    last = last.select(*key, F.last("_last", ignorenulls=True).over(chunks_before).alias("_last"))
+    out = _carried(out, last, key).withColumn("previous_fingerprint", F.coalesce(F.last("_sets", ignorenulls=True).over(past), "_last"))
+    out = out.withColumn("drift", F.coalesce((F.col("previous_fingerprint") != F.col("dom_fingerprint")) & F.col("_bad"), F.lit(False)))
+    return out.select(*captures.columns, "baseline_coverage", "previous_fingerprint", "drift")
+
+
+def _carried(rows: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with what was handed on to their chunk; a source may be null."""
+    named = chunks.withColumnsRenamed({k: f"_of{k}" for k in key})
+    met = [rows[k].eqNullSafe(named[f"_of{k}"]) for k in key]
+    return rows.join(named, met[0] & met[1]).drop(*(f"_of{k}" for k in key))
 
 
 def source_profiles(captures: DataFrame, by: str = "source", order: list[str] = ("seq",), threshold: float = LOW_CONFIDENCE) -> DataFrame:

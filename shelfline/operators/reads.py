@@ -125,9 +125,13 @@ def run_durations(runs: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("targets", F.lit(0)).alias("targets"), F.when(seconds < 0, 0.0).otherwise(seconds).alias("duration_seconds"))
 
 
-def throughput(attempts: DataFrame, by: str, target: str, latency_ms: str, floor: float = 0.001) -> DataFrame:
-    """Fetches a second by ``by``: one after another, and with all targets at once; times count as ``floor`` seconds at least."""
-    each = attempts.groupBy(by, target).agg(F.count("*").alias("_n"), F.sum(latency_ms).alias("_ms"))
-    out = each.groupBy(by).agg(F.sum("_n").alias("n"), (F.sum("_ms") / 1000).alias("_total"), (F.max("_ms") / 1000).alias("_longest"))
-    total, longest = F.greatest("_total", F.lit(floor)), F.greatest("_longest", F.lit(floor))
-    return out.select(by, "n", F.round(F.col("n") / total, 3).alias("sequential_per_second"), F.round(F.col("n") / longest, 3).alias("concurrent_per_second"), F.round(total / longest, 3).alias("speedup"))
+def throughput(attempts: DataFrame, by: str, started_at: str, latency_ms: str, floor: float = 0.001) -> DataFrame:
+    """Fetches a second by ``by``: n over the seconds that it takes one after another, and over those from the first start to the last end.
+
+    Rates have two places and are null for no time; their ratio divides by ``floor`` at least.
+    """
+    start = F.unix_micros(started_at) / 1e6
+    spent, span = F.sum(latency_ms) / 1000, F.max(start + F.col(latency_ms) / 1000) - F.min(start)
+    rate = lambda seconds: F.round(F.count("*") / F.nullif(seconds, F.lit(0.0)), 2)
+    out = attempts.groupBy(by).agg(F.count("*").alias("n"), rate(spent).alias("baseline_per_second"), rate(span).alias("concurrent_per_second"))
+    return out.withColumn("speedup", F.round(F.col("concurrent_per_second") / F.greatest("baseline_per_second", F.lit(floor)), 2))

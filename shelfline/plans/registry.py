@@ -453,14 +453,16 @@ def run_durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT connector, n, round(n / greatest(total, 0.001), 3) AS sequential_per_second, round(n / greatest(longest, 0.001), 3) AS concurrent_per_second, round(greatest(total, 0.001) / greatest(longest, 0.001), 3) AS speedup
-      FROM (SELECT connector, count(*) AS n, sum(latency_ms) / 1000 AS total, max(s) / 1000 AS longest FROM (SELECT connector, latency_ms, sum(latency_ms) OVER (PARTITION BY target_id) AS s FROM attempts_v JOIN hosts_v h ON target_id = h.id) GROUP BY 1)""",
+    """SELECT connector, n, baseline_per_second, concurrent_per_second, round(concurrent_per_second / greatest(baseline_per_second, 0.001), 2) AS speedup
+      FROM (SELECT connector, count(*) AS n, round(count(*) / nullif(sum(latency_ms) / 1000, 0), 2) AS baseline_per_second,
+          round(count(*) / nullif(max(epoch_us(created_at) / 1e6 + latency_ms / 1000) - min(epoch_us(created_at) / 1e6), 0), 2) AS concurrent_per_second
+        FROM attempts_v JOIN hosts_v h ON target_id = h.id GROUP BY 1)""",
     "attempts", "hosts",
 )
 def fetch_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    """Fetches a second one after another, and with all targets at once: as fast as the slowest target."""
+    """Fetches a second one after another, and as they ran: from the first start to the last end."""
     tried = V.attempts(spark, sf).join(V.hosts(spark, sf).select(F.col("id").alias("h"), "connector"), F.col("target_id") == F.col("h"))
-    return reads.throughput(tried, "connector", "target_id", "latency_ms")
+    return reads.throughput(tried, "connector", "created_at", "latency_ms")
 
 
 # ------------------------------------------------------------------------------------ quality
@@ -589,13 +591,11 @@ def rendered_reparse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, url, NOT regexp_matches(url, '^https?://[^/]+/blocked') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://shop.example/blocked/' || page_id ELSE 'https://shop.example/p/' || page_id END AS url FROM pages)")
 def robots_policy(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.page_facts import robots_allowed
-
+    """One origin that all requests ask: its rules are rows, and the first that a path begins with decides."""
     n = F.col("page_id").cast("string")
     u = V.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://shop.example/blocked/"), n)).otherwise(F.concat(F.lit("https://shop.example/p/"), n)).alias("url"))
-    rules = spark.createDataFrame([("shop.example", "User-agent: *\nDisallow: /blocked\nAllow: /\n")], "host string, body string")
-    u = u.join(F.broadcast(rules), F.parse_url("url", F.lit("HOST")) == F.col("host"), "left")
-    return u.select("page_id", "url", robots_allowed(F.col("body"), F.lit("catalog-bot"), F.col("url")).alias("allowed"))
+    rules = spark.createDataFrame([("https://shop.example", 200, "User-agent: *\nDisallow: /blocked\nAllow: /\n")], "origin string, status int, body string")
+    return crawl.robots_decisions(u, rules, "catalog-bot").select("page_id", "url", "allowed")
 
 
 @query(
@@ -611,6 +611,50 @@ def robots_by_origin(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.robots_decisions(u, robots, "catalog-bot").select("page_id", "robots_error", "allowed")
 
 
+def _web(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of two hosts for each page: answers, redirects within and across hosts, to a private address, in a circle, and without a location."""
+    k = F.col("page_id") % 10
+    before = F.concat(F.lit("/p/"), (F.col("page_id") - 1).cast("string"))
+    status = F.when(k > 0, 302).otherwise(F.element_at(F.array(*map(F.lit, (200, 404, 503, 429))), (F.floor(F.col("page_id") / 10) % 4 + 1).cast("int")))
+    location = F.when(k.between(1, 5), before).when(k == 6, F.concat(F.lit("https://b.example"), before)).when(k == 8, "http://10.0.0.8/p").when(k == 9, F.col("page_id").cast("string"))
+    hosts = F.explode(F.array(F.lit("https://a.example/p/"), F.lit("https://b.example/p/"))).alias("at")
+    return V.read(spark, sf, "pages").select("page_id", status.alias("status"), location.alias("location"), hosts).select(F.concat("at", F.col("page_id").cast("string")).alias("url"), "status", "location")
+
+
+@query(
+    """WITH RECURSIVE walk AS (
+        SELECT page_id AS id, page_id AS n, 'a.example' AS host, 0 AS hop FROM pages
+        UNION ALL SELECT id, CASE WHEN n % 10 = 9 THEN n ELSE n - 1 END, CASE n % 10 WHEN 6 THEN 'b.example' WHEN 8 THEN '10.0.0.8' ELSE host END, hop + 1
+          FROM walk WHERE n % 10 NOT IN (0, 7) AND hop < 5 AND host <> '10.0.0.8' AND NOT (host = 'b.example' AND starts_with(n::VARCHAR, '1'))),
+      ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY hop DESC) = 1),
+      judged AS (SELECT *, CASE WHEN host = '10.0.0.8' THEN 'private_address' WHEN host = 'b.example' AND starts_with(n::VARCHAR, '1') THEN 'robots_disallowed' WHEN n % 10 = 7 THEN 'invalid_redirect'
+        WHEN n % 10 > 0 THEN 'too_many_redirects' WHEN (n // 10) % 4 > 0 THEN 'http_' || [404, 503, 429][(n // 10) % 4] END AS error FROM ends)
+      SELECT id, hop + 1 AS fetches, CASE WHEN error IS NULL THEN 'https://' || host || '/p/' || n END AS final_url, error, coalesce(error IN ('http_503', 'http_429'), false) AS transient FROM judged"""
+)
+def redirect_chase(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's URL followed over at most five redirects, every hop judged by URL policy and robots rules."""
+    asked = V.read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("https://a.example/p/"), F.col("page_id").cast("string")).alias("url"))
+    robots = spark.createDataFrame([("https://a.example", 404, None), ("https://b.example", 200, "User-agent: *\nDisallow: /p/1\n")], "origin string, status int, body string")
+    hops = crawl.chase(asked, _web(spark, sf), lambda u: S.url_policy(u, []), robots, "catalog-bot")
+    return crawl.chase_outcomes(hops).select("id", "fetches", "final_url", "error", "transient")
+
+
+@query(
+    """WITH RECURSIVE walk AS (
+        SELECT page_id AS id, page_id AS n, 'a.example' AS host, 0 AS hop FROM pages
+        UNION ALL SELECT id, CASE WHEN n % 10 = 9 THEN n ELSE n - 1 END, CASE n % 10 WHEN 6 THEN 'b.example' WHEN 8 THEN '10.0.0.8' ELSE host END, hop + 1
+          FROM walk WHERE n % 10 NOT IN (0, 7) AND hop < 5 AND host <> '10.0.0.8')
+      SELECT host, count(*) FILTER (n % 10 NOT IN (0, 7) OR (n % 10 = 0 AND (n // 10) % 4 = 0)) AS successes, count(*) FILTER (n % 10 = 0 AND (n // 10) % 4 IN (2, 3)) AS failures,
+        count(*) FILTER (n % 10 = 0 AND (n // 10) % 4 = 1) AS neutral FROM walk WHERE host <> '10.0.0.8' GROUP BY 1"""
+)
+def redirect_breaker_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What all hops mean to their hosts' breakers, by host."""
+    asked = V.read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("https://a.example/p/"), F.col("page_id").cast("string")).alias("url"))
+    hops = crawl.chase(asked, _web(spark, sf), lambda u: S.url_policy(u, [])).filter("effect IS NOT NULL OR error = 'invalid_redirect'")
+    count = lambda what: F.count_if(F.col("effect") == what)
+    return hops.groupBy(S.host(F.col("url")).alias("host")).agg(count("success").alias("successes"), count("failure").alias("failures"), count("neutral").alias("neutral"))
+
+
 @query(
     """WITH l AS (SELECT p_partkey // 60 AS source, p_partkey % 60 + 1 AS page, p_partkey AS k, p_partkey % 97 = 96 AS blank FROM part),
       e AS (SELECT source, coalesce(min(page) FILTER (blank), 51) AS stop FROM l GROUP BY 1),

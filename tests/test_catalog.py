@@ -1,7 +1,9 @@
 """Operators of the catalog side on small hand-made rows; queries against SQL on the smallest tables."""
 
 import random
+import re
 from pathlib import Path
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
@@ -246,3 +248,142 @@ def test_reports_as_json(spark, tmp_path):
     assert sorted(map(tuple, report_files.read_report(spark, str(tmp_path / "r"), "section string, id string, body string").collect())) == rows
     (tmp_path / "whole.json").write_text('{\n "section": "a",\n "id": "1"\n}')
     assert [tuple(r) for r in report_files.read_report(spark, str(tmp_path / "whole.json"), "section string, id string, body string", whole=True).collect()] == [("a", "1", None)]
+
+
+def test_drift_of_one_source_is_many_tasks(spark):
+    """One source with all rows: chunks hand on what a literal fold knows, and every range is a task of its own."""
+    rng = random.Random(6)
+    rows = [("s" if k < 900 else None, k, rng.choice("abc"), rng.choice([0.25, 0.5, 1.0, None]), rng.choice([0.8, 0.95])) for k in range(1000)]
+    rows += [("s", -5, "z", None, 0.8), ("t", 1, "q", 1.0, 0.95)]
+    want, profiles = {}, {}
+    for s, k, fp, cov, conf in sorted(rows, key=lambda r: r[1]):
+        known = profiles.get(s)
+        bad = (known is not None and None not in (known[1], cov) and cov < known[1]) or conf < 0.9
+        want[s, k] = (known[0] if known else None, known[1] if known else None, known is not None and known[0] != fp and bad)
+        best = max((c for c in (known and known[1], cov) if c is not None), default=None)
+        profiles[s] = (fp if known is None or not bad else known[0], best)
+    df = spark.createDataFrame(rows, "source string, seq int, dom_fingerprint string, coverage double, confidence double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out = quality.drift(df)
+        assert out.columns == [*df.columns, "baseline_coverage", "previous_fingerprint", "drift"]
+        assert {(r["source"], r["seq"]): (r["previous_fingerprint"], r["baseline_coverage"], r["drift"]) for r in out.collect()} == want
+        dealt = df.repartitionByRange("source", "seq").withColumn("chunk", F.spark_partition_id())
+        assert dealt.filter("source = 's'").select("chunk").distinct().count() >= 5
+        assert quality.drift(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def literal_chase(url, web, judge):
+    """One request after another, as a client would."""
+    for hop in range(6):
+        error = judge(url)
+        if error:
+            return hop + 1, None, error
+        if url not in web:
+            return hop + 1, None, "transport_error"
+        status, location, failed = web[url]
+        if failed:
+            return hop + 1, None, failed
+        if 300 <= status < 400:
+            if not location:
+                return hop + 1, None, "invalid_redirect"
+            url = urljoin(url, location)
+            continue
+        return hop + 1, (None if status >= 400 else url), (f"http_{status}" if status >= 400 else None)
+    return 6, None, "too_many_redirects"
+
+
+def test_redirects_are_chased_and_judged_hop_by_hop(spark):
+    rng = random.Random(9)
+    hosts = ["a.example", "b.example", "10.0.0.8", "shut.example", "lost.example", "[::1]"]
+    web = {}
+    for k in range(120):
+        h = rng.choice(hosts[:4])
+        target = rng.choice([f"/p/{rng.randrange(120)}", f"../p/{rng.randrange(120)}", f"https://{rng.choice(hosts)}/p/{rng.randrange(120)}", "//b.example/x", "ftp://a.example/", None, ""])
+        web[f"https://{h}/p/{k}"] = rng.choice([(200, None, None), (302, target, None), (301, target, None), (302, target, None), (404, None, None), (503, None, None), (429, None, None), (None, None, "timeout")])
+    for k in range(9):
+        web[f"https://a.example/c/{k}"] = (302, f"{k + 1}", None)
+    web |= {"https://a.example/c/9": (200, None, None), "https://a.example/me": (302, "me", None), "https://a.example/in": (302, "/out", None), "https://a.example/out": (307, "http://10.0.0.8/x", None)}
+    body = "User-agent: *\nDisallow: /p/1\nAllow: /\n"
+
+    def judge(url):
+        h = re.match(r"(\w+)://([^/]*)", url)
+        if h[1] not in ("http", "https"):
+            return "invalid_url"
+        if h[2] in ("10.0.0.8", "[::1]"):
+            return "private_address"
+        if h[2] == "shut.example":
+            return "circuit_open"
+        if h[2] == "lost.example":
+            return "robots_unavailable"
+        return "robots_disallowed" if h[2] == "b.example" and "/p/1" in url else None
+
+    start = [*web, "https://a.example/none", "https://b.example/p/2"]
+    asked = spark.createDataFrame(list(enumerate(start)), "id long, url string")
+    responses = spark.createDataFrame([(u, *r) for u, r in web.items()], "url string, status int, location string, error string")
+    robots = spark.createDataFrame([("https://a.example", 404, None), ("https://b.example", 200, body), ("https://lost.example", 503, None)], "origin string, status int, body string")
+    hops = crawl.chase(asked, responses, lambda u: S.url_policy(u, []), robots, "bot", spark.createDataFrame([("shut.example",), ("shut.example",)], "host string"))
+    got = {r["id"]: (r["fetches"], r["final_url"], r["error"]) for r in crawl.chase_outcomes(hops).collect()}
+    want = {i: literal_chase(u, web, judge) for i, u in enumerate(start)}
+    assert got == want
+    assert {"too_many_redirects", "invalid_redirect", "private_address", "circuit_open", "robots_disallowed", "timeout"} <= {w[2] for w in want.values()}
+    assert any(w[0] > 1 and w[2] == "private_address" for w in want.values())
+    events = {(r["id"], r["hop"]): (r["effect"], r["transient"]) for r in hops.collect()}
+    for i, (fetches, _, error) in want.items():
+        effect, transient = events[i, fetches - 1]
+        failed = error in ("timeout", "transport_error", "http_503", "http_429")
+        assert effect == ("failure" if failed else {"http_404": "neutral", None: "success", "too_many_redirects": "success"}.get(error))
+        assert transient == (failed or error in ("circuit_open", "robots_unavailable"))
+        assert all(events[i, k] == ("success", False) for k in range(fetches - 1))
+    assert crawl.chase(asked.limit(0), responses, lambda u: S.url_policy(u, [])).count() == 0
+
+
+def test_robots_rules_equal_the_parser(spark):
+    from urllib.robotparser import RobotFileParser
+
+    rng = random.Random(4)
+    agents = ["*", "Bot", "shop", "Bot/2.0", "other", "BOT", ""]
+    paths = ["", "/", "/a", "/a/b", "/A", "/a%20b", "/a b", "/%zz", "/a?x=1", "/a?", "/ü", "/a*", "*", "/a+b", "/~x", "/a#f", "/b;p", "/b;"]
+    docs, urls = [], ["https://x.example" + p for p in paths] + ["https://x.example", "https://x.example/a/b/c?x=1&y=%41#z", "https://x.example/%7Ex", "https://x.example/a%2Fb"]
+    for _ in range(250):
+        lines = []
+        for _ in range(rng.randrange(14)):
+            lines.append(rng.choice([f"User-agent: {rng.choice(agents)}", f"user-AGENT:{rng.choice(agents)} # c", f"Disallow: {rng.choice(paths)}", f"Allow: {rng.choice(paths)}", f"disallow :{rng.choice(paths)}", "", "", "  ", "# only", "Crawl-delay: 3", "Sitemap: https://x.example/s", "nonsense", "Request-rate: 1/2"]))
+        docs.append(rng.choice(["\n", "\r\n"]).join(lines))
+    robots = spark.createDataFrame([(f"https://h{k}.example", 200, d) for k, d in enumerate(docs)] + [("https://none.example", 200, None)], "origin string, status int, body string")
+    asked = [(k, u.replace("x.example", f"h{k}.example")) for k in range(len(docs)) for u in urls] + [(-1, "https://none.example/a")]
+    df = spark.createDataFrame(asked, "k int, url string")
+    for agent in ("Bot/1.0 (x)", "myshop", "zzz"):
+        got = {(r["k"], r["url"]): r["allowed"] for r in crawl.robots_decisions(df, robots, agent).collect()}
+        for k, d in enumerate(docs):
+            parser = RobotFileParser()
+            parser.parse(d.splitlines())
+            for u in urls:
+                u = u.replace("x.example", f"h{k}.example")
+                assert got[k, u] == parser.can_fetch(agent, u), (agent, u, d)
+        assert got[-1, "https://none.example/a"] is True
+
+
+def test_broken_pages_do_not_stop_a_job(spark):
+    """Random damage to pages, through Spark, with good rows beside them."""
+    rng = random.Random(12)
+    good = '<html><h1>Good</h1><script type="application/ld+json">{"@type": "Product", "name": "Good", "offers": {"price": "5.00", "priceCurrency": "USD", "availability": "InStock"}}</script></html>'
+    bad = ["<![foo[bar]]>", "<!DOCTYPE [<!", "<![CDATA[", "<!-", "<![if x]>", "</", "<a b='", "&#xD800;", "&#99999999;", "<!ELEMENT", "<?php", "\x00", "<![endif", "<!doctype html <", "]]>"]
+    surrogate = good.replace('"name": "Good"', '"name": "x\\ud800y"')
+    rows = [(0, good), (1, surrogate)]
+    for k in range(2, 1500):
+        at = rng.randrange(len(good))
+        rows.append((k, good[:at] + "".join(rng.choices(bad, k=rng.randint(1, 3))) + good[at + rng.randrange(3) :]))
+    df = spark.createDataFrame([(k, f"https://x.example/{k}", "shop", h) for k, h in rows], "id int, url string, source string, html string")
+    got = {r["id"]: r["title"] for r in extract.parse_products(df).select("id", "title").collect()}
+    assert len(got) == 1500 and got[0] == "Good" and got[1] == "x�y"
+    assert sum(t == "Good" for t in got.values()) > 300
+
+
+def test_addresses_in_odd_forms_are_private(spark):
+    df = spark.createDataFrame([(u,) for u in ["http://127.0.0.1./", "http://10.0.0.1.:8080/x", "http://①②⑦.0.0.1/", "http://2130706433./", "http://shop.example./", "http://93.184.216.7./"]], "u string")
+    assert [r[0] for r in df.select(S.url_policy(F.col("u"), [])).collect()] == ["private_address"] * 4 + [None, None]
