@@ -15,11 +15,14 @@
    missed by an order of depth d with probability 1 - t^d. Classes whose product over all orders
    is above MISSED get further orders, until it is not.
 
-Every link is confirmed on the full sets.
+Candidates whose 64 two-bit min-hashes agree in fewer places than any pair at the threshold
+does, but for a chance of UNLIKE, are dropped where they are met; those min-hashes are ones that
+places are seldom as deep as to share. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -39,6 +42,8 @@ TREES, DEPTH, LEAST_DEPTH = 24, 8, 4
 REGION = 32
 #: The probability of missing a pair at the threshold above which a class gets more orders.
 MISSED = 1e-6
+#: The probability that a pair at the threshold is taken for unlike by two-bit min-hashes.
+UNLIKE = 1e-8
 #: Shingles whose min-hashes are taken at a time.
 ROWS = 2048
 
@@ -50,11 +55,37 @@ def _multipliers(forest: int) -> np.ndarray:
 
 
 def _sign(s: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Two longs for each order; as numbers they sort by their min-hashes, the first one first."""
+    """Two longs for each order, which as numbers sort by their min-hashes, the first one first, and two of 32 two-bit min-hashes each."""
     least = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), ROWS):
         np.minimum(least, (s[k : k + ROWS, None] * by).min(axis=0), out=least)
-    return (_mixed(least) >> np.uint64(48)).astype(">u2").view(">i8").astype(np.int64)
+    hashes = (_mixed(least) >> np.uint64(48)).astype(np.uint64)
+    bits = (hashes.reshape(TREES, DEPTH).T[::-1].ravel()[:64] & np.uint64(3)).reshape(2, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return np.concatenate([hashes.astype(">u2").view(">i8").astype(np.int64), np.bitwise_or.reduce(bits, axis=1).view(np.int64)])
+
+
+@functools.cache
+def least_agreeing(num: int, den: int) -> int:
+    """How many of 64 two-bit min-hashes agree at least in a pair at the threshold, but for a chance of UNLIKE."""
+    p, below, k = num / den + (1 - num / den) / 4, 0.0, 0
+    while (below := below + math.comb(64, k) * p**k * (1 - p) ** (64 - k)) <= UNLIKE:
+        k += 1
+    return k
+
+
+_PAIRS_OF_BITS = 0x5555555555555555
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    same = ~(a ^ b).view(np.uint64)
+    return np.bitwise_count(same & (same >> np.uint64(1)) & np.uint64(_PAIRS_OF_BITS))
+
+
+def _alike(a: tuple[str, str], b: tuple[str, str], num: int, den: int) -> Column:
+    """The same test on columns."""
+    same = [F.bitwise_not(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)]
+    agreeing = [F.bit_count(x.bitwiseAND(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_PAIRS_OF_BITS))) for x in same]
+    return agreeing[0] + agreeing[1] >= least_agreeing(num, den)
 
 
 def _sketch(k: int):
@@ -100,43 +131,44 @@ def _sets(k: int):
     return run
 
 
-CROWD = "tree int, k1 long, k2 long, cls long, n long, prev long, prev_n long, part int, edge int"
+CROWD = "tree int, k1 long, k2 long, cls long, n long, s1 long, s2 long, prev long, prev_n long, agreeing int, part int, edge int"
 
 
 def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted range, the rows that share LEAST_DEPTH min-hashes with a neighbour, and its first (edge 1) and last row (edge 2; 3 if both).
 
-    ``prev`` and ``prev_n`` are of the row before, if that is the neighbour.
+    ``prev`` and ``prev_n`` are of the row before, if that is the neighbour, and ``agreeing`` counts the two-bit min-hashes that both have.
     """
     begin_task()
     part, held = TaskContext.get().partitionId(), None
 
     def told(rows: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
-        tree, k1, k2, cls, n, alike, prev, prev_n, edge = rows[:, wanted]
+        tree, alike, edge = rows[0, wanted], rows[7, wanted], rows[11, wanted]
         none = alike == 0
-        cols = [pa.array(tree.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(cls), pa.array(n), pa.array(prev, mask=none), pa.array(prev_n, mask=none), pa.array(np.full(len(tree), part, np.int32)), pa.array(edge.astype(np.int32))]
+        cols = [pa.array(tree.astype(np.int32)), *(pa.array(rows[i, wanted]) for i in range(1, 7)), *(pa.array(rows[i, wanted], mask=none) for i in (8, 9)), pa.array(rows[10, wanted].astype(np.int32), mask=none), pa.array(np.full(len(tree), part, np.int32)), pa.array(edge.astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CROWD.split(", ")])
 
     for b in batches:
         if not b.num_rows:
             continue
         own = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-        rows = np.concatenate([own, np.zeros((4, own.shape[1]), np.int64)])
+        rows = np.concatenate([own, np.zeros((5, own.shape[1]), np.int64)])  # alike, prev, prev_n, agreeing, edge
         if held is None:
-            rows[8, 0] = 1
+            rows[11, 0] = 1
         else:
             rows = np.concatenate([held, rows], axis=1)
-        rows[5, 1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
-        rows[6, 1:], rows[7, 1:] = rows[3, :-1], rows[4, :-1]
-        yield told(rows[:, :-1], np.flatnonzero((rows[5, :-1] > 0) | (rows[5, 1:] > 0) | (rows[8, :-1] > 0)))
+        rows[7, 1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
+        rows[8, 1:], rows[9, 1:] = rows[3, :-1], rows[4, :-1]
+        rows[10, 1:] = sum(_agreeing(rows[i, 1:], rows[i, :-1]).astype(np.int64) for i in (5, 6))
+        yield told(rows[:, :-1], np.flatnonzero((rows[7, :-1] > 0) | (rows[7, 1:] > 0) | (rows[11, :-1] > 0)))
         held = rows[:, -1:]  # whether the next row is alike isn't known yet
     if held is not None:
-        held[8] |= 2
+        held[11] |= 2
         yield told(held, np.array([0]))
 
 
-def _neighbours(forest: DataFrame) -> DataFrame:
-    """``tree, k1, k2, cls, n, prev, prev_n`` of the rows of crowded places: those with a neighbour, or at the edge of a range.
+def _neighbours(forest: DataFrame, num: int, den: int) -> DataFrame:
+    """``tree, k1, k2, cls, n, s1, s2, prev, prev_n, agreeing`` of the rows of crowded places: those with a neighbour, or at the edge of a range.
 
     Ranges end with the class as last key, so equal signatures are dealt to many tasks; where a
     range begins, the row before it is the last of the range before.
@@ -144,14 +176,16 @@ def _neighbours(forest: DataFrame) -> DataFrame:
     ranged = forest.repartitionByRange("tree", "k1", "k2", "cls").sortWithinPartitions("tree", "k1", "k2", "cls")
     crowd = materialise(ranged.mapInArrow(_crowd, CROWD), "crowd")
     before = lambda c: F.lag(c).over(Window.orderBy("part", "edge"))  # noqa: E731  two rows a range at most
-    seams = crowd.filter("edge > 0").select("tree", "k1", "k2", "cls", "n", "edge", *(before(c).alias(f"b_{c}") for c in ("tree", "k1", "cls", "n")))
-    seams = seams.filter("edge IN (1, 3) AND tree = b_tree AND k1 = b_k1").select("tree", "k1", "k2", "cls", "n", F.col("b_cls").alias("prev"), F.col("b_n").alias("prev_n"))
+    own = ["tree", "k1", "k2", "cls", "n", "s1", "s2"]
+    seams = crowd.filter("edge > 0").select(*own, "edge", *(before(c).alias(f"b_{c}") for c in own)).filter("edge IN (1, 3) AND tree = b_tree AND k1 = b_k1")
+    # Their bits are compared only so far as to say that they may link.
+    seams = seams.select(*own, F.col("b_cls").alias("prev"), F.col("b_n").alias("prev_n"), F.when(_alike(("s1", "s2"), ("b_s1", "b_s2"), num, den), 64).otherwise(0).alias("agreeing"))
     return crowd.drop("part", "edge").unionByName(seams)
 
 
 def _pairs_of(crowd: DataFrame, num: int, den: int) -> DataFrame:
-    """``lo, hi, tree``: neighbours whose sizes may link, with the first order that has them."""
-    near = crowd.filter(F.col("prev").isNotNull() & (F.least("n", "prev_n") * den >= F.greatest("n", "prev_n") * num))
+    """``lo, hi, tree``: neighbours that may link by their sizes and two-bit min-hashes, with the first order that has them."""
+    near = crowd.filter(F.col("prev").isNotNull() & (F.col("agreeing") >= least_agreeing(num, den)) & (F.least("n", "prev_n") * den >= F.greatest("n", "prev_n") * num))
     return near.groupBy(F.least("cls", "prev").alias("lo"), F.greatest("cls", "prev").alias("hi")).agg(F.min("tree").alias("tree"))
 
 
@@ -177,14 +211,14 @@ PLACE = ["tree", "k1", "p"]
 def _across(left: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs from different components of the regions ``some``: pairs of components first, then their members, so no pair within one is made."""
     held = left.join(some.select(*PLACE).hint("merge"), PLACE)
-    held = materialise(held.select(*PLACE, "component", "cls", "n"), "regions")
+    held = materialise(held.select(*PLACE, "component", "cls", "n", "s1", "s2"), "regions")
     parts = held.select(*PLACE, "component").distinct()
     x, y = parts.withColumnRenamed("component", "cx"), parts.withColumnRenamed("component", "cy")
     sides = materialise(x.join(y.hint("merge"), PLACE).filter("cx < cy"), "sides")
-    a = held.select(*PLACE, F.col("component").alias("cx"), F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = held.select(*PLACE, F.col("component").alias("cy"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    a = held.select(*PLACE, F.col("component").alias("cx"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    b = held.select(*PLACE, F.col("component").alias("cy"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     met = sides.join(a.hint("merge"), [*PLACE, "cx"]).join(b.hint("merge"), [*PLACE, "cy"])
-    met = met.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    met = met.filter(_alike(("a1", "a2"), ("b1", "b2"), num, den) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
@@ -195,7 +229,7 @@ def _prefix(depth: int) -> Column:
 
 def _regions(crowd: DataFrame, joined: DataFrame, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Candidates of the regions with several components, each at the depth at which it is sparse; and ``cls, tree, depth`` where that is not the least."""
-    members = crowd.select("tree", "k1", "k2", "cls", "n").distinct().join(joined.select(F.col("vertex").alias("cls"), "component").hint("merge"), "cls", "left")
+    members = crowd.select("tree", "k1", "k2", "cls", "n", "s1", "s2").distinct().join(joined.select(F.col("vertex").alias("cls"), "component").hint("merge"), "cls", "left")
     left = materialise(members.withColumn("component", F.coalesce("component", "cls")), "members")
     pairs = deep = None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
@@ -228,31 +262,32 @@ def _short(deep: DataFrame, log_missed: DataFrame | None, num: int, den: int) ->
 
 
 def _ordered(signed: DataFrame) -> DataFrame:
-    """``tree, k1, k2, cls, n``: a row for each class and order."""
+    """``tree, k1, k2, cls, n, s1, s2``: a row for each class and order."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("sign", 2 * t + 1).alias("k1"), F.element_at("sign", 2 * t + 2).alias("k2")))
-    return signed.select("cls", "n", F.explode(trees).alias("o")).select("o.tree", "o.k1", "o.k2", "cls", "n")
+    bits = (F.element_at("sign", 2 * TREES + i).alias(f"s{i}") for i in (1, 2))
+    return signed.select("cls", "n", *bits, F.explode(trees).alias("o")).select("o.tree", "o.k1", "o.k2", "cls", "n", "s1", "s2")
 
 
 def _linked(plain: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """Links between classes (cls, doc, key_a, key_b, n, sign) that give their components."""
-    links = joined = texts = missed = None
+    links = joined = missed = None
     signed, forest = classes, 0
     while True:
-        crowd = _neighbours(_ordered(signed))
+        crowd = materialise(_neighbours(_ordered(signed), num, den), "crowded")
         if crowd.filter("prev IS NOT NULL").isEmpty():
             return links
-        crowd = materialise(crowd, "crowded")
-        wanted = classes.select("cls", "doc", "key_a", "key_b", "n").join(crowd.filter("prev IS NOT NULL").select(F.explode(F.array("cls", "prev")).alias("c")).distinct().hint("merge"), F.col("cls") == F.col("c"), "left_semi")
-        texts = _texts_of(plain, wanted, k).dropDuplicates(["cls"])
-        sets = materialise(texts.mapInArrow(_sets(k), "cls long, grams array<long>"), "sets")
         near = materialise(_pairs_of(crowd, num, den), "neighbours")
+        sets = _sets_of(plain, classes, near, k)
         for pairs in (near.filter("tree = 0"), near.filter("tree > 0"), None):
             deep = None
             if pairs is None:
                 pairs, deep = _regions(crowd, _no_components(plain.sparkSession) if joined is None else joined, num, den)
-            if joined is not None:
-                pairs = _apart(pairs, joined)
-            pairs = materialise(pairs.select("lo", "hi").distinct(), "pairs")
+                pairs = materialise(pairs.select("lo", "hi").distinct(), "pairs")
+                if pairs.isEmpty():
+                    continue
+                sets = _sets_of(plain, classes, pairs, k)
+            elif joined is not None:
+                pairs = materialise(_apart(pairs, joined), "pairs")
             if pairs.isEmpty():
                 continue
             found = materialise(_links(pairs, sets, num, den), "verified")
@@ -269,6 +304,14 @@ def _linked(plain: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
         signed = materialise(again.mapInArrow(_signed(k, forest), "cls long, n long, sign array<long>"), "signed")
 
 
+def _sets_of(plain: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``cls, grams`` of the classes in pairs (lo, hi)."""
+    named = pairs.select(F.explode(F.array("lo", "hi")).alias("c")).distinct()
+    wanted = classes.select("cls", "doc", "key_a", "key_b", "n").join(named.hint("merge"), F.col("cls") == F.col("c"), "left_semi")
+    texts = _texts_of(plain, wanted, k).dropDuplicates(["cls"])
+    return materialise(texts.mapInArrow(_sets(k), "cls long, grams array<long>"), "sets")
+
+
 def _no_components(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "vertex long, component long")
 

@@ -839,8 +839,8 @@ def test_lsh_forest(spark, docs_of, monkeypatch):
 
 def test_lsh_forest_regions_deepen(spark):
     """Dense places go deeper, classes in them get more orders, and no pair across components is lost at the last depth."""
-    rows = [(t, 7, (3 << 48) + (c // 4), c, 10) for t in range(2) for c in range(40)] + [(0, 9, 5, c, 10) for c in (0, 50)]
-    crowd = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long")
+    rows = [(t, 7, (3 << 48) + (c // 4), c, 10, 0, 0) for t in range(2) for c in range(40)] + [(0, 9, 5, c, 10, 0, 0) for c in (0, 50)]
+    crowd = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long, s1 long, s2 long")
     alone = lsh_forest._no_components(spark)
     old, lsh_forest.REGION = lsh_forest.REGION, 2
     try:
@@ -873,10 +873,17 @@ def test_lsh_forest_further_orders(spark, docs_of, monkeypatch):
 def test_lsh_forest_order_and_seams(spark):
     """Ranges cut anywhere have the same neighbours as the whole order."""
     draw = random.Random(2)
-    rows = [(t, draw.randrange(4), draw.randrange(3), c, 5) for t in range(2) for c in range(60)]
-    forest = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long")
-    got = {(r["prev"], r["cls"], r["tree"]) for r in lsh_forest._neighbours(forest).filter("prev IS NOT NULL").collect()}
-    order = sorted((t, a, b, c) for t, a, b, c, _ in rows)
+    bits = {c: tuple(draw.choice([draw.getrandbits(63), -draw.getrandbits(63), 3]) for _ in range(2)) for c in range(60)}
+    rows = [(t, draw.randrange(4), draw.randrange(3), c, 5, *bits[c]) for t in range(2) for c in range(60)]
+    forest = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long, s1 long, s2 long")
+    least = lsh_forest.least_agreeing(85, 100)
+    agree = lambda a, b: sum((x >> i & 3) == (y >> i & 3) for x, y in zip(bits[a], bits[b]) for i in range(0, 64, 2))
+    found = lsh_forest._neighbours(forest, 85, 100).filter("prev IS NOT NULL").collect()
+    assert all((r["agreeing"] >= least) == (agree(r["prev"], r["cls"]) >= least) for r in found)
+    got = {(r["prev"], r["cls"], r["tree"]) for r in found}
+    order = sorted(r[:4] for r in rows)
     assert got == {(x[3], y[3], y[0]) for x, y in zip(order, order[1:]) if x[:2] == y[:2]}
+    both = spark.createDataFrame([(*bits[a], *bits[b], a, b) for a in range(60) for b in range(60)], "a1 long, a2 long, b1 long, b2 long, a int, b int")
+    assert {(r["a"], r["b"]) for r in both.filter(lsh_forest._alike(("a1", "a2"), ("b1", "b2"), 85, 100)).collect()} == {(a, b) for a in range(60) for b in range(60) if agree(a, b) >= least}
     sign = lsh_forest._sign(np.arange(50, dtype=np.uint64) * np.uint64(977), lsh_forest._multipliers(0))
-    assert len(sign) == 2 * lsh_forest.TREES and (sign == lsh_forest._sign(np.arange(50, dtype=np.uint64)[::-1] * np.uint64(977), lsh_forest._multipliers(0))).all()
+    assert len(sign) == 2 * lsh_forest.TREES + 2 and (sign == lsh_forest._sign(np.arange(50, dtype=np.uint64)[::-1] * np.uint64(977), lsh_forest._multipliers(0))).all()
