@@ -37,6 +37,9 @@ LONGEST = 4
 #: Words of one window that a task counts at a time, and what duckdb may hold of a bucket before it spills.
 WINDOW, HELD = 1 << 20, "200MB"
 
+#: Hash buckets for each shuffle partition: small enough that a bucket's sums seldom spill.
+BUCKETS = 4
+
 PARTS = "bucket int, lang string, phrases long, size long, packed binary"
 #: Parts are phrases of the same words over and over; they are shuffled compressed.
 CODEC, LEVEL = "zstd", 3
@@ -210,7 +213,7 @@ def _add_up(least: int):
 
 def phrase_counts(docs: DataFrame, least: int = 30, buckets: int | None = None) -> DataFrame:
     """``lang, phrase, words, n``: phrases of 1 to LONGEST words with ``least`` occurrences, and each language's words in all under the empty phrase with 0 words."""
-    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = pieces(docs).mapInArrow(_take_apart(n), PARTS).repartitionById(n, F.col("bucket"))
     return parts.mapInArrow(_add_up(least), COUNTS)
 
