@@ -4,7 +4,7 @@
    passage that many documents share is taken apart once.
 2. Tasks number the words of a window of pieces and count its phrases level by level, a phrase
    being (the phrase without its last word, that word); counts are weighted by multiplicities.
-   Phrases leave a task as packed parts, one for each hash bucket and language.
+   Phrases leave a task as packed parts, one for each hash bucket and window.
 3. Each bucket adds up its parts in duckdb, whose aggregation spills to the folders that
    Spark's own spills use. Phrases under the least count go: neither a part of a candidate nor
    a longer candidate is rarer than the candidate.
@@ -35,12 +35,12 @@ from .common import ascii_lower, begin_task, hand_back, materialise, table, text
 ENDS, GAPS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
 LONGEST = 4
 #: Words of one window that a task counts at a time, and what duckdb may hold of a bucket before it spills.
-WINDOW, HELD = 1 << 20, "200MB"
+WINDOW, HELD = 1 << 20, "150MB"
 
 #: Hash buckets for each shuffle partition: small enough that a bucket's sums seldom spill.
 BUCKETS = 4
 
-PARTS = "bucket int, lang string, phrases long, size long, packed binary"
+PARTS = "bucket int, langs array<string>, phrases array<long>, size long, packed binary"
 #: Parts are phrases of the same words over and over; they are shuffled compressed.
 CODEC, LEVEL = "zstd", 3
 COUNTS = "lang string, phrase string, words int, n long"
@@ -67,6 +67,7 @@ class _Window:
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
         self.buf = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
+        self.ended = np.append(self.buf, np.uint8(10))
         gaps = np.flatnonzero(self.buf[offsets[0] :] == 0x20) + offsets[0]
         self.start = np.sort(np.concatenate([offsets[:-1], gaps + 1]))
         self.end = np.sort(np.concatenate([gaps, offsets[1:]]))
@@ -91,8 +92,11 @@ def _grouped(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number, order[at], np.add.reduceat(times[order], at) if len(at) else times[:0]
 
 
-def _counted(w: _Window, lo: int, hi: int, buckets: int, names: list[str]) -> Iterator[tuple]:
-    """Parts of the phrases that begin at words lo to hi; those may end up to LONGEST - 1 words later."""
+def _counted(w: _Window, lo: int, hi: int, buckets: int) -> Iterator[tuple[int, list[int], list[int], bytes]]:
+    """A part for each bucket of the phrases that begin at words lo to hi; those may end up to LONGEST - 1 words later.
+
+    A part is its languages, the phrases of each, and packed: counts, then phrases with a line end after each.
+    """
     upto = min(len(w.start), hi + LONGEST - 1)
     coded = w.words(lo, upto).dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -100,6 +104,7 @@ def _counted(w: _Window, lo: int, hi: int, buckets: int, names: list[str]) -> It
     piece, lang = w.piece[lo:upto], w.langs[w.piece[lo:upto]]
     at = np.arange(hi - lo)
     number, mixed = lang.astype(np.int64), np.zeros(upto - lo, np.uint64)  # of the phrase so far, by its first word
+    told: list[tuple] = []
     for n in range(1, LONGEST + 1):
         last = at + n - 1
         fits = last < upto - lo
@@ -112,21 +117,28 @@ def _counted(w: _Window, lo: int, hi: int, buckets: int, names: list[str]) -> It
         mixed[at] ^= mixed[at] >> np.uint64(29)
         number[at] = found
         first = at[first]
-        bucket = ((mixed[first] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((lang[first], bucket))
-        first, times, bucket = first[order], times[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket * len(names) + lang[first], prepend=-1))
-        start, end = w.start[lo + first], w.end[lo + first + n - 1]
-        for a, b in zip(cuts, np.append(cuts[1:], len(first))):
-            packed = b"".join(((end[a:b] - start[a:b]).astype("<i4").tobytes(), times[a:b].astype("<i8").tobytes(), _ranges(w.buf, start[a:b], end[a:b]).tobytes()))
-            yield int(bucket[a]), names[lang[first[a]]], int(b - a), packed
-
-
-def _total(langs: np.ndarray, times: np.ndarray, names: list[str], buckets: int) -> Iterator[tuple]:
+        bucket = ((mixed[first] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        told.append((bucket, lang[first].astype(np.int32), times, w.start[lo + first], w.end[lo + first + n - 1]))
+    if not told:
+        return
+    bucket, lang, times, start, end = map(np.concatenate, zip(*told))
+    order = np.lexsort((lang, bucket))
+    bucket, lang, times, start, end = bucket[order], lang[order], times[order], start[order], end[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+        kinds, sizes = np.unique(lang[a:b], return_counts=True)
+        # A phrase ends where a space, a line end or nothing follows; one byte more is taken and made a line end.
+        text = _ranges(w.ended, start[a:b], end[a:b] + 1)
+        text[np.cumsum(end[a:b] + 1 - start[a:b]) - 1] = 10
+        yield int(bucket[a]), kinds.tolist(), sizes.tolist(), times[a:b].astype("<i8").tobytes() + text.tobytes()
+
+
+def _totals(w: _Window, names: list[str], buckets: int) -> Iterator[tuple[int, list[int], list[int], bytes]]:
     """The words of each language as a phrase of no words."""
+    words = w.times[w.piece]
     for i, name in enumerate(names):
-        n = int(times[langs == i].sum())
-        yield xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) % buckets, name, 1, np.int32(0).tobytes() + np.int64(n).tobytes()
+        n = int(words[w.langs[w.piece] == i].sum())
+        yield xxhash.xxh3_64_intdigest(name.encode()) % buckets, [i], [1], np.int64(n).tobytes() + b"\n"
 
 
 def _take_apart(buckets: int):
@@ -150,35 +162,35 @@ def _take_apart(buckets: int):
         coded = rows.column(0).combine_chunks().dictionary_encode()
         names = coded.dictionary.to_pylist()
         w = _Window(rows.column(1).combine_chunks(), coded.indices.to_numpy(), rows.column(2).to_numpy())
-        yield packed_batch(_total(w.langs[w.piece], w.times[w.piece], names, buckets))
+        some, size = list(_totals(w, names, buckets)), 0
         for lo in range(0, len(w.start), WINDOW):
-            some, size = [], 0
-            for part in _counted(w, lo, min(lo + WINDOW, len(w.start)), buckets, names):
+            for part in _counted(w, lo, min(lo + WINDOW, len(w.start)), buckets):
                 some.append(part)
                 size += len(part[3])
                 if size > 8 << 20:
-                    yield packed_batch(some)
+                    yield packed(some, names)
                     some, size = [], 0
-            yield packed_batch(some)
+        yield packed(some, names)
 
-    def packed_batch(rows) -> pa.RecordBatch:
+    def packed(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
         codec = pa.Codec(CODEC, LEVEL)
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-        rows = [(bucket, lang, m, len(packed), codec.compress(packed, asbytes=True)) for bucket, lang, m, packed in rows]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["bucket", "lang", "phrases", "size", "packed"])
+        rows = [(bucket, [names[i] for i in kinds], sizes, len(body), codec.compress(body, asbytes=True)) for bucket, kinds, sizes, body in parts]
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["bucket", "langs", "phrases", "size", "packed"])
 
     return run
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase and a line end, n) of packed parts."""
     codec = pa.Codec(CODEC)
-    for lang, m, size, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-        buf = codec.decompress(packed.as_buffer(), size)
+    for langs, sizes, size, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+        buf, m = codec.decompress(body.as_buffer(), size), sum(sizes)
         offsets = np.zeros(m + 1, np.int32)
-        np.cumsum(np.frombuffer(buf, "<i4", m), out=offsets[1:])
-        phrase = pa.StringArray.from_buffers(m, pa.py_buffer(offsets), buf.slice(12 * m))
-        n = pa.array(np.frombuffer(buf, "<i8", m, 4 * m))
-        yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(m, np.int32)), [lang]).cast(pa.string()), phrase, n], names=["lang", "phrase", "n"])
+        offsets[1:] = np.flatnonzero(np.frombuffer(buf, np.uint8, size - 8 * m, 8 * m) == 10) + 1
+        lang = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(langs), dtype=np.int32), sizes)), langs).cast(pa.string())
+        phrase = pa.StringArray.from_buffers(m, pa.py_buffer(offsets), buf.slice(8 * m))
+        yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.frombuffer(buf, "<i8", m))], names=["lang", "phrase", "n"])
 
 
 def spill_folder() -> str:
@@ -188,7 +200,7 @@ def spill_folder() -> str:
 
 
 def _add_up(least: int):
-    """Sums of one bucket's parts, in duckdb; a phrase has one space less than words."""
+    """Sums of the parts of a task's buckets, in duckdb; a phrase has one space less than words, and a line end after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
@@ -199,8 +211,8 @@ def _add_up(least: int):
         try:
             con.register("parts", parts)
             out = con.sql(
-                "SELECT lang, phrase, CASE WHEN phrase = '' THEN 0 ELSE length(phrase) - length(replace(phrase, ' ', '')) + 1 END::INTEGER AS words, n FROM "
-                f"(SELECT lang, phrase, sum(n)::BIGINT AS n FROM parts GROUP BY lang, phrase) WHERE n >= {least} OR phrase = ''"
+                "SELECT lang, rtrim(phrase, chr(10)) AS phrase, CASE WHEN phrase = chr(10) THEN 0 ELSE length(phrase) - length(replace(phrase, ' ', '')) + 1 END::INTEGER AS words, n FROM "
+                f"(SELECT lang, phrase, sum(n)::BIGINT AS n FROM parts GROUP BY lang, phrase) WHERE n >= {least} OR phrase = chr(10)"
             )
             yield from out.to_arrow_reader(1 << 16)
         finally:
