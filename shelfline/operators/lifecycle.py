@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalise_url
 
 
-def create_run(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of requests (id, connector, render_mode, start_urls, max_pages, max_attempts): targets, outbox rows, and rejected runs.
+TARGET = ["id", "run_id", "url", "normalized_url", "connector", "render_mode", "status", "attempts", "max_attempts", "created_at"]
+OUTBOX = ["id", "target_id", "payload", "available_at", "published_at", "created_at"]
+
 
-    URLs past max_pages are cut off. Two URLs of a run that differ by trailing slashes only
-    reject the whole run.
+def create_rows(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Of requests (id, connector, render_mode, start_urls, max_pages, max_attempts): the rows that registering adds, and rejected runs.
+
+    The rows are those of ``crawl_targets`` and ``outbox``, told apart by ``table``: a target and its first
+    message come from one row of one plan, so one job writes both or neither. URLs past max_pages
+    are cut off. Two URLs of a run that differ by trailing slashes only reject the whole run.
     """
     urls = requests.select("id", "connector", "render_mode", "max_attempts", F.posexplode(F.slice("start_urls", F.lit(1), F.col("max_pages"))).alias("pos", "url"))
     urls = urls.withColumn("normalized_url", normalise_url(F.col("url")))
     rejected = duplicate_urls(urls.withColumnRenamed("id", "run_id")).select("run_id").distinct()
     good = urls.join(rejected, urls["id"] == rejected["run_id"], "left_anti")
-    targets = good.select(
-        F.sha2(F.concat_ws("|", "id", "normalized_url"), 256).alias("id"), F.col("id").alias("run_id"), "url", "normalized_url", "connector", "render_mode",
-        F.lit("queued").alias("status"), F.lit(0).alias("attempts"), "max_attempts", as_of.alias("created_at"),
+    both = good.select(
+        F.sha2(F.concat_ws("|", "id", "normalized_url"), 256).alias("_target"), F.col("id").alias("_run"), F.col("url").alias("_url"), F.col("normalized_url").alias("_normalized"),
+        F.col("connector").alias("_connector"), F.col("render_mode").alias("_mode"), F.col("max_attempts").alias("_max"), F.explode(F.array(F.lit("crawl_targets"), F.lit("outbox"))).alias("table"),
+    )
+    message = F.col("table") == "outbox"
+    target = lambda c: F.when(~message, c)
+    payload = F.struct(F.col("_target").alias("target_id"), F.col("_run").alias("run_id"), F.col("_url").alias("url"), F.col("_connector").alias("connector"), F.col("_mode").alias("render_mode"), F.lit(1).alias("attempt"))
+    rows = both.select(
+        "table", F.when(message, F.sha2(F.concat("_target", F.lit("|0")), 256)).otherwise(F.col("_target")).alias("id"),
+        target(F.col("_run")).alias("run_id"), target(F.col("_url")).alias("url"), target(F.col("_normalized")).alias("normalized_url"), target(F.col("_connector")).alias("connector"),
+        target(F.col("_mode")).alias("render_mode"), target(F.lit("queued")).alias("status"), target(F.lit(0)).alias("attempts"), target(F.col("_max")).alias("max_attempts"),
+        F.when(message, F.col("_target")).alias("target_id"), F.when(message, payload).alias("payload"), F.when(message, as_of).alias("available_at"), F.lit(None).cast("timestamp").alias("published_at"), as_of.alias("created_at"),
     )
-    payload = F.struct(F.col("id").alias("target_id"), "run_id", "url", "connector", "render_mode", (F.col("attempts") + 1).alias("attempt"))
-    outbox = targets.select(F.sha2(F.concat("id", F.lit("|0")), 256).alias("id"), F.col("id").alias("target_id"), payload.alias("payload"), as_of.alias("available_at"), F.lit(None).cast("timestamp").alias("published_at"), as_of.alias("created_at"))
-    return targets, outbox, rejected
+    return rows, rejected
+
+
+def create_run(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`create_rows` adds, as targets and outbox rows by themselves, and rejected runs."""
+    rows, rejected = create_rows(requests, as_of)
+    return rows.filter("table = 'crawl_targets'").select(*TARGET), rows.filter("table = 'outbox'").select(*OUTBOX), rejected
 
 
 def duplicate_urls(targets: DataFrame) -> DataFrame:

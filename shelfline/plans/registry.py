@@ -11,7 +11,8 @@ from ..sources import fixtures
 from ..sources import reports as report_files
 from ..sources import views as V
 from ..sources.schemas import REQUIRED_FIELDS
-from ..streaming import ingest
+from ..sources.keyed import KeyedTable, commit, committed
+from ..streaming import ingest, queue
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -366,11 +367,54 @@ def host_pacing(spark: SparkSession, sf: str) -> DataFrame:
       WHERE i <= 1 + c_custkey % 3""",
 )
 def create_run(spark: SparkSession, sf: str) -> DataFrame:
+    targets, _, _ = lifecycle.create_run(_run_requests(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    return targets.select("run_id", "normalized_url", F.substring_index("normalized_url", "/", -1).cast("long").alias("position"))
+
+
+def _run_requests(spark: SparkSession, sf: str) -> DataFrame:
     c = V.read(spark, sf, "customer")
     url = lambda i: F.concat(F.lit("https://shop.example/"), F.col("c_custkey").cast("string"), F.lit(f"/{i}"), F.when((F.col("c_custkey") % 7 == 0) & F.lit(i == 3), "").otherwise("/"))
-    req = c.select(F.col("c_custkey").alias("id"), F.lit("generic").alias("connector"), F.lit("http").alias("render_mode"), F.array(url(1), url(2), url(3)).alias("start_urls"), (F.lit(1) + F.col("c_custkey") % 3).cast("int").alias("max_pages"), F.lit(4).alias("max_attempts"))
-    targets, _, _ = lifecycle.create_run(req, F.lit(AS_OF).cast("timestamp"))
-    return targets.select("run_id", "normalized_url", F.substring_index("normalized_url", "/", -1).cast("long").alias("position"))
+    return c.select(F.col("c_custkey").alias("id"), F.lit("generic").alias("connector"), F.lit("http").alias("render_mode"), F.array(url(1), url(2), url(3)).alias("start_urls"), (F.lit(1) + F.col("c_custkey") % 3).cast("int").alias("max_pages"), F.lit(4).alias("max_attempts"))
+
+
+_RUN_URLS = """SELECT c_custkey AS run_id, u AS url, rtrim(u, '/') AS normalized_url, sha256(c_custkey || '|' || rtrim(u, '/')) AS target_id FROM (
+  SELECT c_custkey, unnest(range(1, 4)) AS i, 'https://shop.example/' || c_custkey || '/' || i || CASE WHEN c_custkey % 7 = 0 AND i = 3 THEN '' ELSE '/' END AS u FROM customer) WHERE i <= 1 + c_custkey % 3"""
+
+
+@query(
+    f"""SELECT sha256(target_id || '|0') AS id, target_id,
+      '{{"target_id":"' || target_id || '","run_id":' || run_id || ',"url":"' || url || '","connector":"generic","render_mode":"http","attempt":1}}' AS payload,
+      '{AS_OF}' AS available_at, true AS unpublished FROM ({_RUN_URLS})"""
+)
+def registered_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets and their first messages are committed by one job; the outbox as read back from its files, payloads as JSON."""
+    at = ingest.run_folder(spark, "registered")
+    commit(lifecycle.create_rows(_run_requests(spark, sf), F.lit(AS_OF).cast("timestamp"))[0], at)
+    box = committed(spark, at, "outbox", lifecycle.OUTBOX)
+    return box.select("id", "target_id", F.to_json("payload").alias("payload"), F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"), F.col("published_at").isNull().alias("unpublished"))
+
+
+@query(f"SELECT target_id AS id, run_id, url, normalized_url, 'queued' AS status, 0 AS attempts, 4 AS max_attempts FROM ({_RUN_URLS})")
+def registered_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """The targets of the same kind of commit, from their own files."""
+    at = ingest.run_folder(spark, "registered")
+    commit(lifecycle.create_rows(_run_requests(spark, sf), F.lit(AS_OF).cast("timestamp"))[0], at)
+    return committed(spark, at, "crawl_targets", lifecycle.TARGET).select("id", "run_id", "url", "normalized_url", "status", "attempts", "max_attempts")
+
+
+@query(
+    """SELECT run_id, attempt, first_value(id) OVER w AS id, part_id, price FROM targets_v WINDOW w AS (PARTITION BY run_id, attempt ORDER BY updated_at, part_id, supplier_id, status, price, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+      QUALIFY row_number() OVER (PARTITION BY run_id, attempt ORDER BY updated_at DESC, part_id DESC, supplier_id DESC, status DESC, price DESC, quantity DESC) = 1""",
+    "targets",
+)
+def stored_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert as a stored table takes it: loads one after another by time, each merged into the buckets that it touches; the first id stays."""
+    order = ["updated_at", "part_id", "supplier_id", "status", "price", "quantity"]
+    rows = V.targets(spark, sf).select("run_id", "attempt", "id", *order)
+    table = KeyedTable(spark, ingest.run_folder(spark, "products"), rows.schema.simpleString().removeprefix("struct<").removesuffix(">"), ["run_id", "attempt"], 16)
+    for lo, hi in (("0001-01-01", "1994-01-01"), ("1994-01-01", "1997-01-01"), ("1997-01-01", "9999-01-01")):
+        table.merge(rows.filter((F.col("updated_at") >= lo) & (F.col("updated_at") < hi)), order, ["id"])
+    return table.read().select("run_id", "attempt", "id", "part_id", "price")
 
 
 @query("SELECT c_custkey AS run_id FROM customer WHERE c_custkey % 2 = 1")
@@ -771,10 +815,37 @@ def circuit_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, target_id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN status_code >= 400 THEN 'http_' || status_code ELSE 'ok' END AS outcome FROM attempts_v", "attempts")
 def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of message files, one in ten delivered twice; each has one effect."""
+    """Events as a stream of message files, one in ten delivered twice; each has one effect, and the stream keeps no state."""
     at = ingest.run_folder(spark, "messages")
-    a = V.attempts(spark, sf).select("id", "target_id", "status_code")
+    a = V.attempts(spark, sf).select("id", "target_id", "status_code", F.to_date("created_at").alias("day"))
     ingest.deliver(a.unionByName(a.filter(F.col("id") % 10 == 0)), f"{at}/in", 8)
-    messages = ingest.message_stream(spark, f"{at}/in", "id long, target_id long, status_code int")
-    ingest.process(messages, f"{at}/out", f"{at}/checkpoint", lambda b: b.select("id", "target_id", S.http_class(F.col("status_code")).alias("outcome")))
-    return ingest.results(spark, f"{at}/out")
+    messages = ingest.message_stream(spark, f"{at}/in", "id long, target_id long, status_code int, day date")
+    ingest.process(messages, f"{at}/out", f"{at}/checkpoint", lambda b: b.select("id", "target_id", S.http_class(F.col("status_code")).alias("outcome"), "day"), day="day", buckets=1)
+    return ingest.results(spark, f"{at}/out").drop("day")
+
+
+_AS_OF_MS = 1705276800000
+_DUE = "epoch_us(created_at) // 1000 + k * 60000"
+
+
+@query(
+    f"""SELECT id::VARCHAR AS id, CASE WHEN due <= {_AS_OF_MS + 9000} AND NOT acked THEN 2 ELSE 1 END AS deliveries, due <= {_AS_OF_MS + 9000} AND NOT acked AS reclaimed,
+      CASE WHEN due <= {_AS_OF_MS - 1000} THEN {_AS_OF_MS - 1000} WHEN due <= {_AS_OF_MS - 999} THEN {_AS_OF_MS - 999} WHEN due <= {_AS_OF_MS + 9000} THEN {_AS_OF_MS + 9000} ELSE {_AS_OF_MS + 44000} END AS first_delivered_at
+      FROM (SELECT id, due, due <= {_AS_OF_MS - 1000} AND id % 3 <> 0 AS acked FROM (SELECT id, ({_DUE})::BIGINT AS due FROM attempts_v)) WHERE due <= {_AS_OF_MS + 44000}""",
+    "attempts",
+)
+def delayed_delivery(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts as messages with delays, by the events' clock: due ones are delivered, those acknowledged are done, and those that lie idle come again."""
+    at = ingest.run_folder(spark, "queue")
+    due = (F.floor(F.unix_micros("created_at") / 1000) + F.col("k") * 60_000).cast("long")
+    none = F.lit(None).cast("string")
+    a = V.attempts(spark, sf).select(F.col("id").cast("string").alias("id"), due.alias("due"), (F.col("id") % 3 != 0).alias("done"))
+    queue.send(a.select("id", F.lit("message").alias("kind"), F.lit(1704067200000 - 1).alias("at"), "due", none.alias("payload")), f"{at}/in")
+    queue.tick(spark, _AS_OF_MS, f"{at}/in")
+    queue.tick(spark, _AS_OF_MS + 1, f"{at}/in")
+    acks = a.filter(F.col("done") & (F.col("due") <= _AS_OF_MS - 1000))
+    queue.send(acks.select("id", F.lit("ack").alias("kind"), F.lit(_AS_OF_MS + 10_000).alias("at"), F.lit(None).cast("long").alias("due"), none.alias("payload")), f"{at}/in")
+    queue.tick(spark, _AS_OF_MS + 45_000, f"{at}/in")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint")
+    got = queue.results(spark, f"{at}/out")
+    return got.groupBy("id").agg(F.count("*").alias("deliveries"), F.bool_or("reclaimed").alias("reclaimed"), F.min("delivered_at").alias("first_delivered_at"))

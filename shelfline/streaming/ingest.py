@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.reliability import THRESHOLD, TIMEOUT, step
+from ..session import new_folder
+from ..sources.keyed import BUCKET, SLICE, KeyedTable
 
 
 def message_stream(spark: SparkSession, path: str, schema: str, files_each: int = 4) -> DataFrame:
@@ -18,24 +19,24 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_each: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def process(messages: DataFrame, out: str, checkpoint: str, apply, key: str = "id") -> None:
+def process(messages: DataFrame, out: str, checkpoint: str, apply, key: str = "id", day: str | None = None, buckets: int = 16) -> None:
     """Run ``apply`` on the stream until the input is used up and append each key's first result to ``out``.
 
-    Keys seen are the stream's state, so a batch costs what it holds, whatever came before; a batch
-    goes to a folder of its own number that a repeated batch overwrites. Redelivered messages,
-    in one batch or in several, change nothing.
+    The sink is a keyed table, and keys are looked up there: a batch reads the buckets that its rows
+    fall into and adds the keys that are missing. So nothing is kept in the stream's state however long it
+    runs, a repeated batch changes nothing, and neither does a message that comes again after any
+    time. ``day``: an expression over a message that is the same when it comes again, such as the day
+    of its creation; then a batch only looks into the days that its messages name.
     """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    once = apply(messages).dropDuplicates([key])
-    query = once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    parts = apply(messages)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+    table = KeyedTable(parts.sparkSession, out, schema, [key], buckets, day)
+    query = parts.writeStream.foreachBatch(lambda batch, number: table.insert(batch, [key])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def results(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop(BUCKET, SLICE)
 
 
 def breaker_stream(requests: DataFrame, threshold: int = THRESHOLD, timeout: float = TIMEOUT) -> DataFrame:
@@ -60,15 +61,5 @@ def deliver(rows: DataFrame, path: str, parts: int) -> None:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place of the session (its checkpoint dir), or on one machine in the warehouse."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
-    return f"{shared.rstrip('/')}/ingest/{name}-{uuid.uuid4().hex}"
-
-
-def dedupe_within(messages: DataFrame, key: str, at: str, delay: str) -> DataFrame:
-    """Redelivered messages dropped with bounded state: a watermark says how late a repeat may come."""
-    return messages.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    """A fresh folder in the shared place of the session."""
+    return new_folder(spark, f"ingest-{name}")

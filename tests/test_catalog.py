@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import defaultdict
 from pathlib import Path
 from urllib.parse import urljoin
 
@@ -13,8 +14,9 @@ import compare
 from shelfline.functions import scalars as S
 from shelfline.operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from shelfline.plans import registry
-from shelfline.sources import fixtures, schemas
+from shelfline.sources import fixtures, keyed, schemas
 from shelfline.sources import reports as report_files
+from shelfline.streaming import queue
 
 SF = "/root/testdata/sf0.001"
 
@@ -206,6 +208,9 @@ def test_stream_drops_repeats_across_batches(spark, tmp_path):
     messages = ingest.message_stream(spark, str(tmp_path / "in"), "id long, v long", 1)
     for _ in range(2):  # a second start finds nothing new
         ingest.process(messages, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("id"))
+    ingest.deliver(rows.limit(3), str(tmp_path / "in" / "later"), 1)  # long after
+    ingest.process(messages, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("id"))
+    assert not list((tmp_path / "cp").glob("state/**/*.delta"))
     assert sorted(r["id"] for r in ingest.results(spark, str(tmp_path / "out")).collect()) == list(range(40))
 
 
@@ -387,3 +392,124 @@ def test_broken_pages_do_not_stop_a_job(spark):
 def test_addresses_in_odd_forms_are_private(spark):
     df = spark.createDataFrame([(u,) for u in ["http://127.0.0.1./", "http://10.0.0.1.:8080/x", "http://①②⑦.0.0.1/", "http://2130706433./", "http://shop.example./", "http://93.184.216.7./"]], "u string")
     assert [r[0] for r in df.select(S.url_policy(F.col("u"), [])).collect()] == ["private_address"] * 4 + [None, None]
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in Path(path).rglob("part-*")}
+
+
+def test_keyed_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    rng = random.Random(3)
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k long, sub string, at long, id string, v double", ["k", "sub"], 8)
+    want = {}
+
+    def load(rows):
+        table.merge(spark.createDataFrame(rows, "k long, sub string, at long, id string, v double, other int" if len(rows[0]) == 6 else "k long, sub string, at long, id string, v double"), ["at", "id"], ["id"])
+        for r in sorted(rows, key=lambda r: (r[2], r[3])):
+            k, sub, at, i, v = r[:5]
+            want[k, sub] = (at, want[k, sub][1] if (k, sub) in want else i, v)
+
+    load([(rng.randrange(60), rng.choice(["a", None]), n, f"i{n}", float(n)) for n in range(200)])
+    assert {(r["k"], r["sub"]): (r["at"], r["id"], r["v"]) for r in table.read().collect()} == want
+    before = files_of(table.path)
+    load([(5, "a", 900, "late", 1.0, 7), (5, "a", 901, "later", 2.0, 7), (777, None, 902, "new", 3.0, 7)])
+    after = files_of(table.path)
+    assert {(r["k"], r["sub"]): (r["at"], r["id"], r["v"]) for r in table.read().collect()} == want
+    new = table._placed(spark.createDataFrame([(5, "a", 0, "", 0.0), (777, None, 0, "", 0.0)], "k long, sub string, at long, id string, v double"))
+    touched = {f"_bucket={r['_bucket']}" for r in new.select("_bucket").collect()}
+    assert {f for f in before if f.split("/")[0] not in touched} == {f for f in after if f.split("/")[0] not in touched}
+    assert all(before[f] == after[f] for f in before if f.split("/")[0] not in touched)
+    assert not {f for f in before if f.split("/")[0] in touched} & set(after)
+    # The scan of a merge names its buckets, and Spark lists no other folder.
+    read = table.touched(new)
+    scanned = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scanned and "_bucket" in scanned.split("PartitionFilters: [")[1][:200]
+    assert {f.split("/")[-2] for f in (r["f"] for r in read.select(F.input_file_name().alias("f")).distinct().collect())} <= touched
+    table.merge(spark.createDataFrame([], "k long, sub string, at long, id string, v double"), ["at"])
+    assert files_of(table.path) == after
+
+
+def test_keyed_insert_keeps_the_first(spark, tmp_path):
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k long, v string, day date", ["k"], 4, "day")
+    day = "2024-01-01"
+    for rows in ([(1, "a"), (2, "b"), (1, "z")], [(2, "c"), (3, "d")], []):
+        table.insert(spark.createDataFrame(rows, "k long, v string").withColumn("day", F.lit(day).cast("date")), ["v"])
+        day = "2024-01-01" if rows else day
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {(1, "a"), (2, "b"), (3, "d")}
+    before = files_of(table.path)
+    table.insert(spark.createDataFrame([(9, "n", None)], "k long, v string, day date"), ["v"])
+    table.insert(spark.createDataFrame([(9, "m", None)], "k long, v string, day date"), ["v"])
+    assert before.items() <= files_of(table.path).items() and sorted(r["v"] for r in table.read().collect()) == ["a", "b", "d", "n"]
+
+
+def test_one_commit_for_targets_and_outbox(spark, tmp_path):
+    """A failure between the two tables leaves neither; a success has both, with a message for each target."""
+    req = spark.createDataFrame([(k, "generic", "http", [f"https://s.example/{k}/{i}" for i in range(3)], 9, 4) for k in range(20)], "id long, connector string, render_mode string, start_urls array<string>, max_pages int, max_attempts int")
+    rows, _ = lifecycle.create_rows(req, F.lit("2024-01-01").cast("timestamp"))
+    path = str(tmp_path / "db")
+    broken = rows.withColumn("id", F.when((F.col("table") == "outbox") & (F.col("payload.run_id") == 19), F.raise_error(F.lit("lost between the two"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost between the two"):
+        keyed.commit(broken, path)
+    assert not files_of(path) or all("_temporary" in f for f in files_of(path))
+    keyed.commit(rows, path)
+    targets, outbox = keyed.committed(spark, path, "crawl_targets", lifecycle.TARGET), keyed.committed(spark, path, "outbox", lifecycle.OUTBOX)
+    assert targets.count() == outbox.count() == 60
+    assert {r["id"] for r in targets.collect()} == {r["target_id"] for r in outbox.collect()} == {r["payload"]["target_id"] for r in outbox.collect()}
+    assert "table=crawl_targets" not in str(outbox.select(F.input_file_name()).distinct().collect())
+
+
+def test_queue_delays_reclaims_and_ends(spark, tmp_path):
+    at = str(tmp_path)
+    event = lambda *rows: queue.send(spark.createDataFrame(list(rows), queue.EVENT), f"{at}/in")
+    event(("now", "message", 1000, 500, "p1"), ("retry", "message", 1000, 50_000, "p2"), ("now", "message", 1000, 500, "again"), ("idle", "message", 1000, 900, "p3"), (None, "message", 1000, 700, "p4"))
+    for clock in (10_000, 10_001):
+        queue.tick(spark, clock, f"{at}/in")
+    event(("now", "ack", 12_000, None, None), ("never", "ack", 12_000, None, None))
+    for clock in (30_000, 39_998, 45_000, 45_001, 60_000, 60_001):
+        queue.tick(spark, clock, f"{at}/in")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp")
+    got = queue.results(spark, f"{at}/out")
+    told = sorted(((r["delivered_at"], r["id"] or "", r["delivery"], r["reclaimed"], r["payload"]) for r in got.collect()))
+    assert told == [
+        (9_000, "", 1, False, "p4"), (9_000, "idle", 1, False, "p3"), (9_000, "now", 1, False, "p1"),
+        (44_000, "", 2, True, "p4"), (44_000, "idle", 2, True, "p3"), (59_000, "retry", 1, False, "p2"),
+    ]
+    mixed = got.filter("delivered_at >= 44000")
+    assert [r["reclaimed"] for r in queue.in_order(mixed).collect()] == [True, True, False]
+
+
+def test_worker_loop_over_the_queue(spark, tmp_path):
+    """Publish, reclaim, read, process, acknowledge: transient failures retry after a delay, a crash before the acknowledgement delivers again, and every target ends once."""
+    at, tried = str(tmp_path), defaultdict(int)
+    table = keyed.KeyedTable(spark, f"{at}/done", "id string, attempt int", ["id"], 4)
+    queue.send(spark.createDataFrame([(f"t{k}", "message", 1, 1000 + k, "1") for k in range(12)], queue.EVENT), f"{at}/in")
+    clock = [10_000]
+
+    def handle(batch, number):
+        for r in queue.in_order(batch).collect():
+            key, attempt, now = r["id"], int(r["payload"]), r["delivered_at"]
+            tried[key] += 1
+            k = int(key.removeprefix("t"))
+            if k % 3 == 0 and tried[key] == 1:  # the worker dies: no acknowledgement
+                continue
+            table.insert(spark.createDataFrame([(key, attempt)], "id string, attempt int"), ["attempt"]) if not (k % 4 == 1 and attempt == 1) else None
+            clock[0] = max(clock[0], now + 2000)
+            queue.send(spark.createDataFrame([(key, "ack", clock[0], None, None)], queue.EVENT), f"{at}/in")
+            if k % 4 == 1 and attempt == 1:  # a transient failure: the next attempt is visible later
+                queue.send(spark.createDataFrame([(key, "message", clock[0] + 1, clock[0] + 20_000, "2")], queue.EVENT), f"{at}/in")
+
+    for _ in range(6):
+        clock[0] += 25_000
+        queue.tick(spark, clock[0], f"{at}/in")
+        queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp", handle, files_each=100)
+        if table.read().count() == 12:
+            break
+    assert {(r["id"], r["attempt"]) for r in table.read().collect()} == {(f"t{k}", 2 if k % 4 == 1 else 1) for k in range(12)}
+    assert all(tried[f"t{k}"] >= 2 for k in range(12) if k % 3 == 0 or k % 4 == 1) and all(tried[f"t{k}"] >= 1 for k in range(12))
+
+
+def test_queue_by_the_wall_clock(spark, tmp_path):
+    at = str(tmp_path)
+    queue.send(spark.createDataFrame([("a", "message", 0, 1, "x"), ("later", "message", 0, 1 << 52, "y")], queue.EVENT), f"{at}/in")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp", seconds=25)
+    assert {r["id"] for r in queue.results(spark, f"{at}/out").collect()} == {"a"}
