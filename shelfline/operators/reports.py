@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import http_transient
 from ..sources.schemas import REQUIRED_FIELDS, STATUSES
+from .lifecycle import stale, target_states
 
 #: Labels of connectors, states and availabilities.
 CONNECTOR_LABELS = {"fixture_chaos": "장애 복구 테스트", "books_to_scrape": "Books to Scrape", "fixture_drift": "구조 변경 테스트"}
@@ -52,3 +54,25 @@ def dataset(targets: DataFrame, attempts: DataFrame, products: DataFrame, review
     each = each.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(*STATUSES)).alias("body"))
     parts = [("metrics", t) for t in totals] + [("sources", sources), ("runs", each)]
     return reduce(DataFrame.unionByName, (p.select(F.lit(name).alias("section"), "id", "body") for name, p in parts))
+
+
+def recovery(attempts: DataFrame, messages: DataFrame, stored: DataFrame, as_of: Column, idle_seconds: float = 30.0) -> DataFrame:
+    """One row: how often work failed for a while, came back, lay idle, was lost or done twice.
+
+    attempts: numbered, ``target_id, attempt, status_code, state``; those after a target's end don't count.
+    messages: ``delivered_at, acknowledged_at``. stored: ``target_id``, a row for each product kept. ``lost`` are
+    targets that succeeded without a product, ``duplicates`` products beyond the first of a target.
+    """
+    ends = target_states(attempts).select(F.col("target_id").alias("t"), F.col("attempts").alias("last"), "status")
+    failed = attempts.join(ends, (F.col("target_id") == F.col("t")) & (F.col("attempt") <= F.col("last"))).filter(http_transient(F.col("status_code")))
+    failed = failed.groupBy(F.col("target_id").alias("f")).agg(F.count("*").alias("failures"))
+    kept = stored.groupBy(F.col("target_id").alias("s")).agg(F.count("*").alias("products"))
+    each = ends.join(failed, F.col("t") == F.col("f"), "left").join(kept, F.col("t") == F.col("s"), "left")
+    ok = F.col("status") == "succeeded"
+    totals = each.agg(
+        F.count("*").alias("targets"), F.count_if(ok).alias("succeeded"), F.coalesce(F.sum("failures"), F.lit(0)).alias("transient_failures"), F.count_if(ok & (F.col("failures") > 0)).alias("recovered"),
+        F.count_if(ok & F.col("products").isNull()).alias("lost"), F.coalesce(F.sum(F.greatest(F.col("products") - 1, F.lit(0))), F.lit(0)).alias("duplicates"),
+    )
+    idle = stale(messages, as_of, idle_seconds).agg(F.count("*").alias("reclaimable"))
+    names = ["targets", "succeeded", "transient_failures", "recovered", "reclaimable", "lost", "duplicates"]
+    return totals.unionByName(idle, allowMissingColumns=True).agg(*(F.max(n).alias(n) for n in names))

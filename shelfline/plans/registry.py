@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.page_tree import html_excerpt
 from ..operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from ..sources import fixtures
 from ..sources import reports as report_files
@@ -575,6 +576,20 @@ def parse_product_selector(spark: SparkSession, sf: str) -> DataFrame:
     return extract.parse_products(_pages_of_parts(spark, sf, "selector", "books_to_scrape")).select(*_SHOWN, "dom_fingerprint")
 
 
+_EXCERPTED = (".product_main", "table.table-striped tr:nth-of-type(1)", "table.table-striped tr:nth-of-type(2)", "table.table-striped tr:nth-of-type(4)", "table.table-striped > tbody > tr:nth-of-type(5)")
+
+
+@query(
+    """SELECT p_partkey AS id, '<div class="two-columns product_main"><h1>' || replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h1><p class="big price_color">£' || (5 + p_partkey % 190) || '.49</p><p class="instock availability">' || chr(10)
+      || '  In stock </p></div>' || chr(10) || '<tr><th>UPC</th><td>U' || p_partkey || '</td></tr>' || chr(10) || '<tr><th>Product Type</th><td>Homeware</td></tr>' || chr(10)
+      || '<tr><th>Price (incl. tax)</th><td>£' || (5 + p_partkey % 190) || '.49</td></tr>' || chr(10) || '<tr><th>Availability</th><td>Low stock (3 left)</td></tr>' AS excerpt FROM part"""
+)
+def page_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a report quotes of a page: nodes found by selectors, written out again."""
+    pages = _pages_of_parts(spark, sf, "selector", "books_to_scrape")
+    return pages.select("id", html_excerpt(*_EXCERPTED)("html").alias("excerpt"))
+
+
 @query(_PART.format(external=_URL, currency="EUR", stock="PreOrder", brand="NULL", category="NULL", canonical=_URL, image=_URL, confidence="0.832", fp=_print_of("semantic")))
 def parse_product_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return extract.parse_products(_pages_of_parts(spark, sf, "semantic")).select(*_SHOWN, "dom_fingerprint")
@@ -766,19 +781,17 @@ def status_labels(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------ reliability, streams
 
 
-@query(
-    """SELECT i AS id, CASE WHEN i % 12 = 0 THEN 2 ELSE 1 END AS attempts, 'succeeded' AS status FROM range(1, 1001) t(i)""",
-)
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 12 = 0 THEN 2 ELSE 1 END AS attempts, 'succeeded' AS status FROM part")
 def rehearsal(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 12th target fails once with a transient error and is tried again."""
-    t = spark.range(1, 1001)
+    """Parts as targets, of which every 12th fails once with a transient error and is tried again."""
+    t = V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     tries = t.select(F.col("id").alias("target_id"), F.explode(F.when(F.col("id") % 12 == 0, F.array(F.lit(429), F.lit(200))).otherwise(F.array(F.lit(200)))).alias("code"))
     tries = lifecycle.number_attempts(tries.withColumn("seq", F.when(F.col("code") == 429, 0).otherwise(1)), "target_id", ["seq"])
     tries = tries.withColumn("state", lifecycle.outcome(S.http_transient(F.col("code")), F.col("code") < 400, F.col("attempt"), F.lit(4)))
     return lifecycle.target_states(tries).select(F.col("target_id").alias("id"), "attempts", "status")
 
 
-@query("SELECT 1000 AS targets, 1083 AS attempts, 83 AS transient_recovered, 1000 AS succeeded, 0 AS lost, 0 AS duplicated, 1.0::DOUBLE AS success_rate")
+@query("SELECT count(*) AS targets, count(*) + count(*) FILTER (p_partkey % 12 = 0) AS attempts, count(*) FILTER (p_partkey % 12 = 0) AS transient_recovered, count(*) AS succeeded, 0::BIGINT AS lost, 0::BIGINT AS duplicated, 1.0::DOUBLE AS success_rate FROM part")
 def rehearsal_report(spark: SparkSession, sf: str) -> DataFrame:
     r = rehearsal(spark, sf)
     ok = F.count_if(F.col("status") == "succeeded")
@@ -788,6 +801,40 @@ def rehearsal_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TRIED = f"(SELECT *, {_STATE} AS state FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v))"
+
+
+@query(
+    f"""WITH tried AS {_TRIED}, ends AS (SELECT target_id, coalesce(arg_min(state, attempt) FILTER (state IN ('succeeded', 'blocked')), arg_max(state, attempt)) AS status,
+        coalesce(min(attempt) FILTER (state IN ('succeeded', 'blocked')), max(attempt)) AS last FROM tried GROUP BY 1),
+      failed AS (SELECT target_id, count(*) AS n FROM tried JOIN ends USING (target_id) WHERE attempt <= last AND (status_code = 429 OR status_code >= 500) GROUP BY 1),
+      stored AS (SELECT target_id, count(*) AS n FROM tried WHERE state = 'succeeded' GROUP BY 1)
+      SELECT count(*) AS targets, count(*) FILTER (status = 'succeeded') AS succeeded, coalesce(sum(f.n), 0)::BIGINT AS transient_failures, count(*) FILTER (f.n > 0 AND status = 'succeeded') AS recovered,
+        (SELECT count(*) FROM attempts_v WHERE event_type <> 'purchase' AND TIMESTAMP '{AS_OF}' - created_at >= INTERVAL 30 SECOND) AS reclaimable,
+        count(*) FILTER (status = 'succeeded' AND s.n IS NULL) AS lost, coalesce(sum(greatest(s.n - 1, 0)), 0)::BIGINT AS duplicates
+      FROM ends LEFT JOIN failed f USING (target_id) LEFT JOIN stored s USING (target_id)""",
+    "attempts",
+)
+def recovery_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """How runs recovered, from the tables of attempts, messages and stored products: a success stores a product each time that it is reported."""
+    tried = _states(spark, sf)
+    messages = V.attempts(spark, sf).select("id", F.col("created_at").alias("delivered_at"), F.when(F.col("event_type") == "purchase", F.col("created_at")).alias("acknowledged_at"))
+    stored = tried.filter("state = 'succeeded'").select("target_id")
+    return reports.recovery(tried, messages, stored, F.lit(AS_OF).cast("timestamp"))
+
+
+@query(
+    """SELECT a.id, target_id, attempt, strftime(a.created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, url, run_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS attempt FROM attempts_v) a
+      JOIN (SELECT *, id % 10 AS run_id FROM hosts_v) h ON target_id = h.id WHERE run_id = 3 ORDER BY a.created_at, attempt, a.id LIMIT 1000""",
+    "attempts", "hosts",
+)
+def attempt_listing_of_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The attempts of one run's targets, oldest first, with their numbers."""
+    tried = lifecycle.number_attempts(V.attempts(spark, sf), "target_id", ["created_at", "id"])
+    out = reads.list_attempts(tried, V.hosts(spark, sf).withColumn("run_id", F.col("id") % 10), run_id=3)
+    return out.select("id", "target_id", F.col("attempt").cast("long").alias("attempt"), V.iso("created_at").alias("created_at"), "url", "run_id")
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     a = V.attempts(spark, sf)
     return a.select(F.col("target_id").cast("string").alias("host"), "id", (F.unix_micros("created_at") / 1e6).alias("at"), reliability.effect(F.col("status_code"), F.lit(None).cast("string")).alias("effect"))

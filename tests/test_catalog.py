@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
+from shelfline.functions import page_tree
 from shelfline.functions import scalars as S
 from shelfline.operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from shelfline.plans import registry
@@ -513,3 +514,42 @@ def test_queue_by_the_wall_clock(spark, tmp_path):
     queue.send(spark.createDataFrame([("a", "message", 0, 1, "x"), ("later", "message", 0, 1 << 52, "y")], queue.EVENT), f"{at}/in")
     queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp", seconds=25)
     assert {r["id"] for r in queue.results(spark, f"{at}/out").collect()} == {"a"}
+
+
+def test_excerpts(spark):
+    page = (
+        '<html><body><div class="product_main  wide"><h1>A &amp; "B" &lt;c&gt;</h1><br><img src=x.png alt></div><p>no</p><table class="striped table-striped"><tr><th>1</th></tr><tbody><tr><th>2</th><td>two</td></tr>'
+        "<tr><td>3</td></tr></tbody></table><table><tr><td>other</td></tr></table><script type='application/ld+json'>{\"a\": 1 < 2}</script><link rel=canonical href='/p?a=1&b=2'><main class='redesigned-card'>m<!-- c --></main></q></body>"
+    )
+    cases = {
+        ".product_main": '<div class="product_main wide"><h1>A &amp; "B" &lt;c&gt;</h1><br/><img src="x.png" alt=""/></div>',
+        "table.table-striped tr:nth-of-type(1)": '<tr><th>1</th></tr>\n<tr><th>2</th><td>two</td></tr>',
+        "table.table-striped > tr": "<tr><th>1</th></tr>",
+        "body table > tbody tr:nth-of-type(2) td": "<td>3</td>",
+        'link[rel="canonical"]': '<link rel="canonical" href="/p?a=1&amp;b=2"/>',
+        'script[type="application/ld+json"]': '<script type="application/ld+json">{"a": 1 < 2}</script>',
+        "main.redesigned-card": '<main class="redesigned-card">m<!-- c --></main>',
+        "*[alt]": '<img src="x.png" alt=""/>', "div > body": "", "#none": "", "p": "<p>no</p>",
+    }
+    df = spark.createDataFrame([(page,), (None,), ("",), ("<![foo[bar]]><p>x",), ("<div>" * 20_000 + "<p>deep",)], "html string")
+    for selector, want in cases.items():
+        got = [r[0] for r in df.select(page_tree.html_excerpt(selector)("html")).collect()]
+        assert got[0] == want and got[1] is None and got[2] == ""
+    got = [r[0] for r in df.select(page_tree.html_excerpt("p", "body > p", ".product_main h1")("html")).collect()]
+    assert got == ["<p>no</p>\n<h1>A &amp; \"B\" &lt;c&gt;</h1>", None, "", got[3], "<p>deep</p>"]
+    for bad in ("", "a >", "a:hover", "[x", "a,b"):
+        with pytest.raises(ValueError):
+            page_tree.html_excerpt(bad)
+
+
+def test_recovery_totals(spark):
+    tries = [("ok", 1, 200), ("back", 1, 429), ("back", 2, 503), ("back", 3, 200), ("back", 4, 429), ("gone", 1, 503), ("gone", 2, 503), ("gone", 3, 503), ("gone", 4, 503), ("no", 1, 404)]
+    states = {(200): "succeeded", 404: "blocked"}
+    attempts = spark.createDataFrame([(t, a, c, states.get(c, "retrying" if a < 4 else "failed")) for t, a, c in tries], "target_id string, attempt int, status_code int, state string")
+    at = "2024-01-01 00:00:"
+    messages = spark.createDataFrame([(at + "00", None), (at + "31", None), (at + "00", at + "10")], "d string, a string").select(F.col("d").cast("timestamp").alias("delivered_at"), F.col("a").cast("timestamp").alias("acknowledged_at"))
+    stored = spark.createDataFrame([("back",), ("back",)], "target_id string")
+    got = reports.recovery(attempts, messages, stored, F.lit(at + "59").cast("timestamp")).collect()
+    assert [tuple(r) for r in got] == [(4, 2, 6, 1, 1, 1, 1)]
+    empty = reports.recovery(attempts.limit(0), messages.limit(0), stored.limit(0), F.lit(at + "59").cast("timestamp")).collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0, 0, 0, 0, 0)]
