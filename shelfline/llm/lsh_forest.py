@@ -10,7 +10,8 @@
 3. A region is the classes of one order that share a prefix. Regions with one component are
    done. In the others all pairs from different components are candidates where they are at
    most REGION times the region's classes; a denser region goes one min-hash deeper, until it
-   is sparse or DEPTH is reached, where all its pairs across components are candidates.
+   is sparse or DEPTH is reached. Regions that are dense at the last depth are cut into tiles of
+   two blocks of classes; a task has the sets of a tile and tells only links that join components.
 4. What a class may miss follows from the depths of its regions: a pair at the threshold t is
    missed by an order of depth d with probability 1 - t^d. Classes whose product over all orders
    is above MISSED get further orders, until it is not.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ from .components import components
 from .jaccard_join import _keys, _mixed, _texts_of, shingles
 
 #: Orders of one forest, min-hashes of each, and how many of these candidates share at least (those of one long).
-TREES, DEPTH, LEAST_DEPTH = 24, 8, 4
+TREES, DEPTH, LEAST_DEPTH = 32, 6, 4
 #: Candidates for each class of a region, on average, beyond which the region goes deeper.
-REGION = 32
+REGION = 8
+#: Classes, and shingles of these, of one block of a dense region.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: The probability of missing a pair at the threshold above which a class gets more orders.
 MISSED = 1e-6
 #: The probability that a pair at the threshold is taken for unlike by two-bit min-hashes.
@@ -60,8 +63,11 @@ def _sign(s: np.ndarray, by: np.ndarray) -> np.ndarray:
     for k in range(0, len(s), ROWS):
         np.minimum(least, (s[k : k + ROWS, None] * by).min(axis=0), out=least)
     hashes = (_mixed(least) >> np.uint64(48)).astype(np.uint64)
-    bits = (hashes.reshape(TREES, DEPTH).T[::-1].ravel()[:64] & np.uint64(3)).reshape(2, 32) << np.arange(0, 64, 2, dtype=np.uint64)
-    return np.concatenate([hashes.astype(">u2").view(">i8").astype(np.int64), np.bitwise_or.reduce(bits, axis=1).view(np.int64)])
+    hashes = hashes.reshape(TREES, DEPTH)
+    bits = (hashes.T[::-1].ravel()[:64] & np.uint64(3)).reshape(2, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    orders = np.zeros((TREES, 8), ">u2")
+    orders[:, :DEPTH] = hashes
+    return np.concatenate([orders.view(">i8").astype(np.int64).ravel(), np.bitwise_or.reduce(bits, axis=1).view(np.int64)])
 
 
 @functools.cache
@@ -224,11 +230,11 @@ def _across(left: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
 
 def _prefix(depth: int) -> Column:
     """The min-hashes of the second long that a region of this depth shares."""
-    return F.lit(0).cast("long") if depth == LEAST_DEPTH else F.shiftright("k2", 16 * (DEPTH - depth))
+    return F.lit(0).cast("long") if depth == LEAST_DEPTH else F.shiftright("k2", 16 * (8 - depth))
 
 
-def _regions(crowd: DataFrame, joined: DataFrame, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Candidates of the regions with several components, each at the depth at which it is sparse; and ``cls, tree, depth`` where that is not the least."""
+def _regions(crowd: DataFrame, joined: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Candidates (lo, hi) of the regions with several components, each at the depth at which it is sparse; members of those that never are; and ``cls, tree, depth`` where that is not the least."""
     members = crowd.select("tree", "k1", "k2", "cls", "n", "s1", "s2").distinct().join(joined.select(F.col("vertex").alias("cls"), "component").hint("merge"), "cls", "left")
     left = materialise(members.withColumn("component", F.coalesce("component", "cls")), "members")
     pairs = deep = None
@@ -238,16 +244,59 @@ def _regions(crowd: DataFrame, joined: DataFrame, num: int, den: int) -> tuple[D
         # Twice the pairs across components: all ordered pairs less those within.
         regions = parts.groupBy(*PLACE).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts")).filter("parts > 1")
         across = (F.col("size") * F.col("size") - F.col("within")) / 2
-        regions = materialise(regions.select(*PLACE, ((across <= REGION * F.col("size")) | F.lit(depth == DEPTH)).alias("sparse")), "places")
+        regions = materialise(regions.select(*PLACE, (across <= REGION * F.col("size")).alias("sparse")), "places")
         found = _across(left, regions.filter("sparse"), num, den)
         pairs = found if pairs is None else pairs.unionByName(found)
         dense = regions.filter("NOT sparse")
         if dense.isEmpty():
+            left = None
             break
-        left = materialise(left.join(dense.select(*PLACE).hint("merge"), PLACE).drop("p"), "dense")
-        told = left.select("cls", "tree", F.lit(depth + 1).alias("depth"))
-        deep = told if deep is None else deep.unionByName(told)
-    return pairs, None if deep is None else deep.groupBy("cls", "tree").agg(F.max("depth").alias("depth"))
+        left = materialise(left.join(dense.select(*PLACE).hint("merge"), PLACE), "dense")
+        if depth < DEPTH:
+            left = left.drop("p")
+            told = left.select("cls", "tree", F.lit(depth + 1).alias("depth"))
+            deep = told if deep is None else deep.unionByName(told)
+    return pairs, left, None if deep is None else deep.groupBy("cls", "tree").agg(F.max("depth").alias("depth"))
+
+
+def _dense_links(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join components inside dense regions, each tile of two blocks in a task with its sets."""
+    sizes = left.groupBy(*PLACE).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = left.join(materialise(sizes, "blocks").hint("merge"), PLACE).join(sets.hint("merge"), "cls")
+    held = held.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    held = held.select(*PLACE, "cls", "component", "own", "s1", "s2", "grams", F.explode(tiles).alias("tile")).select(*PLACE, "tile.i", "tile.j", "cls", "component", "own", "s1", "s2", "grams")
+    least = least_agreeing(num, den)
+
+    def join(table: pa.Table) -> pa.Table:
+        cls, component, own, s1, s2 = (table.column(c).to_numpy() for c in ("cls", "component", "own", "s1", "s2"))
+        grams = [g.values.to_numpy().view(np.uint64) for g in table.column("grams")]
+        size = np.array([len(g) for g in grams])
+        names, group = np.unique(component, return_inverse=True)
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out, within = [], table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for k in range(len(cls)):
+            other = np.arange(k + 1, len(cls)) if within else k + 1 + np.flatnonzero(own[k + 1 :] != own[k])
+            other = other[(group[other] != group[k]) & (np.minimum(size[other], size[k]) * den >= np.maximum(size[other], size[k]) * num)]
+            agreeing = _agreeing(s1[other], s1[k]).astype(np.int64) + _agreeing(s2[other], s2[k])
+            other, agreeing = other[agreeing >= least], agreeing[agreeing >= least]
+            for m in other[np.argsort(-agreeing, kind="stable")].tolist():
+                x, y = find(group[k]), find(group[m])
+                if x != y:
+                    both = len(np.intersect1d(grams[k], grams[m], assume_unique=True))
+                    if both * den >= (size[k] + size[m] - both) * num:
+                        root[x] = y
+                        out.append((int(min(cls[k], cls[m])), int(max(cls[k], cls[m]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return held.groupBy(*PLACE, "i", "j").applyInArrow(join, "a long, b long")
 
 
 def _short(deep: DataFrame, log_missed: DataFrame | None, num: int, den: int) -> DataFrame:
@@ -268,36 +317,54 @@ def _ordered(signed: DataFrame) -> DataFrame:
     return signed.select("cls", "n", *bits, F.explode(trees).alias("o")).select("o.tree", "o.k1", "o.k2", "cls", "n", "s1", "s2")
 
 
+def _grown(joined: DataFrame | None, find: Callable[[DataFrame], DataFrame], candidates: DataFrame) -> DataFrame | None:
+    """Components (vertex, component) with the links (a, b) that a step finds among its candidates, if it has any.
+
+    Links found now are between components, so these are the vertices of a much smaller graph.
+    """
+    candidates = materialise(candidates, "candidates")
+    if candidates.isEmpty():
+        return joined
+    found = materialise(find(candidates), "verified")
+    if found.isEmpty():
+        return joined
+    ends = found
+    for side in ("a", "b") if joined is not None else ():
+        other = joined.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+        ends = ends.join(other.hint("merge"), F.col(side) == F.col("v"), "left").withColumn(side, F.coalesce("c", side)).drop("v", "c")
+    grown = materialise(components(ends), "grown")
+    if joined is None:
+        return grown
+    top = grown.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+    moved = joined.join(top.hint("merge"), F.col("component") == F.col("v"), "left").select("vertex", F.coalesce("c", "component").alias("component"))
+    # A component is named by its smallest vertex, so of the two rows of one the smaller is right.
+    return materialise(moved.unionByName(grown).groupBy("vertex").agg(F.min("component").alias("component")), "components")
+
+
 def _linked(plain: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links between classes (cls, doc, key_a, key_b, n, sign) that give their components."""
-    links = joined = missed = None
+    """``vertex, component`` of the classes (cls, doc, key_a, key_b, n, sign) that link with any; None if none does."""
+    joined = missed = None
     signed, forest = classes, 0
     while True:
         crowd = materialise(_neighbours(_ordered(signed), num, den), "crowded")
         if crowd.filter("prev IS NOT NULL").isEmpty():
-            return links
+            return joined
         near = materialise(_pairs_of(crowd, num, den), "neighbours")
         sets = _sets_of(plain, classes, near, k)
-        for pairs in (near.filter("tree = 0"), near.filter("tree > 0"), None):
-            deep = None
-            if pairs is None:
-                pairs, deep = _regions(crowd, _no_components(plain.sparkSession) if joined is None else joined, num, den)
-                pairs = materialise(pairs.select("lo", "hi").distinct(), "pairs")
-                if pairs.isEmpty():
-                    continue
-                sets = _sets_of(plain, classes, pairs, k)
-            elif joined is not None:
-                pairs = materialise(_apart(pairs, joined), "pairs")
-            if pairs.isEmpty():
-                continue
-            found = materialise(_links(pairs, sets, num, den), "verified")
-            links = found if links is None else links.unionByName(found)
-            joined = materialise(components(links), "components")
+        for pairs in (near.filter("tree = 0"), near.filter("tree > 0")):
+            if joined is not None:
+                pairs = _apart(pairs, joined)
+            joined = _grown(joined, lambda c: _links(c, sets, num, den), pairs)
+        pairs, dense, deep = _regions(crowd, _no_components(plain.sparkSession) if joined is None else joined, num, den)
+        joined = _grown(joined, lambda c: _links(c, _sets_of(plain, classes, c, k), num, den), pairs.select("lo", "hi").distinct())
+        if dense is not None:
+            sets = _sets_of(plain, classes, dense.select(F.col("cls").alias("lo"), F.col("cls").alias("hi")), k)
+            joined = _grown(joined, lambda c: _dense_links(c, sets, num, den), dense)
         if deep is None:
-            return links
+            return joined
         missed = materialise(_short(deep, missed, num, den), "missed")
         if missed.isEmpty():
-            return links
+            return joined
         forest += 1
         again = classes.select("cls", "doc", "key_a", "key_b", "n").join(missed.select(F.col("cls").alias("c")).hint("merge"), F.col("cls") == F.col("c"), "left_semi")
         again = _texts_of(plain, again, k).dropDuplicates(["cls"])
@@ -334,10 +401,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
         narrow = materialise(wide.drop("sign"), "sketches")
         classes = wide.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("doc"), F.any_value("sign").alias("sign"))
         classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-        links = _linked(plain, classes, k, num, den)
+        reached = _linked(plain, classes, k, num, den)
         joined = classes.select("cls", F.col("cls").alias("component"))
-        if links is not None:
-            reached = components(links).select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+        if reached is not None:
+            reached = reached.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
             joined = classes.select("cls").join(reached.hint("merge"), F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("c", "cls").alias("component"))
         labels = classes.select("key_a", "key_b", "n", "doc", "cls").join(joined.hint("merge"), "cls")
         least = materialise(labels.groupBy("component").agg(F.min("doc").alias("component_id")), "least")

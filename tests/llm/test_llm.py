@@ -839,15 +839,15 @@ def test_lsh_forest(spark, docs_of, monkeypatch):
 
 def test_lsh_forest_regions_deepen(spark):
     """Dense places go deeper, classes in them get more orders, and no pair across components is lost at the last depth."""
-    rows = [(t, 7, (3 << 48) + (c // 4), c, 10, 0, 0) for t in range(2) for c in range(40)] + [(0, 9, 5, c, 10, 0, 0) for c in (0, 50)]
+    rows = [(t, 7, (3 << 48) + (c // 4 << 32), c, 10, 0, 0) for t in range(2) for c in range(40)] + [(0, 9, 5, c, 10, 0, 0) for c in (0, 50)]
     crowd = spark.createDataFrame(rows, "tree int, k1 long, k2 long, cls long, n long, s1 long, s2 long")
     alone = lsh_forest._no_components(spark)
     old, lsh_forest.REGION = lsh_forest.REGION, 2
     try:
-        pairs, deep = lsh_forest._regions(crowd, alone, 85, 100)
+        pairs, dense, deep = lsh_forest._regions(crowd, alone, 85, 100)
         got = {tuple(r) for r in pairs.distinct().collect()}
         inner = {(a, b) for a, b in itertools.combinations(range(40), 2) if a // 4 == b // 4}
-        assert got == inner | {(0, 50)}
+        assert got == inner | {(0, 50)} and dense is None
         assert {r["depth"] for r in deep.collect()} == {lsh_forest.DEPTH}
         short = lsh_forest._short(deep, None, 85, 100)
         t = 0.85
@@ -855,19 +855,26 @@ def test_lsh_forest_regions_deepen(spark):
         assert (missed > lsh_forest.MISSED) == bool(short.count())
         # Those of one component are no candidates, and a region of one component is no region.
         whole = spark.createDataFrame([(c, 0) for c in range(40)], "vertex long, component long")
-        pairs, deep = lsh_forest._regions(crowd, whole, 85, 100)
+        pairs, _, deep = lsh_forest._regions(crowd, whole, 85, 100)
         assert {tuple(r) for r in pairs.collect()} == {(0, 50)} and deep is None
     finally:
         lsh_forest.REGION = old
 
 
 def test_lsh_forest_further_orders(spark, docs_of, monkeypatch):
-    """With every class short of orders, further forests are made and the result stays."""
-    texts = ["a b c d e f g h i j k l m n o p " * 2 + str(i // 2) for i in range(12)]
-    want = sorted(map(tuple, lsh_forest.near_duplicates(docs_of(texts)).collect()))
+    """With all regions dense, tiles find the links; with every class short of orders, further ones are made; the result stays."""
+    draw = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(w if draw.random() > share else f"x{draw.randrange(9)}" for w in base) for share in (0.004, 0.01, 0.015, 0.03) for _ in range(10)] + [" ".join(draw.sample(base, 120)) for _ in range(5)]
+    df = docs_of(texts)
+    want = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["doc_id"] == r["component_id"]) for r in jaccard_join.jaccard_join(df, 3, 85, 100).collect())
+    assert 6 < len({r[2] for r in want}) < 40
     monkeypatch.setattr(lsh_forest, "REGION", 0)
-    monkeypatch.setattr(lsh_forest, "MISSED", 1e-5)
-    assert sorted(map(tuple, lsh_forest.near_duplicates(docs_of(texts)).collect())) == want
+    monkeypatch.setattr(lsh_forest, "BLOCK", 5)
+    made, signed = [], lsh_forest._signed
+    monkeypatch.setattr(lsh_forest, "_signed", lambda k, forest: made.append(forest) or signed(k, forest))
+    monkeypatch.setattr(lsh_forest, "MISSED", 1e-10)
+    assert sorted(map(tuple, lsh_forest.near_duplicates(df).collect())) == want and made == [1]
 
 
 def test_lsh_forest_order_and_seams(spark):
