@@ -2,12 +2,15 @@
 
 Texts are never changed, and columns besides doc_id, text and lang pass through whatever
 their names. Null, empty and letterless texts go in the first stage; rows that repeat a text
-go in the second, whatever their ids; null ids stay and are documents of their own. An empty
+go in the second, whatever their ids. Rows with one id and different texts are documents of
+their own: near copies are judged by row, and of a component the row with the smallest id
+stays (ties by its shingle set, then its text). Null ids stay and are documents of their own. An empty
 table gives an empty result of the same columns. A benchmark without words drops nothing.
 """
 
 from __future__ import annotations
 
+import contextvars
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfline.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
 from shelfline.llm.common import drop_folders, materialise, scratch
 
-#: Folders that the last stage's steps were written to. Its result is written before the next stage starts, which drops them.
-_LEFT: list[str] = []
+#: Folders that the stage before left: of a run in its own list, of stages called by themselves by their input.
+_OF_RUN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("folders of a run", default=None)
+_OF_INPUT: dict[str, list[str]] = {}
 
 
 def _stage(work):
-    """A stage whose steps' folders the next stage drops."""
+    """A stage whose steps' folders the next one drops: its result is written before the next begins. One that fails drops its own."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_folders(spark, _LEFT)
+        own = _OF_RUN.get()
+        left = own if own is not None else _OF_INPUT.setdefault(sf_dir, [])
+        drop_folders(spark, left)
+        left.clear()
         with scratch() as made:
-            out = work(spark, docs, sf_dir)
-        _LEFT[:] = made.folders
+            try:
+                out = work(spark, docs, sf_dir)
+            except BaseException:
+                drop_folders(spark, made.folders)
+                raise
+        left += made.folders
         return out
 
     return run_stage
@@ -73,14 +84,26 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's rows written as Parquet and read again by the next."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES:
-        with scratch() as made:
-            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_folders(spark, before)  # what the stage read is no longer needed once its own rows are written
-        before = made.folders[-1:]
-    return docs
+    """All stages on ``documents``, each one's rows written as Parquet and read again by the next.
+
+    What stages wrote goes as soon as nothing reads it, and also when a stage fails; only the
+    result's folder stays.
+    """
+    left: list[str] = []
+    before: list[str] = []
+    mine = _OF_RUN.set(left)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            with scratch() as made:
+                docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            drop_folders(spark, before)  # what the stage read is no longer needed once its own rows are written
+            before = made.folders[-1:]
+        before = []
+        return docs
+    finally:
+        drop_folders(spark, left + before)
+        _OF_RUN.reset(mine)
 
 
 #: Language identification and packing can't be said in SQL; tests hold the pipeline to brute force.
