@@ -871,6 +871,18 @@ def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.results(spark, f"{at}/out").drop("day")
 
 
+@query("SELECT id::VARCHAR AS target_id, 'run-' || (id % 7) AS run_id, url, connector, 'http' AS render_mode, 1 AS attempt FROM hosts_v", "hosts")
+def json_message_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as JSON on a stream, some sent twice: a consumer reads them, stops, and reads on; each target's message counts once."""
+    at = ingest.run_folder(spark, "json")
+    h = V.hosts(spark, sf)
+    rows = h.select(F.col("id").cast("string").alias("target_id"), F.concat(F.lit("run-"), (F.col("id") % 7).cast("string")).alias("run_id"), "url", "connector", F.lit("http").alias("render_mode"), F.lit(1).alias("attempt"))
+    for third in range(3):
+        ingest.enqueue(rows.filter((F.col("target_id").cast("long") % 3 == third) | (F.col("target_id").cast("long") % 10 == 0)), f"{at}/in")
+        ingest.process(ingest.payloads(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint", lambda b: b.filter("valid").drop("raw", "valid"), key="target_id")
+    return ingest.results(spark, f"{at}/out")
+
+
 _AS_OF_MS = 1705276800000
 _DUE = "epoch_us(created_at) // 1000 + k * 60000"
 

@@ -35,6 +35,27 @@ def process(messages: DataFrame, out: str, checkpoint: str, apply, key: str = "i
     query.awaitTermination()
 
 
+#: The fields of a message about a target.
+MESSAGE = "target_id string, run_id string, url string, connector string, render_mode string, attempt int"
+
+
+def enqueue(rows: DataFrame, path: str) -> None:
+    """Append messages to a stream's folder, each as one line of JSON; files appear whole when the job commits."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
+def payloads(spark: SparkSession, path: str, schema: str = MESSAGE, files_each: int = 4) -> DataFrame:
+    """Messages of a stream's folder as they arrive: the fields of their JSON, and ``raw``, ``valid``.
+
+    A consumer group is a checkpoint: each has offsets of its own, gets every message, and goes on
+    after a restart where it stopped. What is no JSON of the schema comes with null fields and
+    ``valid`` false, so that one bad message neither stops the stream nor is lost.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_each).text(path)
+    read = lines.select(F.col("value").alias("raw"), F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
+    return read.select("m.*", "raw").withColumn("valid", F.col("_bad").isNull()).drop("_bad")
+
+
 def results(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop(BUCKET, SLICE)
 

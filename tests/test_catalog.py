@@ -17,7 +17,7 @@ from shelfline.operators import crawl, extract, lifecycle, quality, reads, relia
 from shelfline.plans import registry
 from shelfline.sources import fixtures, keyed, schemas
 from shelfline.sources import reports as report_files
-from shelfline.streaming import queue
+from shelfline.streaming import ingest, queue
 
 SF = "/root/testdata/sf0.001"
 
@@ -553,3 +553,28 @@ def test_recovery_totals(spark):
     assert [tuple(r) for r in got] == [(4, 2, 6, 1, 1, 1, 1)]
     empty = reports.recovery(attempts.limit(0), messages.limit(0), stored.limit(0), F.lit(at + "59").cast("timestamp")).collect()
     assert [tuple(r) for r in empty] == [(0, 0, 0, 0, 0, 0, 0)]
+
+
+def test_json_messages_by_consumer_group(spark, tmp_path):
+    """Every group gets every message once across restarts; a bad message is told, not lost, and stops nothing."""
+    at = str(tmp_path)
+    message = lambda k: (f"t{k}", "r", f"https://s.example/{k}?a=\"{k}\"", "generic", "http", k)
+    send = lambda ks: ingest.enqueue(spark.createDataFrame([message(k) for k in ks], ingest.MESSAGE), f"{at}/in")
+    seen = defaultdict(list)
+
+    def read(group):
+        rows = ingest.payloads(spark, f"{at}/in", files_each=1)
+        sink = lambda batch, number: seen[group].extend(tuple(r) for r in batch.collect())
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/{group}").trigger(availableNow=True).start().awaitTermination()
+
+    send(range(5))
+    read("one")
+    send(range(5, 9))
+    spark.createDataFrame([("{not json",), ('{"target_id": "x", "attempt": "many"}',)], "value string").coalesce(1).write.mode("append").text(f"{at}/in")
+    read("one")
+    read("one")
+    read("two")
+    for group in ("one", "two"):
+        good = sorted(r[:6] for r in seen[group] if r[-1])
+        assert good == sorted(message(k) for k in range(9))
+        assert {r[-2] for r in seen[group] if not r[-1]} == {"{not json", '{"target_id": "x", "attempt": "many"}'} and len(seen[group]) == 11
