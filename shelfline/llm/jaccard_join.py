@@ -360,7 +360,8 @@ def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> D
     hit = own.isNotNull() & may_hold(bloom_of(odd.select(F.xxhash64("odd_doc_id").alias("h"))), docs.sparkSession)(F.xxhash64(own))
     # Clashing names can't reach these: the row travels as a struct.
     suspects = docs.filter(hit).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("said"))
-    suspects = suspects.withColumn("set", _set_keys(k)("said"))
+    # Written first: two Python functions in one stage would keep twice as many workers in memory.
+    suspects = materialise(suspects, "suspects").withColumn("set", _set_keys(k)("said"))
     same = (F.col("id") == F.col("odd_doc_id")) & (F.col("set.n") == F.col("odd_n")) & (F.col("set.key_a") == F.col("odd_key_a")) & (F.col("set.key_b") == F.col("odd_key_b"))
     judged = materialise(suspects.join(odd.hint("merge"), same, "left").select("row", "id", "said", "set", "stays"), "judged")
     alone = judged.filter("stays IS NULL").select("row.*")
