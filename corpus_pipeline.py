@@ -23,6 +23,10 @@ _OF_RUN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("fold
 _OF_INPUT: dict[str, list[str]] = {}
 
 
+#: Chunks whose ids a worker of the packing stage keeps: fewer than where packing is all that a job does, for memory.
+CHUNKS = 120_000
+
+
 def _stage(work):
     """A stage whose steps' folders the next one drops: its result is written before the next begins. One that fails drops its own."""
 
@@ -71,7 +75,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, CHUNKS)
 
 
 STAGES = [
