@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,3 +59,32 @@ def replay(requests: DataFrame, threshold: int = THRESHOLD, timeout: float = TIM
             yield pd.DataFrame(out, columns=["host", "id", "allowed", "state", "failures"])
 
     return dealt.mapInPandas(walk, OUT)
+
+
+LIMITED = "host string, id long, starts_at double, ends_at double"
+
+
+def limited(requests: DataFrame, concurrency: int, spacing: float) -> DataFrame:
+    """When requests (host, id, at, seconds) of a host run, with ``concurrency`` at once and starts ``spacing`` seconds apart.
+
+    First come, first served by (at, id): a request waits for a slot, then for the time since the
+    host's last start. A task walks a host's rows as they stream by, sorted by Spark, and holds the
+    ends of the slots alone.
+    """
+    dealt = requests.select(F.col("host").cast("string").alias("host"), F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"), F.col("seconds").cast("double").alias("seconds"))
+    dealt = dealt.repartition("host").sortWithinPartitions("host", "at", "id")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, slots, last = object(), [], -math.inf
+        for f in frames:
+            out = []
+            for host, i, at, seconds in zip(f["host"].tolist(), f["id"].tolist(), f["at"].tolist(), f["seconds"].tolist()):
+                if host != current:
+                    current, slots, last = host, [], -math.inf
+                free = heapq.heappop(slots) if len(slots) >= concurrency else -math.inf
+                last = max(at, free, last + spacing)
+                heapq.heappush(slots, last + seconds)
+                out.append((host, i, last, last + seconds))
+            yield pd.DataFrame(out, columns=["host", "id", "starts_at", "ends_at"])
+
+    return dealt.mapInPandas(walk, LIMITED)

@@ -860,6 +860,22 @@ def circuit_replay(spark: SparkSession, sf: str) -> DataFrame:
     return reliability.replay(_requests(spark, sf), threshold=2, timeout=7200.0)
 
 
+@query(
+    """WITH RECURSIVE r AS (SELECT connector AS host, a.id, epoch_us(a.created_at) / 1e6 - 1704067200 AS at, k * 60.0::DOUBLE AS seconds, row_number() OVER (PARTITION BY connector ORDER BY a.created_at, a.id) AS rn
+        FROM attempts_v a JOIN hosts_v h ON a.target_id = h.id),
+      w AS (SELECT DISTINCT host, 0::BIGINT AS rn, 0::BIGINT AS id, -1e18::DOUBLE AS starts_at, 0.0::DOUBLE AS ends_at, [-1e18::DOUBLE, -1e18::DOUBLE] AS slots FROM r
+        UNION ALL SELECT host, rn, id, s, s + seconds, list_sort(list_append(slots[2:], s + seconds))
+        FROM (SELECT r.host, r.rn, r.id, r.seconds, w.slots, greatest(r.at, w.slots[1], w.starts_at + 300.0) AS s FROM w JOIN r ON r.host = w.host AND r.rn = w.rn + 1))
+      SELECT host, id, round(starts_at, 3) AS starts_at, round(ends_at, 3) AS ends_at FROM w WHERE rn > 0""",
+    "attempts", "hosts",
+)
+def host_limiter(spark: SparkSession, sf: str) -> DataFrame:
+    """When attempts would run if a connector is a host with two slots and five minutes between starts."""
+    tried = V.attempts(spark, sf).join(V.hosts(spark, sf).select(F.col("id").alias("h"), "connector"), F.col("target_id") == F.col("h"))
+    asked = tried.select(F.col("connector").alias("host"), "id", (F.unix_micros("created_at") / 1e6 - 1704067200).alias("at"), (F.col("k") * 60.0).alias("seconds"))
+    return reliability.limited(asked, 2, 300.0).select("host", "id", F.round("starts_at", 3).alias("starts_at"), F.round("ends_at", 3).alias("ends_at"))
+
+
 @query("SELECT id, target_id, CASE WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' WHEN status_code >= 400 THEN 'http_' || status_code ELSE 'ok' END AS outcome FROM attempts_v", "attempts")
 def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream of message files, one in ten delivered twice; each has one effect, and the stream keeps no state."""

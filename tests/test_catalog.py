@@ -578,3 +578,26 @@ def test_json_messages_by_consumer_group(spark, tmp_path):
         good = sorted(r[:6] for r in seen[group] if r[-1])
         assert good == sorted(message(k) for k in range(9))
         assert {r[-2] for r in seen[group] if not r[-1]} == {"{not json", '{"target_id": "x", "attempt": "many"}'} and len(seen[group]) == 11
+
+
+def test_limiter_equals_a_literal_one(spark):
+    rng = random.Random(7)
+    rows = [(f"h{rng.randrange(4)}", k, round(rng.random() * 60, 2), rng.choice([0.0, 1.5, 20.0])) for k in range(300)] + [(None, 900, 1.0, 2.0), (None, 901, 1.0, 2.0)]
+    for concurrency, spacing in ((1, 0.0), (2, 1.0), (5, 0.25)):
+        want = {}
+        for h in {r[0] for r in rows}:
+            running, last = [], None  # ends of what runs
+            for _, i, at, seconds in sorted((r for r in rows if r[0] == h), key=lambda r: (r[2], r[1])):
+                start = at if last is None else max(at, last + spacing)
+                if len(running) == concurrency:
+                    start = max(start, min(running))
+                    running.remove(min(running))
+                running.append(start + seconds)
+                want[i], last = (start, start + seconds), start
+        got = reliability.limited(spark.createDataFrame(rows, "host string, id long, at double, seconds double"), concurrency, spacing).collect()
+        assert {r["id"]: (r["starts_at"], r["ends_at"]) for r in got} == want
+        # Never more than so many at once, never closer than the spacing.
+        for h in {r[0] for r in rows}:
+            starts = sorted(r["starts_at"] for r in got if r["host"] == h)
+            assert all(b - a >= spacing - 1e-9 for a, b in zip(starts, starts[1:]))
+            assert all(sum(r["starts_at"] <= t < r["ends_at"] for r in got if r["host"] == h) <= concurrency for t in starts)
