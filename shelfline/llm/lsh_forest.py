@@ -211,13 +211,13 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.filter("c_lo <> c_hi").select("lo", "hi")
 
 
-PLACE = ["tree", "k1", "p"]
+#: What names a region: its order and depth, and the min-hashes that it shares.
+PLACE = ["tree", "depth", "k1", "p"]
 
 
-def _across(left: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs from different components of the regions ``some``: pairs of components first, then their members, so no pair within one is made."""
-    held = left.join(some.select(*PLACE).hint("merge"), PLACE)
-    held = materialise(held.select(*PLACE, "component", "cls", "n", "s1", "s2"), "regions")
+def _across(held: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs from different components of the regions whose members are given: pairs of components first, then their members, so no pair within one is made."""
+    held = materialise(held, "regions")
     parts = held.select(*PLACE, "component").distinct()
     x, y = parts.withColumnRenamed("component", "cx"), parts.withColumnRenamed("component", "cy")
     sides = materialise(x.join(y.hint("merge"), PLACE).filter("cx < cy"), "sides")
@@ -237,25 +237,25 @@ def _regions(crowd: DataFrame, joined: DataFrame, num: int, den: int) -> tuple[D
     """Candidates (lo, hi) of the regions with several components, each at the depth at which it is sparse; members of those that never are; and ``cls, tree, depth`` where that is not the least."""
     members = crowd.select("tree", "k1", "k2", "cls", "n", "s1", "s2").distinct().join(joined.select(F.col("vertex").alias("cls"), "component").hint("merge"), "cls", "left")
     left = materialise(members.withColumn("component", F.coalesce("component", "cls")), "members")
-    pairs = deep = None
+    sparse, deep = [], None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
-        left = left.withColumn("p", _prefix(depth))
+        left = left.withColumn("p", _prefix(depth)).withColumn("depth", F.lit(depth))
         parts = left.groupBy(*PLACE, "component").agg(F.count("*").cast("double").alias("c"))
         # Twice the pairs across components: all ordered pairs less those within.
         regions = parts.groupBy(*PLACE).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts")).filter("parts > 1")
         across = (F.col("size") * F.col("size") - F.col("within")) / 2
         regions = materialise(regions.select(*PLACE, (across <= REGION * F.col("size")).alias("sparse")), "places")
-        found = _across(left, regions.filter("sparse"), num, den)
-        pairs = found if pairs is None else pairs.unionByName(found)
+        sparse.append(left.join(regions.filter("sparse").select(*PLACE).hint("merge"), PLACE).select(*PLACE, "component", "cls", "n", "s1", "s2"))
         dense = regions.filter("NOT sparse")
         if dense.isEmpty():
             left = None
             break
         left = materialise(left.join(dense.select(*PLACE).hint("merge"), PLACE), "dense")
         if depth < DEPTH:
-            left = left.drop("p")
+            left = left.drop("p", "depth")
             told = left.select("cls", "tree", F.lit(depth + 1).alias("depth"))
             deep = told if deep is None else deep.unionByName(told)
+    pairs = _across(functools.reduce(DataFrame.unionByName, sparse), num, den)
     return pairs, left, None if deep is None else deep.groupBy("cls", "tree").agg(F.max("depth").alias("depth"))
 
 
@@ -317,13 +317,21 @@ def _ordered(signed: DataFrame) -> DataFrame:
     return signed.select("cls", "n", *bits, F.explode(trees).alias("o")).select("o.tree", "o.k1", "o.k2", "cls", "n", "s1", "s2")
 
 
-def _grown(joined: DataFrame | None, find: Callable[[DataFrame], DataFrame], candidates: DataFrame) -> DataFrame | None:
-    """Components (vertex, component) with the links (a, b) that a step finds among its candidates, if it has any.
+def _region_links(plain: DataFrame, classes: DataFrame, pairs: DataFrame, dense: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the pairs of sparse regions and inside dense ones; the sets of both are fetched at once."""
+    if dense is None:
+        return _links(pairs, _sets_of(plain, classes, pairs, k), num, den)
+    sets = _sets_of(plain, classes, pairs.unionByName(dense.select(F.col("cls").alias("lo"), F.col("cls").alias("hi"))), k)
+    return _links(pairs, sets, num, den).unionByName(_dense_links(dense, sets, num, den))
+
+
+def _grown(joined: DataFrame | None, find: Callable[[DataFrame], DataFrame], candidates: DataFrame, more: bool = False) -> DataFrame | None:
+    """Components (vertex, component) with the links (a, b) that a step finds among its candidates, if it has any (or ``more`` of another kind).
 
     Links found now are between components, so these are the vertices of a much smaller graph.
     """
     candidates = materialise(candidates, "candidates")
-    if candidates.isEmpty():
+    if not more and candidates.isEmpty():
         return joined
     found = materialise(find(candidates), "verified")
     if found.isEmpty():
@@ -356,10 +364,7 @@ def _linked(plain: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
                 pairs = _apart(pairs, joined)
             joined = _grown(joined, lambda c: _links(c, sets, num, den), pairs)
         pairs, dense, deep = _regions(crowd, _no_components(plain.sparkSession) if joined is None else joined, num, den)
-        joined = _grown(joined, lambda c: _links(c, _sets_of(plain, classes, c, k), num, den), pairs.select("lo", "hi").distinct())
-        if dense is not None:
-            sets = _sets_of(plain, classes, dense.select(F.col("cls").alias("lo"), F.col("cls").alias("hi")), k)
-            joined = _grown(joined, lambda c: _dense_links(c, sets, num, den), dense)
+        joined = _grown(joined, lambda c: _region_links(plain, classes, c, dense, k, num, den), pairs.select("lo", "hi"), dense is not None)
         if deep is None:
             return joined
         missed = materialise(_short(deep, missed, num, den), "missed")
