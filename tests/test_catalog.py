@@ -479,6 +479,26 @@ def test_queue_delays_reclaims_and_ends(spark, tmp_path):
     assert [r["reclaimed"] for r in queue.in_order(mixed).collect()] == [True, True, False]
 
 
+def test_queue_takes_a_delivery_of_many_files_in_one_step(spark, tmp_path):
+    """A delivery is laid down by all tasks that made it and counts as one; nothing walks its messages one by one, and a repeated batch begins again from the step before."""
+    at = str(tmp_path)
+    k = F.col("id").cast("string")
+    rows = spark.range(0, 20_000, 1, 5).select(k.alias("id"), F.lit("message").alias("kind"), F.lit(1000).cast("long").alias("at"), (F.col("id") % 2 * 50_000 + 1).alias("due"), F.concat(F.lit("p"), k).alias("payload"))
+    queue.send(rows, f"{at}/in")
+    assert len(list(Path(f"{at}/in/_sent").rglob("part-*"))) == 5
+    queue.tick(spark, 10_000, f"{at}/in")
+    queue.send(rows.filter("id % 4 = 0").withColumns({"kind": F.lit("ack"), "at": F.lit(12_000).cast("long")}), f"{at}/in")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp")
+    queue.tick(spark, 45_000, f"{at}/in")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp")
+    told = queue.results(spark, f"{at}/out").groupBy("delivered_at", "delivery", "reclaimed").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("least"))
+    want = {(9_000, 1, False, 5_000, 2), (44_000, 2, True, 5_000, 2)}
+    assert {tuple(r) for r in told.filter("delivered_at >= 9000").collect()} == want
+    before = files_of(f"{at}/out")
+    queue.run(spark, f"{at}/in", f"{at}/out", f"{at}/cp")  # nothing new: nothing happens
+    assert files_of(f"{at}/out") == before
+
+
 def test_worker_loop_over_the_queue(spark, tmp_path):
     """Publish, reclaim, read, process, acknowledge: transient failures retry after a delay, a crash before the acknowledgement delivers again, and every target ends once."""
     at, tried = str(tmp_path), defaultdict(int)
