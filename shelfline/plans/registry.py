@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.page_tree import html_excerpt
 from ..operators import crawl, extract, lifecycle, quality, reads, reliability, reports
+from ..session import spread
 from ..sources import fixtures
 from ..sources import reports as report_files
 from ..sources import views as V
@@ -542,8 +543,13 @@ def browser_fallback(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------------- extraction
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts dealt over all cores: each becomes a page that Python walks."""
+    return spread(V.read(spark, sf, "part"), "p_partkey")
+
+
 def _pages_of_parts(spark: SparkSession, sf: str, variant: str, source: str = "generic") -> DataFrame:
-    return fixtures.product_pages(V.read(spark, sf, "part"), variant, "p_partkey", "p_name", None, source)
+    return fixtures.product_pages(_parts(spark, sf), variant, "p_partkey", "p_name", None, source)
 
 
 #: The start tags of each fixture page, counted by hand: what its fingerprint is made of.
@@ -643,7 +649,7 @@ def preview_decision(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rendered_reparse(spark: SparkSession, sf: str) -> DataFrame:
     """Script-built pages: rendered where the mode is automatic or a browser, parsed as fetched where it is plain HTTP."""
-    pages = fixtures.rendered_pages(V.read(spark, sf, "part"), "p_partkey", "p_name")
+    pages = fixtures.rendered_pages(_parts(spark, sf), "p_partkey", "p_name")
     mode = F.element_at(F.array(F.lit("auto"), F.lit("browser"), F.lit("http")), (F.col("id") % 3 + 1).cast("int"))
     return extract.parse_rendered(pages.withColumn("mode", mode)).select("id", "title", "was_rendered", "required_field_coverage")
 

@@ -62,6 +62,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shelfline/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over some tasks for each core, and at least as many as a shuffle has.
+
+    For rows that are few bytes before much work: a small file, or one row group, is one task
+    otherwise, and what a shuffle makes of few bytes is put together again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A step written to the shared folder and read back, for what must not be computed twice."""
     path = new_folder(df.sparkSession, name)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
-from shelfline.functions import page_tree
+from shelfline.functions import markup, page_tree
 from shelfline.functions import scalars as S
 from shelfline.operators import crawl, extract, lifecycle, quality, reads, reliability, reports
 from shelfline.plans import registry
@@ -536,6 +536,43 @@ def test_queue_by_the_wall_clock(spark, tmp_path):
     assert {r["id"] for r in queue.results(spark, f"{at}/out").collect()} == {"a"}
 
 
+def test_pages_of_one_small_file_are_many_tasks(spark):
+    """A file of parts is one task to Spark; the pages made of it are dealt over all cores before Python walks them."""
+    for query in ("parse_product_selector", "page_excerpts", "listing_products", "rendered_reparse"):
+        pages = registry._pages_of_parts(spark, SF, "selector") if query != "rendered_reparse" else registry.queries()[query](spark, SF)
+        assert pages.select(F.spark_partition_id()).distinct().count() > 1
+        assert "REPARTITION_BY_NUM" in registry.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    """Fuzz: the same calls in the same order, whichever way a page is read."""
+
+    class Calls(markup.Markup):
+        def __init__(self):
+            super().__init__()
+            self.calls, self.walked = [], False
+            self.handle_starttag = lambda tag, attrs: self.calls.append((tag, tuple(attrs)))
+            self.handle_endtag = lambda tag: self.calls.append("/" + tag)
+            self.handle_data = lambda data: self.calls.append([data])
+
+        def feed(self, html):
+            self.walked = True
+            super().feed(html)
+
+    rng, plain = random.Random(8), 0
+    parts = ["<p>", "</p>", '<P Class="A b">', "<a href=\"x\" data-k='y\"z'>", "<br>", "<br/>", "<img alt=\"\" src=q>", "text", "a &amp; b", "&lt", "&", "x<y", "<!-- c -->", "<!doctype html>", "<title>T &amp; U</title>", "<title>a<b></title>", "<script>if(a&&b){}</script>",
+             '<script type="application/ld+json">{"a": "&amp;"}</script>', '<script>"<b>"</script>', "</script>", "<style>a>b{}</style>", "<textarea>", "<xmp>", "\n ", "<a b>", '<a b="1"c="2">', '<a b = "1">', '<a b="1&amp;2">', "<x:y>", "</h1 >", "</>", "<a B=''>", '<p\nid="i"\t>', '<a b="1" b="2">', "<SCRIPT>x</SCRIPT>", "\x0b", "<p\x0bx>"]
+    for _ in range(4000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(7)))
+        got, want = Calls(), Calls()
+        got.read(html)
+        want.feed(html)
+        want.close()
+        assert got.calls == want.calls, html
+        plain += not got.walked
+    assert plain > 1000
+
+
 def test_excerpts(spark):
     page = (
         '<html><body><div class="product_main  wide"><h1>A &amp; "B" &lt;c&gt;</h1><br><img src=x.png alt></div><p>no</p><table class="striped table-striped"><tr><th>1</th></tr><tbody><tr><th>2</th><td>two</td></tr>'
