@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET, SLICE = "_bucket", "_slice"
+BUCKET, SLICE, SHARE = "_bucket", "_slice", "_share"
 #: Touched buckets are named in the reading filter; beyond so many, all are read.
 NAMED = 1000
 
@@ -32,7 +32,9 @@ class KeyedTable:
         self.parts = ([SLICE] if slice_by else []) + [BUCKET]
 
     def _placed(self, rows: DataFrame) -> DataFrame:
-        rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
+        return self._with_parts(rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields)))
+
+    def _with_parts(self, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
         return rows.withColumn(SLICE, F.expr(self.slice_by).cast("string")) if self.slice_by else rows
 
@@ -62,20 +64,16 @@ class KeyedTable:
 
     def merge(self, rows: DataFrame, order: list, keep_first: list[str] = ()) -> None:
         """Upsert: of each key the last row by ``order`` replaces the stored one, but the first one's values stay in ``keep_first``."""
-        w = Window.partitionBy(*self.keys).orderBy(*order)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        new = rows.withColumn("_n", F.row_number().over(w)).withColumn("_last", F.count("*").over(whole))
-        new = new.withColumns({c: F.first(c).over(whole) for c in keep_first}).filter("_n = _last")
-        new = self._placed(new)
+        if any(rows.schema[f.name].dataType != f.dataType for f in self.schema.fields):  # the order is that of the values as they come
+            rows, order = self._placed(_last(rows, self.keys, order, keep_first)), []
+        new = self._with_parts(rows)
         old = self.touched(new)
-        was = old.select(*(F.col(c).alias(f"_old_{c}") for c in old.columns), F.lit(True).alias("_was"))
-        same = [new[k].eqNullSafe(was[f"_old_{k}"]) for k in (*self.keys, BUCKET)]
-        met = new.withColumn("_is", F.lit(True)).join(was, _all(same), "full")
-        values = []
-        for c in (*self.columns, *self.parts):
-            first = F.col("_was").isNotNull() if c in keep_first else F.col("_is").isNull()
-            values.append(F.when(first, F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c))
-        self._put(met.select(*values))
+        # Stored rows come before all new ones of their key, so the last row and the first one's values say it all:
+        # rows are dealt once, sorted once, and written as they lie.
+        both = self._dealt(new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True))
+        met = _last(both, [*self.parts, SHARE, *self.keys], ["_new", *order], keep_first)
+        rows = met.select(*self.columns, *self.parts)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(self.path)
 
     def insert(self, rows: DataFrame, order: list) -> None:
         """First write wins: rows whose key is not stored yet are added, of each key the first by ``order``; nothing stored is rewritten."""
@@ -84,9 +82,19 @@ class KeyedTable:
         fresh = new.join(old, _all([new[k].eqNullSafe(old[f"_old_{k}"]) for k in (*self.keys, BUCKET)]), "left_anti")
         fresh.repartition(*self.parts).write.mode("append").partitionBy(*self.parts).parquet(self.path)
 
-    def _put(self, rows: DataFrame) -> None:
-        """One file a bucket; buckets without rows here keep theirs."""
-        rows.repartition(*self.parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(self.path)
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt by bucket and, where there are more tasks than buckets, by a share of its keys."""
+        shares = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        share = F.pmod(F.hash(*self.keys), F.lit(shares)).cast("int")
+        return rows.withColumn(SHARE, share).repartition(*self.parts, SHARE)
+
+
+def _last(rows: DataFrame, keys: list[str], order: list, keep_first: list[str]) -> DataFrame:
+    """Of each key the last row, with the first one's values in ``keep_first``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rows.withColumn("_n", F.row_number().over(w)).withColumn("_last", F.count("*").over(whole))
+    return out.withColumns({c: F.first(c).over(whole) for c in keep_first}).filter("_n = _last")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -102,7 +110,8 @@ def commit(rows: DataFrame, path: str, table: str = "table") -> None:
     Files become visible when the job commits, so a task that fails leaves no table with rows
     that the others lack.
     """
-    rows.write.mode("append").partitionBy(table).parquet(path)
+    # Tasks of a size, however few files the rows came from: each sorts what it writes by table.
+    rows.hint("rebalance").write.mode("append").partitionBy(table).parquet(path)
 
 
 def committed(spark: SparkSession, path: str, name: str, columns: list[str], table: str = "table") -> DataFrame:

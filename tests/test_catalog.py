@@ -430,6 +430,31 @@ def test_keyed_merge_rewrites_only_touched_buckets(spark, tmp_path):
     assert files_of(table.path) == after
 
 
+def test_commit_and_merge_deal_their_rows_once(spark, tmp_path):
+    """A commit's tasks are of a size, and a merge deals its rows once and never a second time for a join or for writing."""
+    made = []
+    kind = type(spark.range(1))
+    was = kind.write
+
+    class Seen:
+        def __get__(self, df, owner=None):
+            made.append(df._jdf.queryExecution().executedPlan().toString())
+            return was.fget(df)
+
+    try:
+        kind.write = Seen()
+        keyed.commit(spark.range(9).withColumn("table", F.lit("a")), str(tmp_path / "c"))
+        table = keyed.KeyedTable(spark, str(tmp_path / "t"), "i long, at long, v string", ["i"], 4)
+        for at in (1, 2):
+            rows = spark.range(0, 40 * at, 1, 3).select(F.col("id").alias("i"), F.lit(at).cast("long").alias("at"), F.lit("x").alias("v"))
+            table.merge(rows, ["at"], ["at"])
+    finally:
+        kind.write = was
+    assert "REBALANCE" in made[0]
+    assert len(made) == 3 and all(plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan for plan in made[1:])
+    assert {tuple(r) for r in table.read().collect()} == {(i, 1 if i < 40 else 2, "x") for i in range(80)}
+
+
 def test_keyed_insert_keeps_the_first(spark, tmp_path):
     table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k long, v string, day date", ["k"], 4, "day")
     day = "2024-01-01"
