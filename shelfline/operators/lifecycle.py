@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_url
+from ..session import spread
 
 
 TARGET = ["id", "run_id", "url", "normalized_url", "connector", "render_mode", "status", "attempts", "max_attempts", "created_at"]
@@ -68,8 +69,12 @@ def first_write(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def insert_absent(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key isn't there yet, to be appended."""
-    return rows.join(existing.select(*keys), keys, "left_anti")
+    """Rows whose key isn't there yet, to be appended.
+
+    They are dealt over all tasks of a shuffle: keys are few bytes, of which Spark would put so many into one
+    task that sorting and grouping them there takes much memory.
+    """
+    return spread(rows, *keys).join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert(rows: DataFrame, keys: list[str], order: list, keep_first: list[str]) -> DataFrame:

@@ -455,6 +455,15 @@ def test_commit_and_merge_deal_their_rows_once(spark, tmp_path):
     assert {tuple(r) for r in table.read().collect()} == {(i, 1 if i < 40 else 2, "x") for i in range(80)}
 
 
+def test_absent_rows_are_dealt_over_all_tasks(spark):
+    rows = spark.createDataFrame([(k % 50, None if k % 7 == 0 else k % 3) for k in range(200)], "k long, sub int")
+    there = spark.createDataFrame([(k, 1) for k in range(20)] + [(30, None)], "k long, sub int")
+    got = lifecycle.insert_absent(there, rows, ["k", "sub"])
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    want = [(r["k"], r["sub"]) for r in rows.collect() if not (r["sub"] == 1 and r["k"] < 20)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_keyed_insert_keeps_the_first(spark, tmp_path):
     table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k long, v string, day date", ["k"], 4, "day")
     day = "2024-01-01"
