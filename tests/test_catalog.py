@@ -30,6 +30,14 @@ def con():
     return c
 
 
+@pytest.mark.parametrize("name", ["required_field_accuracy", "parse_product_jsonld", "parse_product_semantic", "evidence_explode", "rendered_reparse", "parse_product_missing"])
+def test_pages_of_one_file_are_walked_in_many_tasks(spark, name):
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1
+    df = registry.queries()[name](spark, SF)
+    walk = re.search(r"(?s)ArrowEvalPython.*?Exchange (\w+)\(\w+#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    assert walk and walk[1] == "hashpartitioning" and int(walk[2]) >= 3 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
