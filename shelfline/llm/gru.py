@@ -138,6 +138,7 @@ class Gru:
             grads["c"] += h.T @ d
             grads["cb"] += np.ones(len(d), np.float32) @ d
             dh = d @ self.p["c"].T
+        cls = cls.astype(np.uint16)  # numbers this short are sorted by their digits
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.n_head_classes + 1))
         for k in range(self.n_head_classes):
@@ -240,7 +241,7 @@ class Gru:
             if start[t].any():
                 back *= ~start[t]
         grads["u"] += np.concatenate([c[0] for c in cache], axis=1) @ db.reshape(3 * n, -1).T
-        order = np.argsort(x.ravel(), kind="stable")
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")  # symbols fit in two bytes, as they are written
         ids = x.ravel()[order]
         cuts = np.flatnonzero(np.diff(ids, prepend=-1))
         grads["e"][ids[cuts]] += np.add.reduceat(np.take(dx.reshape(3 * n, -1), order, axis=1), cuts, axis=1).T

@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ HELD = 60_000
 ROUNDS = ((0, 2, 0.02), (2, 7, 0.012), (7, 16, 0.006))
 #: Tokens that a task gathers for one pass over lanes; distinct words that it counts before it hands them on.
 GATHER, COUNTED = 4_000_000, 300_000
+#: Bytes of texts that are cut into words at a time.
+SPLIT = 1 << 22
 #: Weights in a row when they are averaged.
 BLOCK = 8192
 END = ""
@@ -51,23 +54,46 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+def _split(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Some texts at a time: how many, which of them each word is of, and the words as of :func:`words_of`, cut by Arrow."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SPLIT, "right")))
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, end - at)))
+        of, words = pc.list_parent_indices(found), found.flatten()
+        full = pc.greater(pc.binary_length(words), 0)  # white space at either end gives empty ones
+        yield end - at, of.filter(full).to_numpy(), words.filter(full)
+        at = end
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin_task()
-    found: Counter = Counter()
+    held, rows = [], 0
+
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
 
-    def rows() -> pa.RecordBatch:
-        words = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array([tail_of(w) for w in words], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "tail", "n"])
+    def told(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in found.to_batches():
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(_tails_of(b.column("word"))), b.column("n")], names=["word", "tail", "n"])
 
     for b in batches:
-        for t in b.column(0):
-            found.update(words_of(t.as_py()))
-            found[b""] += 1
-            if len(found) > COUNTED:
-                yield rows()
-                found.clear()
-    if found:
-        yield rows()
+        for n, _, words in _split(b.column(0)):
+            counts = words.value_counts()
+            held += [pa.table({"word": counts.field(0), "n": counts.field(1)}), pa.table({"word": pa.array([END]), "n": pa.array([n], pa.int64())})]
+            rows += len(counts) + 1
+            if rows > COUNTED:
+                held = [summed()]
+                rows = len(held[0])
+                if rows > COUNTED:
+                    yield from told(held[0])
+                    held, rows = [], 0
+                else:
+                    rows = 0  # as many again before they are summed again
+    if held:
+        yield from told(summed())
 
 
 @cache
@@ -79,11 +105,21 @@ def _tails() -> np.ndarray:
 
 def tails_of(words: list[bytes]) -> np.ndarray:
     """The tail classes of many words at once."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size)
-    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-    last = data[ends - 1]
-    return _tails()[np.where(size > 1, (data[np.maximum(ends - 2, 0)] << 8) + last, 65536 + last)]
+    return _tails_of(pa.array(words, pa.binary()))
+
+
+def _tails_of(words: pa.Array) -> np.ndarray:
+    """The same for a column of words; that of the empty word is 0, as its checksum is."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size, ends = np.diff(cuts), cuts[1:]
+    data = np.frombuffer(data or b"", np.uint8)
+    if not len(data):
+        return np.zeros(len(words), np.int32)
+    last, before = data[np.maximum(ends - 1, 0)].astype(np.int32), data[np.maximum(ends - 2, 0)].astype(np.int32)
+    return np.where(size > 0, _tails()[np.where(size > 1, (before << 8) + last, 65536 + last)], 0).astype(np.int32)
 
 
 class Model:
@@ -192,27 +228,34 @@ def _spell(shared):
         m = shared.value
         n_head, log_head = len(m.counts), np.log10(np.append(m.counts + 1, np.ones(TAILS)))
         for b in batches:
-            out: list[tuple] = []
-            for t in b.column(2):
-                words = words_of(t.as_py())
-                s = np.zeros(len(words) + 1, np.int32)  # the end is 0
-                s[:-1] = np.fromiter(map(m.head.get, words, repeat(-1)), np.int32, len(words))
-                other = np.flatnonzero(s < 0)
-                base = within = 0.0
-                rare: Counter = Counter()
-                if len(other):
-                    mine = [words[k] for k in other.tolist()]
-                    s[other] = n_head + tails_of(mine)
-                    at = np.fromiter(map(m.held.get, mine, repeat(-1)), np.int64, len(mine))
-                    known = at[at >= 0]
-                    base, within = float(m.held_base[known].sum()), float(m.held_within[known].sum())
-                    rest = [mine[k] for k in np.flatnonzero(at < 0).tolist()]
-                    if rest:
-                        rare.update(b" ".join(rest).decode("utf-8", "surrogatepass").split(" "))
-                out.append((s.astype("<u2").tobytes(), float(log_head[s].sum()) + base, within, list(rare), list(rare.values())))
-            kinds = (pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "part", "symbols", "head_base", "held_within", "tail_words", "tail_counts"])
+            at = 0
+            for n, of, words in _split(b.column(2)):
+                # Each distinct word is looked up once; a text is the numbers of its words and the end, 0.
+                coded = words.dictionary_encode()
+                names, code = coded.dictionary, coded.indices.to_numpy()
+                spelled = names.cast(pa.binary()).to_pylist()
+                symbol = np.fromiter(map(m.head.get, spelled, repeat(-1)), np.int32, len(spelled))
+                other = symbol < 0
+                frequent = np.where(other, np.fromiter(map(m.held.get, spelled, repeat(-1)), np.int64, len(spelled)), -1)
+                symbol[other] = n_head + _tails_of(names)[other]
+                s = np.zeros(len(code) + n, np.int32)
+                s[np.arange(len(code)) + of] = symbol[code]
+                cuts = np.searchsorted(of, np.arange(n + 1)) + np.arange(n + 1)
+                weight, symbols = log_head[s], s.astype("<u2")
+                known = np.flatnonzero(frequent[code] >= 0)
+                mine, held = np.searchsorted(of[known], np.arange(n + 1)), frequent[code[known]]
+                base = [float(weight[i:j].sum()) + float(m.held_base[held[k:l]].sum()) for i, j, k, l in zip(cuts, cuts[1:], mine, mine[1:])]
+                within = [float(m.held_within[held[k:l]].sum()) for k, l in zip(mine, mine[1:])]
+                rare = np.flatnonzero((other & (frequent < 0))[code])
+                each, times = np.unique(of[rare].astype(np.int64) * max(1, len(spelled)) + code[rare], return_counts=True)
+                of_each, word = np.divmod(each, max(1, len(spelled)))
+                starts = pa.array(np.searchsorted(of_each, np.arange(n + 1)).astype(np.int32))
+                columns = [
+                    pa.array([symbols[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array(base, pa.float64()), pa.array(within, pa.float64()),
+                    pa.ListArray.from_arrays(starts, names.take(pa.array(word))), pa.ListArray.from_arrays(starts, pa.array(times.astype(np.int32))),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), *columns], names=["doc_id", "part", "symbols", "head_base", "held_within", "tail_words", "tail_counts"])
+                at += n
 
     return run
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,6 +477,40 @@ def test_lm_score_base_and_counts(spark):
     assert lm_score.tails_of(words).tolist() == [lm_score.tail_of(w) for w in words]
 
 
+def test_lm_words_cut_by_arrow_are_looked_up_once(monkeypatch):
+    chars = ["a", "B", "É", "\x1c", "\x85", "\u00a0", " ", " ", "\t", "\x0b", "\x0c", "\r", "\n", "\x00", "x."]
+    texts = [None, "", " ", " a b ", *("".join(rng.choices(chars, k=rng.randint(0, 40))) for _ in range(300)), "the rare " * 2000 + "THE"]
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, *args):
+            Asked.times += 1
+            return super().get(*args)
+
+    model = lm_score.Model([("", 3), ("the", 2)], {}, 10, 5, [("a", 2)])
+    model.head = Asked(model.head)
+
+    class Shared:
+        value = model
+
+    monkeypatch.setattr(lm_score, "SPLIT", 3000)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "part", "text"])
+    told = [r for b in lm_score._spell(Shared)([rows]) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in told] == list(range(len(texts))) and Asked.times < 4000
+    for t, r in zip(texts, told):
+        words = lm_score.words_of(t)
+        assert np.frombuffer(r["symbols"], "<u2").tolist() == [*(model.head[w] if w in model.head else 2 + lm_score.tail_of(w) for w in words), 0]
+        assert dict(zip(r["tail_words"], r["tail_counts"], strict=True)) == Counter(w.decode() for w in words if w not in (b"the", b"a"))
+    counted = Counter()
+    monkeypatch.setattr(lm_score, "COUNTED", 20)
+    for b in lm_score._count([rows.select(["text"])]):
+        for r in b.to_pylist():
+            counted[r["word"]] += r["n"]
+            assert r["tail"] == lm_score.tail_of(r["word"].encode())
+    assert counted == Counter(w.decode() for t in texts for w in [*lm_score.words_of(t), b""])
+
+
 def test_gru_probabilities_sum_to_one_and_state_is_carried():
     net = gru.Gru(np.array([5.0, 9, 3, 2, 1]), np.array([4.0, 2.0]))
     net.p = {k: v + (0.3 * np.random.default_rng(1).normal(size=v.shape)).astype(np.float32) if k != "wb" else v for k, v in net.p.items()}
