@@ -48,13 +48,8 @@ def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return y, of, start
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.negative(x, out=x)
-    np.minimum(x, TOP, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _most(x: np.ndarray) -> np.float32:
+    return max(x.max(), -x.min())
 
 
 class Gru:
@@ -62,6 +57,9 @@ class Gru:
         """counts: of the head symbols; tails: of the tail classes. They give the biases, so an untrained model is the unigram one."""
         self.head, self.n_tails = len(counts), len(tails)
         self.n_head_classes = -(-self.head // CLASS)
+        y = np.arange(self.head + self.n_tails)
+        #: The class of each symbol, in numbers so short that they are sorted by their digits.
+        self.class_of = np.where(y < self.head, y // CLASS, y - self.head + self.n_head_classes).astype(np.uint16)
         rng, h = np.random.default_rng(seed), HIDDEN
         padded = np.zeros(self.n_head_classes * CLASS)
         padded[: self.head] = counts + 1.0
@@ -90,88 +88,106 @@ class Gru:
             at += n
         return self
 
-    def _classes(self, y: np.ndarray) -> np.ndarray:
-        return np.where(y < self.head, y // CLASS, y - self.head + self.n_head_classes)
-
     def _states(self, x, keep, h, cache):
-        """States after each step of a window, as [unit, step, lane], and the last; units come first, so that each gate is one block of memory."""
-        n = HIDDEN
-        rows = np.take(np.ascontiguousarray(self.p["e"].T), x.ravel(), axis=1).reshape(3 * n, *x.shape)
-        u_t = np.ascontiguousarray(self.p["u"].T)
-        out = np.empty((n, *x.shape), np.float32)
-        for t in range(len(x)):
-            if not keep[t].all():
+        """States after each step of a window, as [step, unit, lane], and the last; what training needs of the steps is put into cache."""
+        n, (steps, lanes) = HIDDEN, x.shape
+        # Of the gate z what it leaves, 1 - z, is wanted, so that only r's numbers are turned round before the logistic function.
+        sign = np.repeat(np.array([1, -1, 1], np.float32), n)
+        into = np.take(self.p["e"], x.ravel(), axis=0).reshape(steps, lanes, 3 * n).transpose(0, 2, 1) * sign[:, None]
+        u_t = np.ascontiguousarray(self.p["u"].T) * sign[:, None]
+        out, new = np.empty((steps, n, lanes), np.float32), np.empty((n, lanes), np.float32)
+        gates, fed = np.empty((2 * n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
+        kept = keep.all(1).tolist()
+        if cache is not None:
+            before, news = np.empty_like(out), np.empty_like(out)
+            all_gates, all_fed = np.empty((steps, 2 * n, lanes), np.float32), np.empty((steps, 3 * n, lanes), np.float32)
+            cache += [before, all_gates[:, :n], all_gates[:, n:], news, all_fed[:, 2 * n :]]
+        for t in range(steps):
+            if not kept[t]:
                 h = h * keep[t]
-            a, b = rows[:, t], u_t @ h
-            zr = _sigmoid(a[: 2 * n] + b[: 2 * n])
-            z, r = zr[:n], zr[n:]
-            new = r * b[2 * n :]
+            if cache is not None:
+                before[t], gates, fed, new = h, all_gates[t], all_fed[t], news[t]
+            a = into[t]
+            np.matmul(u_t, h, out=fed)
+            np.add(a[: 2 * n], fed[: 2 * n], out=gates)
+            np.exp(gates, out=gates)  # one too large is infinite, and its reciprocal 0
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[n:], fed[2 * n :], out=new)
             new += a[2 * n :]
             np.tanh(new, out=new)
-            if cache is not None:
-                cache.append((h, z, r, new, b[2 * n :]))
-            h = h - new
-            h *= z
-            h += new
-            out[:, t] = h
+            after = np.subtract(new, h, out=out[t])
+            after *= gates[:n]
+            after += h
+            h = after
         return out, h
 
-    def _output(self, h, y, grads):
-        """log-probabilities of the symbols y after states h; with grads, their sum's descent is added there and that of h returned."""
-        cls = self._classes(y)
-        e = h @ self.p["c"]
-        e += self.p["cb"]
-        # Units are within 1, so logits are within the sums of weights; only where these are large must they be held.
-        if np.abs(self.p["c"]).sum(0).max() + np.abs(self.p["cb"]).max() > TOP:
+    def _output(self, states, real, y, grads):
+        """log-probabilities of the symbols y after states where they are real; with grads, their sum's descent is added there and that of the states returned, as they are laid."""
+        y, n = y[real], HIDDEN
+        cls = self.class_of.take(y)
+        # Symbols of a class lie side by side. The last unit is always 1, for the biases.
+        order = np.argsort(cls, kind="stable")
+        y, cls = y[order], cls[order]
+        cuts = np.searchsorted(cls, np.arange(self.n_head_classes + 1)).tolist()
+        h = np.ones((len(y), n + 1), np.float32)
+        h[:, :n] = np.take(states.transpose(0, 2, 1).reshape(-1, n), np.flatnonzero(real)[order], axis=0)
+        e = h @ np.concatenate([self.p["c"], self.p["cb"][None]])
+        # Units are within 1, so logits are within the units' number times the greatest weight; only where these are large must they be held.
+        if _most(self.p["c"]) * n + self.p["cb"].max() > TOP:
             np.minimum(e, TOP, out=e)
-        held = np.abs(self.p["w"]).sum(1).max() + self.p["wb"].max() > TOP
         rows = np.arange(len(y))
         logp = e[rows, cls]
         np.exp(e, out=e)
         total = e @ np.ones(e.shape[1], np.float32)
         logp -= np.log(total)
-        dh = None
         if grads is not None:
-            d = e
-            d /= total[:, None]
-            d[rows, cls] -= 1
-            grads["c"] += h.T @ d
-            grads["cb"] += np.ones(len(d), np.float32) @ d
-            dh = d @ self.p["c"].T
-        cls = cls.astype(np.uint16)  # numbers this short are sorted by their digits
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.n_head_classes + 1))
-        for k in range(self.n_head_classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
-                continue
-            hk, yk = h[at], y[at] - k * CLASS
-            dk = hk @ self.p["w"][k]
-            dk += self.p["wb"][k]
-            if held:
-                np.minimum(dk, TOP, out=dk)
-            own = np.arange(len(at))
-            right = dk[own, yk]
-            np.exp(dk, out=dk)
-            tk = dk @ np.ones(CLASS, np.float32)
-            logp[at] += right - np.log(tk)
+            e *= np.reciprocal(total)[:, None]
+            e[rows, cls] -= 1
+            grads["c"] += (e.T @ h[:, :n]).T
+            grads["cb"] += np.ones(len(e), np.float32) @ e
+            dh = e @ self.p["c"].T
+        in_head = cuts[-1]
+        full = [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        if in_head:
+            e = np.empty((in_head, CLASS), np.float32)
+            w = np.concatenate([self.p["w"], self.p["wb"][:, None]], axis=1)
+            for k, i, j in full:
+                np.matmul(h[i:j], w[k], out=e[i:j])
+            if _most(self.p["w"]) * n + self.p["wb"].max() > TOP:
+                np.minimum(e, TOP, out=e)
+            rows, word = rows[:in_head], y[:in_head] % CLASS
+            right = e[rows, word]
+            np.exp(e, out=e)
+            total = e @ np.ones(CLASS, np.float32)
+            logp[:in_head] += right - np.log(total)
             if grads is not None:
-                dk /= tk[:, None]
-                dk[own, yk] -= 1
-                grads["w"][k] += hk.T @ dk
-                grads["wb"][k] += np.ones(len(dk), np.float32) @ dk
-                dh[at] += dk @ self.p["w"][k].T
-        return logp, dh
+                e *= np.reciprocal(total)[:, None]
+                e[rows, word] -= 1
+                for k, i, j in full:
+                    g = h[i:j].T @ e[i:j]
+                    grads["w"][k] += g[:n]
+                    grads["wb"][k] += g[n]
+                    dh[i:j] += e[i:j] @ self.p["w"][k].T
+        back = np.empty_like(logp)
+        back[order] = logp
+        if grads is None:
+            return back, None
+        d = np.zeros((real.size, n), np.float32)
+        d[np.flatnonzero(real)[order]] = dh
+        return back, np.ascontiguousarray(d.reshape(*real.shape, n).transpose(0, 2, 1))
 
-    def _windows(self, y, of, start):
-        """Windows of active lanes: inputs, targets, texts, and 0 where a text starts."""
+    def _windows(self, y, of, start, steps):
+        """Windows of active lanes: where, how wide, and inputs; ``steps`` gives their height by their first step and width."""
         x = np.empty_like(y)
         x[0], x[1:] = self.head + self.n_tails, y[:-1]
         x[start] = self.head + self.n_tails
-        active = (of >= 0).sum(1)
-        for t in range(0, len(y), STEPS):
+        active, t = (of >= 0).sum(1).tolist(), 0
+        while t < len(y):
             # Lanes end in order; a window is as wide as its first step, and what is past an end is masked.
-            yield slice(t, t + STEPS), int(active[t]), x
+            high = steps(t, active[t])
+            yield slice(t, t + high), active[t], x
+            t += high
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each whole text's classes and head words."""
@@ -180,11 +196,13 @@ class Gru:
             return out
         y, of, start = lanes_of(texts)
         h = np.zeros((HIDDEN, y.shape[1]), np.float32)
-        for at, n, x in self._windows(y, of, start):
-            states, h = self._states(x[at, :n], ~start[at, :n], h[:, :n], None)
-            real = of[at, :n] >= 0
-            logp, _ = self._output(np.ascontiguousarray(states[:, real].T), y[at, :n][real], None)
-            out += np.bincount(of[at, :n][real], weights=logp, minlength=len(texts))
+        # The state goes on from window to window, so that narrow ones may be higher.
+        with np.errstate(over="ignore"):
+            for at, n, x in self._windows(y, of, start, lambda t, n: STEPS * max(1, LANES // n)):
+                states, h = self._states(x[at, :n], ~start[at, :n], h[:, :n], None)
+                real = of[at, :n] >= 0
+                logp, _ = self._output(states, real, y[at, :n], None)
+                out += np.bincount(of[at, :n][real], weights=logp, minlength=len(texts))
         return out
 
     def train(self, texts: list[np.ndarray], state: dict, rate: float) -> None:
@@ -192,59 +210,59 @@ class Gru:
         if not texts:
             return
         y, of, start = lanes_of(texts)
-        h, seen, grads = np.zeros((HIDDEN, y.shape[1]), np.float32), 0, None
-        for at, n, x in self._windows(y, of, start):
-            if grads is None:
+        h = np.zeros((HIDDEN, y.shape[1]), np.float32)
+        before = np.append(0, np.cumsum((of >= 0).sum(1)))  # symbols before each step
+
+        def high(t: int) -> int:
+            """Windows that the weights stay the same for, in steps."""
+            return next((k for k in range(STEPS, len(y) - t, STEPS) if before[t + k] - before[t] >= STEP_SYMBOLS), max(1, len(y) - t))
+
+        with np.errstate(over="ignore"):
+            for at, n, x in self._windows(y, of, start, lambda t, n: high(t)):
                 grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-            real = of[at, :n] >= 0
-            h = self._add_gradients(x[at, :n], y[at, :n], real, start[at, :n], h[:, :n], grads)
-            seen += int(real.sum())
-            if seen >= STEP_SYMBOLS:
-                self._adam(grads, state, rate, 1.0 / seen)
-                seen, grads = 0, None
-        if seen:
-            self._adam(grads, state, rate, 1.0 / seen)
+                real = of[at, :n] >= 0
+                h = self._add_gradients(x[at, :n], y[at, :n], real, start[at, :n], h[:, :n], grads)
+                self._adam(grads, state, rate, 1.0 / int(real.sum()))
 
     def _add_gradients(self, x, y, real, start, h, grads) -> np.ndarray:
-        """Adds a window's gradients of the negative log-probability; the state after it is returned."""
+        """Adds the gradients of the negative log-probability, each going back to the start of its window of STEPS; the last state is returned."""
         cache: list = []
         states, after = self._states(x, ~start, h, cache)
-        _, d = self._output(np.ascontiguousarray(states[:, real].T), y[real], grads)
-        n = HIDDEN
-        dout = np.zeros_like(states)
-        dout[:, real] = d.T
-        dx, db = np.empty((3 * n, *x.shape), np.float32), np.empty((3 * n, *x.shape), np.float32)
-        back = np.zeros_like(after)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, hn = cache[t]
-            dh = dout[:, t] + back
-            keep = 1 - z
-            dn = new * new
-            np.subtract(1, dn, out=dn)
-            dn *= dh
-            dn *= keep
-            mine = np.empty((3 * n, x.shape[1]), np.float32)
-            dz, dr, dm = mine[:n], mine[n : 2 * n], mine[2 * n :]
-            np.subtract(before, new, out=dz)
-            dz *= dh
-            dz *= z
-            dz *= keep
-            np.subtract(1, r, out=dr)
-            dr *= r
-            dr *= hn
-            dr *= dn
-            np.multiply(dn, r, out=dm)
-            dx[: 2 * n, t], dx[2 * n :, t], db[:, t] = mine[: 2 * n], dn, mine
-            back = self.p["u"] @ mine
-            dh *= z
-            back += dh
-            if start[t].any():
+        _, dout = self._output(states, real, y, grads)
+        n, (steps, lanes) = HIDDEN, x.shape
+        before, less, r, new, hn = cache
+        # What a step's gradient is multiplied by is known for all steps at once: for what r lets through, z, r, the new state, and the state before.
+        by = np.empty((steps, 5, n, lanes), np.float32)
+        dm, dz, dr, dn, stays = (by[:, k] for k in range(5))
+        np.multiply(new, new, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= less
+        np.multiply(dn, r, out=dm)
+        np.subtract(1, r, out=dr)
+        dr *= hn
+        dr *= dm
+        np.subtract(1, less, out=stays)
+        np.subtract(before, new, out=dz)
+        dz *= less
+        dz *= stays
+        u = np.concatenate([self.p["u"][:, 2 * n :], self.p["u"][:, : 2 * n]], axis=1)
+        starts, back = start.any(1).tolist(), None
+        for t in range(steps - 1, -1, -1):
+            dh = dout[t]
+            if (t + 1) % STEPS and back is not None:
+                dh += back
+            by[t] *= dh
+            back = u @ by[t, :3].reshape(3 * n, lanes)
+            back += by[t, 4]
+            if starts[t]:
                 back *= ~start[t]
-        grads["u"] += np.concatenate([c[0] for c in cache], axis=1) @ db.reshape(3 * n, -1).T
+        d = by[:, :4].transpose(1, 2, 0, 3).reshape(4 * n, -1)
+        g = (d[: 3 * n] @ before.transpose(1, 0, 2).reshape(n, -1).T).T
+        grads["u"] += np.concatenate([g[:, n:], g[:, :n]], axis=1)
         order = np.argsort(x.ravel().astype(np.uint16), kind="stable")  # symbols fit in two bytes, as they are written
         ids = x.ravel()[order]
         cuts = np.flatnonzero(np.diff(ids, prepend=-1))
-        grads["e"][ids[cuts]] += np.add.reduceat(np.take(dx.reshape(3 * n, -1), order, axis=1), cuts, axis=1).T
+        grads["e"][ids[cuts]] += np.add.reduceat(np.take(d[n:], order, axis=1), cuts, axis=1).T
         return after
 
     def _adam(self, grads: dict, state: dict, rate: float, scale: float) -> None:

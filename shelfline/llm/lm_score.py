@@ -19,7 +19,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +134,8 @@ class Model:
         #: Of further frequent words, the logarithms for base_score and within their tail class.
         words = [w.encode("utf-8", "surrogatepass") for w, _ in held]
         n = np.array([n for _, n in held], np.float64)
-        self.held = {w: k for k, w in enumerate(words)}
+        #: All of these words, those of the head first, for Arrow to look up.
+        self.words = pa.array([*self.head, *words], pa.binary())
         self.held_base = np.log10(n + 1)
         self.held_within = np.log10(n / (self.mass + self.once + 1)[tails_of(words)]) if words else n
 
@@ -233,11 +233,10 @@ def _spell(shared):
                 # Each distinct word is looked up once; a text is the numbers of its words and the end, 0.
                 coded = words.dictionary_encode()
                 names, code = coded.dictionary, coded.indices.to_numpy()
-                spelled = names.cast(pa.binary()).to_pylist()
-                symbol = np.fromiter(map(m.head.get, spelled, repeat(-1)), np.int32, len(spelled))
-                other = symbol < 0
-                frequent = np.where(other, np.fromiter(map(m.held.get, spelled, repeat(-1)), np.int64, len(spelled)), -1)
-                symbol[other] = n_head + _tails_of(names)[other]
+                place = pc.fill_null(pc.index_in(names.cast(pa.binary()), value_set=m.words), -1).to_numpy()
+                other = (place < 0) | (place >= n_head)
+                symbol = np.where(other, n_head + _tails_of(names), place)
+                frequent = np.where(other & (place >= 0), place - n_head, -1)
                 s = np.zeros(len(code) + n, np.int32)
                 s[np.arange(len(code)) + of] = symbol[code]
                 cuts = np.searchsorted(of, np.arange(n + 1)) + np.arange(n + 1)
@@ -247,8 +246,8 @@ def _spell(shared):
                 base = [float(weight[i:j].sum()) + float(m.held_base[held[k:l]].sum()) for i, j, k, l in zip(cuts, cuts[1:], mine, mine[1:])]
                 within = [float(m.held_within[held[k:l]].sum()) for k, l in zip(mine, mine[1:])]
                 rare = np.flatnonzero((other & (frequent < 0))[code])
-                each, times = np.unique(of[rare].astype(np.int64) * max(1, len(spelled)) + code[rare], return_counts=True)
-                of_each, word = np.divmod(each, max(1, len(spelled)))
+                each, times = np.unique(of[rare].astype(np.int64) * max(1, len(names)) + code[rare], return_counts=True)
+                of_each, word = np.divmod(each, max(1, len(names)))
                 starts = pa.array(np.searchsorted(of_each, np.arange(n + 1)).astype(np.int32))
                 columns = [
                     pa.array([symbols[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array(base, pa.float64()), pa.array(within, pa.float64()),
@@ -312,7 +311,7 @@ def _scores(docs: DataFrame, learn: Column) -> DataFrame:
     model = start_model(counts)
     symbols = plain.mapInArrow(_spell(spark.sparkContext.broadcast(model)), SYMBOLS).withColumn("row", F.monotonically_increasing_id())
     symbols = materialise(symbols, "symbols")
-    model.head, model.held, model.held_base, model.held_within = {}, {}, None, None  # tasks from here on need the network alone
+    model.head, model.words, model.held_base, model.held_within = {}, None, None, None  # tasks from here on need the network alone
     model = train(model, symbols)
     network = materialise(symbols.select("row", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(model)), SCORED), "network")
 

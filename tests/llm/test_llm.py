@@ -583,6 +583,23 @@ def test_gru_gradient_and_training():
     assert net.score([text])[0] > before + 20
 
 
+def test_gru_narrow_windows_are_taken_together_but_cut_as_before(monkeypatch):
+    net, taken, outputs = some_net(3), [], []
+    monkeypatch.setattr(gru.Gru, "_adam", lambda self, grads, state, rate, scale: taken.append((scale, grads)))
+    whole = gru.Gru._output
+    monkeypatch.setattr(gru.Gru, "_output", lambda self, *given: outputs.append(1) or whole(self, *given))
+    texts = [np.array([rng.randint(0, 86) for _ in range(n)]) for n in (700, 130, 5)]
+    net.train(texts, {}, 0.1)
+    assert len(taken) == len(outputs) == 1  # 22 outputs, one a window, before
+    (scale, together), sizes = taken[0], 1 / taken[0][0]
+    taken.clear()
+    monkeypatch.setattr(gru, "STEP_SYMBOLS", 1)
+    net.train(texts, {}, 0.1)
+    assert len(taken) == 22 and round(sizes) == 835 == round(sum(1 / s for s, _ in taken))
+    for name, g in together.items():
+        assert np.allclose(g, sum(gs[name] for _, gs in taken), rtol=1e-3, atol=2e-3), name
+
+
 def test_lm_beats_base(spark):
     held = lm_score.op2_gru_lm_score(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
