@@ -18,8 +18,9 @@ from .reliability import effect
 
 
 def origin(url: Column) -> Column:
-    """Scheme and authority of a URL, null if it has none."""
-    return F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
+    """Scheme and authority of a URL, null if it has none. Spark's own functions give null for what a path may not strictly hold, such as a blank."""
+    part = lambda k: F.nullif(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+)", k), F.lit(""))
+    return F.concat(F.lower(part(1)), F.lit("://"), part(2))
 
 
 def _unquoted(c: Column) -> Column:

@@ -356,6 +356,12 @@ def test_redirects_are_chased_and_judged_hop_by_hop(spark):
     assert crawl.chase(asked.limit(0), responses, lambda u: S.url_policy(u, [])).count() == 0
 
 
+def test_origin_of_urls_that_are_not_strict(spark):
+    urls = ["HTTPS://u@X.example:8/a b", "https://x.example/%zz?q=a|b", "http://[::1]?x", "https://x.example#f", "https:///a", "mailto:a@b", "/a b", "", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(crawl.origin(F.col("u"))).collect()] == ["https://u@X.example:8", "https://x.example", "http://[::1]", "https://x.example", None, None, None, None, None]
+
+
 def test_robots_rules_equal_the_parser(spark):
     from urllib.robotparser import RobotFileParser
 
