@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.page_facts import url_join
 from ..functions.scalars import host, http_transient
 from ..session import written
-from .extract import discover_links
+from .extract import product_links
 from .reliability import effect
 
 
@@ -161,17 +161,17 @@ def products_of_listings(listings: DataFrame, limit: int, pages: int = 50, group
 
     Pages are read in order from 1; reading ends at the first page that is missing or has no
     links, at ``pages``, or once there are enough links. A link's place doesn't depend on later
-    pages, so ranks say what a loop over pages would find. No group ranks more than ``pages`` pages.
+    pages, so ranks say what a loop over pages would find. No group ranks more than ``pages`` pages;
+    rows without a group belong to none. Links meet once, by group, and nothing is joined: a join with
+    the pages that are reached looks tiny to the optimizer, which then sends all links through the driver.
     """
-    read = listings.filter(F.col(page).between(1, pages)).withColumn("_key", F.struct(F.col(group).alias("g"), F.col(page).alias("p")))
-    links = discover_links(read, "_key").select(F.col("_key.g").alias("g"), F.col("_key.p").alias("p"), "position", "link")
-    full = links.select("g", "p").distinct()
-    ordered = full.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("p")))
+    read = listings.filter(F.col(page).between(1, pages) & F.col(group).isNotNull()).withColumns({"_g": F.col(group), "_p": F.col(page)})
+    links = product_links(read, ["_g", "_p"])
     # Pages with links stand at their own number as long as no page before them was missing or empty.
-    links = links.join(ordered.filter("_n = p").select("g", "p"), ["g", "p"])
-    first = links.groupBy("g", "link").agg(F.min(F.struct("p", "position")).alias("at"))
-    placed = first.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("at")).cast("long"))
-    return placed.filter(F.col("position") <= limit).select(F.col("g").alias(group), "position", "link", F.col("at.p").alias(page))
+    links = links.withColumn("_n", F.dense_rank().over(Window.partitionBy("_g").orderBy("_p"))).filter("_n = _p")
+    first = links.groupBy("_g", "link").agg(F.min(F.struct("_p", "at")).alias("_at"))
+    placed = first.withColumn("position", F.row_number().over(Window.partitionBy("_g").orderBy("_at", "link")).cast("long"))
+    return placed.filter(F.col("position") <= limit).select(F.col("_g").alias(group), "position", "link", F.col("_at._p").alias(page))
 
 
 @F.pandas_udf(T.StringType())

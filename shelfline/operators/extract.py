@@ -150,12 +150,22 @@ def parse_rendered(pages: DataFrame, mode: str = "mode", rendered: str = "render
     return twice.select(*pages.columns, *chosen, (F.col("_again") & F.col(rendered).isNotNull()).alias("was_rendered"))
 
 
+def product_links(pages: DataFrame, keys: list[str], url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
+    """``keys, at, link``: absolute product links of each page, ``at`` their order in the document. References are told once, links may repeat.
+
+    The references stand behind a one-row generator: a filter for pages that have some would be
+    put before the step that deals pages over all cores otherwise, and walk them all there, in few tasks, for itself.
+    """
+    listing = pages.select(*keys, F.col(url).alias("_base"), (F.col(source) == "books_to_scrape").alias("_books"), page_facts(F.col(html)).alias("_f"))
+    refs = F.when(F.col("_books"), F.col("_f.site_links")).otherwise(F.col("_f.links"))
+    each = _with(listing, {"_refs": F.array_distinct(refs)}).select(*keys, "_base", F.posexplode("_refs").alias("at", "_ref")).filter(F.col("_ref").isNotNull())
+    each = _with(each.withColumn("_link", url_join(F.col("_base"), F.col("_ref"))), {"link": F.col("_link")})
+    return each.filter(F.col("link").isNotNull()).select(*keys, "at", "link")
+
+
 def discover_links(pages: DataFrame, key: str, url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
     """``key, position, link``: absolute product links, each once, in document order."""
-    listing = pages.select(key, F.col(url).alias("_base"), (F.col(source) == "books_to_scrape").alias("_books"), page_facts(F.col(html)).alias("_f"))
-    refs = F.when(F.col("_books"), F.col("_f.site_links")).otherwise(F.col("_f.links"))
-    each = listing.select(key, "_base", F.posexplode(refs).alias("_at", "_ref")).filter(F.col("_ref").isNotNull())
-    each = each.withColumn("link", url_join(F.col("_base"), F.col("_ref"))).filter(F.col("link").isNotNull()).groupBy(key, "link").agg(F.min("_at").alias("_at"))
+    each = product_links(pages, [key], url, html, source).groupBy(key, "link").agg(F.min("at").alias("_at"))
     return each.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("position"), "link")
 
 

@@ -241,6 +241,44 @@ def test_listings_end_at_the_first_gap(spark):
     assert crawl.products_of_listings(df, 2, group="shop").filter("shop = 'a'").count() == 2
 
 
+def test_listings_equal_a_loop(spark):
+    """Fuzz: pages that are missing, empty, there twice or beyond the last, references that repeat, resolve to one link or to none; a reader's loop says the same."""
+    rng, base, limit, rows = random.Random(11), "https://s.example/list/", 6, []
+    for g in range(60):
+        for p in [n for n in range(8) if rng.random() < 0.93] + ([2] if g % 5 == 0 else []) + ([51] if g % 7 == 0 else []):
+            rows.append((g if g else None, p, [rng.choice(["/i/1", "../i/1", "/i/2", "3", "./3", "4", "/i/5#x", "6", "7", "http://[", None]) for _ in range(rng.choice((0, 1, 1, 2, 4, 9)))]))
+    rows += [(99, n, ["/only"] if n < 50 else [f"/{n}"]) for n in range(1, 53)]
+    html = lambda refs: "".join(f'<article class="product_pod"><h3><a{f" href={chr(34)}{r}{chr(34)}" if r else ""}>x</a></h3></article>' for r in refs)
+
+    def link(ref):
+        try:
+            return urljoin(base, ref) if ref else None
+        except ValueError:
+            return None
+
+    want = []
+    for g in {r[0] for r in rows} - {None}:
+        seen = {}
+        for p in range(1, 51):
+            told = sorted((at, link(ref)) for og, op, refs in rows if (og, op) == (g, p) for at, ref in enumerate(dict.fromkeys(refs)) if link(ref))
+            if not told:
+                break
+            for _, u in told:
+                seen.setdefault(u, p)
+        want += [(g, k + 1, u, p) for k, (u, p) in enumerate(list(seen.items())[:limit])]
+    df = spark.createDataFrame([(g, p, base, html(refs), "books_to_scrape") for g, p, refs in rows], "shop long, page long, url string, html string, source string")
+    got = crawl.products_of_listings(df.repartition(5), limit, group="shop")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {u for _, _, u, _ in want} > {"https://s.example/50"}
+
+
+def test_links_are_read_in_one_walk_and_not_joined(spark):
+    """No page is walked before pages are dealt over all cores, none twice, and no table that grows with the input goes through the driver for a join."""
+    for query in ("listing_products", "link_discovery"):
+        plan = registry.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [page_facts") == plan.count("ArrowEvalPython [url_join") == 1, query
+        assert plan.index("ArrowEvalPython [page_facts") < plan.index("REPARTITION_BY_NUM") and "Join" not in plan and "Broadcast" not in plan, query
+
+
 def test_bodies_as_text(spark):
     rows = [("é".encode(), None), ("é".encode("latin-1"), "ISO-8859-1"), (b"a\xff", "utf-8"), ("가".encode("euc-kr"), "EUC-KR"), (b"abc", "base64"), (b"x", ""), (b"x", "no\x00name"), (None, "utf-8"), (b"", None)]
     df = spark.createDataFrame(rows, "b binary, c string")
